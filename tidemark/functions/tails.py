@@ -8,6 +8,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a, b, x):
@@ -83,17 +84,17 @@ def _pairwise(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _pairwise(t_upper)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _pairwise(chi2_upper)(x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(z: pd.Series) -> pd.Series:
     return pd.Series([normal_cdf(x) if x == x and x is not None else None for x in z], dtype="float64")
 

@@ -53,7 +53,6 @@ def ss2(t):
     return e.select(R6(F.col("bound")).alias("bound"), R6(F.greatest("p1", "p2")).alias("p_tost"))
 
 
-PV = "pv AS (SELECT l_orderkey AS unit, l_linenumber AS k, row_number() OVER () AS dummy, 0 AS z FROM lineitem LIMIT 0)"
 PVALS = """pv AS (SELECT unit, ('0x'||substr(md5(concat_ws('|','p',unit)),1,8))::BIGINT/4294967296.0 AS u FROM (SELECT o_orderkey AS unit FROM orders)), tp AS (SELECT unit, round(u*u,5) AS p FROM pv)"""
 
 
@@ -144,7 +143,7 @@ REML_SE = """est AS (SELECT type AS unit0, study AS unit, d AS y, sqrt(1.0/n+d*d
 
 def reml_grid(units, lo, step):
     """Objective of 41 ln tau^2 values per key: one explode and one aggregate."""
-    g = units.withColumn("lt", F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: lo + step * k)))
+    g = units.withColumn("lt", F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.least(F.greatest(lo + step * k, F.lit(-15.0)), F.lit(5.0)))))
     w = 1.0 / (F.col("v") + F.exp("lt"))
     s = g.groupBy("key", "lt").agg(F.sum(-F.log(w)).alias("a"), F.sum(w).alias("sw"), F.sum(w * F.col("y")).alias("swy"), F.sum(w * F.col("y") ** 2).alias("swyy"))
     nll = 0.5 * (F.col("a") + F.col("swyy") - F.col("swy") ** 2 / F.col("sw") + F.log("sw"))
@@ -164,7 +163,7 @@ def reml(units):
 
 
 def reml_sql():
-    step = lambda src, lo, h, out: f"""g{out} AS (SELECT key,y,v,{lo}+{h}*k AS lt FROM {src}, range(0,41) r(k)),
+    step = lambda src, lo, h, out: f"""g{out} AS (SELECT key,y,v,least(greatest({lo}+{h}*k::DOUBLE,-15.0),5.0)::DOUBLE AS lt FROM {src}, range(0,41) r(k)),
 o{out} AS (SELECT key,lt,0.5*(sum(ln(v+exp(lt)))+sum(y*y/(v+exp(lt)))-sum(y/(v+exp(lt)))^2/sum(1/(v+exp(lt)))+ln(sum(1/(v+exp(lt))))) AS f FROM g{out} GROUP BY 1,2),
 b{out} AS (SELECT key, lt FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY f,lt) r FROM o{out}) WHERE r=1)"""
     j = lambda b: f"(SELECT u.*, {b}.lt AS l0 FROM u JOIN {b} USING (key))"
@@ -349,7 +348,7 @@ def ss21(t):
     return b.select("row", "block", f(1).alias("f_1"), f(2).alias("f_2"))
 
 
-NCDF = "(0.5+(SELECT sum((CASE WHEN k=0 OR k=200 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)*exp(-(z*k/200.0)^2/2)) FROM range(0,201) kk(k))*z/600.0/sqrt(2*pi()))"
+NCDF = "(0.5+(SELECT sum((CASE WHEN k=0 OR k=200 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)*exp(-0.5*pow(z*k/200.0,2))) FROM range(0,201) kk(k))*z/600.0/sqrt(2*pi()))"
 
 
 @query("ss22_normal_fit", f"""WITH x AS (SELECT c_nationkey AS g, c_acctbal AS v FROM customer), s AS (SELECT g, avg(v) AS m, stddev_pop(v) AS sd, count(*) AS n FROM x GROUP BY 1),
