@@ -83,5 +83,5 @@ EV = """ev AS (SELECT user_id AS ses, event_id AS eid, (epoch_us(ts)-17040672000
  CASE event_type WHEN 'signup' THEN 100 WHEN 'error' THEN 0 ELSE 1+(floor(value)::INT % 7) END AS code_b, value FROM events)"""
 SIG = """sig AS (SELECT l_orderkey // 512 AS rec, l_orderkey % 512 AS i, l_linenumber AS ch,
  max(l_extendedprice)/1000.0 AS v FROM lineitem GROUP BY 1,2,3)"""
-MC = """mc AS (SELECT vec_id AS unit, label AS cond, (k-1)//8 AS ch, (k-1)%8 AS i, embedding[k]::DOUBLE AS x AS v
+MC = """mc AS (SELECT vec_id AS unit, label AS cond, (k-1)//8 AS ch, (k-1)%8 AS i, embedding[k]::DOUBLE AS x
  FROM embeddings, range(1,65) r(k))"""
