@@ -162,7 +162,7 @@ def kf7z(t):
             axis = [math.exp(width * k) for k in (-1.0, -0.5, 0.0, 0.5, 1.0)]
             scaled = lambda f: F.transform("theta", lambda v, k: F.when(k == i, v * f).otherwise(v))  # noqa: E731, B023
             sets = F.array(*[scaled(f) for f in axis])
-            g = best.withColumn("g", sets)
+            g = best.select("scope", "theta").withColumn("g", sets)
             # The scope's grid travels with each of its sessions.
             s = ss.score_scoped(obs, g.select("scope", "g"))
             win = s.groupBy("scope", "pid").agg(F.sum("ll").alias("ll")).groupBy("scope").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
