@@ -17,6 +17,15 @@ def relative_se(se, value, log_scaled):
     return F.when(log_scaled, se).otherwise(F.try_divide(se, F.nullif(F.abs(value), F.lit(0.0))))
 
 
+def let(value, body):
+    """Bind a value once per row for use inside lambdas: body(value).
+
+    An expression named inside a lambda is evaluated again for every element; bound as
+    the element of a one-element array it is evaluated once.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(x, y):
     """Inner product of two array columns."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

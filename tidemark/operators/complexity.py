@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..functions.draws import uniform
-from ..functions.exprs import bit_entropy
+from ..functions.exprs import bit_entropy, let
 from ..functions.fourier import analytic, envelope, randomise_phases
 
 
@@ -17,13 +17,15 @@ def phrase_count(s):
     The current phrase grows while it already occurs in the text before its last symbol.
     Work is quadratic in the length; use phrase_count_long for long strings.
     """
-    step = lambda st, i: F.when(
-        F.instr(F.substring(s, F.lit(1), i - 1), F.substring(s, st["p"], i - st["p"] + 1)) > 0, st,
-    ).otherwise(F.struct((i + 1).alias("p"), (st["c"] + 1).alias("c")))
-    n = F.length(s)
-    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(
-        F.sequence(F.lit(1), n), F.struct(F.lit(1).alias("p"), F.lit(0).alias("c")), step,
-        lambda st: st["c"] + F.when(st["p"] <= n, 1).otherwise(0))).cast("long")
+    def fold(s):
+        step = lambda st, i: F.when(
+            F.instr(F.substring(s, F.lit(1), i - 1), F.substring(s, st["p"], i - st["p"] + 1)) > 0, st,
+        ).otherwise(F.struct((i + 1).alias("p"), (st["c"] + 1).alias("c")))
+        n = F.length(s)
+        return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(
+            F.sequence(F.lit(1), n), F.struct(F.lit(1).alias("p"), F.lit(0).alias("c")), step,
+            lambda st: st["c"] + F.when(st["p"] <= n, 1).otherwise(0))).cast("long")
+    return let(s, fold)
 
 
 def _phrases(text):
@@ -74,8 +76,10 @@ def share_of_ones(s):
 
 def normalised(s, count=phrase_count):
     """c * log2 n / (n H); 0 when n < 2 or the source is constant."""
-    n, h = F.length(s), bit_entropy(share_of_ones(s))
-    return F.when((n < 2) | (h == 0), 0.0).otherwise(count(s) * F.log2(n.cast("double")) / (n * F.nullif(h, F.lit(0.0))))
+    def value(s):
+        n, h = F.length(s), bit_entropy(share_of_ones(s))
+        return F.when((n < 2) | (h == 0), 0.0).otherwise(count(s) * F.log2(n.cast("double")) / (n * F.nullif(h, F.lit(0.0))))
+    return let(s, value)
 
 
 def shuffled(s, *seed):
@@ -100,12 +104,12 @@ def channels(x, n_ch):
 def binarise(env, n_ch):
     """Bit arrays per channel: amplitude above the channel's mean amplitude."""
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    return F.transform(channels(env, n_ch), lambda a: F.transform(a, lambda v: (v > mean(a)).cast("int")))
+    return F.transform(channels(env, n_ch), lambda a: let(mean(a), lambda m: F.transform(a, lambda v: (v > m).cast("int"))))
 
 
 def interleave(bits):
     """Time-interleaved bits of all channels (channel-major is flatten)."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bits[0]) - 1), lambda t: F.transform(bits, lambda b: F.get(b, t))))
+    return let(bits, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.size(m[0]) - 1), lambda t: F.transform(m, lambda b: F.get(b, t)))))
 
 
 def with_bits(df, n_ch, x="x"):
@@ -144,7 +148,7 @@ def _entropy(patterns, keys):
 
 def _columns(bits):
     """Per time point the bits of all rows joined into one pattern string."""
-    return F.transform(F.sequence(F.lit(0), F.size(bits[0]) - 1), lambda t: F.array_join(F.transform(bits, lambda b: F.get(b, t).cast("string")), ""))
+    return let(bits, lambda m: F.transform(F.sequence(F.lit(0), F.size(m[0]) - 1), lambda t: F.array_join(F.transform(m, lambda b: F.get(b, t).cast("string")), "")))
 
 
 def _shuffle_each(bits, *seed):

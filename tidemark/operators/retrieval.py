@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dot
+from ..functions.exprs import dot, let
 from ..session import cut_lineage
 
 BLOCK = 2048
@@ -44,7 +44,7 @@ def _matrix(series):
 def attention(queries, items, scale):
     """Softmax-weighted value per query: items(iid, iv key, val value).
 
-    Returns (qid, out, weight_sum = 1, peak): the exact result over all items.
+    Returns (qid, out, peak_weight): the exact result over all items.
     """
     def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
@@ -62,7 +62,7 @@ def attention(queries, items, scale):
     s = r.groupBy("qid").agg(F.sum(F.col("s") * F.col("_w")).alias("s"), F.max("_top").alias("m"))
     d = r.select("qid", "_w", F.posexplode("v").alias("k", "x")).groupBy("qid", "k").agg(F.sum(F.col("x") * F.col("_w")).alias("x"))
     v = d.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("_v"))
-    return v.join(s, "qid").select("qid", F.transform("_v", lambda e: e["x"] / F.col("s")).alias("out"), (F.exp(F.col("m") - F.col("m")) / F.col("s")).alias("peak_weight"))
+    return v.join(s, "qid").select("qid", F.transform("_v", lambda e: e["x"] / F.col("s")).alias("out"), (1.0 / F.col("s")).alias("peak_weight"))
 
 
 def softmax(df, key, score):
@@ -132,4 +132,4 @@ def corrupt(x, k, *seed):
     """Flip the k positions with the smallest hashes."""
     ranked = F.transform(F.array_sort(F.transform(x, lambda v, i: F.struct(F.md5(F.concat_ws("|", *seed, i.cast("string"))).alias("h"), i.alias("i")))), lambda e: e["i"])
     hit = F.slice(ranked, F.lit(1), F.lit(k))
-    return F.transform(x, lambda v, i: F.when(F.array_contains(hit, i), -v).otherwise(v))
+    return let(hit, lambda h: F.transform(x, lambda v, i: F.when(F.array_contains(h, i), -v).otherwise(v)))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.exprs import let
 from ..functions.fourier import analytic
 from .complexity import channels
 
@@ -73,8 +74,7 @@ def kuramoto(df, n_ch, fs, band, trim=0, x="x"):
     d = d.withColumns({"_c": unit("re"), "_s": unit("im")})
     n = F.size(F.col("_c")[0])
     over = lambda m, t: F.aggregate(F.transform(m, lambda a: F.get(a, t)), F.lit(0.0), lambda s, v: s + v) / n_ch
-    r = F.transform(F.sequence(F.lit(trim), n - 1 - trim), lambda t: F.hypot(over(F.col("_c"), t), over(F.col("_s"), t)))
-    d = d.withColumn("_r", r)
+    d = d.withColumn("_r", F.transform(F.sequence(F.lit(trim), n - 1 - trim), lambda t: F.hypot(over(F.col("_c"), t), over(F.col("_s"), t))))
     mean = F.aggregate("_r", F.lit(0.0), lambda s, v: s + v) / F.size("_r")
     sq = F.aggregate("_r", F.lit(0.0), lambda s, v: s + v * v) / F.size("_r")
     return d.withColumns({"kuramoto_r": mean, "metastability": F.sqrt(F.greatest(sq - mean * mean, F.lit(0.0)))}).drop("_z", "_c", "_s", "_r")
@@ -99,7 +99,7 @@ def phase_lag_edges(df, keys, n_ch, fs, band, x="x"):
 def lagged_covariance(df, n_ch, lag, x="x"):
     """Adds s0 (with ridge) and s_lag as flattened n x n arrays."""
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    d = df.withColumn("_c", F.transform(channels(F.col(x), n_ch), lambda a: F.transform(a, lambda v: v - mean(a))))
+    d = df.withColumn("_c", F.transform(channels(F.col(x), n_ch), lambda a: let(mean(a), lambda m: F.transform(a, lambda v: v - m))))
     n = F.size(F.col("_c")[0])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     s0 = F.flatten(F.transform("_c", lambda a: F.transform("_c", lambda b: dot(a, b) / n)))

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.draws import sql_uniform
-from ..functions.exprs import bit_entropy
+from ..functions.exprs import bit_entropy, let
 from ..functions.fourier import analytic, envelope, welch
 from ..operators import complexity as cx, network as nw, spectral as sp
 from ..operators.clusters import components
@@ -51,7 +51,7 @@ def packed_mc(t):
 
 def bits64(t):
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    return t.packed().select("unit", "cond", F.transform("x", lambda v: (v > mean(F.col("x"))).cast("int")).alias("bits"))
+    return t.packed().select("unit", "cond", let(mean(F.col("x")), lambda m: F.transform("x", lambda v: (v > m).cast("int"))).alias("bits"))
 
 
 def strings64(t):
@@ -124,7 +124,6 @@ def fe7(t):
                     R6(F.aggregate(F.transform("c", lambda v: v * v), F.lit(0.0), add)).alias("energy"))
 
 
-RAWM = "(sum(abs(x2-x1)))"
 
 
 @query("fe8_spectrum_controlled", f"""WITH {SUR}, rw AS (SELECT unit, sum(abs(x2-x)) AS raw FROM (SELECT unit, x, lead(x) OVER (PARTITION BY unit,ch ORDER BY i) AS x2 FROM mc) GROUP BY 1),

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions.draws import normal, sql_normal, sql_uniform, uniform
-from ..functions.exprs import dot
+from ..functions.exprs import dot, let
 from ..functions.tails import chi2_sf, norm_cdf, t_quantile, t_sf
 from ..operators import stats as st
 from ..operators.joins import tolerance_join
@@ -209,7 +209,7 @@ def axis_row(t):
     rows = F.array(*[F.array(*[F.col(f"m{i}{j}") for j in range(k)]) for i in range(k)])
     m = m.select(rows.alias("mat"), F.array(*[F.col(f"mu{i}") for i in range(k)]).alias("mu"))
     step = lambda u, _: F.transform(F.col("mat"), lambda r: dot(r, u))
-    unit = lambda u: F.transform(u, lambda x: x / F.sqrt(dot(u, u)))
+    unit = lambda u: let(u, lambda w: let(F.sqrt(dot(w, w)), lambda n: F.transform(w, lambda x: x / n)))
     it = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.col("mu"), lambda u, s: unit(step(u, s)))
     m = m.withColumn("u0", unit(it))
     sign = F.when(dot(F.col("u0"), F.col("mu")) < 0, -1.0).otherwise(1.0)
