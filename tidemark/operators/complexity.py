@@ -74,12 +74,15 @@ def share_of_ones(s):
     return F.try_divide(F.length(F.regexp_replace(s, "0", "")), F.length(s))
 
 
-def normalised(s, count=phrase_count):
-    """c * log2 n / (n H); 0 when n < 2 or the source is constant."""
-    def value(s):
+def normalised(s, phrases=None):
+    """c * log2 n / (n H); 0 when n < 2 or the source is constant.
+
+    `phrases` is an already computed count column (for long strings).
+    """
+    def value(s, c):
         n, h = F.length(s), bit_entropy(share_of_ones(s))
-        return F.when((n < 2) | (h == 0), 0.0).otherwise(count(s) * F.log2(n.cast("double")) / (n * F.nullif(h, F.lit(0.0))))
-    return let(s, value)
+        return F.when((n < 2) | (h == 0), 0.0).otherwise(c * F.log2(n.cast("double")) / (n * F.nullif(h, F.lit(0.0))))
+    return let(s, lambda x: value(x, phrase_count(x))) if phrases is None else value(s, phrases)
 
 
 def shuffled(s, *seed):

@@ -95,6 +95,11 @@ def best_by(scores, scope):
     return s.groupBy(*scope).agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
 
 
+def best_by_all(scores):
+    """Pooled log-likelihood of every parameter set."""
+    return scores.groupBy("pid").agg(F.sum("ll").alias("ll"))
+
+
 def leave_one_out(scores):
     """Per session the best set of all other sessions: total minus own, no refit."""
     total = scores.groupBy("pid").agg(F.sum("ll").alias("_t"))

@@ -64,8 +64,8 @@ def read_stages(lines):
 
 def parse_log(lines):
     """Free-text log lines -> kind, question time, or key press."""
-    ques = r"MW question asked at time ([0-9.]+) second"
-    press = r"Key (\S+) \(code \d+\) pressed at time ([0-9.]+) seconds, status (\d+)"
+    ques = r"MW question asked at time\s+([0-9.]+) second"
+    press = r"Key (\S+) \(code \d+\) pressed at time\s+([0-9.]+) seconds, status (\d+)"
     get = lambda rx, k: F.nullif(F.regexp_extract("line", rx, k), F.lit(""))
     d = lines.withColumns({"t_q": get(ques, 1).try_cast("double"), "key": get(press, 1).try_cast("int"), "t_key": get(press, 2).try_cast("double"), "status": get(press, 3).try_cast("int")})
     kind = F.when(F.col("t_q").isNotNull(), "question").when(F.col("t_key").isNotNull(), "key")
