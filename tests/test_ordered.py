@@ -50,7 +50,7 @@ def test_previous_mean_excludes_the_row(spark, both_ways):
     assert got == pytest.approx([0, 4, 3, 4, 3, 2.6, 14 / 6, 17 / 7])
 
 
-def test_quantiles_match_numpy_on_a_hot_key(spark, skewed):
+def test_quantiles_match_numpy_on_a_hot_key(spark, skewed, both_ways):
     probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.9, "e": 1.0}
     got = {r["k"]: r for r in quantiles(frame(spark, skewed), ["k"], "v", probs).collect()}
     for k, g in skewed.dropna().groupby("k"):
@@ -58,11 +58,13 @@ def test_quantiles_match_numpy_on_a_hot_key(spark, skewed):
             assert got[k][n] == pytest.approx(np.quantile(g["v"], p), abs=1e-12)
 
 
-def test_quantiles_with_ties_zeros_and_signs(spark):
+def test_quantiles_with_ties_zeros_and_signs(spark, both_ways):
     vals = [0.0, 0.0, 0.0, -1.0, -1.0, 5.0, 5.0, 5.0, 1e-9, -1e12]
     d = spark.createDataFrame([(v,) for v in vals], "v double")
-    r = quantiles(d, [], "v", {"lo": 0.1, "m": 0.5, "hi": 0.95}).first()
-    assert [r["lo"], r["m"], r["hi"]] == pytest.approx([np.quantile(vals, q) for q in (0.1, 0.5, 0.95)])
+    for twice in (False, True):
+        r = quantiles(d, [], "v", {"lo": 0.1, "m": 0.5, "hi": 0.95}, scan_twice=twice).first()
+        got = [r["lo"], r["m"], r["hi"]]
+        assert got == pytest.approx([np.quantile(vals, q) for q in (0.1, 0.5, 0.95)])
 
 
 def test_top_n_is_exact(spark, skewed):

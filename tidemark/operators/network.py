@@ -25,7 +25,9 @@ def matrices(edges, key, n_ch, fill=0.0):
     m = edges.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * n_ch + F.col("j"), F.col("w")))).alias("_m"))
     idx = F.sequence(F.lit(0), F.lit(n_ch - 1))
     at = lambda i, j: F.try_element_at("_m", (F.least(i, j) * n_ch + F.greatest(i, j)).cast("int"))
-    return m.select(key, F.transform(idx, lambda i: F.transform(idx, lambda j: F.coalesce(F.when(i == j, F.lit(fill)).otherwise(at(i, j)), F.lit(fill)))).alias("m"))
+    return m.select(key, F.transform(idx, lambda i: F.transform(idx, lambda j: F.coalesce(F.when(i == j, F.lit(fill)).otherwise(at(i, j)), F.lit(fill)))).alias("m")
+                    # Keeps the matrix a column of its own: Spark cannot run an Arrow function folded into the aggregate.
+                    ).where(F.size("m") > 0)
 
 
 def fiedler(mat, normalised=False):

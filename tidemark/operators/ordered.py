@@ -26,6 +26,21 @@ def _keyed(df, keys):
 _DECIDED = {}
 
 
+def _decide(mark, hot):
+    """Whether the small relation `hot` has rows, remembered per logical plan."""
+    if mark not in _DECIDED:
+        if len(_DECIDED) > 10_000:
+            _DECIDED.clear()
+        _DECIDED[mark] = not hot.isEmpty()
+    return _DECIDED[mark]
+
+
+def any_above(df, keys, rows):
+    """Whether any key has more than `rows` rows (one combined count)."""
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    return _decide((id(df.sparkSession), df.semanticHash(), tuple(keys), None, rows), hot)
+
+
 def hot_keys(df, keys, t, rows=None):
     """(keys, _lo, _w) of the keys above the row limit, or None when there are none.
 
@@ -39,12 +54,7 @@ def hot_keys(df, keys, t, rows=None):
         .where(F.col("_n") > rows)
         .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(rows))).alias("_w"))
     )
-    mark = (id(df.sparkSession), df.semanticHash(), tuple(keys), t, rows)
-    if mark not in _DECIDED:
-        if len(_DECIDED) > 10_000:
-            _DECIDED.clear()
-        _DECIDED[mark] = not hot.isEmpty()
-    return hot if _DECIDED[mark] else None
+    return hot if _decide((id(df.sparkSession), df.semanticHash(), tuple(keys), t, rows), hot) else None
 
 
 def with_chunks(df, keys, t, hot):

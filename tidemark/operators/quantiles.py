@@ -1,16 +1,18 @@
 """Exact percentiles (linear interpolation) per key, safe for huge keys.
 
-`percentile` keeps every distinct value of a key in one buffer.  Here values are first
-counted per (key, value), which combines before the shuffle and spreads a hot key over
-all tasks.  Counts per narrow value band then locate the bands that hold the wanted
+`percentile` keeps every distinct value of a key in one buffer, so it is used only after
+a count per key has shown that every key is small.  Otherwise values are first counted
+per (key, value), which combines before the shuffle and spreads a hot key over all tasks.  Counts per narrow value band then locate the bands that hold the wanted
 ranks, and only the distinct values of those bands are ranked.  A key's band table is
 bounded by the bands of a double, and a band spans 1/65536 of a factor of two.
 """
 
 from pyspark.sql import Window, functions as F
 
-from .ordered import _ONE, _keyed
+from ..session import chunk_rows
+from .ordered import _ONE, _keyed, any_above
 
+_BUFFER_ROWS = 500_000  # values of one key that may sit in one aggregation buffer
 _BANDS = 65536           # bands per factor of two
 _SHIFT = 2048 * _BANDS   # moves every band number of a positive double above zero
 
@@ -20,14 +22,25 @@ def _band(v):
     return F.when(v == 0, F.lit(0)).when(v > 0, b).otherwise(-b).cast("long")
 
 
-def quantiles(df, keys, value, probs):
-    """One row per key with a column per entry of probs {name: p}; nulls are ignored."""
+def quantiles(df, keys, value, probs, scan_twice=False):
+    """One row per key with a column per entry of probs {name: p}; nulls are ignored.
+
+    scan_twice suits a cheap input with few keys: band counts first, then only the rows
+    of the wanted bands are read on, so almost nothing is shuffled.  Otherwise one pass
+    over the input counts (key, value) and both steps share that exchange.
+    """
     df, ks = _keyed(df.where(F.col(value).isNotNull()), keys)
     v = F.col(value).cast("double")
-    counts = df.groupBy(*ks, _band(v).alias("_b"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    if not any_above(df, ks, min(chunk_rows(df.sparkSession), _BUFFER_ROWS)):
+        every = F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()]))
+        out = df.groupBy(*ks).agg(every.alias("_q")).select(*ks, *[F.col("_q")[k].alias(n) for k, n in enumerate(probs)])
+        return out.drop(_ONE) if ks == [_ONE] else out
+    d = df.select(*ks, _band(v).alias("_b"), v.alias("_v"))
+    counts = d.groupBy(*ks, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    per_band = d.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("_bn")) if scan_twice else counts.groupBy(*ks, "_b").agg(F.sum("_n").alias("_bn"))
     bands = (
-        counts.groupBy(*ks, "_b").agg(F.sum("_n").alias("_bn"))
+        per_band
         .withColumns({"_end": F.sum("_bn").over(upto), "_total": F.sum("_bn").over(Window.partitionBy(*ks))})
         .withColumn("_start", F.col("_end") - F.col("_bn"))
     )
@@ -39,6 +52,9 @@ def quantiles(df, keys, value, probs):
         c = inside(r, F.col("_start"), F.col("_end"))
         wanted = c if wanted is None else (wanted | c)
     cum = F.sum("_n").over(Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    if scan_twice:
+        # AQE broadcasts the wanted bands when they are small (keys x probabilities x 2).
+        counts = d.join(bands.where(wanted).select(*ks, "_b"), ks + ["_b"], "left_semi").groupBy(*ks, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.join(bands.where(wanted).select(*ks, "_b", "_start", "_total"), ks + ["_b"]).withColumn("_to", F.col("_start") + cum)
     picked = rows.groupBy(*ks).agg(F.max("_total").alias("_total"), *[
         F.max(F.when(inside(r, F.col("_to") - F.col("_n"), F.col("_to")), F.col("_v"))).alias(f"_{n}_{s}")

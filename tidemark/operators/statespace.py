@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
-from ..session import chunk_rows
+from ..session import chunk_rows, cut_lineage
 from .ordered import numbered
 
 SESSION_ROWS_DIVISOR = 100  # a chunk of a session is this much smaller than a chunk of rows
@@ -47,7 +47,7 @@ def score(obs, grid, keys=("ses",), use_eeg=True, use_rating=True):
     in parallel to its effect on an unknown start state; only those few summaries per
     session are chained in order.
     """
-    keys = list(keys)
+    keys, obs = list(keys), cut_lineage(obs)  # read by the size checks and by the scoring
     d = packed(obs, keys).withColumn("grid", grid)
     short = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid", use_eeg, use_rating).alias("ll"))
     out = short
@@ -113,7 +113,7 @@ def filtered(obs, params, keys=("ses",), use_eeg=True, use_rating=True):
     A long session is filtered chunk by chunk in parallel, each chunk from the state the
     chained summaries of the earlier ones give.
     """
-    keys = list(keys)
+    keys, obs = list(keys), cut_lineage(obs)
     d = packed(obs, keys).withColumn("grid", parameter_sets([params]))
     if _has_long(obs, keys):
         d = d.join(_chained(d, keys, use_eeg, use_rating).where("chunk > 0").select(*keys, "chunk", "start"), keys + ["chunk"], "left")

@@ -74,7 +74,7 @@ def gt5(t):
 @query("gt15_recovery_gate", "WITH e AS (SELECT l_linenumber AS param, abs(ln(l_extendedprice)-10)/10 AS rel FROM lineitem) SELECT param, round(quantile_cont(rel,0.5),6) AS median_rel, quantile_cont(rel,0.5)<=0.20 AS passed FROM e GROUP BY 1")
 def gt15(t):
     e = t.lineitem.select(F.col("l_linenumber").alias("param"), (F.abs(F.log("l_extendedprice") - 10) / 10).alias("rel"))
-    q = quantiles(e, ["param"], "rel", {"m": 0.5})
+    q = quantiles(e, ["param"], "rel", {"m": 0.5}, scan_twice=True)
     return q.select("param", R6(F.col("m")).alias("median_rel"), (F.col("m") <= 0.20).alias("passed"))
 
 
@@ -124,7 +124,7 @@ def gt9(t):
     lv = F.log("l_extendedprice")
     d = t.lineitem.select(F.col("l_linenumber").alias("param"), lv.alias("v"), "l_discount", "l_returnflag")
     a = d.groupBy("param").agg(F.avg("v").alias("est"), F.stddev_samp("v").alias("se"), F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))).alias("crb"))
-    j = a.join(quantiles(d, ["param"], "v", {"lo": 0.025, "hi": 0.975}), "param", "left").withColumn("ratio", F.col("se") / F.col("crb"))
+    j = a.join(quantiles(d, ["param"], "v", {"lo": 0.025, "hi": 0.975}, scan_twice=True), "param", "left").withColumn("ratio", F.col("se") / F.col("crb"))
     return j.select("param", *[R6(F.col(c)).alias(c) for c in ("est", "se", "crb", "ratio", "lo", "hi")])
 
 

@@ -48,7 +48,7 @@ def ag4(t):
 
 @query("ag6_percentile_interval", f"WITH {FEAT} SELECT cond, round(quantile_cont(m_price,0.025),4) AS lo, round(quantile_cont(m_price,0.1),4) AS q10, round(quantile_cont(m_price,0.5),4) AS med, round(quantile_cont(m_price,0.9),4) AS q90, round(quantile_cont(m_price,0.975),4) AS hi FROM feat GROUP BY 1")
 def ag6(t):
-    q = quantiles(features(t), ["cond"], "m_price", {"lo": 0.025, "q10": 0.1, "med": 0.5, "q90": 0.9, "hi": 0.975})
+    q = quantiles(features(t), ["cond"], "m_price", {"lo": 0.025, "q10": 0.1, "med": 0.5, "q90": 0.9, "hi": 0.975}, scan_twice=True)
     return q.select("cond", *[F.round(c, 4).alias(c) for c in ("lo", "q10", "med", "q90", "hi")])
 
 

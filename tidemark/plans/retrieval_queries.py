@@ -49,7 +49,14 @@ def vr3(t):
     return d.select("id", "head", F.posexplode(rt.project(F.col("v"), F.col("wh"))).alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
-@query("vr4_iterated_retrieval")
+def _attend(src, n):
+    """One attention step of every row of `src(id, q)` over the sign patterns."""
+    return (f"z{n} AS (SELECT a.id, s.x, 8.0::DOUBLE*list_dot_product(a.q,s.x) AS z FROM {src} a, sg s), m{n} AS (SELECT id, max(z) AS m FROM z{n} GROUP BY 1), "
+            f"e{n} AS (SELECT id, x, exp(z-m) AS e FROM z{n} JOIN m{n} USING (id)), d{n} AS (SELECT id, k, sum(e*x[k])/sum(e) AS v FROM e{n}, range(1,65) r(k) GROUP BY 1,2), "
+            f"a{n} AS (SELECT id, list(v ORDER BY k) AS q FROM d{n} GROUP BY 1)")
+
+
+@query("vr4_iterated_retrieval", f"WITH {SG}, a0 AS (SELECT id, list_transform(range(0,64), lambda i: CASE WHEN list_contains(hit,i) THEN -x[i+1] ELSE x[i+1] END) AS q FROM (SELECT id, x, list_slice(list_transform(list_sort(list_transform(range(0,64), lambda i: concat(md5(concat_ws('|','vr4',id,i)),'#',i))), lambda s: split_part(s,'#',2)::INT),1,6) AS hit FROM sg)), {_attend('a0', 1)}, {_attend('a1', 2)}, {_attend('a2', 3)} SELECT a3.id AS qid, len(list_filter(range(1,65), lambda k: (CASE WHEN q[k]<0 THEN -1.0 ELSE 1.0 END)<>x[k]))::INT AS n_wrong FROM a3 JOIN sg ON sg.id=a3.id")
 def vr4(t):
     """Corrupted patterns completed by three attention steps; errors per pattern."""
     s = signs(t)

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
-from ..functions.draws import normal
+from ..functions.draws import normal, sql_normal
 from ..functions.tails import chi2_sf
 from ..operators import statespace as ss
 from ..operators.quantiles import quantiles
@@ -273,10 +273,12 @@ def kf14(t):
     return c.join(lb("z_a"), "ses", "left").join(lb("z_p"), "ses", "left")
 
 
-@query("kf15_starting_values", f"""WITH {EV}, {LAGGED}, m AS (SELECT ses, avg(y_a) AS ma, avg(y_p) AS mp FROM fs GROUP BY 1), c AS (SELECT y_a-ma AS xa, pa-ma AS qa, y_p-mp AS xp, pp-mp AS qp FROM lg JOIN m USING (ses)),
+KF15_SQL = f"""{EV}, {LAGGED}, m AS (SELECT ses, avg(y_a) AS ma, avg(y_p) AS mp FROM fs GROUP BY 1), c AS (SELECT y_a-ma AS xa, pa-ma AS qa, y_p-mp AS xp, pp-mp AS qp FROM lg JOIN m USING (ses)),
 r AS (SELECT least(greatest(sum(xa*qa)/sum(qa*qa) FILTER (WHERE xa IS NOT NULL),0.05),0.99) AS aa, least(greatest(sum(xp*qp)/sum(qp*qp) FILTER (WHERE xp IS NOT NULL),0.05),0.99) AS ap, avg(xa*xa) AS va, avg(xp*xp) AS vp FROM c),
-mo AS (SELECT -ln(aa)*6 AS k_inh, -ln(ap)*6 AS k_d, sqrt(greatest(2*(-ln(aa)*6)*va*0.7,1e-4)) AS sigma_a, sqrt(greatest(2*(-ln(ap)*6)*vp*0.7,1e-4)) AS sigma_phi FROM r)
-SELECT round(k_inh,6) AS k_inh, round(k_d,6) AS k_d, round(sigma_a,6) AS sigma_a, round(sigma_phi,6) AS sigma_phi FROM mo""")
+mo AS (SELECT -ln(aa)*6 AS k_inh, -ln(ap)*6 AS k_d, sqrt(greatest(2*(-ln(aa)*6)*va*0.7,1e-4)) AS sigma_a, sqrt(greatest(2*(-ln(ap)*6)*vp*0.7,1e-4)) AS sigma_phi FROM r)"""
+
+
+@query("kf15_starting_values", f"WITH {KF15_SQL} SELECT round(k_inh,6) AS k_inh, round(k_d,6) AS k_d, round(sigma_a,6) AS sigma_a, round(sigma_phi,6) AS sigma_phi FROM mo")
 def kf15(t):
     d = with_previous(t)
     m = d.groupBy("ses").agg(F.avg("y_a").alias("ma"), F.avg("y_p").alias("mp"))
@@ -288,7 +290,8 @@ def kf15(t):
     return r.select(R6(k["a"]).alias("k_inh"), R6(k["p"]).alias("k_d"), R6(sg["a"]).alias("sigma_a"), R6(sg["p"]).alias("sigma_phi"))
 
 
-@query("kf15_jittered_starts")
+@query("kf15_jittered_starts", f"""WITH {KF15_SQL}, ms AS (SELECT [round(k_inh,6),round(k_d,6),round(sigma_a,6),round(sigma_phi,6)] AS mom FROM mo), o AS (SELECT s, i, CASE WHEN s%2=0 THEN [0.2,0.034,0.1,0.05][i+1]::DOUBLE ELSE mom[i+1] END * CASE WHEN s<2 THEN 1.0 ELSE exp(0.3*{sql_normal("'kf15'", 's', 'i')}) END AS v FROM ms, range(0,6) a(s), range(0,4) b(i))
+SELECT s::INT AS start, round(max(v) FILTER (WHERE i=0),6) AS k_inh, round(max(v) FILTER (WHERE i=1),6) AS k_d, round(max(v) FILTER (WHERE i=2),6) AS sigma_a, round(max(v) FILTER (WHERE i=3),6) AS sigma_phi FROM o GROUP BY 1""")
 def kf15b(t):
     """Alternating jittered copies of the nominal and the moment start."""
     mom = kf15(t).select(F.array("k_inh", "k_d", "sigma_a", "sigma_phi").alias("mom"))

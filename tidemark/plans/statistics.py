@@ -259,10 +259,13 @@ def ss13(t):
 
 
 # ---------------------------------------------------------------- whiteness, tails, ranks
-@query("wn5_ljung_box", f"""WITH {EV}, {FS}, o AS (SELECT ses, y_a, row_number() OVER (PARTITION BY ses ORDER BY epoch) AS k, count(*) OVER (PARTITION BY ses) AS n, y_a-avg(y_a) OVER (PARTITION BY ses) AS x FROM fs WHERE y_a IS NOT NULL),
+LB_SQL = f"""{EV}, {FS}, o AS (SELECT ses, y_a, row_number() OVER (PARTITION BY ses ORDER BY epoch) AS k, count(*) OVER (PARTITION BY ses) AS n, y_a-avg(y_a) OVER (PARTITION BY ses) AS x FROM fs WHERE y_a IS NOT NULL),
 m AS (SELECT ses, max(n) AS n, least(5,max(n)//4) AS m, avg(x*x) AS c0 FROM o GROUP BY 1),
 r AS (SELECT m.ses, a.l, sum(p.x*q.x)/(max(m.n)*max(c0)) AS rk, max(m.n) AS n FROM m JOIN (SELECT l FROM range(1,6) z(l)) a ON a.l<=m.m JOIN o p ON p.ses=m.ses JOIN o q ON q.ses=m.ses AND q.k=p.k+a.l GROUP BY 1,2),
-s AS (SELECT ses, max(n)*(max(n)+2)*sum(rk*rk/(n-l)) AS q FROM r GROUP BY 1)
+s AS (SELECT ses, max(n)*(max(n)+2)*sum(rk*rk/(n-l)) AS q FROM r GROUP BY 1)"""
+
+
+@query("wn5_ljung_box", f"""WITH {LB_SQL}
 SELECT m.ses, m.n, CASE WHEN m.m<1 OR m.n<10 THEN NULL ELSE m.m END AS lags, round(CASE WHEN m.m<1 OR m.n<10 THEN NULL WHEN c0<=1e-15 THEN 0.0 ELSE q END,6) AS q FROM m LEFT JOIN s USING (ses)""")
 def wn5(t):
     from ..operators.whiteness import ljung_box
@@ -271,7 +274,12 @@ def wn5(t):
     return ljung_box(d, ["ses"], "epoch", "y_a", 5).select("ses", "n", "lags", R6(F.col("q")).alias("q"))
 
 
-@query("wn5_ljung_box_p")
+# Upper chi-square tail: Simpson over u with x = u*u, which is smooth at zero.
+CHI_SQL = "(1-(SELECT sum((CASE WHEN k=0 OR k=400 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)*2*pow(sqrt(q)*k/400.0,lags-1)*exp(-0.5*q*pow(k/400.0,2))) FROM range(0,401) kk(k))*sqrt(q)/1200.0/(pow(2,lags/2.0)*gamma(lags/2.0)))"
+
+
+@query("wn5_ljung_box_p", f"""WITH {LB_SQL}, r2 AS (SELECT m.ses, CASE WHEN m.m<1 OR m.n<10 THEN NULL ELSE m.m END AS lags, CASE WHEN m.m<1 OR m.n<10 THEN NULL WHEN c0<=1e-15 THEN 0.0 ELSE q END AS q FROM m LEFT JOIN s USING (ses))
+SELECT ses, round(CASE WHEN q IS NOT NULL THEN {CHI_SQL} END,6) AS p FROM r2""")
 def wn5p(t):
     from ..operators.whiteness import ljung_box
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import files as fs
 from ..sources.tables import EV, Tables
 from ..streaming import jobs
-from .decoding import PB
+from .decoding import PA, PB
 from .registry import query
 from .relational import ratings_b
 from .statespace_queries import GRID, A, B, ONE, RQ, observations
@@ -18,11 +18,11 @@ R6 = lambda c: F.round(c, 6)
 FLUSH = "2024-06-01 00:00:00"
 
 
-def event_stream(t, repeat=False):
+def event_stream(t, repeat=False, code="code_b"):
     """Streaming (ses, eid, ts, code, value) of the real rows and the flush row."""
     base = fs.scratch(t.spark)
     m = t.markers().join(t.events.select(F.col("event_id").alias("eid"), F.col("ts").cast("timestamp").alias("ts")), "eid")
-    m = m.select("ses", "eid", "ts", F.col("code_b").alias("code"), "value")
+    m = m.select("ses", "eid", "ts", F.col(code).cast("int").alias("code"), "value")
     if repeat:
         m = m.unionByName(m.where("eid % 4 = 0"))
     m.write.parquet(f"{base}/in")
@@ -63,6 +63,15 @@ def st3(t):
         *[F.max(F.get("codes", F.lit(k))).alias(f"c{k + 1}") for k in range(3)])
 
 
+@query("ev3_live_probes", f"WITH {PA} SELECT ses, probe, round(onset,4) AS onset, round(resp_end,4) AS resp_end, n_resp, involuntary, c1, c2, c3 FROM pa")
+def ev3(t):
+    """The marker sessionisation of the batch job on a live stream."""
+    s, base = event_stream(t, code="code")
+    d = finish(t, jobs.open_probe_machine(s, "1 hour", 24 * 3600.0), base)
+    hours = lambda c: F.round((F.col(c) - 1704067200.0) / 3600.0, 4).alias(c)
+    return d.select("ses", "probe", hours("onset"), hours("resp_end"), "n_resp", "involuntary", *[F.get("codes", F.lit(k)).alias(f"c{k + 1}") for k in range(3)])
+
+
 @query("st4_inactivity_sessions", f"WITH {EV}, g AS (SELECT ses,t, CASE WHEN t-lag(t) OVER (PARTITION BY ses ORDER BY t)<8 THEN 0 ELSE 1 END AS b FROM ev), s AS (SELECT *, sum(b) OVER (PARTITION BY ses ORDER BY t) AS k FROM g) SELECT ses, round(min(t),4) AS start_h, round(max(t)+8,4) AS end_h, count(*) AS n FROM s GROUP BY ses,k")
 def st4(t):
     s, base = event_stream(t)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import kalman as kf
-from ..operators.decode import GLITCH_B, MARKER_B
+from ..operators.decode import GLITCH_B, INVOLUNTARY_A, MARKER_A, MARKER_B, RESPONSES_A
 
 MAX_CODES = 6
 
@@ -110,6 +110,45 @@ def probe_machine(stream, delay, late_seconds):
         step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def open_probe_machine(stream, delay, idle_seconds):
+    """Marker opens a probe that runs to the next marker; responses and involuntary
+    marks are counted and the first three codes kept.
+
+    The last probe of a session is emitted when its event-time timer fires, idle_seconds
+    after the session's latest row.
+    """
+    out = "ses long, probe long, onset double, resp_end double, n_resp long, involuntary long, codes array<int>"
+    state = "probe long, onset double, resp_end double, n long, inv long, codes array<int>, last double"
+
+    def step(key, batches, st: GroupState):
+        probe, onset, end, n, inv, codes, last = st.get if st.exists else (0, None, None, 0, 0, [], 0.0)
+        codes, rows = list(codes), []
+        if st.hasTimedOut:
+            rows.append((key[0], probe, onset, end, n, inv, codes))
+            st.remove()
+        else:
+            log = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "eid"])
+            for ts, code in zip(log["ts"], log["code"]):
+                last = ts.timestamp()
+                if code == MARKER_A:
+                    if probe:
+                        rows.append((key[0], probe, onset, end, n, inv, codes))
+                    probe, onset, end, n, inv, codes = probe + 1, last, None, 0, 0, []
+                elif probe and code in RESPONSES_A:
+                    end, n = last, n + 1
+                    if len(codes) < 3:
+                        codes = codes + [int(code)]
+                elif probe and code == INVOLUNTARY_A:
+                    inv += 1
+            st.update((probe, onset, end, n, inv, codes, last))
+            if probe:
+                st.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), st.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["ses", "probe", "onset", "resp_end", "n_resp", "involuntary", "codes"])
+
+    return stream.select("ses", "ts", "eid", "code").withWatermark("ts", delay).groupBy("ses").applyInPandasWithState(
+        step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def online_filter(stream, params):
     """Latent state kept per session; each rating row yields its prediction before the
     update and its standardised innovation.  stream(ses, t, kind, v0, v1)."""
