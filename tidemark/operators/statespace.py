@@ -131,6 +131,7 @@ def replicates(obs, params, n_rep, seed, keys=("ses",)):
     """Simulated copies of every session on its real schedule, missing kept missing."""
     from ..functions.draws import normal
 
+    obs = cut_lineage(obs)
     d = packed(obs, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_rep)))))
     idx = F.sequence(F.lit(0), F.size("t") - 1)
     key = [F.col(k) for k in keys]

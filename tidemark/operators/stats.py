@@ -97,10 +97,11 @@ def random_effects(studies, keys=()):
     s1 = s1.withColumns({"q": q, "_df": F.col("k") - 1, "_c": c}).withColumns({
         "i2": F.when(F.col("q") > 0, F.greatest((F.col("q") - F.col("_df")) / F.col("q") * 100, F.lit(0.0))).otherwise(0.0),
         "tau2": F.when(F.col("_c") > 0, F.greatest((F.col("q") - F.col("_df")) / F.col("_c"), F.lit(0.0))).otherwise(0.0)})
-    j = s.join(F.broadcast(s1.select(*keys, "tau2")), list(keys)) if keys else s.join(F.broadcast(s1.select("tau2")))
+    # Without keys the other side is one row; with keys its size is left to AQE.
+    j = s.join(s1.select(*keys, "tau2"), list(keys)) if keys else s.join(F.broadcast(s1.select("tau2")))
     wr = 1.0 / (F.col("v") + F.col("tau2"))
     s2 = j.groupBy(*keys).agg((F.sum(wr * F.col("d")) / F.sum(wr)).alias("pooled"), F.sqrt(1.0 / F.sum(wr)).alias("se"))
-    out = s1.join(F.broadcast(s2), list(keys)) if keys else s1.join(F.broadcast(s2))
+    out = s1.join(s2, list(keys)) if keys else s1.join(F.broadcast(s2))
     return out.select(*keys, "k", "total_n", (F.col("swd") / F.col("sw")).alias("fixed"), "q", "i2", "tau2", "pooled", "se",
                       (F.col("pooled") - 1.96 * F.col("se")).alias("lo"), (F.col("pooled") + 1.96 * F.col("se")).alias("hi")), j.withColumn("weight", wr)
 

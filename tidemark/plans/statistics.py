@@ -154,8 +154,8 @@ def reml(units):
     """units(key, y, v) -> tau^2 by a grid over ln tau^2 in [-15, 5], zoomed twice."""
     best = reml_grid(units, F.lit(-15.0), F.lit(0.5))
     for h in (0.5, 0.025):
-        best = reml_grid(units.join(F.broadcast(best), "key"), F.col("lt") - h, F.lit(h / 20))
-    t2 = units.join(F.broadcast(best), "key").withColumn("tau2", F.exp("lt"))
+        best = reml_grid(units.join(best, "key"), F.col("lt") - h, F.lit(h / 20))
+    t2 = units.join(best, "key").withColumn("tau2", F.exp("lt"))
     w = 1.0 / (F.col("v") + F.col("tau2"))
     return t2.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.max("lt").alias("log_tau2"), (F.sum(w * F.col("y")) / F.sum(w)).alias("mu"), (1 / F.sqrt(F.sum(w))).alias("se_mu"),
@@ -366,7 +366,7 @@ def ss22(t):
     x = t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("v"))
     s = x.groupBy("g").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count(F.lit(1)).alias("n"))
     c = x.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    r = running(c, ["g"], ["v"], sums={"k": F.col("c")}).join(F.broadcast(s), "g").withColumn("f", norm_cdf((F.col("v") - F.col("m")) / F.col("sd")))
+    r = running(c, ["g"], ["v"], sums={"k": F.col("c")}).join(s, "g").withColumn("f", norm_cdf((F.col("v") - F.col("m")) / F.col("sd")))
     return r.groupBy("g").agg(F.max("n").alias("n"), R6(F.max(F.greatest(F.col("k") / F.col("n") - F.col("f"), F.col("f") - (F.col("k") - F.col("c")) / F.col("n")))).alias("ks"))
 
 
