@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
-from ..session import chunk_rows, cut_lineage
+from ..session import chunk_rows, cut_lineage, spread
 from .ordered import numbered
 
 SESSION_ROWS_DIVISOR = 100  # a chunk of a session is this much smaller than a chunk of rows
@@ -35,8 +35,9 @@ def packed(obs, keys=("ses",)):
     nan = F.lit(float("nan"))
     arr = lambda f, fill=False: F.transform("_e", lambda e: F.coalesce(e[f], nan) if fill else e[f])
     w = Window.partitionBy(*keys).orderBy("chunk")
-    return g.select(*keys, "chunk", arr("t").alias("t"), arr("kind").alias("kind"), arr("v0", True).alias("v0"), arr("v1", True).alias("v1")).withColumns(
+    out = g.select(*keys, "chunk", arr("t").alias("t"), arr("kind").alias("kind"), arr("v0", True).alias("v0"), arr("v1", True).alias("v1")).withColumns(
         {"t_prev": F.lag(F.element_at("t", -1)).over(w), "n_chunks": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    return spread(out, *keys, "chunk")
 
 
 def score(obs, grid, keys=("ses",), use_eeg=True, use_rating=True):
@@ -132,7 +133,7 @@ def replicates(obs, params, n_rep, seed, keys=("ses",)):
     from ..functions.draws import normal
 
     obs = cut_lineage(obs)
-    d = packed(obs, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_rep)))))
+    d = spread(packed(obs, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_rep))))), *keys, "chunk", "rep")
     idx = F.sequence(F.lit(0), F.size("t") - 1)
     key = [F.col(k) for k in keys]
     # Draws belong to a time, not to an event, so a rating at an epoch's end shares its state.

@@ -35,6 +35,15 @@ def chunk_rows(spark):
     return int(spark.conf.get(CHUNK_ROWS_KEY, str(DEFAULT_CHUNK_ROWS)))
 
 
+def spread(df, *keys):
+    """Shuffle into the session's full partition count before compute-heavy rows.
+
+    An explicit count is kept as it is by AQE, which would otherwise merge partitions
+    that are small in bytes but long in work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoint_dir(spark):
     """The shared folder the cluster names; None when the session names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or (
