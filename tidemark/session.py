@@ -1,5 +1,7 @@
 """Session settings and scale parameters shared by every job."""
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 CHUNK_ROWS_KEY = "spark.tidemark.chunkRows"
@@ -44,26 +46,41 @@ def spread(df, *keys):
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def checkpoint_dir(spark):
-    """The shared folder the cluster names; None when the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-        else None
-    )
+def shared_dir(spark):
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A local session (a test run) without one gets a folder of its own; a cluster
+    session without one is refused, since a local folder would differ per machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_dir.get() if set_dir.isDefined() else None
+    if named is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut_lineage(df):
-    """Write an iteration's state to the reliable checkpoint folder.
+    """Write an iteration's state to the reliable checkpoint folder."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
 
-    Only a session without any folder (a test run) gets one of its own.
+def stored(df):
+    """Write df as a table in the shared folder and read it back.
+
+    Besides cutting lineage this gives the planner the table's size, so that it
+    broadcasts a join side only after its size has been measured.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
