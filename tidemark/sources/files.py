@@ -1,11 +1,10 @@
 """Scans and sinks of the file formats a recording study comes in."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import shared_dir
 
 # Accepted stage labels.
 STAGE_ALIASES = {"W": "W", "WAKE": "W", "N1": "N1", "S1": "N1", "N2": "N2", "S2": "N2", "N3": "N3", "S3": "N3", "S4": "N3", "R": "R", "REM": "R"}
@@ -13,9 +12,8 @@ FORMAT_VERSION = 2
 
 
 def scratch(spark):
-    """A new folder: on the shared checkpoint path when one is named, else local (tests)."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path below the session's shared folder."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def read_tsv(spark, path, schema, coerce=None):
