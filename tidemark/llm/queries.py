@@ -5,7 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .common import held_out
+from .langid import identify, train
+from .linededup import LEAST_PAGES, MOST_LOST, RATIO, drop_boilerplate
+from .mixing import curriculum, mix
+from .packing import pack, tokenize
 from .sharding import assign_shards
+from .simhash import near_duplicates
 from .warc import read_archives, write_archives
 
 QUERIES = {}
@@ -55,3 +61,83 @@ def op10(spark, sf_dir):
     responses = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
     return read.join(responses, "payload_digest", "left").select(
         "page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+_MIX_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+ md5(coalesce(doc_id::VARCHAR, '') || ':' || length(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
+w AS (SELECT *, ([5, 2, 1])[(k % 3 + 1)::INT] AS weight, 3 * source_size AS cap FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT level AS top FROM l WHERE level * weight <= cap ORDER BY cap / weight, k LIMIT 1),
+t AS (SELECT source, k, source_size, coalesce(least(top * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM l LEFT JOIN f ON true),
+a AS (SELECT d.*, t.k, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, list_transform([0, 1, 2], p -> greatest(0, least(size, floor(target)::BIGINT - first_word - source_size * p))) AS parts FROM a),
+c AS (SELECT *, first_word / target AS want, CASE k % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w0 FROM b),
+e AS (SELECT *, (w0 + 1.0) / 2.0 AS a1, (1.0 + (2.0 - w0)) / 2.0 AS a2 FROM c),
+g AS (SELECT *, want * (a1 + a2) AS x, a1 <= want * (a1 + a2) AS late FROM e),
+i AS (SELECT *, CASE WHEN late THEN x - a1 ELSE x - 0.0 END AS y, CASE WHEN late THEN 1.0::DOUBLE ELSE w0 END AS v,
+  CASE WHEN late THEN (2.0 - w0) - 1.0 ELSE 1.0 - w0 END AS slope FROM g)
+SELECT doc_id, size::BIGINT AS size, source_size, target, list_sum(parts)::BIGINT AS taken,
+ CASE WHEN parts[1] > 0 THEN least(1.0::DOUBLE, (CASE WHEN late THEN 1.0 ELSE 0.0 END + CASE WHEN abs(slope) < 1e-12 THEN y / v ELSE (sqrt(v * v + 2.0 * slope * y) - v) / slope END) / 2) END AS position
+FROM i
+"""
+
+
+@query("op3_curriculum_mix", _MIX_SQL)
+def op3(spark, sf_dir):
+    """Words that the mix takes of every document, in order of training position."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return curriculum(mixed).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
+
+
+@query("op4_simhash_groups")
+def op4(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op7_site_line_dedup", f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+k AS (SELECT *, list_transform(lines, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11))) AS bare FROM d),
+p AS (SELECT DISTINCT source, coalesce(text, '') AS text, list_distinct(list_filter(coalesce(bare, []), x -> x <> '')) AS keys FROM k),
+n AS (SELECT source, count(*) AS host_pages FROM p GROUP BY 1),
+u AS (SELECT source, unnest(keys) AS line FROM p),
+b AS (SELECT u.source, line, count(*) AS pages FROM u GROUP BY 1, 2 HAVING count(*) >= {LEAST_PAGES}),
+h AS (SELECT b.source, list(line) AS drops FROM b JOIN n ON b.source IS NOT DISTINCT FROM n.source WHERE pages > host_pages * {RATIO} GROUP BY 1),
+j AS (SELECT k.*, list_transform(bare, x -> x <> '' AND coalesce(list_contains(drops, x), false)) AS hit FROM k LEFT JOIN h ON k.source IS NOT DISTINCT FROM h.source),
+m AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(lines) + 1), i -> CASE WHEN hit[i] THEN length(bare[i]) ELSE 0 END)), 0) AS lost,
+  coalesce(list_sum(list_transform(bare, x -> length(x))), 0) AS whole FROM j),
+r AS (SELECT *, CASE WHEN lost <= whole * {MOST_LOST} THEN coalesce(len(list_filter(hit, x -> x)), 0) ELSE 0 END AS lines_dropped FROM m)
+SELECT doc_id, coalesce(len(lines), 0)::INT AS lines, lines_dropped::INT AS lines_dropped,
+ CASE WHEN lines_dropped > 0 THEN array_to_string(list_filter(lines, (x, i) -> NOT hit[i]), chr(10)) ELSE text END AS text FROM r
+""")
+def op7(spark, sf_dir):
+    """Documents without the lines that are boilerplate of their source."""
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "lines", "lines_dropped", "text")
+
+
+def tokenizer_definition():
+    """The default tokenizer, read once by the driver and sent to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op8_pattern_packing")
+def op8(spark, sf_dir):
+    """The place of every token piece of every document in sequences of 4096."""
+    return pack(tokenize(table(spark, sf_dir, "documents"), tokenizer_definition())).withColumnRenamed("doc", "doc_id")
+
+
+@query("op9_language")
+def op9(spark, sf_dir):
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs)
+    return identify(docs.select("doc_id", "text"), model, score_out="score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
