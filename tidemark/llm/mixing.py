@@ -21,9 +21,9 @@ HEX = 3                           # leading hash digits that cut a source's axis
 
 
 def targets(sizes, weights=WEIGHTS, most=MOST_PASSES):
-    """(source, k, source_size, weight, target): every source's share of all words.
+    """sizes with the columns k, weight and target: every source's share of all words.
 
-    sizes has one row per source. A target stops at `most` times its source's size and the excess
+    sizes has one row per source and its source_size. A target stops at `most` times its source's size and the excess
     goes to the others by weight: sources are capped in increasing order of cap to weight
     as long as the level that the rest would get lies above their cap.
     """
@@ -37,8 +37,7 @@ def targets(sizes, weights=WEIGHTS, most=MOST_PASSES):
     levels = ranked.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
     first = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("k"), F.col("level")))).over(Window.partitionBy())
     share = first["level"] * F.col("weight")
-    return levels.withColumn("target", F.coalesce(F.least(share, F.col("cap").cast("double")), F.col("cap").cast("double"))).select(
-        "source", "k", "source_size", "weight", "target")
+    return levels.withColumn("target", F.coalesce(F.least(share, F.col("cap").cast("double")), F.col("cap").cast("double"))).drop("cap", "level", "open")
 
 
 def position(share, shape):
@@ -73,20 +72,19 @@ def mix(docs, weights=WEIGHTS, shapes=SHAPES, most=MOST_PASSES, id_col="doc_id",
         docs[id_col].alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), docs[source_col].cast("string").alias("source"),
         F.md5(F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("")), F.length(text).cast("string")).cast("binary")).alias("h"),
         *(docs[c].alias(f"kept_{c}") for c in keep))
-    rows = rows.withColumn("stretch", F.substring("h", 1, HEX))
+    # A key without nulls, so that window and join below share one partitioning.
+    rows = rows.withColumn("stretch", F.substring("h", 1, HEX)).withColumn("axis", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     if not keep:
         rows = stored(rows)
-    parts = stored(rows.groupBy("source", "stretch").agg(F.sum("size").alias("n")))
-    sizes = parts.groupBy("source").agg(F.sum("n").alias("source_size"))
+    parts = stored(rows.groupBy("axis", "source", "stretch").agg(F.sum("size").alias("n")))
+    sizes = parts.groupBy("axis", "source").agg(F.sum("n").alias("source_size"))
     aims = targets(sizes, weights, most)
-    ahead = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("source", "stretch", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    aims = aims.alias("t")
-    starts = stored(starts.alias("s").join(aims, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "k", "source_size", "target"))
-    inside = Window.partitionBy("source", "stretch").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    joined = rows.join(starts.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.stretch") == F.col("s.stretch"))).select(
-        "r.*", "k", "source_size", "target", (F.col("start") + F.col("inner")).alias("at"))
+    ahead = Window.partitionBy("axis").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("axis", "stretch", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    starts = stored(starts.join(aims.select("axis", "k", "source_size", "target"), "axis"))
+    inside = Window.partitionBy("axis", "stretch").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    joined = rows.join(starts, ["axis", "stretch"]).withColumn("at", F.col("start") + F.col("inner"))
     goal = F.floor("target")
     left = [F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("at") - F.col("source_size") * p)) for p in range(most)]
     taken, passes = left[0], F.when(left[0] > 0, 1).otherwise(0)

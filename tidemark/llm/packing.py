@@ -19,7 +19,7 @@ from ..session import stored
 
 CAPACITY = 4096
 END_ID = 1
-STEPS = 128                # pattern lengths are multiples of CAPACITY / STEPS
+STEPS = 512                # pattern lengths are multiples of CAPACITY / STEPS
 PATTERN_DOCS = 3
 ROWS_PER_TASK = 20_000     # pieces of one length that one ranking task aims at
 CACHE = 600_000            # distinct chunks a worker keeps the ids of
@@ -110,13 +110,28 @@ def tokenize(docs, definition, id_col="doc_id", text_col="text", capacity=CAPACI
                             "doc long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
-def nnls(a, b, rounds=400):
-    """x >= 0 that brings a @ x near b in least squares, by accelerated projected gradients."""
-    step = 1.0 / max(1e-12, np.linalg.norm(a, 2) ** 2)
-    x = y = np.zeros(a.shape[1])
+def nnls(slots, b, rounds=400):
+    """x >= 0 that brings the patterns' sums near b in least squares, by accelerated projected gradients.
+
+    Row j of slots lists where pattern j adds 1; index 0 stands for nowhere.
+    """
+    def sums(x):
+        out = np.bincount(slots.ravel(), np.repeat(x, slots.shape[1]), minlength=len(b))
+        out[0] = 0.0
+        return out
+
+    v = np.ones(len(slots))
+    for _ in range(30):
+        v = sums(v)[slots].sum(axis=1)
+        norm = np.linalg.norm(v)
+        v /= max(norm, 1e-300)
+    step = 0.95 / max(norm, 1e-12)
+    x = y = np.zeros(len(slots))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0.0, y - step * (a.T @ (a @ y - b)))
+        r = sums(y) - b
+        r[0] = 0.0
+        new = np.maximum(0.0, y - step * r[slots].sum(axis=1))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
@@ -156,11 +171,8 @@ def plan(histogram, capacity=CAPACITY, steps=STEPS):
 
     kinds = [p for p in patterns(capacity // width) if len(p) > 1]
     binned = np.array([0, *(left[(s - 1) * width + 1:min(capacity, s * width) + 1].sum() for s in range(1, capacity // width + 1))], dtype=float)
-    a = np.zeros((len(binned), len(kinds)))
-    for j, p in enumerate(kinds):
-        for s in p:
-            a[s, j] += 1
-    fit = np.floor(nnls(a, binned) + 1e-9).astype(np.int64) if kinds else []
+    slots = np.array([(*p, *[0] * (PATTERN_DOCS - len(p))) for p in kinds], dtype=np.int64).reshape(-1, PATTERN_DOCS)
+    fit = np.floor(nnls(slots, binned) + 1e-9).astype(np.int64) if kinds else []
     for j in np.argsort(-np.asarray(fit), kind="stable"):
         p = kinds[j]
         have = [int(left[(s - 1) * width + 1:s * width + 1].sum()) // p.count(s) for s in p]

@@ -75,7 +75,7 @@ f AS (SELECT level AS top FROM l WHERE level * weight <= cap ORDER BY cap / weig
 t AS (SELECT source, k, source_size, coalesce(least(top * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM l LEFT JOIN f ON true),
 a AS (SELECT d.*, t.k, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-b AS (SELECT *, list_transform([0, 1, 2], p -> greatest(0, least(size, floor(target)::BIGINT - first_word - source_size * p))) AS parts FROM a),
+b AS (SELECT *, list_transform([0, 1, 2], lambda p: greatest(0, least(size, floor(target)::BIGINT - first_word - source_size * p))) AS parts FROM a),
 c AS (SELECT *, first_word / target AS want, CASE k % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w0 FROM b),
 e AS (SELECT *, (w0 + 1.0) / 2.0 AS a1, (1.0 + (2.0 - w0)) / 2.0 AS a2 FROM c),
 g AS (SELECT *, want * (a1 + a2) AS x, a1 <= want * (a1 + a2) AS late FROM e),
@@ -103,18 +103,18 @@ def op4(spark, sf_dir):
 
 @query("op7_site_line_dedup", f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-k AS (SELECT *, list_transform(lines, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11))) AS bare FROM d),
-p AS (SELECT DISTINCT source, coalesce(text, '') AS text, list_distinct(list_filter(coalesce(bare, []), x -> x <> '')) AS keys FROM k),
+k AS (SELECT *, list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10) || chr(12) || chr(11))) AS bare FROM d),
+p AS (SELECT DISTINCT source, coalesce(text, '') AS text, list_distinct(list_filter(coalesce(bare, []), lambda x: x <> '')) AS keys FROM k),
 n AS (SELECT source, count(*) AS host_pages FROM p GROUP BY 1),
 u AS (SELECT source, unnest(keys) AS line FROM p),
 b AS (SELECT u.source, line, count(*) AS pages FROM u GROUP BY 1, 2 HAVING count(*) >= {LEAST_PAGES}),
 h AS (SELECT b.source, list(line) AS drops FROM b JOIN n ON b.source IS NOT DISTINCT FROM n.source WHERE pages > host_pages * {RATIO} GROUP BY 1),
-j AS (SELECT k.*, list_transform(bare, x -> x <> '' AND coalesce(list_contains(drops, x), false)) AS hit FROM k LEFT JOIN h ON k.source IS NOT DISTINCT FROM h.source),
-m AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(lines) + 1), i -> CASE WHEN hit[i] THEN length(bare[i]) ELSE 0 END)), 0) AS lost,
-  coalesce(list_sum(list_transform(bare, x -> length(x))), 0) AS whole FROM j),
-r AS (SELECT *, CASE WHEN lost <= whole * {MOST_LOST} THEN coalesce(len(list_filter(hit, x -> x)), 0) ELSE 0 END AS lines_dropped FROM m)
+j AS (SELECT k.*, list_transform(bare, lambda x: x <> '' AND coalesce(list_contains(drops, x), false)) AS hit FROM k LEFT JOIN h ON k.source IS NOT DISTINCT FROM h.source),
+m AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN hit[i] THEN length(bare[i]) ELSE 0 END)), 0) AS lost,
+  coalesce(list_sum(list_transform(bare, lambda x: length(x))), 0) AS whole FROM j),
+r AS (SELECT *, CASE WHEN lost <= whole * {MOST_LOST} THEN coalesce(len(list_filter(hit, lambda x: x)), 0) ELSE 0 END AS lines_dropped FROM m)
 SELECT doc_id, coalesce(len(lines), 0)::INT AS lines, lines_dropped::INT AS lines_dropped,
- CASE WHEN lines_dropped > 0 THEN array_to_string(list_filter(lines, (x, i) -> NOT hit[i]), chr(10)) ELSE text END AS text FROM r
+ CASE WHEN lines_dropped > 0 THEN array_to_string(list_filter(lines, lambda x, i: NOT hit[i]), chr(10)) ELSE text END AS text FROM r
 """)
 def op7(spark, sf_dir):
     """Documents without the lines that are boilerplate of their source."""

@@ -203,17 +203,37 @@ def components(edges, rounds=60):
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs, id_col="doc_id", text_col="text", radius=RADIUS):
-    """(id, fp, component) for every row of docs: its fingerprint and the smallest id it is linked with.
+def near_duplicates(docs, id_col="doc_id", text_col="text", radius=RADIUS, carry=()):
+    """(id, fp, component, *carry) for every row of docs: its fingerprint and the smallest id it is linked with.
 
     Null and empty texts, and texts without a word, have fingerprint 0 and are linked like any other.
     Equal texts are linked; repeated rows are kept. Null ids take part in links but name no component
-    unless nothing else does. An empty table gives an empty result.
+    unless nothing else does. An empty table gives an empty result. carry holds further columns, with names of their own.
     """
-    rows = stored(docs.select(docs[id_col].alias("id"), fingerprint_of(docs[text_col].cast("string")).alias("fp")))
+    rows = stored(docs.select(docs[id_col].alias("id"), fingerprint_of(docs[text_col].cast("string")).alias("fp"), *carry))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = stored(rooted.join(named, "root").select("fp", "component"))
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    classes = stored(rooted.join(named, "root").select("fp", "root", "component"))
+    return rows.join(classes, "fp")
+
+
+def keep_one(docs, id_col="doc_id", text_col="text", radius=RADIUS):
+    """docs with one row of every near-duplicate group: that with the smallest id, nulls last.
+
+    A row is known by its id and a hash of all its columns. Only the rows to drop are looked up, so
+    the texts stay where they are as long as those rows are few enough to broadcast by their measured size.
+    """
+    tag = F.xxhash64(*(docs[c] for c in docs.columns))
+    rows = stored(near_duplicates(docs, id_col, text_col, radius, [tag.alias("tag")]).select("id", "tag", "root"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    chosen = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    marked = rows.join(chosen, "root").withColumn("kept", F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.tag") == F.col("tag")))
+    sets = marked.groupBy("id", "tag").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    out = stored(sets.where(~F.col("kept") | (F.col("n") > 1)))
+    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag"))
+    tagged = docs.withColumn("__id", docs[id_col]).withColumn("__tag", tag)
+    once = tagged.join(out, same, "left_anti")
+    repeated = tagged.join(out.where("kept"), same, "left_semi").dropDuplicates(["__id", "__tag"])
+    return once.unionByName(repeated).select(*docs.columns)
