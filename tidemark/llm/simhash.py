@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from ..session import cut_lineage, stored
 from .common import shuffle_count
@@ -51,7 +52,7 @@ def simhash(text, width=SHINGLE, seed=SEED):
     return int(bits.view("<i8")[0])
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def fingerprint_of(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t or "") for t in texts], dtype="int64")
 
