@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from .common import held_out
+from .fingerprints import edits
 from .langid import identify, train
 from .linededup import LEAST_PAGES, MOST_LOST, RATIO, drop_boilerplate
 from .mixing import curriculum, mix
@@ -141,3 +142,9 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs)
     return identify(docs.select("doc_id", "text"), model, score_out="score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_multiset_fingerprints")
+def op1(spark, sf_dir):
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    return edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
