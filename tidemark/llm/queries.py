@@ -10,6 +10,7 @@ from .fingerprints import edits
 from .langid import identify, train
 from .linededup import LEAST_PAGES, MOST_LOST, RATIO, drop_boilerplate
 from .mixing import curriculum, mix
+from .neighbours import nearest
 from .packing import pack, tokenize
 from .sharding import assign_shards
 from .simhash import near_duplicates
@@ -148,3 +149,9 @@ def op9(spark, sf_dir):
 def op1(spark, sf_dir):
     """Fingerprint of every document and of its edited text, and their likeness."""
     return edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_projected_neighbours")
+def op6(spark, sf_dir):
+    """The 20 nearest found of every twentieth vector, among all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
