@@ -14,6 +14,7 @@ from .neighbours import nearest
 from .packing import pack, tokenize
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .toxicity import score, train as train_toxicity
 from .warc import read_archives, write_archives
 
 QUERIES = {}
@@ -155,3 +156,12 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     """The 20 nearest found of every twentieth vector, among all vectors."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query("op2_weak_toxicity")
+def op2(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
