@@ -1,5 +1,8 @@
 """Small column builders the corpus operators share."""
 
+import sys
+import types
+
 from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space.
@@ -21,3 +24,15 @@ def held_out(doc_id, folds=5):
 
 def shuffle_count(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def worker_state(key, make):
+    """What make() returned the first time this Python worker asked for `key`; workers outlive tasks.
+
+    Only the latest value of each kind (the first part of the key) is held.
+    """
+    held = sys.modules.setdefault("tidemark_worker_state", types.ModuleType("tidemark_worker_state")).__dict__
+    kind = f"state_{key[0]}"
+    if kind not in held or held[kind][0] != key:
+        held[kind] = (key, make())
+    return held[kind][1]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import held_out
+from .common import held_out, worker_state
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -24,15 +24,11 @@ UNKNOWN = "und"
 PIECE = 1 << 20              # code points hashed at once
 
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
-_letters = None
 
 
 def letters():
     """A table that says of each code point whether it is a letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-    return _letters
+    return worker_state(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
 
 
 def pieces(text):

@@ -7,7 +7,9 @@ best fit into what the patterns leave and into new sequences. The outcome is a l
 giving a place to so many documents of one length; every piece finds its place by its rank.
 """
 
+import os
 import zlib
+from array import array
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -16,84 +18,88 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .common import worker_state
 
 CAPACITY = 4096
 END_ID = 1
 STEPS = 512                # pattern lengths are multiples of CAPACITY / STEPS
 PATTERN_DOCS = 3
 ROWS_PER_TASK = 20_000     # pieces of one length that one ranking task aims at
-CACHE = 600_000            # distinct chunks a worker keeps the ids of
+CACHE = 500_000            # distinct chunks a worker keeps the ids of
 MARKS = ".,"
 
 
 class ChunkTokenizer:
     """Token ids of whole texts, from ids of the chunks between white space.
 
-    The tokenizer's pre-tokenizer never joins across white space, so a text's ids are those of its chunks in order. Texts with control
-    characters that Python alone takes for white space go to the tokenizer whole.
+    The tokenizer's pre-tokenizer never joins across white space, so a text's ids are those of its chunks in
+    order. A chunk of letters goes straight to the tokenizer's model, any other through
+    the whole tokenizer; a single mark after letters is a token of its own. Texts with control characters that Python
+    alone takes for white space go to the tokenizer whole.
     """
 
     def __init__(self, definition):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks in parallel already
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {}        # what a letter becomes for the model
         self.cache = {}
 
-    def encode(self, chunks):
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def learn(self, chunks):
-        """Ids of chunks that the cache lacks; a mark at the end of a word is a token of its own."""
-        stems = {c: (c[:-1] if len(c) > 1 and c[-1] in MARKS and c[-2].isalpha() else c) for c in chunks}
-        plain = {s: s.lower() if s.isascii() else s for s in stems.values()}
-        todo = list({p for p in plain.values() if p not in self.cache} | {m for m in MARKS if m not in self.cache})
-        known = dict(zip(todo, self.encode(todo)))
-        find = lambda k: known[k] if k in known else self.cache[k]
-        found = {c: find(plain[s]) + (find(c[-1]) if s is not c else b"") for c, s in stems.items()}
-        for k, v in (known | found).items():
-            if len(self.cache) >= CACHE:
-                break
-            self.cache[k] = v
-        return found
-
-    def ids(self, texts):
-        """Little-endian 32-bit ids of each text, as bytes."""
-        whole = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        chunks = [t.split() for t in texts]
-        for i in whole:
-            chunks[i] = []
-        new = {c for x in chunks for c in x if c not in self.cache}
-        table = _Fallback(self.cache, self.learn(new)) if new else self.cache
-        out = [b"".join(map(table.__getitem__, x)) for x in chunks]
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole]) if whole else ()):
-            out[i] = ids
-        return out
-
-
-class _Fallback:
-    def __init__(self, first, second):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key):
-        got = self.first.get(key)
-        return self.second[key] if got is None else got
+    def encode(self, text):
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_word(self, word):
+        """Ids of a run of plain letters (code points below 0x250, which normalization leaves alone)."""
+        letters = self.letters
+        for c in word:
+            if c not in letters:
+                letters[c] = self.bytes.pre_tokenize_str(c)[0][0]
+        return array("I", [t.id for t in self.model.tokenize("".join([letters[c] for c in word]))]).tobytes()
+
+    def learn(self, chunk):
+        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha():
+            return self.find(chunk[:-1]) + self.find(chunk[-1])
+        if chunk.isalpha() and max(chunk) < "\u0250" and "\u0130" not in chunk:
+            low = chunk.lower()
+            return self.encode_word(low) if low == chunk else self.find(low)
+        return self.encode(chunk)
+
+    def find(self, chunk):
+        got = self.cache.get(chunk)
+        if got is None:
+            got = self.learn(chunk)
+            if len(self.cache) < CACHE:
+                self.cache[chunk] = got
+        return got
+
+    def ids(self, text):
+        """Little-endian 32-bit ids of a text, as bytes."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.encode(text)
+        chunks = text.split()
+        out = list(map(self.cache.get, chunks))
+        if None in out:
+            out = [self.find(c) if v is None else v for c, v in zip(chunks, out)]
+        return b"".join(out)
 
 
 def _tokenize(definition, capacity, end_id, with_ids):
     def run(frames):
-        tok = ChunkTokenizer(definition.value)
+        text = definition.value
+        tok = worker_state(("tokenizer", zlib.crc32(text.encode()), len(text)), lambda: ChunkTokenizer(text))
         end = np.array([end_id], dtype="<u4").tobytes()
         for df in frames:
             out = []
-            for at in range(0, len(df), 512):
-                part = df.iloc[at:at + 512]
-                for doc, ids in zip(part["doc"], tok.ids([t or "" for t in part["text"]])):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[s:s + 4 * capacity]
-                        row = (doc, k, s // 4, len(piece) // 4, zlib.crc32(piece))
-                        out.append((*row, np.frombuffer(piece, "<u4").astype("int32")) if with_ids else row)
+            for doc, text in zip(df["doc"], df["text"]):
+                ids = tok.ids(text or "") + end
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[s:s + 4 * capacity]
+                    row = (doc, k, s // 4, len(piece) // 4, zlib.crc32(piece))
+                    out.append((*row, np.frombuffer(piece, "<u4").astype("int32")) if with_ids else row)
             yield pd.DataFrame(out, columns=["doc", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc": "Int64"})
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..session import stored
-from .common import held_out
+from .common import held_out, worker_state
 
 # Insults that a lexicon voter looks for, by language.
 LEXICON = {
@@ -203,7 +203,7 @@ def score(docs, model, text_col="text", score_out="score"):
     @pandas_udf(DoubleType())
     def toxicity(texts: pd.Series) -> pd.Series:
         terms, w = shared.value
-        reader = Reader(terms)
+        reader = worker_state(("reader", tuple(terms)), lambda: Reader(terms))
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
             ids, langs, hits, chunks, shout = reader.read(t or "")
