@@ -17,21 +17,21 @@ from .common import WORD, text_of
 
 CELLS = 4096            # hash cells that hold the light groups
 HEAVY = 4096            # a group above 1/HEAVY of any load is heavy: at most 3 * HEAVY of them
-NUMBER_ROWS = 50_000    # rows that one numbering task aims at
+NUMBER_ROWS = 1_000     # rows that one numbering task aims at
 
 
 def place(items, n_shards):
-    """Shard of each item: items is an array (n, dims) of loads, in shares of the total.
+    """Shard of each item: items is an array (n, dims) of loads, in shares of the total; the first is the law.
 
     Items go in decreasing order of their largest load. An item goes to the shard with the
-    highest dot product of load and residual capacity among those where the overflow it
-    causes is least, so that a full dimension is never traded for an empty one.
+    highest dot product of load and residual capacity among those where it overflows the
+    first dimension least, so that this one stays near equal even if the others cannot.
     """
     items = np.asarray(items, dtype="float64")
     residual = np.full((n_shards, items.shape[1]), 1.0 / n_shards)
     shards = np.zeros(len(items), dtype="int32")
     for i in np.lexsort((np.arange(len(items)), -items.max(axis=1))):
-        over = np.maximum(0.0, items[i] - residual).sum(axis=1)
+        over = np.maximum(0.0, items[i, 0] - residual[:, 0])
         fits = over <= over.min() + 1e-12
         score = np.where(fits, residual @ items[i], -np.inf)
         s = int(score.argmax())
