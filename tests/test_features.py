@@ -68,8 +68,8 @@ def test_graph_measures_on_known_graphs(spark):
     k5 = [("k5", i, j, 1.0) for i in range(5) for j in range(i + 1, 5)]
     e = spark.createDataFrame(k5 + [("two", 0, 1, 1.0), ("two", 2, 3, 1.0)] + [("path", i, i + 1, 1.0) for i in range(4)], "u string, i int, j int, w double")
     m = nw.matrices(e, "u", 5)
-    f = {r["u"]: r["f"] for r in m.select("u", nw.fiedler(F.col("m")).alias("f")).collect()}
-    assert f["k5"] == pytest.approx(5.0) and f["two"] == pytest.approx(0.0, abs=1e-12)
+    f = {r["u"]: r["fiedler"] for r in nw.fiedler(m, "u").collect()}
+    assert f["k5"] == pytest.approx(5.0) and f["two"] == pytest.approx(0.0, abs=1e-9)
     assert f["path"] == pytest.approx(2 - 2 * np.cos(np.pi / 5))
     p = {r["u"]: r for r in nw.path_measures(m, "u").collect()}
     assert p["k5"]["path_length"] == 1.0 and p["path"]["path_length"] == pytest.approx(2.0) and p["two"]["path_length"] is None
@@ -131,5 +131,13 @@ def test_cluster_permutation_finds_the_planted_group(spark):
     rng = np.random.default_rng(9)
     rows = [(0, s, c, float(rng.normal() + (1.5 if c in (2, 3, 4) else 0.0))) for s in range(20) for c in range(8)]
     d = spark.createDataFrame(rows, "test int, subject long, ch int, diff double")
-    r = clusters.cluster_permutation(d, [(c, (c + 1) % 8) for c in range(8)], 8, 100, "t").orderBy(F.desc("mass")).first()
+    r = clusters.cluster_permutation(d, [(c, (c + 1) % 8) for c in range(8)], 100, "t").orderBy(F.desc("mass")).first()
     assert r["root"] == 2 and r["n_channels"] >= 3 and r["p"] == pytest.approx(1 / 101)
+
+
+def test_clusters_need_no_channel_zero(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, s, c, 2.0 + 0.1 * float(rng.standard_normal())) for s in range(20) for c in (1, 2, 3)]
+    d = spark.createDataFrame(rows, "test int, subject int, ch int, diff double")
+    r = clusters.cluster_permutation(d, [(1, 2), (2, 3)], 50, "t").first()
+    assert r["n_channels"] == 3 and r["p"] < 0.05

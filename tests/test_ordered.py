@@ -92,3 +92,10 @@ def test_average_ranks_share_ties(spark, both_ways):
     d = spark.createDataFrame([(0, float(v)) for v in [3, 1, 3, 2, 3, 1, 7, 8]], "k int, v double")
     got = sorted((r["v"], r["r"]) for r in average_ranks(d, ["k"], "v", "r").collect())
     assert got == [(1.0, 1.5), (1.0, 1.5), (2.0, 3.0), (3.0, 5.0), (3.0, 5.0), (3.0, 5.0), (7.0, 7.0), (8.0, 8.0)]
+
+
+def test_equal_left_rows_of_a_tolerance_join_all_come_back(spark):
+    left = spark.createDataFrame([(1, 0.5), (1, 0.5), (1, 9.0)], "n long, x double")
+    right = spark.createDataFrame([(1, 0.52, "near")], "n long, x double, tag string")
+    assert [r["tag"] for r in tolerance_join(left, right, ["n"], {"x": 0.1}, ["x_r"]).collect()] == ["near", "near"]
+    assert tolerance_join(left, right, ["n"], {"x": 0.1}, ["x_r"], first_only=False).count() == 2

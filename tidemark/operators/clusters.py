@@ -1,5 +1,6 @@
 """Connected components and the sign-flip cluster test."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
@@ -27,7 +28,7 @@ def components(nodes, edges, keys):
             return lab
 
 
-def cluster_permutation(diffs, adjacency, n_channels, n_perm, seed):
+def cluster_permutation(diffs, adjacency, n_perm, seed):
     """diffs(test, subject, ch, diff) -> observed clusters with their p-values.
 
     Replicate 0 is the observed data.  Sums of signed values are combined before the
@@ -38,9 +39,13 @@ def cluster_permutation(diffs, adjacency, n_channels, n_perm, seed):
     sign = F.when((F.col("rep") > 0) & (uniform(F.lit(seed), F.col("rep"), F.col("subject")) < 0.5), -1.0).otherwise(1.0)
     s = reps.withColumn("x", F.col("diff") * sign).groupBy("test", "rep", "ch").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
     s = s.withColumn("t", F.try_divide(F.col("m"), F.col("sd") / F.sqrt("n")))
-    thr = F.udf(lambda n: float(t_quantile(0.975, n - 1)), "double")
-    cut = diffs.where("ch = 0").groupBy("test").agg(F.count(F.lit(1)).alias("n")).withColumn("thr", thr("n")).select("test", "thr")
-    live = cut_lineage(s.join(F.broadcast(cut), "test").where(F.abs("t") > F.col("thr")).select("test", "rep", F.signum("t").cast("int").alias("sgn"), F.col("ch").alias("node"), "t"))
+
+    @F.pandas_udf("double")
+    def threshold(n: pd.Series) -> pd.Series:
+        return n.map(lambda k: float(t_quantile(0.975, k - 1)))
+
+    cut = diffs.groupBy("test").agg(F.count_distinct("subject").alias("n")).where("n > 1").withColumn("thr", threshold("n")).select("test", "thr")
+    live = cut_lineage(s.join(cut, "test").where(F.abs("t") > F.col("thr")).select("test", "rep", F.signum("t").cast("int").alias("sgn"), F.col("ch").alias("node"), "t"))
     nb = {}
     for i, j in adjacency:
         nb.setdefault(i, set()).add(j)

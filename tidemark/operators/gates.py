@@ -9,7 +9,7 @@ def gate(metrics, thresholds, keys, now):
         F.when(F.col("op") == ">=", F.col("value") >= F.col("bound")).when(F.col("op") == "<=", F.col("value") <= F.col("bound"))
         .when(F.col("op") == "<", F.col("value") < F.col("bound")).otherwise(F.col("value") > F.col("bound"))
     )
-    d = metrics.join(F.broadcast(thresholds), "metric").withColumn("ok", F.coalesce(ok, F.lit(False)))
+    d = metrics.join(thresholds, "metric").withColumn("ok", F.coalesce(ok, F.lit(False)))
     # One entry per threshold, a fixed short list.
     detail = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.round("value", 6).alias("value"))))))
     return d.groupBy(*keys).agg(F.bool_and("ok").alias("passed"), F.count_if(~F.col("ok")).alias("n_failed"), detail.alias("details")).withColumn("time_utc", F.lit(now))

@@ -38,6 +38,7 @@ def nearest(queries, items, n=1, keys=()):
     def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({c: [] for c in ["qid", *keys, "iid", "cosine"]})
+        i = i.sort_values("iid")        # the order of arrival decides no tie
         out = []
         for k, part in ([((), i)] if not keys else [(x if isinstance(x, tuple) else (x,), g) for x, g in i.groupby(keys)]):
             c = _unit(q["qv"]) @ _unit(part["iv"]).T
@@ -110,9 +111,9 @@ def calibration_error(rows, conf, correct, bins=10):
 
 
 def calibrate(warm, rows, conf, correct):
-    """Isotonic map fitted on warm-up rows, which are first pooled per rounded confidence."""
+    """Isotonic map fitted on warm-up rows, which are first pooled per confidence."""
     from pyspark.ml.regression import IsotonicRegression
 
-    g = warm.groupBy(F.round(conf, 3).alias("features")).agg(F.avg(F.col(correct).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    g = warm.groupBy(F.col(conf).alias("features")).agg(F.avg(F.col(correct).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(g)
     return model.transform(rows.withColumn("features", F.col(conf))).drop("features").withColumnRenamed("prediction", "calibrated")

@@ -59,7 +59,7 @@ def hot_keys(df, keys, t, rows=None):
 
 def with_chunks(df, keys, t, hot):
     """Add `_chunk` (0 for normal keys) and `_hot` from the time density of hot keys."""
-    d = df.join(F.broadcast(hot), list(keys), "left")
+    d = df.join(hot, list(keys), "left")
     at = F.floor((F.col(t).cast("double") - F.col("_lo")) / F.col("_w"))
     return (
         d.withColumn("_hot", F.col("_w").isNotNull())
@@ -109,7 +109,7 @@ def running(df, keys, order, sums=None, lags=None, lasts=None, rows=None, root=N
         *[F.last(f"_cg_{k}", True).over(before).alias(f"_cg_{k}") for k in lags],
         *[F.last(f"_cf_{k}", True).over(before).alias(f"_cf_{k}") for k in lasts],
     )
-    d = d.join(F.broadcast(carry), ks + ["_chunk"], "left")
+    d = d.join(carry, ks + ["_chunk"], "left")
     w = Window.partitionBy(*ks, "_chunk").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     return d.select(

@@ -110,7 +110,7 @@ def nearest_electrodes(sources, targets, key):
     t = unit(targets).select(key, F.col("ch").alias("target"), "x", "y", "z")
     cos = F.col("x") * F.col("sx") + F.col("y") * F.col("sy") + F.col("z") * F.col("sz")
     return t.join(s, key).groupBy(key, "target").agg(
-        F.max_by("source", F.struct(cos, -F.col("source"))).alias("source"), F.max(cos).alias("cosine"))
+        F.min_by("source", F.struct(-cos, "source")).alias("source"), F.max(cos).alias("cosine"))
 
 
 def repeat_phase(rows, key, i, cols, repeat):

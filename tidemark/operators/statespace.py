@@ -104,7 +104,7 @@ def best_by_all(scores):
 def leave_one_out(scores):
     """Per session the best set of all other sessions: total minus own, no refit."""
     total = scores.groupBy("pid").agg(F.sum("ll").alias("_t"))
-    d = scores.join(F.broadcast(total), "pid").withColumn("train", F.col("_t") - F.col("ll"))
+    d = scores.join(total, "pid").withColumn("train", F.col("_t") - F.col("ll"))
     return d.groupBy("ses").agg(F.max_by(F.struct("pid", "ll", "train"), F.struct("train", -F.col("pid"))).alias("b")).select("ses", "b.pid", F.col("b.ll").alias("test_ll"), F.col("b.train").alias("train_ll"))
 
 

@@ -375,12 +375,20 @@ KEEP = """,
 kd AS (SELECT s.ses, avg(CASE WHEN observed THEN 0.0 ELSE 1.0 END) AS mf, (SELECT count(*) FROM pb p WHERE p.ses=s.ses AND p.c1 IN (1,2,3) AND p.c2 BETWEEN 1 AND 7) AS nr FROM ses1 s LEFT JOIN mg USING (ses) GROUP BY 1)"""
 
 
-@query("pf8_keep_sessions", f"WITH {PA}{GRID}, {PB[len(EV) + 2:]}{KEEP} SELECT ses, round(mf,6) AS missing_frac, nr AS n_rated, mf<=0.40 AND nr>=8 AS kept FROM kd")
-def pf8(t):
+KEPT = f"{PA}{GRID}, {PB[len(EV) + 2:]}{KEEP}"
+
+
+def keep_sessions(t):
+    """(ses, missing_frac, n_epochs, n_rated, kept): at most 40 % of the epochs missing and eight rated probes."""
     p = dec.decode_b(dec.probes_b(log_b(t), LATE_H))
     d = iv.session_design(observed_grid(t), p, sessions(t), rated_only=True)
-    return d.select("ses", R6(F.col("missing_frac")).alias("missing_frac"), F.col("n_probes").alias("n_rated"),
-                    ((F.col("missing_frac") <= 0.40) & (F.col("n_probes") >= 8)).alias("kept"))
+    kept = (F.col("missing_frac") <= 0.40) & (F.col("n_probes") >= 8)
+    return d.select("ses", "missing_frac", "n_epochs", F.col("n_probes").alias("n_rated"), kept.alias("kept"))
+
+
+@query("pf8_keep_sessions", f"WITH {KEPT} SELECT ses, round(mf,6) AS missing_frac, nr AS n_rated, mf<=0.40 AND nr>=8 AS kept FROM kd")
+def pf8(t):
+    return keep_sessions(t).select("ses", R6(F.col("missing_frac")).alias("missing_frac"), "n_rated", "kept")
 
 
 @query("pf10_first_probes", f"WITH {PA} SELECT ses,probe,round(onset,6) AS onset FROM pa WHERE probe<=5")

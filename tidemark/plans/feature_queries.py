@@ -9,6 +9,7 @@ from ..functions.exprs import bit_entropy, let
 from ..functions.fourier import analytic, envelope, welch
 from ..operators import complexity as cx, network as nw, spectral as sp
 from ..operators.clusters import components
+from ..session import cut_lineage
 from ..sources.tables import MC
 from .registry import query
 
@@ -180,9 +181,12 @@ def fe10(t):
     return d.select("unit", R6(F.col("exponent")).alias("exponent"), R6(F.col("offset")).alias("offset_"))
 
 
+# The observation bands in Hz.
+ALPHA, THETA = (8.0, 12.0), (4.0, 7.0)
+
 BP = PSD + """, tr AS (SELECT unit,cond,f,lead(f) OVER w AS f2,(p+lead(p) OVER w)/2*2.0 AS a FROM psd WINDOW w AS (PARTITION BY unit ORDER BY k)),
 bp AS (SELECT unit,cond,sum(a) FILTER (WHERE f>=1 AND f2<=40) AS tot,coalesce(sum(a) FILTER (WHERE f>=1 AND f2<4),0) AS delta,coalesce(sum(a) FILTER (WHERE f>=4 AND f2<8),0) AS theta,coalesce(sum(a) FILTER (WHERE f>=8 AND f2<13),0) AS alpha,coalesce(sum(a) FILTER (WHERE f>=13 AND f2<30),0) AS beta,
- coalesce(sum(a) FILTER (WHERE f>=8 AND f2<13),0) AS al FROM tr GROUP BY 1,2)"""
+ coalesce(sum(a) FILTER (WHERE f>=8 AND f2<12),0) AS al, coalesce(sum(a) FILTER (WHERE f>=4 AND f2<7),0) AS th FROM tr GROUP BY 1,2)"""
 
 
 @query("fe11_relative_band_power", f"WITH {BP} SELECT unit, round(delta/tot,6) AS delta, round(theta/tot,6) AS theta, round(alpha/tot,6) AS alpha, round(beta/tot,6) AS beta FROM bp")
@@ -191,15 +195,15 @@ def fe11(t):
     return psd(t).select("unit", *[R6(r[b]).alias(b) for b in ("delta", "theta", "alpha", "beta")])
 
 
-@query("fe12_log_band_power", f"WITH {BP} SELECT unit, round(ln(al+1e-30),6) AS alpha_post, round(ln(theta+1e-30),6) AS theta_front FROM bp")
+@query("fe12_log_band_power", f"WITH {BP} SELECT unit, round(ln(al+1e-30),6) AS alpha_post, round(ln(th+1e-30),6) AS theta_front FROM bp")
 def fe12(t):
-    return psd(t).select("unit", R6(sp.log_band(F.col("psd"), DF, 8.0, 13.0)).alias("alpha_post"), R6(sp.log_band(F.col("psd"), DF, 4.0, 8.0)).alias("theta_front"))
+    return psd(t).select("unit", R6(sp.log_band(F.col("psd"), DF, *ALPHA)).alias("alpha_post"), R6(sp.log_band(F.col("psd"), DF, *THETA)).alias("theta_front"))
 
 
 @query("fe13_periodic_alpha", f"WITH {APER}, {BP[len(PSD) + 2:]} SELECT unit, round(ln(al+1e-30)-ln(10)*(a+b*log10(10)),6) AS alpha_periodic FROM bp JOIN c5 USING (unit)")
 def fe13(t):
     d = sp.aperiodic_fit(psd(t), F.col("psd"), DF)
-    return d.select("unit", R6(sp.log_band(F.col("psd"), DF, 8.0, 13.0) - math.log(10) * (F.col("offset") - F.col("exponent"))).alias("alpha_periodic"))
+    return d.select("unit", R6(sp.log_band(F.col("psd"), DF, *ALPHA) - math.log(10) * (F.col("offset") - F.col("exponent"))).alias("alpha_periodic"))
 
 
 @query("fe14_negative_exponent", f"WITH {APER} SELECT cond, round(avg(b),6) AS exponent_neg FROM c5 JOIN (SELECT DISTINCT unit,cond FROM s64) USING (unit) GROUP BY 1")
@@ -251,10 +255,27 @@ def fe19(t):
     return strong(t).select("cond", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), R6(F.col("w")).alias("w"))
 
 
-@query("fe20_fiedler_value")
+# The same eigenvalue by repeated squaring in SQL; u, c and l as in the operator.
+def sql_fiedler(name, c, u, lap):
+    return f"""{name}0 AS (SELECT cond, ({c})::DOUBLE AS c, [[CASE WHEN i=j THEN ({c}) ELSE 0.0 END - ({lap}) - ({c})*({u('i')})*({u('j')}) FOR j IN range(1,{NCH + 1})] FOR i IN range(1,{NCH + 1})] AS b FROM lapl),
+{name}(cond,c,b,p,k) AS (SELECT cond,c,b,b,0 FROM {name}0 UNION ALL SELECT cond,c,b,[[x/list_sum([q[i][i] FOR i IN range(1,{NCH + 1})]) FOR x IN r] FOR r IN q],k+1
+ FROM (SELECT cond,c,b,k,[[list_dot_product(r1,r2) FOR r2 IN p] FOR r1 IN p] AS q FROM {name} WHERE k<40)),
+{name}9 AS (SELECT cond, greatest(c-list_sum([list_dot_product(b[i],p[i]) FOR i IN range(1,{NCH + 1})])/list_sum([p[i][i] FOR i IN range(1,{NCH + 1})]),0.0) AS f FROM {name} WHERE k=40)"""
+
+
+LAPL = f"""sym AS (SELECT cond,i,j,w FROM wp UNION ALL SELECT cond,j,i,w FROM wp),
+cell AS (SELECT q.cond, n.r AS i, o.r AS j, coalesce(max(w),0.0)::DOUBLE AS w FROM (SELECT DISTINCT cond FROM wp) q CROSS JOIN range(0,{NCH}) n(r) CROSS JOIN range(0,{NCH}) o(r) LEFT JOIN sym ON sym.cond=q.cond AND sym.i=n.r AND sym.j=o.r GROUP BY 1,2,3),
+mrow AS (SELECT cond,i,list(w ORDER BY j) AS r, sum(w) AS d FROM cell GROUP BY 1,2),
+lapl AS (SELECT cond, list(r ORDER BY i) AS a, list(d ORDER BY i) AS d FROM mrow GROUP BY 1)"""
+PLAIN = sql_fiedler("fp", "2.0*list_max(d)", lambda i: f"1.0/sqrt({NCH}.0)", "CASE WHEN i=j THEN d[i] ELSE -a[i][j] END")
+NORMED = sql_fiedler("fn", "2.0", lambda i: f"sqrt(d[{i}]/list_sum(d))", "CASE WHEN i=j THEN CASE WHEN d[i]>0 THEN 1.0 ELSE 0.0 END WHEN d[i]>0 AND d[j]>0 THEN -a[i][j]/sqrt(d[i])/sqrt(d[j]) ELSE 0.0 END")
+
+
+@query("fe20_fiedler_value", f"WITH RECURSIVE {TH}, {LAPL}, {PLAIN}, {NORMED} SELECT cond, round(fp9.f,6) AS fiedler, round(fn9.f,6) AS fiedler_norm FROM fp9 JOIN fn9 USING (cond)")
 def fe20(t):
-    m = nw.matrices(wpli(t), "cond", NCH)
-    return m.select("cond", R6(nw.fiedler(F.col("m"))).alias("fiedler"), R6(nw.fiedler(F.col("m"), True)).alias("fiedler_norm"))
+    m = cut_lineage(nw.matrices(wpli(t), "cond", NCH))
+    a, b = nw.fiedler(m, "cond"), nw.fiedler(m, "cond", True).withColumnRenamed("fiedler", "fiedler_norm")
+    return a.join(b, "cond").select("cond", R6(F.col("fiedler")).alias("fiedler"), R6(F.col("fiedler_norm")).alias("fiedler_norm"))
 
 
 RCH = TH + """, nd AS (SELECT DISTINCT cond, n FROM wp, range(0,8) q(n)), bt AS (SELECT cond,i,j FROM th UNION ALL SELECT cond,j,i FROM th),
@@ -369,4 +390,4 @@ def fe31(t):
     """Complexity, spectral and synchrony features of a unit in one pass over its row."""
     d = cx.multichannel_complexity(psd(t), NCH)
     r = sp.relative_power(F.col("psd"), DF)
-    return d.select("unit", "cond", R6(F.col("lzc")).alias("lzc"), R6(r["alpha"]).alias("rel_alpha"), R6(sp.log_band(F.col("psd"), DF, 8.0, 13.0)).alias("alpha_post"))
+    return d.select("unit", "cond", R6(F.col("lzc")).alias("lzc"), R6(r["alpha"]).alias("rel_alpha"), R6(sp.log_band(F.col("psd"), DF, *ALPHA)).alias("alpha_post"))

@@ -8,7 +8,7 @@ from ..operators.joins import paired, tolerance_join
 from ..operators.ordered import numbered, running, top_n, union_all
 from ..operators.quantiles import quantiles
 from ..sources.tables import EV, LATE_H
-from .decoding import PB, log_a, log_b
+from .decoding import KEPT, PB, keep_sessions, log_a, log_b
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -74,13 +74,16 @@ def ag8(t):
     return s.agg(R6(e).alias("sd_expert"), R6(n).alias("sd_novice"), R6(e - n).alias("diff"))
 
 
-@query("ag9_session_totals_by_group", f"""WITH {PB}, s AS (SELECT ses, ses%2 AS grp, ses//3 AS sub, count(*) AS n_probes, count(*) FILTER (WHERE valid)>=3 AS kept, avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END) AS missing FROM db GROUP BY 1)
-SELECT grp, count(*) FILTER (WHERE kept) AS n_kept, count(*) FILTER (WHERE NOT kept) AS n_dropped, count(DISTINCT sub) AS n_subjects, sum(n_probes)::BIGINT AS n_probes, round(quantile_cont(missing,0.5),6) AS missing_median FROM s GROUP BY 1""")
+@query("ag9_session_totals_by_group", f"""WITH {KEPT}, p AS (SELECT ses, count(*) AS n_probes, avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END) AS missing FROM db GROUP BY 1),
+e AS (SELECT ses, count(*) AS n_epochs FROM mg GROUP BY 1),
+s AS (SELECT kd.ses, kd.ses%2 AS grp, kd.ses//3 AS sub, coalesce(mf<=0.40 AND nr>=8, false) AS kept, n_probes, n_epochs, missing FROM kd LEFT JOIN p USING (ses) LEFT JOIN e USING (ses))
+SELECT grp, count(*) FILTER (WHERE kept) AS n_kept, count(*) FILTER (WHERE NOT kept) AS n_dropped, count(DISTINCT sub) AS n_subjects, coalesce(sum(n_probes),0)::BIGINT AS n_probes, coalesce(sum(n_epochs),0)::BIGINT AS n_epochs, round(quantile_cont(missing,0.5),6) AS missing_median FROM s GROUP BY 1""")
 def ag9(t):
-    d = dec.decode_b(dec.probes_b(log_b(t), LATE_H))
-    s = d.groupBy("ses").agg(F.count(F.lit(1)).alias("n"), (F.count_if("valid") >= 3).alias("kept"), F.avg((~F.col("valid")).cast("int")).alias("missing"))
+    p = dec.decode_b(dec.probes_b(log_b(t), LATE_H)).groupBy("ses").agg(F.count(F.lit(1)).alias("n"), F.avg((~F.col("valid")).cast("int")).alias("missing"))
+    s = keep_sessions(t).select("ses", "n_epochs", F.coalesce("kept", F.lit(False)).alias("kept")).join(p, "ses", "left")
     s = s.withColumns({"grp": F.col("ses") % 2, "sub": F.floor(F.col("ses") / 3)})
-    a = s.groupBy("grp").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"), F.count_distinct("sub").alias("n_subjects"), F.sum("n").alias("n_probes"))
+    a = s.groupBy("grp").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"), F.count_distinct("sub").alias("n_subjects"),
+                             F.coalesce(F.sum("n"), F.lit(0)).alias("n_probes"), F.coalesce(F.sum("n_epochs"), F.lit(0)).alias("n_epochs"))
     return a.join(quantiles(s, ["grp"], "missing", {"missing_median": 0.5}), "grp").withColumn("missing_median", R6(F.col("missing_median")))
 
 

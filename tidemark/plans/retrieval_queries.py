@@ -99,7 +99,7 @@ def vr7(t):
     """Stored set grows label by label; every stored pattern is corrupted and recalled."""
     s = signs(t).withColumn("level", F.explode(F.sequence(F.col("label"), F.lit(9))))
     m = rt.as_matrix(rt.hebbian(s, 64, ["level"]), ["level"])
-    d = s.join(F.broadcast(m), "level")
+    d = s.join(m, "level")
     y = rt.settle(rt.corrupt(F.col("x"), 6, F.lit("vr7"), F.col("id").cast("string")), F.col("mat"), 1)
     wrong = F.size(F.filter(F.zip_with(y, "x", lambda a, b: a != b), lambda e: e)) / 64.0
     return d.groupBy("level").agg(F.count(F.lit(1)).alias("n_stored"), R6(F.avg(wrong)).alias("error_rate"))

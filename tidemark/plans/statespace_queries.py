@@ -15,7 +15,7 @@ from ..operators.ordered import gaps
 from ..operators.resample import bootstrap_mean
 from ..session import cut_lineage
 from ..sources.tables import EV
-from .decoding import PB
+from .decoding import KEPT, PB, keep_sessions
 from .registry import query
 from .relational import FS, feature_epochs, ratings_b, with_previous, LAGGED
 
@@ -324,7 +324,7 @@ def kf17(t):
     lv = lambda v: F.least(F.greatest(F.bround(v, 0), F.lit(-7.0)), F.lit(7.0)).cast("int")
     sim = simulated(t).where("kind = 1").join(off, "ses").select("rep", lv(F.col("v0") * 4 + F.col("off")).alias("level"))
     n = sim.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    c = sim.groupBy("rep", "level").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n), "rep").select("rep", "level", (F.col("c") / F.col("n")).alias("share"))
+    c = sim.groupBy("rep", "level").agg(F.count(F.lit(1)).alias("c")).join(n, "rep").select("rep", "level", (F.col("c") / F.col("n")).alias("share"))
     full = n.select("rep", F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("level")).join(c, ["rep", "level"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     band = full.groupBy("level").agg(F.percentile("share", F.lit(0.025)).alias("lo"), F.percentile("share", F.lit(0.975)).alias("hi"))
     ob = ratings_b(t).groupBy(F.col("rating").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("c"))
@@ -334,16 +334,15 @@ def kf17(t):
     return d.select("level", *[R6(F.col(x)).alias(x) for x in ("observed", "lo", "hi")], F.col("observed").between(F.col("lo"), F.col("hi")).alias("inside"))
 
 
-@query("kf18_stop_checks", f"""WITH {PB}, {LAGGED}, a AS (SELECT ses, CASE WHEN count(*) FILTER (WHERE y_a IS NOT NULL AND pa IS NOT NULL)>=10 THEN corr(pa,y_a) END AS ac FROM lg GROUP BY 1),
-k AS (SELECT s.ses, count(*) FILTER (WHERE valid)>=3 AS kept FROM (SELECT DISTINCT ses FROM ev) s LEFT JOIN db USING (ses) GROUP BY 1)
+@query("kf18_stop_checks", f"""WITH {KEPT}, {LAGGED}, a AS (SELECT ses, CASE WHEN count(*) FILTER (WHERE y_a IS NOT NULL AND pa IS NOT NULL)>=10 THEN corr(pa,y_a) END AS ac FROM lg GROUP BY 1),
+k AS (SELECT coalesce(mf<=0.40 AND nr>=8, false) AS kept FROM kd)
 SELECT round(quantile_cont(ac,0.5),6) AS median_ac, coalesce(quantile_cont(ac,0.5)<0.3,false) AS k2, (SELECT round(avg((NOT kept)::INT),6) FROM k) AS dropped, (SELECT avg((NOT kept)::INT)>0.5 FROM k) AS k3 FROM a""")
 def kf18(t):
     from ..functions.exprs import pearson
 
     n = F.count_if(F.col("y_a").isNotNull() & F.col("pa").isNotNull())
     a = with_previous(t).groupBy("ses").agg(F.when(n >= 10, pearson("pa", "y_a")).alias("ac"))
-    kept = ratings_b(t).groupBy("ses").agg((F.count(F.lit(1)) >= 3).alias("kept"))
-    k = t.markers().select("ses").distinct().join(kept, "ses", "left").agg(F.avg((~F.coalesce("kept", F.lit(False))).cast("int")).alias("dropped"), F.lit(0).alias("_j"))
+    k = keep_sessions(t).agg(F.avg((~F.coalesce("kept", F.lit(False))).cast("int")).alias("dropped"), F.lit(0).alias("_j"))
     q = quantiles(a, [], "ac", {"median_ac": 0.5}).withColumn("_j", F.lit(0))
     d = k.join(q, "_j", "left")
     return d.select(R6(F.col("median_ac")).alias("median_ac"), F.coalesce(F.col("median_ac") < 0.3, F.lit(False)).alias("k2"), R6(F.col("dropped")).alias("dropped"), (F.col("dropped") > 0.5).alias("k3"))

@@ -441,5 +441,4 @@ def ss4(t):
 
     d = t.multichannel().select((F.col("cond") % 2).alias("test"), F.col("unit").alias("subject"), "ch", (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / 8).alias("diff"))
     edges = [(c, (c + 1) % 8) for c in range(8)]
-    n = t.embeddings.groupBy((F.col("label") % 2).alias("test")).count()
-    return cluster_permutation(d, edges, 8, n_perm=100, seed="ss4").select("test", "root", "n_channels", R6(F.col("mass")).alias("mass"), R6(F.col("p")).alias("p"))
+    return cluster_permutation(d, edges, n_perm=100, seed="ss4").select("test", "root", "n_channels", R6(F.col("mass")).alias("mass"), R6(F.col("p")).alias("p"))

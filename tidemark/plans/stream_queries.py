@@ -68,6 +68,8 @@ def ev3(t):
     """The marker sessionisation of the batch job on a live stream."""
     s, base = event_stream(t, code="code")
     d = finish(t, jobs.open_probe_machine(s, "1 hour", 24 * 3600.0), base)
+    best = d.groupBy("ses", "probe").agg(F.max_by(F.struct("onset", "resp_end", "n_resp", "involuntary", "codes"), F.col("n_resp") + F.col("involuntary")).alias("b"))
+    d = best.select("ses", "probe", "b.*")
     hours = lambda c: F.round((F.col(c) - 1704067200.0) / 3600.0, 4).alias(c)
     return d.select("ses", "probe", hours("onset"), hours("resp_end"), "n_resp", "involuntary", *[F.get("codes", F.lit(k)).alias(f"c{k + 1}") for k in range(3)])
 
@@ -93,13 +95,10 @@ def st5(t):
 def st6(t):
     """Every non-marker row as an epoch end; windows open at markers for nine hours."""
     s, base = event_stream(t)
-    e = s.where("code <> 100 or ses < 0").withColumn("_eid", F.col("eid"))
+    e = s.where("code <> 100 or ses < 0")
     w = s.where("code = 100").withColumn("w_end", F.col("ts") + F.expr("interval 9 hours"))
-    j = jobs.masked_epochs(e, w, "1 hour", 6 * 3600)
-    d = finish(t, j, base)
-    at = t.markers().where("code <> 128").join(t.events.select(F.col("event_id").alias("eid"), F.col("ts").cast("timestamp").alias("t_end")), "eid").select("ses", "eid", "t_end")
-    n = d.groupBy("ses", "t_end").agg(F.count("w_start").alias("n_windows"))
-    return at.join(n, ["ses", "t_end"], "left").select("ses", "eid", F.coalesce("n_windows", F.lit(-1)).cast("long").alias("n_windows"))
+    d = finish(t, jobs.masked_epochs(e, w, "1 hour", 6 * 3600, 9 * 3600), base)
+    return d.groupBy("ses", "eid").agg(F.count("w_start").alias("n_windows"))
 
 
 @query("st7_repeat_delivery", "SELECT user_id AS ses, event_id AS eid FROM events")

@@ -47,7 +47,7 @@ def session_catalogue(files, groups):
     rx = r"^([mc])_(task|med|rest)_(n?)(\d+)\.txt"
     part = lambda k: F.regexp_extract("name", rx, k)
     d = files.where(F.col("name").rlike(rx)).withColumns({"g": part(1), "condition": part(2), "flag": (part(3) == "n").cast("int"), "number": part(4).cast("int")})
-    return d.join(F.broadcast(groups), "g", "left").withColumn("sub", F.concat("g", F.when(F.col("flag") == 1, "n").otherwise(""), F.col("number").cast("string")))
+    return d.join(groups, "g", "left").withColumn("sub", F.concat("g", F.when(F.col("flag") == 1, "n").otherwise(""), F.col("number").cast("string")))
 
 
 def read_stages(lines):
@@ -108,21 +108,22 @@ def run_key(inputs):
     return F.substring(F.sha1(F.to_json(inputs)), 1, 10)
 
 
-def flatten_json(df, ident, text, levels=4):
+def flatten_json(df, ident, text):
     """(ident, path, value): every leaf of a JSON document under its dotted path.
 
-    Lists of at most eight numbers are exploded with [i]; other lists stay text.
+    Lists of at most eight numbers are exploded with [i]; other lists stay text.  The walk
+    ends at the level where no object is left, however deep the documents are.
     """
     d = df.select(ident, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
     leaves = None
-    for level in range(levels):
-        kind = F.schema_of_variant("v")
-        d = d.withColumn("_k", kind)
-        leaf = d.where(~F.col("_k").startswith("OBJECT")).drop("_k")
+    while True:
+        d = d.withColumn("_k", F.schema_of_variant("v"))
+        leaf = d.where(~F.coalesce(F.col("_k").startswith("OBJECT"), F.lit(False))).drop("_k")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if level == levels - 1:
+        inner = d.where(F.col("_k").startswith("OBJECT"))
+        if inner.isEmpty():
             break
-        m = d.where(F.col("_k").startswith("OBJECT")).select(ident, "path", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
+        m = inner.select(ident, "path", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
         d = m.select(ident, F.col("path").alias("_p"), F.explode("m").alias("k", "v")).select(ident, F.concat(F.when(F.col("_p") == "", "").otherwise(F.concat("_p", F.lit("."))), "k").alias("path"), "v")
     arr = F.expr("try_variant_get(v, '$', 'array<double>')")
     a = leaves.withColumn("_a", F.when(F.schema_of_variant("v").startswith("ARRAY"), arr))

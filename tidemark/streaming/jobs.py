@@ -11,8 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import kalman as kf
 from ..operators.decode import GLITCH_B, INVOLUNTARY_A, MARKER_A, MARKER_B, RESPONSES_A
 
-MAX_CODES = 6
-
 
 def run_available(stream, sink, checkpoint, spark, mode="append"):
     """Process everything available, then read the sink back as a table."""
@@ -47,63 +45,80 @@ def drop_repeats(stream, delay, keys):
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def masked_epochs(epochs, windows, delay, step_seconds):
-    """Stream-stream interval join: epochs(ses, ts end) with windows(ses, ts start, w_end).
+def masked_epochs(epochs, windows, delay, step_seconds, longest_seconds):
+    """Stream-stream interval join: epochs(ses, eid, ts end) with windows(ses, ts start, w_end).
 
     Left outer: an epoch without any window is emitted once the watermark passes it.
+    longest_seconds bounds the windows and so the state; a longer window fails the query.
     """
-    e = epochs.select("ses", F.col("ts").alias("t_end")).withWatermark("t_end", delay)
-    w = windows.select(F.col("ses").alias("wses"), F.col("ts").alias("w_start"), "w_end").withWatermark("w_start", delay)
+    e = epochs.select("ses", "eid", F.col("ts").alias("t_end")).withWatermark("t_end", delay)
+    longest = F.expr(f"interval {int(longest_seconds)} seconds")
+    fits = F.col("w_end") <= F.col("ts") + longest
+    w = windows.select(F.col("ses").alias("wses"), F.col("ts").alias("w_start"),
+                       F.when(fits, F.col("w_end")).otherwise(F.raise_error(F.lit("a window is longer than longest_seconds")).cast("timestamp")).alias("w_end")).withWatermark("w_start", delay)
     step = F.expr(f"interval {int(step_seconds)} seconds")
-    # The window's length is at most a day here, which bounds the state on both sides.
-    cond = (F.col("ses") == F.col("wses")) & (F.col("t_end") > F.col("w_start")) & (F.col("t_end") - step < F.col("w_end")) & (F.col("t_end") < F.col("w_start") + F.expr("interval 40 hours"))
+    cond = (F.col("ses") == F.col("wses")) & (F.col("t_end") > F.col("w_start")) & (F.col("t_end") - step < F.col("w_end")) & (F.col("t_end") < F.col("w_start") + longest + step)
     return e.join(w, cond, "leftOuter")
 
 
+_PENDING = "p_ts array<double>, p_eid array<long>, p_code array<int>"
+
+
+def _due(held, batches, st):
+    """(rows the watermark has passed, rows still waiting), each as (ts, eid, code) in order."""
+    rows = list(zip(*held))
+    for b in batches:
+        rows += [(ts.timestamp(), int(eid), int(code)) for ts, eid, code in zip(b["ts"], b["eid"], b["code"])]
+    rows.sort()
+    now = st.getCurrentWatermarkMs() / 1000.0
+    cut = sum(r[0] <= now for r in rows)
+    return rows[:cut], rows[cut:]
+
+
+def _wake(st, times):
+    """Event-time timer at the earliest of `times`, if any."""
+    if times:
+        st.setTimeoutTimestamp(max(int(min(times) * 1000), st.getCurrentWatermarkMs() + 1))
+
+
 def probe_machine(stream, delay, late_seconds):
     """Marker opens a probe; codes within the limit are its responses, later ones late.
 
-    A probe is emitted when the next marker arrives or its event-time timer fires one
-    limit after the marker; codes after that are counted on the next emission of the
-    session as late rows of the closed probe (probe number, n_late only).
+    Rows wait until the watermark has passed them and are then handled in time order, so the
+    outcome does not depend on how they are spread over micro-batches.  A probe is emitted
+    when the next marker is handled or the watermark passes its limit; codes after that are
+    counted on the next emission of the session as late rows of the closed probe.
     """
     out = "ses long, probe long, onset double, n_codes long, n_late long, n_practice long, codes array<int>"
-    # probe no, onset, codes, late count, practice, open?
-    state = "probe long, onset double, codes array<int>, n long, late long, practice long, open boolean"
+    state = "probe long, onset double, codes array<int>, n long, late long, practice long, open boolean, " + _PENDING
 
     def step(key, batches, st: GroupState):
-        probe, onset, codes, n, late, practice, is_open = st.get if st.exists else (0, None, [], 0, 0, 0, False)
-        codes = list(codes)
-        rows = []
+        probe, onset, codes, n, late, practice, is_open, *held = st.get if st.exists else (0, None, [], 0, 0, 0, False, [], [], [])
+        codes, rows = list(codes), []
 
         def emit():
-            rows.append((key[0], probe, onset, n, late, practice if probe == 1 else 0, codes[:MAX_CODES]))
-
-        if st.hasTimedOut:
-            if is_open:
-                emit()
-                is_open, late = False, 0
-        else:
-            log = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "eid"])
-            for ts, code in zip(log["ts"], log["code"]):
-                at = ts.timestamp()
-                if code == GLITCH_B:
-                    continue
-                if code == MARKER_B:
-                    if is_open or late:
-                        emit()
-                    probe, onset, codes, n, late, is_open = probe + 1, at, [], 0, 0, True
-                elif probe == 0:
-                    practice += 1
-                elif at - onset <= late_seconds:
-                    n += 1
-                    if len(codes) < MAX_CODES:
-                        codes.append(int(code))
-                else:
-                    late += 1
-        st.update((probe, onset, codes, n, late, practice, is_open))
-        if is_open:
-            st.setTimeoutTimestamp(max(int((onset + late_seconds) * 1000), st.getCurrentWatermarkMs() + 1))
+            rows.append((key[0], probe, onset, n, late, practice if probe == 1 else 0, codes))
+
+        due, waiting = _due(held, () if st.hasTimedOut else batches, st)
+        for at, _, code in due:
+            if code == GLITCH_B:
+                continue
+            if code == MARKER_B:
+                if is_open or late:
+                    emit()
+                probe, onset, codes, n, late, is_open = probe + 1, at, [], 0, 0, True
+            elif probe == 0:
+                practice += 1
+            elif at - onset <= late_seconds:
+                n += 1
+                codes.append(code)
+            else:
+                late += 1
+        if (is_open and onset + late_seconds <= st.getCurrentWatermarkMs() / 1000.0) or (late and not is_open):
+            emit()
+            is_open, late = False, 0
+        st.update((probe, onset, codes, n, late, practice, is_open, *(map(list, zip(*waiting)) if waiting else ([], [], []))))
+        _wake(st, [w[0] for w in waiting[:1]] + ([onset + late_seconds] if is_open else []))
         yield pd.DataFrame(rows, columns=["ses", "probe", "onset", "n_codes", "n_late", "n_practice", "codes"])
 
     return stream.select("ses", "ts", "eid", "code").withWatermark("ts", delay).groupBy("ses").applyInPandasWithState(
@@ -111,38 +126,36 @@ def probe_machine(stream, delay, late_seconds):
 
 
 def open_probe_machine(stream, delay, idle_seconds):
-    """Marker opens a probe that runs to the next marker; responses and involuntary
-    marks are counted and the first three codes kept.
+    """Marker opens a probe that runs to the next marker; responses, their codes and
+    involuntary marks are kept.
 
-    The last probe of a session is emitted when its event-time timer fires, idle_seconds
-    after the session's latest row.
+    Rows are handled in time order behind the watermark, as in probe_machine.  A probe is
+    emitted when the next marker is handled, and also idle_seconds after the session's latest row;
+    should responses follow that, it is emitted again with the new totals, so a reader
+    keeps the row with most marks per (ses, probe).  Numbers go on after any pause.
     """
     out = "ses long, probe long, onset double, resp_end double, n_resp long, involuntary long, codes array<int>"
-    state = "probe long, onset double, resp_end double, n long, inv long, codes array<int>, last double"
+    state = "probe long, onset double, resp_end double, n long, inv long, codes array<int>, last double, news boolean, " + _PENDING
 
     def step(key, batches, st: GroupState):
-        probe, onset, end, n, inv, codes, last = st.get if st.exists else (0, None, None, 0, 0, [], 0.0)
+        probe, onset, end, n, inv, codes, last, news, *held = st.get if st.exists else (0, None, None, 0, 0, [], 0.0, False, [], [], [])
         codes, rows = list(codes), []
-        if st.hasTimedOut:
+        due, waiting = _due(held, () if st.hasTimedOut else batches, st)
+        for at, _, code in due:
+            last = at
+            if code == MARKER_A:
+                if news:
+                    rows.append((key[0], probe, onset, end, n, inv, codes))
+                probe, onset, end, n, inv, codes, news = probe + 1, at, None, 0, 0, [], True
+            elif probe and code in RESPONSES_A:
+                end, n, codes, news = at, n + 1, codes + [code], True
+            elif probe and code == INVOLUNTARY_A:
+                inv, news = inv + 1, True
+        if news and last + idle_seconds <= st.getCurrentWatermarkMs() / 1000.0:
             rows.append((key[0], probe, onset, end, n, inv, codes))
-            st.remove()
-        else:
-            log = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "eid"])
-            for ts, code in zip(log["ts"], log["code"]):
-                last = ts.timestamp()
-                if code == MARKER_A:
-                    if probe:
-                        rows.append((key[0], probe, onset, end, n, inv, codes))
-                    probe, onset, end, n, inv, codes = probe + 1, last, None, 0, 0, []
-                elif probe and code in RESPONSES_A:
-                    end, n = last, n + 1
-                    if len(codes) < 3:
-                        codes = codes + [int(code)]
-                elif probe and code == INVOLUNTARY_A:
-                    inv += 1
-            st.update((probe, onset, end, n, inv, codes, last))
-            if probe:
-                st.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), st.getCurrentWatermarkMs() + 1))
+            news = False
+        st.update((probe, onset, end, n, inv, codes, last, news, *(map(list, zip(*waiting)) if waiting else ([], [], []))))
+        _wake(st, [w[0] for w in waiting[:1]] + ([last + idle_seconds] if news else []))
         yield pd.DataFrame(rows, columns=["ses", "probe", "onset", "resp_end", "n_resp", "involuntary", "codes"])
 
     return stream.select("ses", "ts", "eid", "code").withWatermark("ts", delay).groupBy("ses").applyInPandasWithState(
