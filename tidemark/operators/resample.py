@@ -8,6 +8,7 @@ side is what Spark spreads.
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..session import spread
 from .ordered import numbered
 
 
@@ -24,13 +25,66 @@ def draws(units, keys, ident, values, n_boot, seed):
     return reps.select(*keys, "rep", "slot", pick.alias("_idx")).join(u.select(*keys, "_idx", *values), keys + ["_idx"]).drop("_idx")
 
 
+# 65536 times the Poisson(1) distribution function, as hexadecimal text.
+POISSON = ("5e2d", "bc5a", "eb71", "fb23", "ff10", "ffd9", "fffa", "ffff")
+
+
+def poisson_weight(digits):
+    """Poisson(1) weight of four hexadecimal digits, by comparing text."""
+    out = F.lit(len(POISSON))
+    for k in range(len(POISSON) - 1, -1, -1):
+        out = F.when(digits < POISSON[k], F.lit(k)).otherwise(out)
+    return out
+
+
+def sql_poisson(digits):
+    return "CASE " + " ".join(f"WHEN {digits}<'{x}' THEN {k}" for k, x in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
+
+
+def _blocks(units, ident, n_rep, per, seed):
+    """Each unit once per block of `per` replicates, with an MD5 that their draws are cut from.
+
+    The units are spread first: what is long is the work per unit, not the table.
+    """
+    block = F.explode(F.sequence(F.lit(0), F.lit((int(n_rep) - 1) // per)))
+    d = spread(units).withColumn("_block", block)
+    return d.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("_block").cast("string"), F.col(ident).cast("string"))))
+
+
+def resampled(units, keys, ident, sums, n_boot, seed):
+    """(keys, rep, w, sums): a Poisson bootstrap. Replicate r weighs a unit by a hashed
+    Poisson(1) draw, so it needs no numbering and no join, only sums combined before the shuffle.
+
+    sums maps a name to the column whose weighted sum it becomes.
+    """
+    keys = list(keys)
+    d = _blocks(units.select(*keys, ident, *[c.alias(f"_v{i}") for i, c in enumerate(sums.values())]), ident, n_boot, 8, seed)
+    draws8 = F.array(*[F.struct((F.col("_block") * 8 + j + 1).alias("rep"), poisson_weight(F.substring("_h", 4 * j + 1, 4)).alias("w")) for j in range(8)])
+    d = d.select(*keys, *[f"_v{i}" for i in range(len(sums))], F.inline(draws8)).where((F.col("rep") <= int(n_boot)) & (F.col("w") > 0))
+    return d.groupBy(*keys, "rep").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"_v{i}")).alias(n) for i, n in enumerate(sums)])
+
+
+def sql_resampled(units, ident, sums, n_boot, seed, keys=()):
+    """The same table as a DuckDB subquery over the relation `units`."""
+    k = "".join(f"{x}," for x in keys)
+    cols = ",".join(f"sum(w*({c})) AS {n}" for n, c in sums.items())
+    return f"""(SELECT {k}rep, sum(w) AS w, {cols} FROM (SELECT *, {sql_poisson("substr(md5(concat_ws('|','" + seed + "',(rep-1)//8," + ident + ")),4*((rep-1)%8)+1,4)")} AS w
+ FROM {units}, range(1,{n_boot + 1}) q(rep)) GROUP BY {k}rep)"""
+
+
 def bootstrap_mean(units, keys, ident, value, n_boot, seed, probs=(0.025, 0.975)):
     """Percentile interval of the mean; the replicate count bounds the percentile input."""
-    r = draws(units, keys, ident, [value], n_boot, seed).groupBy(*keys, "rep").agg(F.avg(value).alias("_m"))
+    r = resampled(units, keys, ident, {"s": F.col(value)}, n_boot, seed).withColumn("_m", F.col("s") / F.col("w"))
     return r.groupBy(*keys).agg(F.percentile("_m", F.lit(probs[0])).alias("lo"), F.percentile("_m", F.lit(probs[1])).alias("hi"))
 
 
-def sign_flips(units, ident, n_perm, seed):
-    """Every unit once per permutation with a hashed sign."""
-    d = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_perm)))))
-    return d.withColumn("sign", F.when(uniform(F.lit(seed), F.col("rep"), F.col(ident)) < 0.5, -1.0).otherwise(1.0))
+def sign_flips(units, ident, values, n_perm, seed):
+    """(rep, values): per permutation the mean of each value under hashed signs."""
+    d = _blocks(units.select(ident, *values), ident, n_perm, 32, seed)
+    signs = F.array(*[F.struct((F.col("_block") * 32 + j + 1).alias("rep"), F.when(F.substring("_h", j + 1, 1) < "8", -1.0).otherwise(1.0).alias("sign")) for j in range(32)])
+    d = d.select(*values, F.inline(signs)).where(F.col("rep") <= int(n_perm))
+    return d.groupBy("rep").agg(*[F.avg(F.col(v) * F.col("sign")).alias(v) for v in values])
+
+
+def sql_sign(ident, seed):
+    return f"CASE WHEN substr(md5(concat_ws('|','{seed}',(rep-1)//32,{ident})),((rep-1)%32+1)::INT,1)<'8' THEN -1.0 ELSE 1.0 END"

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions.exprs import dot
-from .resample import draws
+from .resample import resampled, sql_resampled
 
 
 def profile_interval(curve, keys, grid, ll, drop=1.92):
@@ -49,14 +49,22 @@ def paired_effect(pairs, keys=()):
 
 
 def effect_bootstrap(pairs, keys, ident, n_boot, seed):
-    """Percentile interval of d_z over resampled units (0 where a replicate has no spread)."""
-    b = draws(pairs, keys, ident, ["diff"], n_boot, seed)
-    r = b.groupBy(*keys, "rep").agg(F.avg("diff").alias("m"), F.stddev_samp("diff").alias("s"))
-    r = r.withColumn("dz", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0))
+    """Percentile interval of d_z over reweighted units (0 where a replicate has no spread)."""
+    r = resampled(pairs, keys, ident, {"s": F.col("diff"), "ss": F.col("diff") ** 2}, n_boot, seed)
+    m = F.col("s") / F.col("w")
+    var = F.try_divide(F.greatest(F.col("ss") - F.col("w") * m * m, F.lit(0.0)), F.col("w") - 1)
+    r = r.withColumn("dz", F.when(var > 0, m / F.sqrt(var)).otherwise(0.0))
     # The replicate count is a parameter, so the built-in percentile is bounded here.
     return r.groupBy(*keys).agg(F.percentile("dz", F.lit(0.025)).alias("lo"), F.percentile("dz", F.lit(0.975)).alias("hi"))
 
 
+def sql_effects(units, ident, n_boot, seed, keys=()):
+    """The replicates of effect_bootstrap as a DuckDB subquery."""
+    k = "".join(f"{x}," for x in keys)
+    r = sql_resampled(units, ident, {"s": "diff", "ss": "diff*diff"}, n_boot, seed, keys)
+    return f"(SELECT {k}rep, CASE WHEN v>0 THEN s/w/sqrt(v) ELSE 0.0 END AS dz FROM (SELECT *, CASE WHEN w>1 THEN greatest(ss-s*s/w,0.0)/(w-1) END AS v FROM {r}))"
+
+
 def equivalence(pairs, keys=(), bound=0.2):
     """Both one-sided t statistics of the equivalence test and its bound."""
     g = paired_effect(pairs, keys)

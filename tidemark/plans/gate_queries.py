@@ -56,8 +56,7 @@ def gt4b(t):
 
 CON = f"""{FEAT}, p AS (SELECT subject, avg(ln(m_price)) FILTER (WHERE cond='A') AS a, avg(ln(m_price)) FILTER (WHERE cond='N') AS n, avg(ln(m_price)) FILTER (WHERE cond='R') AS r FROM feat GROUP BY 1),
 d AS (SELECT 'A>N' AS contrast, subject, a-n AS diff FROM p WHERE a IS NOT NULL AND n IS NOT NULL UNION ALL SELECT 'A>R', subject, a-r FROM p WHERE a IS NOT NULL AND r IS NOT NULL),
-x AS (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY subject) AS idx, count(*) OVER (PARTITION BY contrast) AS n FROM d),
-b AS (SELECT contrast, rep, (floor({sql_uniform("'gt5'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM x, range(1,101) q(rep)), z AS (SELECT b.contrast, rep, avg(diff)/stddev_samp(diff) AS dz FROM b JOIN x ON x.contrast=b.contrast AND x.idx=b.pick GROUP BY 1,2),
+z AS (SELECT * FROM {st.sql_effects('d', 'subject', 10_000, 'gt5', ['contrast'])}),
 g AS (SELECT contrast, quantile_cont(dz,0.025) AS lo FROM z GROUP BY 1)"""
 
 
@@ -65,7 +64,7 @@ g AS (SELECT contrast, quantile_cont(dz,0.025) AS lo FROM z GROUP BY 1)"""
 def gt5(t):
     p = features(t).groupBy("subject").agg(*[F.avg(F.when(F.col("cond") == c, F.log("m_price"))).alias(c.lower()) for c in "ANR"])
     d = p.select("subject", F.inline(F.array(*[F.struct(F.lit(n).alias("contrast"), (F.col("a") - F.col(c)).alias("diff")) for n, c in (("A>N", "n"), ("A>R", "r"))]))).where("diff is not null")
-    g = st.effect_bootstrap(d, ["contrast"], "subject", 100, "gt5")
+    g = st.effect_bootstrap(d, ["contrast"], "subject", 10_000, "gt5")
     want = t.spark.createDataFrame([("A>N",), ("A>R",), ("A>X",)], "contrast string")
     j = want.join(F.broadcast(g), "contrast", "left")
     return j.select("contrast", F.round("lo", 4).alias("lo"), F.when(F.col("lo").isNull(), "pending").when(F.col("lo") > 0, "passed").otherwise("failed").alias("status"))

@@ -9,7 +9,7 @@ from ..operators.quantiles import quantiles
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
-N_BOOT = 200
+N_BOOT = 10_000
 
 ST = f"""em AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, {sql_uniform("'conf'", 'vec_id')} AS confidence, ({sql_uniform("'err'", 'vec_id')}<0.3+0.05*label)::INT AS error FROM embeddings)"""
 NOV = ST + """, cs AS (SELECT q.id, max(list_dot_product(q.v,i.v)/sqrt(list_dot_product(q.v,q.v)*list_dot_product(i.v,i.v))) AS best FROM em q JOIN em i ON i.id<q.id GROUP BY 1), nv AS (SELECT em.*, 1-coalesce(best,0) AS novelty FROM em LEFT JOIN cs USING (id))"""
@@ -148,8 +148,8 @@ def mm12b(t):
                                       R6(F.avg(((F.col("error") == 1) & (F.col("confidence") > 0.5)).cast("int"))).alias("pollution"), F.count(F.lit(1)).alias("memory_size"))
 
 
-@query("mm13_paired_systems", f"""WITH {ST}, d AS (SELECT id, confidence*(1-error)-{sql_uniform("'sys2'", 'id')}*0.5 AS diff, row_number() OVER (ORDER BY id) AS idx, count(*) OVER () AS n FROM em),
-b AS (SELECT rep, (floor({sql_uniform("'mm13'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM d, range(1,{N_BOOT + 1}) r(rep)), z AS (SELECT rep, avg(diff)/stddev_samp(diff) AS dz FROM b JOIN d ON idx=pick GROUP BY 1)
+@query("mm13_paired_systems", f"""WITH {ST}, d AS (SELECT id, confidence*(1-error)-{sql_uniform("'sys2'", 'id')}*0.5 AS diff FROM em),
+z AS (SELECT * FROM {st.sql_effects('d', 'id', N_BOOT, 'mm13')})
 SELECT round(quantile_cont(dz,0.025),4) AS lo, round(quantile_cont(dz,0.975),4) AS hi FROM z""")
 def mm13(t):
     d = stream(t).select("id", (F.col("confidence") * (1 - F.col("error")) - uniform(F.lit("sys2"), F.col("id")) * 0.5).alias("diff"))

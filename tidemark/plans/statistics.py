@@ -9,14 +9,15 @@ from ..operators import stats as st
 from ..operators.joins import tolerance_join
 from ..operators.ordered import running
 from ..operators.quantiles import quantiles
-from ..operators.resample import bootstrap_mean, draws, sign_flips
+from ..operators.resample import bootstrap_mean, draws, resampled, sign_flips, sql_resampled, sql_sign
 from .registry import query
 from .relational import DSG, FEAT, FS, LAGGED, METRICS, PAIR, crb_table, feature_epochs, features, matched_designs, mle_table, order_pairs, with_previous
 from ..sources.tables import EV
 
 R6 = lambda c: F.round(c, 6)
 R4 = lambda c: F.round(c, 4)
-N_BOOT = 200
+# The replicate counts of the studies.
+N_EFFECT, N_META, N_AXIS, N_SESSIONS = 10_000, 2_000, 10_000, 2_000
 
 # Tail areas by Simpson's rule over the density, independent of the Spark side.
 T_PDF = "exp(lgamma(({d}+1)/2.0)-lgamma({d}/2.0))/sqrt({d}*pi())*pow(1+({x})*({x})/{d},-({d}+1)/2.0)"
@@ -29,16 +30,15 @@ def sql_t_upper(t, d):
     return f"(0.5-(SELECT sum({w}*{T_PDF.format(d='('+d+')::DOUBLE', x=x)}) FROM range(0,401) kk(k))*({t})/1200.0)"
 
 
-@query("ss1_paired_effect", f"""WITH {PAIR}, d AS (SELECT subject, a-b AS diff, row_number() OVER (ORDER BY subject) AS idx, count(*) OVER () AS n FROM pr),
+@query("ss1_paired_effect", f"""WITH {PAIR}, d AS (SELECT subject, a-b AS diff FROM pr),
 s AS (SELECT count(*) AS n, avg(diff) AS m, stddev_samp(diff) AS sd FROM d),
-b AS (SELECT rep, (floor({sql_uniform("'ss1'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM d, range(1,{N_BOOT + 1}) r(rep)),
-z AS (SELECT rep, avg(d.diff)/stddev_samp(d.diff) AS dz FROM b JOIN d ON d.idx=b.pick GROUP BY 1)
+z AS (SELECT * FROM {st.sql_effects('d', 'subject', N_EFFECT, 'ss1')})
 SELECT n, round(m,6) AS mean_diff, round(m/sd,6) AS dz, round(m/(sd/sqrt(n)),6) AS t, round(2*{sql_t_upper('abs(m/(sd/sqrt(n)))', 'n-1')},6) AS p,
  (SELECT round(quantile_cont(dz,0.025),4) FROM z) AS lo, (SELECT round(quantile_cont(dz,0.975),4) FROM z) AS hi FROM s""")
 def ss1(t):
     p = order_pairs(t)
     e = st.paired_effect(p).withColumn("_j", F.lit(0))
-    b = st.effect_bootstrap(p, [], "subject", N_BOOT, "ss1").withColumn("_j", F.lit(0))
+    b = st.effect_bootstrap(p, [], "subject", N_EFFECT, "ss1").withColumn("_j", F.lit(0))
     d = e.join(F.broadcast(b), "_j")
     return d.select("n", R6(F.col("mean_diff")).alias("mean_diff"), R6(F.col("dz")).alias("dz"), R6(F.col("t")).alias("t"),
                     R6(2 * t_sf(F.abs("t"), (F.col("n") - 1).cast("double"))).alias("p"), R4(F.col("lo")).alias("lo"), R4(F.col("hi")).alias("hi"))
@@ -124,11 +124,11 @@ def ss7(t):
 
 
 @query("ss8_meta_bootstrap", f"""WITH {STUD}, v AS (SELECT *, 1.0/n+d*d/(2.0*n) AS v FROM stu),
-b AS (SELECT rep, sum((d+sqrt(v)*{sql_normal("'ss8'", 'rep', 'study', 'type')})/v)/sum(1/v) AS pd FROM v, range(1,{N_BOOT + 1}) r(rep) GROUP BY 1)
+b AS (SELECT rep, sum((d+sqrt(v)*{sql_normal("'ss8'", 'rep', 'study', 'type')})/v)/sum(1/v) AS pd FROM v, range(1,{N_META + 1}) r(rep) GROUP BY 1)
 SELECT rep, round(pd,4) AS pooled FROM b""")
 def ss8(t):
     v = 1.0 / F.col("n") + F.col("d") ** 2 / (2.0 * F.col("n"))
-    s = studies(t).withColumn("v", v).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(N_BOOT))))
+    s = studies(t).withColumn("v", v).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(N_META))))
     x = F.col("d") + F.sqrt("v") * normal(F.lit("ss8"), F.col("rep"), F.col("study"), F.col("type"))
     return s.groupBy("rep").agg(R4(F.sum(x / F.col("v")) / F.sum(1 / F.col("v"))).alias("pooled"))
 
@@ -236,13 +236,12 @@ def ss12(t):
     return p.select("subject", R4(F.col("c")).alias("c"), R6(F.col("residual_norm")).alias("residual_norm"))
 
 
-@query("ss13_projection_bootstrap", f"""{AXIS_SQL}, p AS (SELECT row_number() OVER (ORDER BY subject) AS idx, count(*) OVER () AS n, subject, list_dot_product(d,u)/list_dot_product(u,mu) AS c, [d[1]-list_dot_product(d,u)*u[1],d[2]-list_dot_product(d,u)*u[2],d[3]-list_dot_product(d,u)*u[3],d[4]-list_dot_product(d,u)*u[4]] AS r FROM dl, ax),
-b AS (SELECT rep, (floor({sql_uniform("'ss13'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM p, range(1,{N_BOOT + 1}) q(rep)),
-bs AS (SELECT rep, avg(c) AS c, sqrt(avg(r[1])^2+avg(r[2])^2+avg(r[3])^2+avg(r[4])^2) AS rn FROM b JOIN p ON idx=pick GROUP BY 1),
+@query("ss13_projection_bootstrap", f"""{AXIS_SQL}, p AS (SELECT subject, list_dot_product(d,u)/list_dot_product(u,mu) AS c, [d[1]-list_dot_product(d,u)*u[1],d[2]-list_dot_product(d,u)*u[2],d[3]-list_dot_product(d,u)*u[3],d[4]-list_dot_product(d,u)*u[4]] AS r FROM dl, ax),
+bs AS (SELECT rep, c/w AS c, sqrt((r0/w)^2+(r1/w)^2+(r2/w)^2+(r3/w)^2) AS rn FROM {sql_resampled('p', 'subject', {'c': 'c', 'r0': 'r[1]', 'r1': 'r[2]', 'r2': 'r[3]', 'r3': 'r[4]'}, N_AXIS, 'ss13')}),
 ob AS (SELECT avg(c) AS c, sqrt(avg(r[1])^2+avg(r[2])^2+avg(r[3])^2+avg(r[4])^2) AS rn FROM p),
-nu AS (SELECT rep, sqrt(avg(s*r[1])^2+avg(s*r[2])^2+avg(s*r[3])^2+avg(s*r[4])^2) AS rn FROM (SELECT rep, r, CASE WHEN {sql_uniform("'ss13s'", 'rep', 'subject')}<0.5 THEN -1.0 ELSE 1.0 END AS s FROM p, range(1,{N_BOOT + 1}) q(rep)) GROUP BY 1)
+nu AS (SELECT rep, sqrt(avg(s*r[1])^2+avg(s*r[2])^2+avg(s*r[3])^2+avg(s*r[4])^2) AS rn FROM (SELECT rep, r, {sql_sign('subject', 'ss13s')} AS s FROM p, range(1,{N_AXIS + 1}) q(rep)) GROUP BY 1)
 SELECT round(c,4) AS c_mean, round(rn,6) AS residual, (SELECT round(quantile_cont(c,0.025),4) FROM bs) AS c_lo, (SELECT round(quantile_cont(c,0.975),4) FROM bs) AS c_hi, (SELECT round(quantile_cont(rn,0.025),4) FROM bs) AS r_lo, (SELECT round(quantile_cont(rn,0.975),4) FROM bs) AS r_hi,
- round(((SELECT count(*) FROM nu WHERE nu.rn>=ob.rn)+1)/({N_BOOT}+1.0),6) AS residual_p FROM ob""")
+ round(((SELECT count(*) FROM nu WHERE nu.rn>=ob.rn)+1)/({N_AXIS}+1.0),6) AS residual_p FROM ob""")
 def ss13(t):
     d = deltas(t).join(F.broadcast(axis_row(t)))
     al = dot(F.col("d"), F.col("u"))
@@ -250,10 +249,11 @@ def ss13(t):
     rs = [f"r{k}" for k in range(4)]
     norm = lambda cs: F.sqrt(sum((F.avg(c) ** 2 for c in cs), F.lit(0.0)))
     ob = p.agg(F.avg("c").alias("c_mean"), norm([F.col(r) for r in rs]).alias("residual")).withColumn("_j", F.lit(0))
-    bs = draws(p, [], "subject", ["c", *rs], N_BOOT, "ss13").groupBy("rep").agg(F.avg("c").alias("c"), norm([F.col(r) for r in rs]).alias("rn"))
+    length = lambda cs: F.sqrt(sum((c ** 2 for c in cs), F.lit(0.0)))
+    bs = resampled(p, [], "subject", {c: F.col(c) for c in ("c", *rs)}, N_AXIS, "ss13").select("rep", (F.col("c") / F.col("w")).alias("c"), length([F.col(r) / F.col("w") for r in rs]).alias("rn"))
     ci = bs.agg(*[F.percentile(c, F.lit(q)).alias(n) for c, q, n in (("c", 0.025, "c_lo"), ("c", 0.975, "c_hi"), ("rn", 0.025, "r_lo"), ("rn", 0.975, "r_hi"))]).withColumn("_j", F.lit(0))
-    nu = sign_flips(p, "subject", N_BOOT, "ss13s").groupBy("rep").agg(norm([F.col(r) * F.col("sign") for r in rs]).alias("nr"))
-    pv = nu.join(F.broadcast(ob.select("residual"))).agg(((F.count_if(F.col("nr") >= F.col("residual")) + 1) / (N_BOOT + 1.0)).alias("residual_p")).withColumn("_j", F.lit(0))
+    nu = sign_flips(p, "subject", rs, N_AXIS, "ss13s").select("rep", length([F.col(r) for r in rs]).alias("nr"))
+    pv = nu.join(F.broadcast(ob.select("residual"))).agg(((F.count_if(F.col("nr") >= F.col("residual")) + 1) / (N_AXIS + 1.0)).alias("residual_p")).withColumn("_j", F.lit(0))
     o = ob.join(ci, "_j").join(pv, "_j")
     return o.select(R4(F.col("c_mean")).alias("c_mean"), R6(F.col("residual")).alias("residual"), *[R4(F.col(c)).alias(c) for c in ("c_lo", "c_hi", "r_lo", "r_hi")], R6(F.col("residual_p")).alias("residual_p"))
 
@@ -424,13 +424,12 @@ def ss25(t):
 
 
 @query("ss15_session_bootstrap", f"""WITH {EV}, {LAGGED}, l AS (SELECT ses, abs(y_a-pa)-abs(y_a-4.0) AS d FROM lg WHERE y_a IS NOT NULL AND pa IS NOT NULL),
-s AS (SELECT ses, avg(d) AS m, row_number() OVER (ORDER BY ses) AS idx, count(*) OVER () AS n FROM l GROUP BY 1),
-b AS (SELECT rep, (floor({sql_uniform("'ss15'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM s, range(1,{N_BOOT + 1}) r(rep)), z AS (SELECT rep, avg(m) AS m FROM b JOIN s ON idx=pick GROUP BY 1)
+s AS (SELECT ses, avg(d) AS m FROM l GROUP BY 1), z AS (SELECT rep, x/w AS m FROM {sql_resampled('s', 'ses', {'x': 'm'}, N_SESSIONS, 'ss15')})
 SELECT (SELECT round(avg(m),6) FROM s) AS mean_diff, round(quantile_cont(m,0.025),4) AS lo, round(quantile_cont(m,0.975),4) AS hi, quantile_cont(m,0.025)>0 AS wins FROM z""")
 def ss15(t):
     l = with_previous(t).where("y_a is not null and pa is not null").select("ses", (F.abs(F.col("y_a") - F.col("pa")) - F.abs(F.col("y_a") - 4.0)).alias("d"))
     s = l.groupBy("ses").agg(F.avg("d").alias("m"))
-    b = bootstrap_mean(s, [], "ses", "m", N_BOOT, "ss15").withColumn("_j", F.lit(0))
+    b = bootstrap_mean(s, [], "ses", "m", N_SESSIONS, "ss15").withColumn("_j", F.lit(0))
     return s.agg(F.avg("m").alias("mean_diff"), F.lit(0).alias("_j")).join(b, "_j").select(R6(F.col("mean_diff")).alias("mean_diff"), R4(F.col("lo")).alias("lo"), R4(F.col("hi")).alias("hi"), (F.col("lo") > 0).alias("wins"))
 
 
