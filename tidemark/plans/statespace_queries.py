@@ -11,7 +11,7 @@ from ..functions.tails import chi2_sf
 from ..operators import statespace as ss
 from ..operators.quantiles import quantiles
 from ..operators.whiteness import ljung_box
-from ..operators.ordered import gaps
+from ..operators.ordered import gaps, union_all
 from ..operators.resample import bootstrap_mean
 from ..session import cut_lineage
 from ..sources.tables import EV
@@ -380,9 +380,23 @@ def kf21(t):
     return m.join(F.broadcast(b), "shared").select("ds", "shared", "k", F.round("total_ll", 5).alias("total_ll"))
 
 
-@query("ss17_likelihood_ratio", f"""WITH RECURSIVE {SC}, g AS (SELECT ses%2 AS grp, pid, sum(ll) AS ll FROM sc GROUP BY 1,2), f AS (SELECT sum(m) AS ll FROM (SELECT max(ll) AS m FROM g GROUP BY grp)), p AS (SELECT max(ll) AS ll FROM (SELECT pid,sum(ll) AS ll FROM sc GROUP BY 1)) SELECT round(2*(f.ll-p.ll),5) AS lr FROM f, p""")
+@query("ss17_likelihood_ratio", f"""WITH RECURSIVE {SC}, g AS (SELECT ses%2 AS grp, pid, sum(ll) AS ll FROM sc GROUP BY 1,2), p AS (SELECT max(ll) AS ll FROM (SELECT pid,sum(ll) AS ll FROM sc GROUP BY 1)),
+m AS (SELECT 'both' AS test, 2 AS df, (SELECT sum(m) FROM (SELECT max(ll) AS m FROM g GROUP BY grp)) AS ll
+ UNION ALL SELECT 'k_inh', 1, (SELECT max(s) FROM (SELECT sum(m) AS s FROM (SELECT grp, pid%3 AS shared, max(ll) AS m FROM g GROUP BY 1,2) GROUP BY shared))
+ UNION ALL SELECT 'k_d', 1, (SELECT max(s) FROM (SELECT sum(m) AS s FROM (SELECT grp, pid//3 AS shared, max(ll) AS m FROM g GROUP BY 1,2) GROUP BY shared))),
+r AS (SELECT test, df, greatest(2*(m.ll-p.ll),0.0) AS lr FROM m, p)
+SELECT test, df, round(lr,5) AS lr, round(CASE df WHEN 2 THEN exp(-lr/2) ELSE 1-2*sqrt(lr)/1200.0*(SELECT sum((CASE WHEN k=0 OR k=400 THEN 1 WHEN k%2=1 THEN 4 ELSE 2 END)*exp(-lr*k*k/320000.0)/sqrt(2*pi())) FROM range(0,401) q(k)) END,6) AS p FROM r""")
 def ss17(t):
-    s = cut_lineage(scores(t))
-    full = s.groupBy((F.col("ses") % 2).alias("grp"), "pid").agg(F.sum("ll").alias("ll")).groupBy("grp").agg(F.max("ll").alias("m")).agg(F.sum("m").alias("f"))
-    pool = s.groupBy("pid").agg(F.sum("ll").alias("ll")).agg(F.max("ll").alias("p"))
-    return full.join(F.broadcast(pool)).select(F.round(2 * (F.col("f") - F.col("p")), 5).alias("lr"))
+    """Group-specific rates against shared ones: both rates (2 df) and one rate at a time (1 df)."""
+    g = cut_lineage(scores(t).groupBy((F.col("ses") % 2).alias("grp"), "pid").agg(F.sum("ll").alias("ll")))
+    pool = g.groupBy("pid").agg(F.sum("ll").alias("ll")).agg(F.max("ll").alias("pooled"))
+
+    def own(shared):
+        each = g.groupBy("grp", shared.alias("shared")).agg(F.max("ll").alias("m"))
+        return each.groupBy("shared").agg(F.sum("m").alias("s")).agg(F.max("s").alias("ll"))
+
+    tests = union_all([own(c).select(F.lit(n).alias("test"), F.lit(df).alias("df"), "ll") for n, df, c in (
+        ("both", 2, F.lit(0)), ("k_inh", 1, F.col("pid") % 3), ("k_d", 1, F.floor(F.col("pid") / 3)))])
+    d = tests.join(F.broadcast(pool)).withColumn("lr", F.greatest(2 * (F.col("ll") - F.col("pooled")), F.lit(0.0)))
+    return d.select("test", "df", F.round("lr", 5).alias("lr"), R6(chi2_sf(F.col("lr"), F.col("df").cast("double"))).alias("p"))
+
