@@ -34,10 +34,12 @@ def packed(obs, keys=("ses",)):
         F.col("t").cast("double").alias("t"), F.col("kind").cast("double").alias("kind"), F.col("v0").cast("double").alias("v0"), F.col("v1").cast("double").alias("v1")))).alias("_e"))
     nan = F.lit(float("nan"))
     arr = lambda f, fill=False: F.transform("_e", lambda e: F.coalesce(e[f], nan) if fill else e[f])
+    out = g.select(*keys, "chunk", arr("t").alias("t"), arr("kind").alias("kind"), arr("v0", True).alias("v0"), arr("v1", True).alias("v1"))
+    # What a chunk needs of the others is a slim table: one time per chunk, not its rows.
     w = Window.partitionBy(*keys).orderBy("chunk")
-    out = g.select(*keys, "chunk", arr("t").alias("t"), arr("kind").alias("kind"), arr("v0", True).alias("v0"), arr("v1", True).alias("v1")).withColumns(
-        {"t_prev": F.lag(F.element_at("t", -1)).over(w), "n_chunks": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    return spread(out, *keys, "chunk")
+    slim = g.select(*keys, "chunk", F.element_at("_e", -1)["t"].alias("_last")).select(
+        *keys, "chunk", F.lag("_last").over(w).alias("t_prev"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n_chunks"))
+    return spread(out.join(slim, [*keys, "chunk"]), *keys, "chunk")
 
 
 def score(obs, grid, keys=("ses",), use_eeg=True, use_rating=True):

@@ -85,8 +85,9 @@ def fdr_bh(tests, p, q=0.05, order=()):
     n = c.agg(F.sum("_c").alias("_n"))
     r = running(c, [], ["_p"], sums={"_rank": F.col("_c")}).join(F.broadcast(n)).withColumn("_v", F.col("_p") * F.col("_n") / F.col("_rank"))
     w = Window.orderBy(F.desc("_b"))
-    # Suffix minimum in two steps: within a value bucket, then over the bucket minima.
-    r = r.withColumn("_b", F.floor(F.col("_p") * 1024))
+    # Suffix minimum in two steps: within a bucket of ranks, so that small p-values fill no
+    # bucket of their own, then over the bucket minima.
+    r = r.withColumn("_b", F.floor(F.col("_rank") * 1024 / F.col("_n")))
     tail = r.groupBy("_b").agg(F.min("_v").alias("_m")).select("_b", F.min("_m").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
     inner = Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     adj = r.join(F.broadcast(tail), "_b").select("_p", F.least(F.min("_v").over(inner), F.coalesce("_later", F.lit(1.0)), F.lit(1.0)).alias("p_adj"))
