@@ -99,3 +99,21 @@ def test_equal_left_rows_of_a_tolerance_join_all_come_back(spark):
     right = spark.createDataFrame([(1, 0.52, "near")], "n long, x double, tag string")
     assert [r["tag"] for r in tolerance_join(left, right, ["n"], {"x": 0.1}, ["x_r"]).collect()] == ["near", "near"]
     assert tolerance_join(left, right, ["n"], {"x": 0.1}, ["x_r"], first_only=False).count() == 2
+
+
+def test_a_burst_and_text_order_are_cut_by_rows(spark):
+    from tidemark.operators import ordered
+    from tidemark.session import CHUNK_ROWS_KEY, DEFAULT_CHUNK_ROWS
+
+    rows = [("k", 5.0 if i < 990 else float(i), f"id{i:04d}") for i in range(1000)]
+    d = spark.createDataFrame(rows, "key string, t double, name string")
+    spark.conf.set(CHUNK_ROWS_KEY, "100")
+    try:
+        chunks = ordered.with_chunks(d, ["key"], ["t", "name"], 100, 1000).groupBy("_chunk").count().collect()
+        assert max(r["count"] for r in chunks) <= 250
+        got = {r["name"]: r["idx"] for r in ordered.numbered(d, ["key"], ["name"]).collect()}
+        assert got == {f"id{i:04d}": i + 1 for i in range(1000)}
+        burst = {r["name"]: r["idx"] for r in ordered.numbered(d, ["key"], ["t", "name"]).collect()}
+        assert burst == {f"id{i:04d}": i + 1 for i in range(1000)}
+    finally:
+        spark.conf.set(CHUNK_ROWS_KEY, str(DEFAULT_CHUNK_ROWS))

@@ -1,19 +1,18 @@
 """Ordered analytics per key that keep working when one key is huge.
 
-A plain window sorts a whole key in one task.  Here keys above a row limit are cut into
-time chunks; each chunk is scanned on its own and a small table of chunk summaries
-supplies what earlier chunks carry in.  When no key is above the limit the plain window
-is used, at the cost of one count per key.
-
-Both broadcast tables are bounded: there are at most N/limit hot keys and, with two or
-more chunks each, at most about 2N/limit chunk summaries for N input rows.
+A plain window sorts a whole key in one task.  Here, when some key is above a row limit,
+rows are range-partitioned on their keys and order columns, whatever the types; a
+partition is a chunk, so chunks have about equal numbers of rows however the rows lie in time.
+Each chunk is scanned on its own and a table of one summary per (key, chunk) supplies what
+earlier chunks carry in.  When no key is above the limit the plain window is used, at the
+cost of one count per key.
 """
 
 from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from ..session import chunk_rows
+from ..session import chunk_rows, cut_lineage
 
 _ONE = "_all"
 
@@ -26,50 +25,37 @@ def _keyed(df, keys):
 _DECIDED = {}
 
 
-def _decide(mark, hot):
-    """Whether the small relation `hot` has rows, remembered per logical plan."""
+def rows_above(df, keys, rows):
+    """(rows of keys with more than `rows` rows, all rows), remembered per logical plan.
+
+    A stale answer costs time, never rows.
+    """
+    mark = (id(df.sparkSession), df.semanticHash(), tuple(keys), rows)
     if mark not in _DECIDED:
         if len(_DECIDED) > 10_000:
             _DECIDED.clear()
-        _DECIDED[mark] = not hot.isEmpty()
+        n = F.col("_n")
+        found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.when(n > rows, n)).alias("hot"), F.sum(n).alias("all")).first()
+        _DECIDED[mark] = (found["hot"] or 0, found["all"] or 0)
     return _DECIDED[mark]
 
 
 def any_above(df, keys, rows):
     """Whether any key has more than `rows` rows (one combined count)."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    return _decide((id(df.sparkSession), df.semanticHash(), tuple(keys), None, rows), hot)
+    return rows_above(df, keys, rows)[0] > 0
 
 
-def hot_keys(df, keys, t, rows=None):
-    """(keys, _lo, _w) of the keys above the row limit, or None when there are none.
+def with_chunks(df, keys, order, rows, total):
+    """Add `_chunk`: the number of the row's range partition over keys and order.
 
-    One column-pruned count decides whether a job needs the chunked form at all.  The
-    answer is remembered per logical plan; a stale answer costs time, never rows.
+    Written to the checkpoint folder, so that all readers see the same chunks.
     """
-    rows = rows or chunk_rows(df.sparkSession)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(t).cast("double").alias("_lo"), F.max(t).cast("double").alias("_hi"))
-        .where(F.col("_n") > rows)
-        .select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(rows))).alias("_w"))
-    )
-    return hot if _decide((id(df.sparkSession), df.semanticHash(), tuple(keys), t, rows), hot) else None
-
-
-def with_chunks(df, keys, t, hot):
-    """Add `_chunk` (0 for normal keys) and `_hot` from the time density of hot keys."""
-    d = df.join(hot, list(keys), "left")
-    at = F.floor((F.col(t).cast("double") - F.col("_lo")) / F.col("_w"))
-    return (
-        d.withColumn("_hot", F.col("_w").isNotNull())
-        .withColumn("_chunk", F.when(F.col("_w") > 0, at).otherwise(F.lit(0)).cast("long"))
-        .drop("_lo", "_w")
-    )
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id().cast("long")))
 
 
 def running(df, keys, order, sums=None, lags=None, lasts=None, rows=None, root=None):
-    """Running values per key in `order` (first order column numeric).
+    """Running values per key in `order`.
 
     sums:  {out: column} running sum up to and including the row
     lags:  {out: column} the value on the previous row
@@ -82,11 +68,11 @@ def running(df, keys, order, sums=None, lags=None, lasts=None, rows=None, root=N
     vals.update({f"_g_{k}": F.struct(c.alias("v")) for k, c in lags.items()})
     vals.update({f"_f_{k}": F.when(c.isNotNull(), F.struct(c.alias("v"))) for k, c in lasts.items()})
     names = [c for c in df.columns if c != _ONE and c not in {**sums, **lags, **lasts}]
-    hot = hot_keys(*root, order[0], rows) if root else None
-    if root is None or hot is not None:
-        hot = hot_keys(df, ks, order[0], rows)
+    rows = rows or chunk_rows(df.sparkSession)
+    hot = any_above(*root, rows) if root else True
+    hot = hot and any_above(df, ks, rows)
     d = df.withColumns(vals)
-    if hot is None:
+    if not hot:
         w = Window.partitionBy(*ks).orderBy(*order)
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         return d.select(
@@ -95,13 +81,13 @@ def running(df, keys, order, sums=None, lags=None, lasts=None, rows=None, root=N
             *[F.lag(f"_g_{k}").over(w)["v"].alias(k) for k in lags],
             *[F.last(f"_f_{k}", True).over(upto)["v"].alias(k) for k in lasts],
         )
-    d = with_chunks(d, ks, order[0], hot)
+    d = with_chunks(d, ks, order, rows, rows_above(df, ks, rows)[1])
     o = F.struct(*[F.col(c) for c in order])
     aggs = [F.sum(f"_s_{k}").alias(f"_cs_{k}") for k in sums]
     aggs += [F.max_by(f"_g_{k}", o).alias(f"_cg_{k}") for k in lags]
     aggs += [F.max_by(f"_f_{k}", F.when(F.col(f"_f_{k}").isNotNull(), o)).alias(f"_cf_{k}") for k in lasts]
     before = Window.partitionBy(*ks).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = d.where("_hot").groupBy(*ks, "_chunk").agg(*aggs)
+    parts = d.groupBy(*ks, "_chunk").agg(*aggs)
     carry = parts.select(
         *ks,
         "_chunk",

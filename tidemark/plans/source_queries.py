@@ -141,8 +141,9 @@ def sc13(t):
     return t.spark.read.csv(path, header=True, schema="n_nationkey int, n_name string, n_customers long")
 
 
-NAMED = ("customer", "events", "lineitem", "nation", "orders", "part", "supplier")
-WIDTHS = {"customer": 5, "events": 6, "lineitem": 11, "nation": 3, "orders": 6, "part": 6, "supplier": 4}
+WIDTHS = {"benchmark": 2, "conversations": 4, "customer": 5, "documents": 5, "embeddings": 3, "events": 6, "labels": 3, "lineitem": 11, "nation": 3,
+          "orders": 6, "pages": 3, "part": 6, "region": 2, "supplier": 4}
+NAMED = tuple(WIDTHS)
 
 
 @query("sc14_dataset_catalogue", " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n_rows, {WIDTHS[n]} AS n_cols FROM {n}" for n in NAMED))
