@@ -22,9 +22,10 @@ from ..session import cut_lineage, stored
 DIMS = 8                 # of the projection; even, for the closed form of the chi-square distribution
 STOP = 0.95              # probability of the stopping test, a lower bound of the expected recall
 SAMPLE = 20_000          # projected vectors that the upper kd-tree is fitted on
-LEAF_ROWS = 2_048        # units an upper leaf aims at
+LEAF_ROWS = 8_192        # units an upper leaf aims at
 MOST_LEAVES = 1_024      # bounds the upper tree and its boxes, which are broadcast
-BLOCK = 4_096            # units, and queries, that one task searches at once
+BLOCK = 16_384           # units of a leaf that one task searches at once
+ASKED = 4_096            # queries that it answers at once
 INNER_ROWS = 128         # units of a leaf inside a task
 SALTS = 64
 
@@ -85,8 +86,8 @@ def box_distance(queries, low, high):
 def search(vectors, points, queries, query_points, bounds, largest, k, stop=STOP):
     """(scores, rows), each (queries, k): the best inner products that the incremental search verifies.
 
-    bounds holds a squared distance per query within which k vectors are known already; missing
-    places have row -1.
+    bounds holds a squared distance per query within which k vectors are known already, so that nothing
+    beyond it is returned; missing places have row -1.
     """
     n = len(vectors)
     leaves = 1 << max(0, int(np.ceil(np.log2(max(1, n / INNER_ROWS)))))
@@ -119,7 +120,8 @@ def search(vectors, points, queries, query_points, bounds, largest, k, stop=STOP
                 scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
             place = np.argsort(-scores, axis=1, kind="stable")
             best[who], rows[who] = np.take_along_axis(scores, place, 1), np.take_along_axis(names, place, 1)
-    return best, rows
+    beyond = norms[:, None] + largest - 2 * best > (bounds * (1 + 1e-9))[:, None]
+    return best, np.where(beyond, -1, rows)
 
 
 def _matrix(table, column):
@@ -187,7 +189,7 @@ def nearest(vectors, is_query, k=20, id_col="vec_id", vector_col="embedding", st
 
     def visit(asked):
         """Results of the queries (u, vec, point, bound, leaf) in all blocks of their leaves."""
-        chunks = asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        chunks = asked.groupBy("leaf").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("chunks"))
         sizes = F.broadcast(chunks.join(subs, "leaf"))           # at most MOST_LEAVES rows
         d = data.join(sizes, "leaf").select("u", "vec", "point", "leaf", F.pmod(F.xxhash64("u"), F.col("subs")).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         q = asked.join(sizes, "leaf").select(F.col("u").alias("q"), F.col("vec").alias("query"), F.col("point").alias("query_point"), "bound", F.col("leaf").alias("at"), F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("part"), F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int").alias("share"))
