@@ -141,3 +141,21 @@ def test_clusters_need_no_channel_zero(spark):
     d = spark.createDataFrame(rows, "test int, subject int, ch int, diff double")
     r = clusters.cluster_permutation(d, [(1, 2), (2, 3)], 50, "t").first()
     assert r["n_channels"] == 3 and r["p"] < 0.05
+
+
+def test_documents_have_the_phrases_of_a_plain_parse(spark):
+    from tidemark.plans import load_all
+
+    def parse(t):
+        count, start = 0, 0
+        for i in range(len(t)):
+            if t[start:i + 1] not in t[:i]:
+                count, start = count + 1, i + 1
+        return count + (start < len(t))
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["phrases"] for r in load_all()[0]["fe1_phrase_count_documents"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    short = [d for d, t in texts.items() if t is not None and len(t) < 3000]
+    assert len(short) > 50 and all(got[d] == parse(texts[d]) for d in short)

@@ -82,6 +82,12 @@ def fe1t(t):
     return t.benchmark.select(F.col("item_id").alias("unit"), cx.phrase_count_long(F.col("text")).cast("long").alias("phrases"))
 
 
+@query("fe1_phrase_count_documents")
+def fe1d(t):
+    """Whole documents; a recursive SQL twin would be quadratic in their length."""
+    return t.documents.select("doc_id", cx.phrase_count_long(F.col("text")).cast("long").alias("phrases"))
+
+
 @query("fe3_normalised_complexity", f"WITH RECURSIVE {S64}, sh AS (SELECT unit, string_agg(substr(s,k,1),'' ORDER BY md5(concat_ws('|','fe3',unit,k)), substr(s,k,1)) AS s FROM bs, range(1,65) r(k) GROUP BY 1), {lz_sql('bs')}, {lz_sql('sh', out='ls')} SELECT lz.unit, round({norm_sql('lz.c', 'lz.s')},6) AS entropy_norm, round(lz.c/ls.c::DOUBLE,6) AS shuffle_norm FROM lz JOIN ls USING (unit)")
 def fe3(t):
     s = F.col("s")
