@@ -59,12 +59,18 @@ def score(obs, grid, keys=("ses",), use_eeg=True, use_rating=True):
     return out.select(*keys, F.posexplode("ll").alias("pid", "ll")).groupBy(*keys, F.col("pid").cast("long").alias("pid")).agg(F.sum("ll").alias("ll"))
 
 
-def score_scoped(obs, grids):
-    """score() with one grid per scope: obs(scope, ses, ..), grids(scope, g)."""
+def packed_scopes(obs):
+    """(chunks, whether any session has several) of obs(scope, ses, ..), packed and kept once for many grids."""
+    chunks = cut_lineage(packed(obs, ["scope", "ses"]))
+    return chunks, not chunks.where("n_chunks > 1").isEmpty()
+
+
+def score_scoped(chunks, several, grids):
+    """score() of packed_scopes with one grid per scope: grids(scope, g)."""
     keys = ["scope", "ses"]
-    d = packed(obs, keys).join(grids.withColumnRenamed("g", "grid"), "scope")
+    d = chunks.join(grids.withColumnRenamed("g", "grid"), "scope")
     out = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid").alias("ll"))
-    if _has_long(obs, keys):
+    if several:
         out = out.unionByName(_chained(d, keys, True, True).select(*keys, "ll"))
     return out.select(*keys, F.posexplode("ll").alias("pid", "ll"))
 

@@ -152,10 +152,10 @@ def kf7(t):
 
 @query("kf7_zoomed_estimates")
 def kf7z(t):
-    """Coordinate-wise zoom: per scope a grid around its current best, two rounds."""
-    obs = cut_lineage(scopes(observations(t)).where(~F.col("scope").startswith("sub")))
-    best = obs.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES]))
-    names = ("k_inh", "k_d", "alpha", "sigma_A")
+    """Coordinate-wise zoom: per pooled, group and subject scope a grid around its current best, two rounds."""
+    chunks, several = ss.packed_scopes(scopes(observations(t)))
+    best = chunks.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES]))
+    names = ("k_inh", "k_d", "alpha", "beta", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
     for width in (0.5, 0.2):
         for n in names:
             i = kf.NAMES.index(n)
@@ -164,7 +164,7 @@ def kf7z(t):
             sets = F.array(*[scaled(f) for f in axis])
             g = best.select("scope", "theta").withColumn("g", sets)
             # The scope's grid travels with each of its sessions.
-            s = ss.score_scoped(obs, g.select("scope", "g"))
+            s = ss.score_scoped(chunks, several, g.select("scope", "g"))
             win = s.groupBy("scope", "pid").agg(F.sum("ll").alias("ll")).groupBy("scope").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
             best = cut_lineage(g.join(win, "scope").select("scope", F.get("g", F.col("pid").cast("int")).alias("theta"), "ll"))
     return best.select("scope", *[R6(F.col("theta")[kf.NAMES.index(n)]).alias(n) for n in names], R4(F.col("ll")).alias("ll"))
