@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from .common import held_out
 from .fingerprints import edits
 from .langid import identify, train
@@ -59,8 +59,9 @@ def op10(spark, sf_dir):
     write_archives(table(spark, sf_dir, "pages"), path)
     page = F.nullif(F.regexp_extract("record_id", r"^<urn:page:(-?\d*)", 1), F.lit("")).cast("long")
     refers = F.nullif(F.regexp_extract("refers_to", r"^<urn:page:(-?\d*)", 1), F.lit("")).cast("long")
-    read = read_archives(spark, path, with_payload=False).select(
-        page.alias("page_id"), F.col("type").alias("record_type"), F.substring_index("digest", ":", -1).alias("payload_digest"), "payload_bytes", refers.alias("refers_to"))
+    # The archives are read once; what is kept of a record is small.
+    read = stored(read_archives(spark, path, with_payload=False).select(
+        page.alias("page_id"), F.col("type").alias("record_type"), F.substring_index("digest", ":", -1).alias("payload_digest"), "payload_bytes", refers.alias("refers_to")))
     responses = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
     return read.join(responses, "payload_digest", "left").select(
         "page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
