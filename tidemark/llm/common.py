@@ -22,6 +22,23 @@ def held_out(doc_id, folds=5):
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
+#: Texts that an Arrow batch may hold.
+BATCH = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df):
+    """df, in a session whose Arrow batches hold at most BATCH rows.
+
+    Texts may be long, and a task holds several copies of a batch, on both sides of the
+    pipe. The plan reads the setting when it runs, so it stays set in the session.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH:
+        conf.set(_BATCH_KEY, str(BATCH))
+    return df
+
+
 def shuffle_count(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -29,10 +46,11 @@ def shuffle_count(df):
 def worker_state(key, make):
     """What make() returned the first time this Python worker asked for `key`; workers outlive tasks.
 
-    Only the latest value of each kind (the first part of the key) is held.
+    A worker holds one such value at a time, so that one stage's tables do not burden the next.
     """
     held = sys.modules.setdefault("tidemark_worker_state", types.ModuleType("tidemark_worker_state")).__dict__
-    kind = f"state_{key[0]}"
-    if kind not in held or held[kind][0] != key:
-        held[kind] = (key, make())
-    return held[kind][1]
+    if held.get("state_key") != key:
+        held.pop("state", None)
+        held["state"] = make()
+        held["state_key"] = key
+    return held["state"]

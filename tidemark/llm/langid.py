@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import held_out, worker_state
+from .common import held_out, text_batches, worker_state
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -88,7 +88,7 @@ def train(docs, id_col="doc_id", text_col="text", lang_col="lang", per_language=
         return [], np.zeros(0), np.zeros((0, BUCKETS + 1), dtype="float32")
     part = F.create_map(*(x for v in langs for x in (F.lit(v), F.lit(min(1.0, per_language / sizes[v])))))
     sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20)) & F.col("text").isNotNull())
-    got = sample.select("text", "lang").mapInPandas(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = text_batches(sample.select("text", "lang")).mapInPandas(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), BUCKETS))
     counts[got["lang"], got["bucket"]] = got["n"]
     logp = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
@@ -149,5 +149,5 @@ def identify(docs, model, text_col="text", lang_out="lang_pred", score_out="lang
         return pd.DataFrame({"lang": lang, "score": score})
 
     out = "__language"
-    marked = docs.withColumn(out, predict(docs[text_col].cast("string")))
+    marked = text_batches(docs).withColumn(out, predict(docs[text_col].cast("string")))
     return marked.withColumn(lang_out, F.col(f"{out}.lang")).withColumn(score_out, F.col(f"{out}.score")).drop(out)

@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from ..session import cut_lineage, stored
-from .common import shuffle_count
+from .common import shuffle_count, text_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -211,7 +211,7 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", radius=RADIUS, carry
     Equal texts are linked; repeated rows are kept. Null ids take part in links but name no component
     unless nothing else does. An empty table gives an empty result. carry holds further columns, with names of their own.
     """
-    rows = stored(docs.select(docs[id_col].alias("id"), fingerprint_of(docs[text_col].cast("string")).alias("fp"), *carry))
+    rows = stored(text_batches(docs).select(docs[id_col].alias("id"), fingerprint_of(docs[text_col].cast("string")).alias("fp"), *carry))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -229,7 +229,8 @@ def keep_one(docs, id_col="doc_id", text_col="text", radius=RADIUS):
     tag = F.xxhash64(*(docs[c] for c in docs.columns))
     rows = stored(near_duplicates(docs, id_col, text_col, radius, [tag.alias("tag")]).select("id", "tag", "root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
-    chosen = rows.groupBy("root").agg(F.min(rank).alias("best"))
+    # A table of its own, so that the join deals its rows anew and can split a large group.
+    chosen = stored(rows.groupBy("root").agg(F.min(rank).alias("best")))
     marked = rows.join(chosen, "root").withColumn("kept", F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.tag") == F.col("tag")))
     sets = marked.groupBy("id", "tag").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     out = stored(sets.where(~F.col("kept") | (F.col("n") > 1)))

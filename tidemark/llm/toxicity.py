@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..session import stored
-from .common import held_out, worker_state
+from .common import held_out, text_batches, worker_state
 
 # Insults that a lexicon voter looks for, by language.
 LEXICON = {
@@ -169,7 +169,7 @@ def train(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", sam
     chosen = stored(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)))
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "id").select("text", "toxic")      # about `sample` rows are broadcast
-    counts = rows.mapInPandas(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = text_batches(rows).mapInPandas(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     classes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n_pos, n_neg = classes.get(1, 0), classes.get(0, 0)
     if not n_pos or not n_neg:
@@ -211,4 +211,4 @@ def score(docs, model, text_col="text", score_out="score"):
             out[i] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return pd.Series(out)
 
-    return docs.withColumn(score_out, toxicity(docs[text_col].cast("string")))
+    return text_batches(docs).withColumn(score_out, toxicity(docs[text_col].cast("string")))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 # Fixed values of the record format.
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -107,7 +109,7 @@ def write_archives(pages, path, id_col="page_id", url_col="url", payload_col="ht
     first = rows.groupBy("sha1").agg(F.max("page").alias("first"))
     rows = rows.join(first, "sha1").select(
         F.coalesce(F.col("page").cast("string"), F.lit("none")).alias("page"), "url", "payload", "sha1", F.col("first").cast("string").alias("first"))
-    records = rows.mapInPandas(_write_rows(segment_chars, chunk_chars), "value string")
+    records = text_batches(rows).mapInPandas(_write_rows(segment_chars, chunk_chars), "value string")
     # A row of the text sink is a record without its end mark, and the sink's separator is that mark.
     (records.write.option("lineSep", CRLF * 2).option("compression", "gzip")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
