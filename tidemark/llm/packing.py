@@ -18,14 +18,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import worker_state
+from .common import text_batches, worker_state
 
 CAPACITY = 4096
 END_ID = 1
 STEPS = 512                # pattern lengths are multiples of CAPACITY / STEPS
 PATTERN_DOCS = 3
-ROWS_PER_TASK = 20_000     # pieces of one length that one ranking task aims at
-CACHE = 500_000            # distinct chunks a worker keeps the ids of
+ROWS_PER_TASK = 1_000      # pieces of one length that one ranking task aims at
+CACHE = 600_000            # distinct chunks a worker keeps the ids of
+SEEN = 1 << 22
 MARKS = ".,"
 
 
@@ -48,31 +49,39 @@ class ChunkTokenizer:
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {}        # what a letter becomes for the model
         self.cache = {}
+        self.seen = bytearray(SEEN)      # chunks, by hash, that have been met once
 
     def encode(self, text):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_word(self, word):
         """Ids of a run of plain letters (code points below 0x250, which normalization leaves alone)."""
-        letters = self.letters
-        for c in word:
-            if c not in letters:
-                letters[c] = self.bytes.pre_tokenize_str(c)[0][0]
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[c] for c in word]))]).tobytes()
+        if not word.isascii():
+            letters = self.letters
+            for c in word:
+                if c not in letters:
+                    letters[c] = self.bytes.pre_tokenize_str(c)[0][0]
+            word = "".join([letters[c] for c in word])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def learn(self, chunk):
-        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha():
+        if chunk.isalpha():
+            if chunk.isascii() or (max(chunk) < "\u0250" and "\u0130" not in chunk):
+                low = chunk.lower()
+                return self.encode_word(low) if low == chunk else self.find(low)
+        elif chunk[-1] in MARKS and len(chunk) > 1 and chunk[-2].isalpha():
             return self.find(chunk[:-1]) + self.find(chunk[-1])
-        if chunk.isalpha() and max(chunk) < "\u0250" and "\u0130" not in chunk:
-            low = chunk.lower()
-            return self.encode_word(low) if low == chunk else self.find(low)
         return self.encode(chunk)
 
     def find(self, chunk):
         got = self.cache.get(chunk)
         if got is None:
             got = self.learn(chunk)
-            if len(self.cache) < CACHE:
+            # Most distinct chunks never come back; the second meeting earns a place.
+            at = hash(chunk) & (SEEN - 1)
+            if not self.seen[at]:
+                self.seen[at] = 1
+            elif len(self.cache) < CACHE:
                 self.cache[chunk] = got
         return got
 
@@ -112,7 +121,7 @@ def tokenize(docs, definition, id_col="doc_id", text_col="text", capacity=CAPACI
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInPandas(_tokenize(shared, capacity, end_id, with_ids),
+    return text_batches(rows).mapInPandas(_tokenize(shared, capacity, end_id, with_ids),
                             "doc long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
 
 
