@@ -221,13 +221,17 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", radius=RADIUS, carry
 
 
 def keep_one(docs, id_col="doc_id", text_col="text", radius=RADIUS):
-    """docs with one row of every near-duplicate group: that with the smallest id, nulls last.
+    """docs with one row of every near-duplicate group: that with the smallest id, nulls last."""
+    tag = F.xxhash64(*(docs[c] for c in docs.columns))
+    return keep_least(docs, stored(near_duplicates(docs, id_col, text_col, radius, [tag.alias("tag")]).select("id", "tag", "root")), tag, id_col)
+
 
-    A row is known by its id and a hash of all its columns. Only the rows to drop are looked up, so
+def keep_least(docs, rows, tag, id_col="doc_id"):
+    """docs with one row of every root: that with the smallest id, nulls last; rows has (id, tag, root).
+
+    A row is known by its id and `tag`, a hash of all its columns. Only the rows to drop are looked up, so
     the texts stay where they are as long as those rows are few enough to broadcast by their measured size.
     """
-    tag = F.xxhash64(*(docs[c] for c in docs.columns))
-    rows = stored(near_duplicates(docs, id_col, text_col, radius, [tag.alias("tag")]).select("id", "tag", "root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     # A table of its own, so that the join deals its rows anew and can split a large group.
     chosen = stored(rows.groupBy("root").agg(F.min(rank).alias("best")))
