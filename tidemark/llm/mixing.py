@@ -4,7 +4,7 @@ Each source has a weight schedule over training time 0 to 1, given by its shape
 Its integral is the source's cumulative demand, scaled so that the whole run demands the source's
 target. A source's documents lie one after another on its axis of words, in an order fixed
 by a hash, pass after pass; the words below the target are taken, and inverting the cumulative
-demand at a document's first word gives its training position, by which the mix is range-sorted.
+demand at the first word of each pass of a document gives its training position, by which the mix is range-sorted.
 """
 
 from pyspark.sql import Window
@@ -58,15 +58,8 @@ def position(share, shape):
     return F.least(F.lit(1.0), (F.lit(-1.0) + i + inside) / n)
 
 
-def mix(docs, weights=WEIGHTS, shapes=SHAPES, most=MOST_PASSES, id_col="doc_id", text_col="text", source_col="source", keep=()):
-    """(id, size, source, source_size, target, taken, passes, position, *keep) for every row of docs.
-
-    size counts words (null text: 0). taken is the number of words the mix takes from the row,
-    over `passes` whole or cut repeats; position, from 0 to 1, is the training time of the first of
-    them and null where none is taken. Rows without words are never taken. The order inside a source is that of
-    md5 over id and text length, so reruns agree; repeated rows are rows of their own. Null sources form
-    one source. An empty table gives an empty result. `keep` names columns of docs to pass on under "kept_<name>".
-    """
+def placed(docs, weights, shapes, most, id_col, text_col, source_col, keep):
+    """Every row of docs with its place `at` on its source's axis, the source's size, target and shape, and `parts`, the words taken in each pass."""
     text = text_of(docs, text_col)
     rows = docs.select(
         docs[id_col].alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), docs[source_col].cast("string").alias("source"),
@@ -87,17 +80,42 @@ def mix(docs, weights=WEIGHTS, shapes=SHAPES, most=MOST_PASSES, id_col="doc_id",
     joined = rows.join(starts, ["axis", "stretch"]).withColumn("at", F.col("start") + F.col("inner"))
     goal = F.floor("target")
     left = [F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("at") - F.col("source_size") * p)) for p in range(most)]
-    taken, passes = left[0], F.when(left[0] > 0, 1).otherwise(0)
-    for x in left[1:]:
-        taken, passes = taken + x, passes + F.when(x > 0, 1).otherwise(0)
     shape = F.element_at(F.array(*(F.array(*map(F.lit, s)) for s in shapes)), (F.col("k") % len(shapes) + 1).cast("int"))
-    share = F.col("at") / F.col("target")
-    return joined.select(
-        "id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), passes.cast("int").alias("passes"),
-        F.when(left[0] > 0, position(share, shape)).alias("position"), *(f"kept_{c}" for c in keep))
+    return joined.withColumn("shape", shape).withColumn("parts", F.array(*(x.cast("long") for x in left)))
+
+
+def mix(docs, weights=WEIGHTS, shapes=SHAPES, most=MOST_PASSES, id_col="doc_id", text_col="text", source_col="source", keep=()):
+    """(id, size, source, source_size, target, taken, passes, position, *keep) for every row of docs.
+
+    size counts words (null text: 0). taken is the number of words the mix takes from the row,
+    over `passes` whole or cut repeats; position, from 0 to 1, is the training time of the first of
+    them and null where none is taken; mix_passes has that of every pass. Rows without words are never taken. The order inside a source is that of
+    md5 over id and text length, so reruns agree; repeated rows are rows of their own. Null sources form
+    one source. An empty table gives an empty result. `keep` names columns of docs to pass on under "kept_<name>".
+    """
+    rows = placed(docs, weights, shapes, most, id_col, text_col, source_col, keep)
+    return rows.select(
+        "id", "size", "source", "source_size", "target", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
+        F.size(F.filter("parts", lambda x: x > 0)).alias("passes"),
+        F.when(F.get("parts", F.lit(0)) > 0, position(F.col("at") / F.col("target"), F.col("shape"))).alias("position"), *(f"kept_{c}" for c in keep))
+
+
+def mix_passes(docs, weights=WEIGHTS, shapes=SHAPES, most=MOST_PASSES, id_col="doc_id", text_col="text", source_col="source", keep=()):
+    """(id, size, source, source_size, target, pass, taken, position, *keep) for every pass in which the mix takes words of a row of docs.
+
+    pass counts from 1, taken is the number of words taken in it and position the training time of its first word. All
+    else is as in `mix`, whose row for a document sums its passes and has the first one's position.
+    """
+    rows = placed(docs, weights, shapes, most, id_col, text_col, source_col, keep)
+    each = rows.select("*", F.posexplode("parts").alias("p", "taken")).where("taken > 0")
+    # The demand of each pass begins where the one before it ends.
+    share = (F.col("at") + F.col("source_size") * F.col("p")) / F.col("target")
+    return each.select(
+        "id", "size", "source", "source_size", "target", (F.col("p") + 1).alias("pass"), "taken", position(share, F.col("shape")).alias("position"),
+        *(f"kept_{c}" for c in keep))
 
 
 def curriculum(mixed):
-    """The mix range-partitioned and sorted by training position; rows that are not taken come last."""
+    """The mix, of documents or of passes, range-partitioned and sorted by training position; rows that are not taken come last."""
     order = [F.col("position").asc_nulls_last(), F.col("id").asc_nulls_last()]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
