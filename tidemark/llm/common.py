@@ -14,12 +14,12 @@ def text_of(df, column="text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def held_out(doc_id, folds=5):
-    """True for the fold that is never learnt from: crc32 of the id as text, modulo `folds`, is 0.
+def held_out(doc_id, folds=5, left_out=0):
+    """True for the fold that is never learnt from: crc32 of the id as text, modulo `folds`, is `left_out`.
 
     A null id counts as held out, so that it is never learnt from either.
     """
-    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == left_out, F.lit(True))
 
 
 #: Texts that an Arrow batch may hold.

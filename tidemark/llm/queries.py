@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, stored
 from .common import held_out
+from .divergence import LEAST_DOCS, TOP, audit
 from .fingerprints import edits
 from .langid import identify, train
 from .linededup import LEAST_PAGES, MOST_LOST, RATIO, drop_boilerplate
 from .mixing import curriculum, mix
 from .neighbours import nearest
 from .packing import pack, tokenize
+from .quality import score as score_quality, train as train_quality
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .toxicity import score, train as train_toxicity
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 QUERIES = {}
 ORACLES = {}
@@ -166,3 +169,44 @@ def op2(spark, sf_dir):
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_line_quality")
+def op11(spark, sf_dir):
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    """Every vector on the first four whitening components."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+_SHARE = "1 + 1000000000 * ({0} + 5)::HUGEINT // ({1} + 5 * {2})"
+
+
+@query("op13_source_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2 HAVING count(*) >= {LEAST_DOCS}),
+w AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY 1),
+s AS (SELECT c.lang, c.source, c.term, sum(c.n)::HUGEINT AS n FROM c JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN s USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT t.lang, t.source, k.term, coalesce(s.n, 0) AS n, {_SHARE.format("coalesce(s.n, 0)", "t.total", "w.v")} AS p, {_SHARE.format("k.n", "w.total", "w.v")} AS q
+  FROM t JOIN k USING (lang) JOIN w USING (lang) LEFT JOIN s ON s.lang = t.lang AND s.source = t.source AND s.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM y WHERE part = 'pair' OR rank <= {TOP}
+""")
+def op13(spark, sf_dir):
+    """Distances between the sources of a language, and the terms that mark each source."""
+    return audit(table(spark, sf_dir, "documents"))
