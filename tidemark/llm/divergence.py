@@ -13,22 +13,27 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..session import shared_dir, stored
+from .common import text_batches
 
-#: A term is a run of letters: ASCII letters or anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 30            # documents of the language that hold a kept term
 TOP = 50                   # terms reported of a source
 UNIT, PRIOR = 1_000_000_000, 5
 CELLS = 1 << 22            # numbers in a block of terms by sources
-_EVERY_TEXT = " "          # no term has a blank: this mark is in every document, so that no vocabulary is empty
+_EVERY_TEXT = "\x01"        # stands in every document, so that no vocabulary is empty; it is in no term
+# A term is a run of ASCII letters and of anything beyond ASCII: the bytes A-Z become a-z, all other ASCII a blank.
+_BYTES = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def terms(text):
-    """The terms of a text, in order; of ASCII, A-Z only are lower-cased."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+def spaced_terms(text):
+    """The terms of each text in order and then the mark, with one blank between."""
+    @pandas_udf("string")
+    def spaced(texts: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join([*t.encode("utf-8", "surrogatepass").translate(_BYTES).split(), b"\x01"]).decode("utf-8", "surrogatepass") for t in texts], dtype=object)
+
+    return spaced(text)
 
 
 def share(count, total, kept):
@@ -39,7 +44,7 @@ def share(count, total, kept):
 
 def _vectorised(spark, path, k, least_docs, out):
     """Counts per source and term of language k, and its vocabulary, written below `out`."""
-    rows = spark.read.parquet(f"{path}/k={k}")
+    rows = spark.read.parquet(f"{path}/k={k}").select("s", F.split("terms", " ").alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least_docs), vocabSize=(1 << 31) - 1).fit(rows)
     model.write().save(f"{out}/model/{k}")
     vectors = model.transform(rows).select("s", F.unwrap_udt("v").alias("v"))
@@ -115,11 +120,11 @@ def audit(docs, text_col="text", lang_col="lang", source_col="source", least_doc
 
     out = f"{shared_dir(spark)}/divergence/{uuid.uuid4().hex}"
     known = groups.where(F.col("docs") >= least_docs).select("lang", "source", "k", "s")
-    split = rows.join(known, ["lang", "source"]).select("k", "s", F.array_append(terms(F.col("text")), _EVERY_TEXT).alias("terms"))
+    split = rows.join(known, ["lang", "source"]).select("k", "s", spaced_terms("text").alias("terms"))
     no_terms = groups.where(F.col("docs") < least_docs)
     parts = []
     if large:
-        split.write.partitionBy("k").parquet(f"{out}/terms")
+        text_batches(split).write.partitionBy("k").parquet(f"{out}/terms")
         for k in large:
             _vectorised(spark, f"{out}/terms", k, least_docs, out)
         names = spark.read.schema("i int, term string, k int").parquet(f"{out}/names")
