@@ -1,87 +1,49 @@
 """Analytics of a memory store: novelty, write decisions, consolidation and retrieval."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 from .clusters import components
 from .ordered import top_n
-from .retrieval import _matrix, block_product
+from .passes import Earlier, Forest, Top, hashed_slots, streamed, whole_slots
 
 
-def _unit(series):
-    m = _matrix(series)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+def _slots(resident, other, triangle, hashed):
+    """Slots by hash tables where `hashed` = (tables, bits, seed, dims) is given, else of everything with everything."""
+    return hashed_slots(resident, other, *hashed) if hashed else whole_slots(resident, other, triangle)
 
 
-def novelty(items):
-    """items(id, v) -> 1 - largest cosine to an earlier id (1 for the first)."""
-    def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"qid": [], "best": []})
-        c = _unit(q["qv"]) @ _unit(i["iv"]).T
-        c[i["iid"].to_numpy()[None, :] >= q["qid"].to_numpy()[:, None]] = -np.inf
-        best = c.max(axis=1)
-        keep = np.isfinite(best)
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[keep], "best": best[keep]})
+def novelty(items, hashed=None):
+    """items(id, v) -> 1 - largest cosine to an earlier id (1 for the first).
 
-    q, i = items.select(F.col("id").alias("qid"), F.col("v").alias("qv")), items.select(F.col("id").alias("iid"), F.col("v").alias("iv"))
-    b = block_product(q, i, partial, "qid long, best double").groupBy("qid").agg(F.max("best").alias("best"))
+    With `hashed` only earlier ids that share a bucket count, so that the result may be too large.
+    """
+    d = items.select("id", "v")
+    b = streamed(_slots(d, d, True, hashed), Earlier, "qid long, best double").groupBy("qid").agg(F.max("best").alias("best"))
     return items.select("id").join(b.withColumnRenamed("qid", "id"), "id", "left").select("id", (1 - F.coalesce("best", F.lit(0.0))).alias("novelty"))
 
 
-def nearest(queries, items, n=1, keys=()):
-    """Top n items per query (and per item key) by cosine: block winners, then the final."""
-    keys = list(keys)
-
-    def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({c: [] for c in ["qid", *keys, "iid", "cosine"]})
-        i = i.sort_values("iid")        # the order of arrival decides no tie
-        out = []
-        for k, part in ([((), i)] if not keys else [(x if isinstance(x, tuple) else (x,), g) for x, g in i.groupby(keys)]):
-            c = _unit(q["qv"]) @ _unit(part["iv"]).T
-            top = np.argsort(-c, axis=1, kind="stable")[:, :n]
-            o = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), top.shape[1]), "iid": part["iid"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(c, top, 1).ravel()})
-            for name, v in zip(keys, k):
-                o[name] = v
-            out.append(o[["qid", *keys, "iid", "cosine"]])
-        return pd.concat(out)
-
-    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in items.select(*keys).schema) if keys else ""
-    p = block_product(queries, items, partial, f"qid long, {head}iid long, cosine double")
-    return top_n(p, ["qid", *keys], [F.desc("cosine"), F.col("iid")], n)
-
-
-def _forest(q, i, limit):
-    """Spanning forest of one block's threshold graph: enough edges to connect what the
-    threshold connects, never all pairs."""
-    ids = np.concatenate([q["qid"].to_numpy(), i["iid"].to_numpy()])
-    mask = _unit(q["qv"]) @ _unit(i["iv"]).T > limit
-    nq, seen, edges = len(q), np.zeros(len(ids), bool), []
-    for root in range(nq):
-        if seen[root]:
-            continue
-        seen[root], stack = True, [root]
-        while stack:
-            k = stack.pop()
-            near = nq + np.flatnonzero(mask[k] & ~seen[nq:]) if k < nq else np.flatnonzero(mask[:, k - nq] & ~seen[:nq])
-            seen[near] = True
-            edges += [(ids[k], ids[m]) for m in near if ids[k] != ids[m]]
-            stack += near.tolist()
-    return pd.DataFrame(edges, columns=["i", "j"], dtype="int64")
-
-
-def cosine_clusters(items, limit=0.75, smallest=3):
-    """Single-linkage clusters of the cosine threshold graph with at least `smallest` items."""
-    def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64")})
-        return _forest(q, i, limit)
-
-    q, i = items.select(F.col("id").alias("qid"), F.col("v").alias("qv")), items.select(F.col("id").alias("iid"), F.col("v").alias("iv"))
-    e = block_product(q, i, partial, "i long, j long").select(F.lit(0).alias("g"), "i", "j")
+def nearest(queries, items, n=1, key=None, hashed=None):
+    """The n items of largest cosine per query (and value of `key`): winners per slot, then the final ones.
+
+    With `hashed` they are the largest among the items that share a bucket with the query.
+    """
+    q = queries.select(F.col("qid").alias("id"), F.col("qv").alias("v"))
+    i = items.select(F.col("iid").alias("id"), F.col("iv").alias("v"), *([key] if key else []))
+    head = f", {key} {items.schema[key].dataType.simpleString()}" if key else ""
+    p = streamed(_slots(q, i, False, hashed), lambda ids, x: Top(ids, x, n, key), f"qid long, iid long, cosine double{head}")
+    if hashed:
+        p = p.distinct()          # the same pair may share buckets of several tables
+    return top_n(p, ["qid", *([key] if key else [])], [F.desc("cosine"), F.col("iid")], n)
+
+
+def cosine_clusters(items, limit=0.75, smallest=3, hashed=None):
+    """Single-linkage clusters of the cosine threshold graph with at least `smallest` items.
+
+    With `hashed` a link needs a shared bucket; every link kept is above the threshold.
+    """
+    d = items.select("id", "v")
+    e = streamed(_slots(d, d, True, hashed), lambda ids, q: Forest(ids, q, limit), "i long, j long").select(F.lit(0).alias("g"), "i", "j")
     lab = components(items.select(F.lit(0).alias("g"), F.col("id").alias("node")), e, ["g"])
     size = lab.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= smallest)
     return lab.join(size, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")

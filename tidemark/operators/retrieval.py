@@ -1,9 +1,8 @@
 """Softmax retrieval and associative memory over vector tables.
 
-Every query meets every stored vector, so the work is a block product: queries and
-vectors are hashed into blocks of bounded size, one task multiplies one block pair and
-returns per query only a partial result (running maximum, weight sum, weighted value),
-never the pairs.  Partials merge by query with a map-side combine.
+Every query meets every stored vector where the result needs it: the stored vectors stream past resident pieces of
+the queries (`passes`), and a task returns per query only a partial result (running
+maximum, weight sum, weighted value), never the pairs.
 """
 
 import numpy as np
@@ -12,57 +11,26 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dot, let
 from ..session import cut_lineage
-
-BLOCK = 2048
-
-
-def _blocked(df, ident, rows, name):
-    """Hash block 0..n-1 of about BLOCK rows; also returns n."""
-    n = max(1, -(-rows // BLOCK))
-    return df.withColumn(name, F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")), n
-
-
-def block_product(queries, items, fn, schema, sizes=None):
-    """Apply fn(query pdf, item pdf) to every (query block, item block).
-
-    queries(qid, qv, ..), items(iid, iv, ..).  Each side is repeated once per block of
-    the other side and meets it by an equi-join on the block pair.
-    """
-    nq, ni = sizes or (queries.count(), items.count())
-    q, kq = _blocked(queries, "qid", nq, "_qb")
-    i, ki = _blocked(items, "iid", ni, "_ib")
-    q = q.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ki - 1))))
-    i = i.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(kq - 1))))
-    both = ["_qb", "_ib"]
-    return q.groupBy(*both).cogroup(i.groupBy(*both)).applyInPandas(fn, schema)
-
-
-def _matrix(series):
-    return np.stack([np.asarray(v, float) for v in series])
+from .passes import Softmax, matrix as _matrix, streamed, whole_slots
 
 
 def attention(queries, items, scale):
     """Softmax-weighted value per query: items(iid, iv key, val value).
 
-    Returns (qid, out, peak_weight): the exact result over all items.
+    Returns (qid, out, peak_weight): the exact result over all items. Each query has one partial per part of
+    the items; they are few, and are merged inside the row after one grouping.
     """
-    def partial(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"qid": [], "m": [], "s": [], "v": []})
-        z = _matrix(q["qv"]) @ _matrix(i["iv"]).T * scale
-        m = z.max(axis=1)
-        w = np.exp(z - m[:, None])
-        return pd.DataFrame({"qid": q["qid"].to_numpy(), "m": m, "s": w.sum(1), "v": list(w @ _matrix(i["val"]))})
-
+    rows = whole_slots(queries.select(F.col("qid").alias("id"), F.col("qv").alias("v")), items.select(F.col("iid").alias("id"), F.col("iv").alias("v"), "val"))
     qt = queries.schema["qid"].dataType.simpleString()
-    p = block_product(queries, items, partial, f"qid {qt}, m double, s double, v array<double>")
-    # Merge with rescaling to the largest maximum: summaries by (query, dimension).
-    top = p.groupBy("qid").agg(F.max("m").alias("_top"))
-    r = p.join(top, "qid").withColumn("_w", F.exp(F.col("m") - F.col("_top")))
-    s = r.groupBy("qid").agg(F.sum(F.col("s") * F.col("_w")).alias("s"), F.max("_top").alias("m"))
-    d = r.select("qid", "_w", F.posexplode("v").alias("k", "x")).groupBy("qid", "k").agg(F.sum(F.col("x") * F.col("_w")).alias("x"))
-    v = d.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("_v"))
-    return v.join(s, "qid").select("qid", F.transform("_v", lambda e: e["x"] / F.col("s")).alias("out"), (1.0 / F.col("s")).alias("peak_weight"))
+    p = streamed(rows, lambda ids, q: Softmax(ids, q, scale), f"qid {qt}, m double, s double, v array<double>")
+    g = p.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("m", "s", "v"))).alias("p"))
+    g = g.withColumn("top", F.array_max(F.transform("p", lambda e: e["m"])))
+    g = g.withColumn("w", F.transform("p", lambda e: F.exp(e["m"] - F.col("top"))))
+    add = lambda a, v: F.zip_with(a, v, lambda x, y: x + y)
+    scaled = F.zip_with("p", "w", lambda e, w: F.transform(e["v"], lambda x: x * w))
+    g = g.select("qid", F.aggregate(F.zip_with("p", "w", lambda e, w: e["s"] * w), F.lit(0.0), lambda a, x: a + x).alias("t"),
+                 let(scaled, lambda z: F.aggregate(F.slice(z, F.lit(2), F.size(z)), z[0], add)).alias("x"))
+    return g.select("qid", F.transform("x", lambda x: x / F.col("t")).alias("out"), (1.0 / F.col("t")).alias("peak_weight"))
 
 
 def softmax(df, key, score):

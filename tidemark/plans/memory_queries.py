@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions.draws import sql_uniform, uniform
-from ..operators import memory as mm, stats as st
+from ..operators import memory as mm, passes, stats as st
 from ..operators.ordered import numbered, running
 from ..operators.quantiles import quantiles
 from .registry import query
@@ -80,10 +80,7 @@ NEAR = ST + ", np AS (SELECT q.id AS qid, i.id AS iid, list_dot_product(q.v,i.v)
 
 @query("mm7_rule_upsert", f"WITH {NEAR}, m AS (SELECT iid AS rule, count(*) AS k FROM nb WHERE c>0.45 GROUP BY 1) SELECT id AS rule, 1+coalesce(k,0) AS version, 1+coalesce(k,0) AS support, 'kept' AS origin FROM em LEFT JOIN m ON rule=id WHERE id%2=0 UNION ALL SELECT qid, 1, 1, 'inserted' FROM nb WHERE c<=0.45")
 def mm7(t):
-    """Candidates merge into the nearest rule above the limit, others become rules.
-
-    Support stays one row per (rule, candidate) and is only counted here.
-    """
+    """Candidates merge into the nearest rule above the limit, others become rules."""
     s = stream(t)
     rules, cand = s.where("id % 2 = 0"), s.where("id % 2 = 1")
     near = mm.nearest(cand.select(F.col("id").alias("qid"), F.col("v").alias("qv")), rules.select(F.col("id").alias("iid"), F.col("v").alias("iv")))
@@ -93,6 +90,18 @@ def mm7(t):
     return rules.select(F.col("id").alias("rule")).join(hits, "rule", "full_outer").select("rule", k.alias("version"), k.alias("support"), F.lit("kept").alias("origin")).unionByName(new)
 
 
+@query("mm7_support_union", f"WITH {NEAR}, m AS (SELECT iid AS rule, qid AS member FROM nb WHERE c>0.45 UNION SELECT qid, qid FROM nb WHERE c<=0.45 UNION SELECT id, id FROM em WHERE id%2=0) SELECT rule, member, count(*) OVER (PARTITION BY rule) AS support, (SELECT max(member) FROM m x WHERE x.rule=m.rule) AS latest FROM m")
+def mm7s(t):
+    """The union of what supports every rule, one row per member, with its size and newest member."""
+    s = stream(t)
+    rules, cand = s.where("id % 2 = 0"), s.where("id % 2 = 1")
+    near = mm.nearest(cand.select(F.col("id").alias("qid"), F.col("v").alias("qv")), rules.select(F.col("id").alias("iid"), F.col("v").alias("iv")))
+    rule = F.when(F.col("cosine") > 0.45, F.col("iid")).otherwise(F.col("qid"))
+    members = near.select(rule.alias("rule"), F.col("qid").alias("member")).unionByName(rules.select(F.col("id").alias("rule"), F.col("id").alias("member"))).distinct()
+    size = members.groupBy("rule").agg(F.count(F.lit(1)).alias("support"), F.max("member").alias("latest"))
+    return members.join(size, "rule")
+
+
 @query("mm8_conflict_resolution", "WITH e AS (SELECT o_custkey AS rule, count(*) FILTER (WHERE o_orderstatus='F') AS pro, count(*) FILTER (WHERE o_orderstatus<>'F') AS con FROM orders GROUP BY 1) SELECT rule, pro, con, CASE WHEN pro>=2 AND pro>con THEN 'pro' WHEN con>=2 AND con>pro THEN 'con' ELSE 'open' END AS winner, round(CASE WHEN pro>0 AND con>0 THEN 0.7 ELSE 1.0 END*greatest(pro,con)/(pro+con),6) AS confidence FROM e")
 def mm8(t):
     e = t.orders.groupBy(F.col("o_custkey").alias("rule")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("pro"), F.count_if(F.col("o_orderstatus") != "F").alias("con"))
@@ -113,7 +122,7 @@ def mm9(t):
 def mm10(t):
     s = stream(t)
     items = s.where("confidence >= 0.2").select(F.col("id").alias("iid"), F.col("v").alias("iv"), F.when(F.col("id") % 2 == 0, "rule").otherwise("episode").alias("kind"))
-    n = mm.nearest(s.select(F.col("id").alias("qid"), F.col("v").alias("qv")), items, 3, ["kind"])
+    n = mm.nearest(s.select(F.col("id").alias("qid"), F.col("v").alias("qv")), items, 3, "kind")
     return n.select("qid", "kind", "iid", "rank")
 
 
@@ -124,6 +133,46 @@ def mm10b(t):
     return n.groupBy("iid").agg(F.count(F.lit(1)).alias("uses"))
 
 
+# Hash tables for the given vectors, whose nearest are at a cosine near 0.45; the same planes as text.
+TABLES, BITS, DIMS = 18, 4, 64
+PLANES = passes.planes(TABLES, BITS, DIMS, "store")
+HASHED = (TABLES, BITS, "store", DIMS)
+SIG = ST + ", pl(t, b, w) AS (VALUES " + ", ".join(f"({t}, {b}, {[float(x) for x in PLANES[t][b]]}::DOUBLE[])" for t in range(TABLES) for b in range(BITS)) + """),
+sgn AS (SELECT id, t, sum(CASE WHEN list_dot_product(v, w)>=0 THEN (1<<b)::BIGINT ELSE 0 END) AS bucket FROM em, pl GROUP BY 1,2),
+cd AS (SELECT DISTINCT q.id AS qid, i.id AS iid FROM sgn q JOIN sgn i USING (t, bucket)),
+cp AS (SELECT qid, iid, q.confidence AS qc, i.confidence AS ic, list_dot_product(q.v,i.v)/sqrt(list_dot_product(q.v,q.v)*list_dot_product(i.v,i.v)) AS c FROM cd JOIN em q ON q.id=qid JOIN em i ON i.id=iid)"""
+
+
+@query("mm1_hashed_novelty", f"WITH {SIG} SELECT em.id, round(1-coalesce(max(c),0),6) AS novelty FROM em LEFT JOIN cp ON qid=em.id AND iid<em.id GROUP BY 1")
+def mm1h(t):
+    """Novelty against the earlier items that share a hash bucket."""
+    return mm.novelty(stream(t).select("id", "v"), HASHED).withColumn("novelty", R6(F.col("novelty")))
+
+
+@query("mm6_hashed_clusters", f"""WITH RECURSIVE {SIG}, e AS (SELECT qid AS i, iid AS j FROM cp WHERE qid<>iid AND c>0.4),
+r(id,root) AS (SELECT id,id FROM em UNION SELECT e.j, r.root FROM r JOIN e ON e.i=r.id WHERE r.root<e.j), l AS (SELECT id, min(root) AS root FROM r GROUP BY 1), f AS (SELECT root, count(*) AS size FROM l GROUP BY 1 HAVING count(*)>=3) SELECT id, root AS cluster, size FROM l JOIN f USING (root)""")
+def mm6h(t):
+    """Clusters over the links that share a hash bucket."""
+    return mm.cosine_clusters(stream(t).select("id", "v"), 0.4, 3, HASHED)
+
+
+@query("mm7_hashed_merge", f"WITH {SIG} SELECT qid, iid AS rule, round(c,6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c,12) DESC, iid) AS r FROM cp WHERE qid%2=1 AND iid%2=0) WHERE r=1")
+def mm7h(t):
+    """The nearest rule of every candidate among those that share a hash bucket."""
+    s = stream(t)
+    side = lambda c, a: s.where(c).select(F.col("id").alias(f"{a}id"), F.col("v").alias(f"{a}v"))
+    n = mm.nearest(side("id % 2 = 1", "q"), side("id % 2 = 0", "i"), hashed=HASHED)
+    return n.select("qid", F.col("iid").alias("rule"), R6(F.col("cosine")).alias("cosine"))
+
+
+@query("mm10_hashed_retrieval", f"WITH {SIG} SELECT qid, iid, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c,12) DESC, iid) AS rank FROM cp WHERE ic>=0.2) WHERE rank<=3")
+def mm10h(t):
+    """Three nearest stored items among those that share a hash bucket."""
+    s = stream(t)
+    items = s.where("confidence >= 0.2").select(F.col("id").alias("iid"), F.col("v").alias("iv"))
+    return mm.nearest(s.select(F.col("id").alias("qid"), F.col("v").alias("qv")), items, 3, hashed=HASHED).select("qid", "iid", "rank")
+
+
 @query("mm11_stream_composition", "WITH k AS (SELECT CASE WHEN toxic=1 THEN 'noise' WHEN quality=0 THEN 'conflict' WHEN quality=1 THEN 'clean' ELSE 'repeat' END AS kind FROM documents LEFT JOIN labels USING (doc_id)) SELECT kind, count(*) AS n, round(count(*)/(SELECT count(*) FROM k)::DOUBLE,6) AS share FROM k GROUP BY 1")
 def mm11(t):
     k = F.when(F.col("toxic") == 1, "noise").when(F.col("quality") == 0, "conflict").when(F.col("quality") == 1, "clean").otherwise("repeat")
@@ -148,6 +197,22 @@ def mm12b(t):
                                       R6(F.avg(((F.col("error") == 1) & (F.col("confidence") > 0.5)).cast("int"))).alias("pollution"), F.count(F.lit(1)).alias("memory_size"))
 
 
+@query("mm12_forgetting", f"WITH {ST}, f AS (SELECT *, id=min(id) OVER (PARTITION BY label) AS first FROM em) SELECT label AS task, count(*) FILTER (WHERE NOT first) AS repeats, max((error=0)::INT) FILTER (WHERE first)::INT AS first_right, round(avg((error=0)::INT) FILTER (WHERE NOT first),6) AS repeat_accuracy, round(avg((error=0)::INT) FILTER (WHERE NOT first)-max((error=0)::INT) FILTER (WHERE first),6) AS forgetting FROM f GROUP BY 1")
+def mm12c(t):
+    """Accuracy on repeats of a task less that on its first showing."""
+    d = stream(t).select("id", "label", (1 - F.col("error")).alias("ok"))
+    g = d.groupBy("label").agg(F.min_by("ok", "id").alias("first_right"), F.sum("ok").alias("right"), F.count(F.lit(1)).alias("n"))
+    rep = F.try_divide(F.col("right") - F.col("first_right"), F.col("n") - 1)
+    return g.select(F.col("label").alias("task"), (F.col("n") - 1).alias("repeats"), "first_right", R6(rep).alias("repeat_accuracy"), R6(rep - F.col("first_right")).alias("forgetting"))
+
+
+@query("mm12_cost", "SELECT role, count(*) AS calls, sum(len(regexp_extract_all(coalesce(text,''), '[^ \\t\\n]+')))::BIGINT AS words, sum(length(coalesce(text,'')))::BIGINT AS chars FROM conversations GROUP BY 1")
+def mm12d(t):
+    """Calls, words and characters in and out, by role."""
+    text = F.coalesce("text", F.lit(""))
+    return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.regexp_count(text, F.lit("[^ \\t\\n]+"))).cast("long").alias("words"), F.sum(F.length(text)).cast("long").alias("chars"))
+
+
 @query("mm13_paired_systems", f"""WITH {ST}, d AS (SELECT id, confidence*(1-error)-{sql_uniform("'sys2'", 'id')}*0.5 AS diff FROM em),
 z AS (SELECT * FROM {st.sql_effects('d', 'id', N_BOOT, 'mm13')})
 SELECT round(quantile_cont(dz,0.025),4) AS lo, round(quantile_cont(dz,0.975),4) AS hi FROM z""")

@@ -49,6 +49,32 @@ def vr3(t):
     return d.select("id", "head", F.posexplode(rt.project(F.col("v"), F.col("wh"))).alias("dim", "value")).withColumn("value", F.round("value", 5))
 
 
+def _head_sql(name, out):
+    return f"{out} AS (SELECT id, h, list(list_dot_product(v,w) ORDER BY o) AS {out} FROM em, (SELECT h, o, list({sql_normal(chr(39) + name + chr(39), 'h', 'o', 'i')} ORDER BY i) AS w FROM range(0,2) a(h), range(0,3) b(o), range(0,64) c(i) GROUP BY 1,2) GROUP BY 1,2)"
+
+
+@query("vr3_multi_head_attention", f"""WITH {EM}, {_head_sql('WQ', 'q')}, {_head_sql('WK', 'k')}, {_head_sql('WV', 'u')},
+z AS (SELECT q.id, q.h, u.u, list_dot_product(q.q,k.k)*0.01 AS z FROM q JOIN k ON k.h=q.h JOIN u ON u.id=k.id AND u.h=k.h),
+m AS (SELECT id, h, max(z) AS m FROM z GROUP BY 1,2), e AS (SELECT id, h, u, exp(z-m) AS e FROM z JOIN m USING (id, h)),
+c AS (SELECT id, list(x ORDER BY h, o) AS x FROM (SELECT id, h, o, sum(e*u[o])/sum(e) AS x FROM e, range(1,4) r(o) GROUP BY 1,2,3) GROUP BY 1),
+wo AS (SELECT o, list({sql_normal(chr(39) + 'WO' + chr(39), 'o', 'i')} ORDER BY i) AS w FROM range(0,6) b(o), range(0,6) c(i) GROUP BY 1)
+SELECT id, o::INT AS dim, round(list_dot_product(x,w),4) AS value FROM c, wo""")
+def vr3b(t):
+    """Attention of two heads over projected queries, keys and values, joined and projected once more."""
+    d = vectors(t)
+    at = lambda name, h, outs, ins: F.array(*[F.transform(F.sequence(F.lit(0), F.lit(ins - 1)), lambda i: normal(F.lit(name), *h, F.lit(o), i)) for o in range(outs)])
+    names = [(n, h) for h in range(2) for n in ("WQ", "WK", "WV")]
+    w = t.spark.range(1).select(*[at(n, [F.lit(h)], 3, 64).alias(f"{n}{h}") for n, h in names], at("WO", [], 6, 6).alias("WO"))
+    p = d.join(F.broadcast(w)).select("id", *[rt.project(F.col("v"), F.col(f"{n}{h}")).alias(f"{n}{h}") for n, h in names])
+    heads = None
+    for h in range(2):
+        a = rt.attention(p.select(F.col("id").alias("qid"), F.col(f"WQ{h}").alias("qv")), p.select(F.col("id").alias("iid"), F.col(f"WK{h}").alias("iv"), F.col(f"WV{h}").alias("val")), 0.01)
+        a = a.select("qid", F.col("out").alias(f"o{h}"))
+        heads = a if heads is None else heads.join(a, "qid")
+    out = heads.join(F.broadcast(w.select("WO"))).select(F.col("qid").alias("id"), F.posexplode(rt.project(F.concat("o0", "o1"), F.col("WO"))).alias("dim", "value"))
+    return out.withColumn("value", F.round("value", 4))
+
+
 def _attend(src, n):
     """One attention step of every row of `src(id, q)` over the sign patterns."""
     return (f"z{n} AS (SELECT a.id, s.x, 8.0::DOUBLE*list_dot_product(a.q,s.x) AS z FROM {src} a, sg s), m{n} AS (SELECT id, max(z) AS m FROM z{n} GROUP BY 1), "
