@@ -3,10 +3,12 @@
 from pyspark.sql import Window, functions as F
 
 from ..session import cut_lineage
-from .ordered import numbered
+from .ordered import any_above, numbered, running
 from .quantiles import median
 
 BAND = 4
+VOTERS = 256        # marks of a key that vote on its offset
+PART_ROWS = 4_096   # rows of a key that are joined in one part
 
 
 def _near(keys, left, right, tol):
@@ -19,18 +21,72 @@ def _near(keys, left, right, tol):
     )
 
 
+def _candidates(keys, marks, logs, tol):
+    near_rows = marks.withColumn("j", F.explode(F.sequence(F.col("i") - BAND, F.col("i") + BAND)))
+    c = F.col("o") - F.col("t")
+    return near_rows.join(logs.select(*keys, "j", "t"), keys + ["j"]).select(*keys, "parts", "i", "j", c.alias("c"), F.floor(c / tol).cast("long").alias("cell"))
+
+
+def sized(keys, marks, logs):
+    """marks and logs with `n`, the marks of their key, and `parts`, in how many parts a large key is joined; stored."""
+    n = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    return cut_lineage(marks.join(n, keys)), cut_lineage(logs.join(n, keys))
+
+
+def _met(left, right, keys, ident, spread):
+    """left joined with right on keys; where keys are large, right's parts each meet a copy of left's rows."""
+    if not spread:
+        return left.drop("n", "parts").join(right.drop("n", "parts"), keys)
+    copies = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
+    dealt = right.withColumn("part", F.pmod(F.xxhash64(ident), F.col("parts")).cast("int")).drop("n", "parts")
+    return copies.join(dealt, keys + ["part"])
+
+
+def offset_votes(keys, marks, logs, cand, spread, tol):
+    """(keys, parts, cell): the offset cells of width tol that may hold the best candidate.
+
+    The differences between marks and all log rows of the key are counted per cell. Each mark votes once in a cell. An offset's score is
+    at least the votes of its own cell and at most those of its own and both neighbours, so a cell
+    whose bound is below another cell's votes is out. Keys with more than VOTERS marks vote by that many of
+    them, chosen by hash: the work stays proportional to the rows, and the bound holds for the voters.
+    """
+    share = F.lit(float(VOTERS << 20)) / F.col("n")
+    voters = marks.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share)
+    both = _met(voters, logs, keys, "j", spread)
+    votes = both.select(*keys, "i", F.floor((F.col("o") - F.col("t")) / tol).cast("long").alias("cell")).distinct().groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("v"))
+    around = votes.select(*keys, F.explode(F.array(*[F.struct((F.col("cell") + d).alias("cell"), F.lit(d == 0).alias("own")) for d in (-1, 0, 1)])).alias("e"), "v")
+    around = around.select(*keys, "e.cell", "v", F.when(F.col("e.own"), F.col("v")).alias("own"), F.lit(None).cast("int").alias("parts"))
+    asked = cand.select(*keys, "cell", F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("own"), "parts")
+    bound = around.unionByName(asked).groupBy(*keys, "cell").agg(F.sum("v").alias("most"), F.max("own").alias("least"), F.max("parts").alias("parts"))
+    bound = cut_lineage(bound.where("parts is not null"))
+    top = bound.groupBy(*keys).agg(F.max("least").alias("_top"))
+    return bound.join(top, keys).where(F.col("most") >= F.col("_top")).select(*keys, "parts", "cell")
+
+
 def offset_scores(keys, marks, logs, tol):
-    """marks(keys, i, o), logs(keys, j, t) -> score of every candidate offset.
+    """marks(keys, i, o, n, parts), logs(keys, j, t, n, parts) of `sized` -> exact scores of the offsets that may be best: (keys, i, j, c, n).
 
-    Candidates are differences of rows at most four places apart.  A candidate's score
-    is the number of marks with any log row within tol of it; neighbours are found in
-    time cells, so a mark only ever meets log rows of its own cell.
+    Candidates are differences of rows at most four places apart. A candidate's score is the number of marks with any
+    log row within tol of it. Votes keep a few cells of offsets per key; in these, every mark has a few intervals of offsets that
+    reach it, and one ordered pass over interval ends and candidates gives all scores at once.
     """
-    near_rows = marks.withColumn("j", F.explode(F.sequence(F.col("i") - BAND, F.col("i") + BAND)))
-    cand = near_rows.join(logs, keys + ["j"]).select(*keys, "i", "j", (F.col("o") - F.col("t")).alias("c"))
-    spread = cand.join(marks.select(*keys, F.col("i").alias("_i2"), "o"), keys).withColumn("x", F.col("o") - F.col("c"))
-    hits = _near(keys, spread.select(*keys, "i", "j", "c", "_i2", "x"), logs.select(*keys, "t"), tol)
-    return hits.groupBy(*keys, "i", "j", "c").agg(F.count_distinct("_i2").alias("n"))
+    spread = any_above(marks, keys, PART_ROWS)
+    cand = _candidates(keys, marks, logs, tol)
+    kept = offset_votes(keys, marks, logs, cand, spread, tol)
+    k, tcell = F.col("cell"), F.floor(F.col("t") / tol).cast("long")
+    open_at = _met(kept, marks, keys, "i", spread)
+    reach = F.sequence(F.floor(F.col("o") / tol - k - 2).cast("long") - 1, F.floor(F.col("o") / tol - k + 1).cast("long") + 1)
+    near = open_at.withColumn("_t", F.explode(reach)).join(logs.select(*keys, "t", tcell.alias("_t")), keys + ["_t"]).withColumn("d", F.col("o") - F.col("t"))
+    near = near.where((F.col("d") > (k - 1.5) * tol) & (F.col("d") < (k + 2.5) * tol))
+    seen = near.groupBy(*keys, "cell", "i").agg(F.array_sort(F.collect_set("d")).alias("d"))
+    at = lambda name, ordinal, step, x: F.struct(x.alias("x"), F.lit(ordinal).alias("ord"), F.lit(step).alias("step"))
+    begins = F.filter("d", lambda v, m: (m == 0) | (v - F.get("d", m - 1) >= 2 * tol))
+    ends = F.filter("d", lambda v, m: (m == F.size("d") - 1) | (F.get("d", m + 1) - v >= 2 * tol))
+    turns = F.concat(F.transform(begins, lambda v: at("b", 2, 1, v - tol)), F.transform(ends, lambda v: at("e", 0, -1, v + tol)))
+    turns = seen.select(*keys, "cell", F.explode(turns).alias("e")).select(*keys, "cell", "e.x", "e.ord", "e.step", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"))
+    asked = cand.join(kept.drop("parts"), keys + ["cell"], "left_semi").select(*keys, "cell", F.col("c").alias("x"), F.lit(1).alias("ord"), F.lit(0).alias("step"), F.col("i").cast("long"), F.col("j").cast("long"))
+    swept = running(turns.unionByName(asked), keys + ["cell"], ["x", "ord"], sums={"n": F.col("step").cast("long")}, root=(marks, keys))
+    return swept.where("ord = 1").select(*keys, "i", "j", F.col("x").alias("c"), "n")
 
 
 def _nearest(keys, marks, logs, best, tol):
@@ -46,7 +102,7 @@ def align(keys, marks, logs, tol):
 
     Inputs and the running offset are checkpointed: every step reads them several times.
     """
-    marks, logs = cut_lineage(marks), cut_lineage(logs)
+    marks, logs = sized(keys, marks, logs)
     best = cut_lineage(offset_scores(keys, marks, logs, tol).groupBy(*keys).agg(
         F.max_by("c", F.struct("n", -F.col("i"), -F.col("j"))).alias("offset")))
     for _ in range(2):
@@ -62,11 +118,11 @@ def align(keys, marks, logs, tol):
 def assign_greedy(pairs):
     """pairs(grp, left, right, score) -> one-to-one assignment by descending score.
 
-    Each round keeps the pairs that are the best of both their sides (the ones a
+    The pairs are scored once and stored. Each round keeps the pairs that are the best of both their sides (the ones a
     sequential greedy pass would also take) and removes their sides.  Every round
     settles at least one pair per group that has any, so it ends by itself.
     """
-    open_pairs, out = pairs.where("score > 0"), None
+    open_pairs, out = cut_lineage(pairs.where("score > 0")), None
     while True:
         order = F.struct("score", -F.col("left"), -F.col("right"))
         bl = open_pairs.groupBy("grp", "left").agg(F.max_by("right", order).alias("right"))
@@ -75,8 +131,8 @@ def assign_greedy(pairs):
         if won.isEmpty():
             return out if out is not None else won
         out = won if out is None else out.unionByName(won)
-        open_pairs = open_pairs.join(won.select("grp", "left"), ["grp", "left"], "left_anti").join(
-            won.select("grp", "right"), ["grp", "right"], "left_anti")
+        open_pairs = cut_lineage(open_pairs.join(won.select("grp", "left"), ["grp", "left"], "left_anti").join(
+            won.select("grp", "right"), ["grp", "right"], "left_anti"))
 
 
 def ordinals(df, t, tie, name):

@@ -194,7 +194,7 @@ def ev6(t):
     pairs = mk.select("ses", sub("ses").alias("grp")).distinct().join(files.select("file", sub("file").alias("grp")).distinct(), "grp")
     m2 = mk.join(pairs.select("ses", "file"), "ses")
     l2 = files.join(pairs.select("ses", "file"), "file")
-    best = al.offset_scores(["ses", "file"], m2, l2, TOL).groupBy("ses", "file").agg(F.max("n").alias("score"))
+    best = al.offset_scores(["ses", "file"], *al.sized(["ses", "file"], m2, l2), TOL).groupBy("ses", "file").agg(F.max("n").alias("score"))
     won = al.assign_greedy(best.select(sub("ses").alias("grp"), F.col("ses").alias("left"), F.col("file").alias("right"), "score"))
     return won.select(F.col("grp").alias("sub"), F.col("left").alias("ses"), F.col("right").alias("log_file"), "score")
 
