@@ -11,7 +11,7 @@ from ..operators import complexity as cx, network as nw, spectral as sp
 from ..operators.clusters import components
 from ..session import cut_lineage
 from ..sources.tables import MC
-from .registry import query
+from .registry import ORACLES, query
 
 R6 = lambda c: F.round(c, 6)
 NCH, NT = 8, 8
@@ -117,33 +117,39 @@ def fe6(t):
     return d.select("unit", R6(F.col("lzc")).alias("lzc"), R6(F.col("lzs")).alias("lzs"))
 
 
+N_SURR = 20          # surrogates per unit
 SUR = MC + f""", ft AS (SELECT unit,ch,k,sum(x*cos(2*pi()*k*i/8.0)) AS re, -sum(x*sin(2*pi()*k*i/8.0)) AS im FROM mc, range(0,5) f(k) GROUP BY 1,2,3),
-ph AS (SELECT *, CASE WHEN k IN (0,4) THEN 0.0 ELSE 2*pi()*{sql_uniform("'fe7'", 'unit', 'sr', 'k')} END AS p FROM ft, range(1,5) q(sr)),
+ph AS (SELECT *, CASE WHEN k IN (0,4) THEN 0.0 ELSE 2*pi()*{sql_uniform("'fe7'", 'unit', 'sr', 'k')} END AS p FROM ft, range(1,{N_SURR + 1}) q(sr)),
 su AS (SELECT unit,sr,ch,i,sum((CASE WHEN k IN (0,4) THEN 1.0 ELSE 2.0 END)*(re*cos(p+2*pi()*k*i/8.0)-im*sin(p+2*pi()*k*i/8.0)))/8.0 AS x FROM ph, range(0,8) t(i) GROUP BY 1,2,3,4)"""
 
 
 @query("fe7_surrogates", f"WITH {SUR} SELECT unit, sr AS surr, ch, round(sum(x*(i+1)),6) AS weighted, round(sum(x*x),6) AS energy FROM su GROUP BY 1,2,3")
 def fe7(t):
-    s = cx.surrogates(packed_mc(t), "unit", NCH, NT, 4, "fe7")
+    s = cx.surrogates(packed_mc(t), "unit", NCH, NT, N_SURR, "fe7")
     add = lambda a, v: a + v
     d = s.select("unit", F.col("surr").cast("long").alias("surr"), F.posexplode(cx.channels(F.col("x"), NCH)).alias("ch", "c"))
     return d.select("unit", "surr", F.col("ch").cast("long").alias("ch"), R6(F.aggregate(F.transform("c", lambda v, k: v * (k + 1)), F.lit(0.0), add)).alias("weighted"),
                     R6(F.aggregate(F.transform("c", lambda v: v * v), F.lit(0.0), add)).alias("energy"))
 
 
+# Complexity of every unit and of each of its surrogates, which are numbered from 1 (0: the unit itself).
+SLZ = f"""{SUR}, every AS (SELECT unit*100 AS unit, cond, ch, i, x FROM mc UNION ALL SELECT unit*100+sr, 0, ch, i, x FROM su),
+slz AS (WITH RECURSIVE mc AS (SELECT * FROM every){ENV[len(MC):]}, il AS (SELECT unit, string_agg(b::VARCHAR,'' ORDER BY i,ch) AS s FROM bit GROUP BY 1), {lz_sql('il', out='li')}
+ SELECT unit//100 AS unit, unit%100 AS sr, {norm_sql('c', 's')} AS v FROM li),
+ctl AS (SELECT unit, max(v) FILTER (WHERE sr=0) AS raw, avg(v) FILTER (WHERE sr>0) AS m, stddev_samp(v) FILTER (WHERE sr>0) AS sd FROM slz GROUP BY 1)"""
 
 
-@query("fe8_spectrum_controlled", f"""WITH {SUR}, rw AS (SELECT unit, sum(abs(x2-x)) AS raw FROM (SELECT unit, x, lead(x) OVER (PARTITION BY unit,ch ORDER BY i) AS x2 FROM mc) GROUP BY 1),
-sv AS (SELECT unit, sr, sum(abs(x2-x)) AS v FROM (SELECT unit, sr, x, lead(x) OVER (PARTITION BY unit,sr,ch ORDER BY i) AS x2 FROM su) GROUP BY 1,2), st AS (SELECT unit, avg(v) AS m, stddev_samp(v) AS sd FROM sv GROUP BY 1)
-SELECT unit, round(raw,6) AS raw, round(m,6) AS surr_mean, round(sd,6) AS surr_sd, round((raw-m)/sd,4) AS z, round(raw-m,6) AS diff FROM rw JOIN st USING (unit)""")
+def spectrum_controlled(t):
+    """(unit, raw, surr_mean, surr_sd, z, diff) of the multichannel complexity against surrogates of equal spectrum."""
+    def value(d):
+        return cx.with_bits(d, NCH).select("unit", cx.normalised(cx.bit_string(cx.interleave(F.col("bits")))).alias("v"))
+    return cx.controlled(value(packed_mc(t)), value(cx.surrogates(packed_mc(t), "unit", NCH, NT, N_SURR, "fe7")), "unit", "v")
+
+
+@query("fe8_spectrum_controlled", f"""WITH RECURSIVE {SLZ}
+SELECT unit, round(raw,6) AS raw, round(m,6) AS surr_mean, round(sd,6) AS surr_sd, CASE WHEN sd>1e-9 THEN round((raw-m)/sd,4) END AS z, round(raw-m,6) AS diff FROM ctl""")
 def fe8(t):
-    """Any Column builder can be the metric; here the total variation of the channels."""
-    def metric(x):
-        tv = lambda c: F.aggregate(F.zip_with(F.slice(c, F.lit(2), F.size(c) - 1), F.slice(c, F.lit(1), F.size(c) - 1), lambda b, a: F.abs(b - a)), F.lit(0.0), lambda s, v: s + v)
-        return F.aggregate(F.transform(cx.channels(x, NCH), tv), F.lit(0.0), lambda s, v: s + v)
-    raw = packed_mc(t).select("unit", metric(F.col("x")).alias("v"))
-    sur = cx.surrogates(packed_mc(t), "unit", NCH, NT, 4, "fe7").select("unit", metric(F.col("x")).alias("v"))
-    d = cx.controlled(raw, sur, "unit", "v")
+    d = spectrum_controlled(t).withColumn("z", F.when(F.col("surr_sd") > 1e-9, F.col("z")))
     return d.select("unit", *[F.round(c, 4 if c == "z" else 6).alias(c) for c in ("raw", "surr_mean", "surr_sd", "z", "diff")])
 
 
@@ -391,9 +397,30 @@ def fe30(t):
     return c.join(n, ["rec", "k"], "left_semi").select("rec", "ch")
 
 
-@query("fe31_feature_rows", f"WITH RECURSIVE {LZC}, {BP} SELECT li.unit, cond, round({norm_sql('li.c', 'li.s')},6) AS lzc, round(alpha/tot,6) AS rel_alpha, round(ln(al+1e-30),6) AS alpha_post FROM li JOIN bp USING (unit)")
+# Phase-lag weights and normalised Fiedler value of every unit; `cond` stands for the unit in the shared text.
+UNIT_WP = MID_BAND + """, wp AS (SELECT unit AS cond,i0 AS i,j0 AS j,CASE WHEN sum(abs(v))>0 THEN abs(sum(v))/sum(abs(v)) ELSE 0 END AS w
+ FROM (SELECT a.unit, a.ch AS i0, b.ch AS j0, a.im*b.re-a.re*b.im AS v FROM an a JOIN an b ON a.unit=b.unit AND a.i=b.i AND a.ch<b.ch) GROUP BY 1,2,3)"""
+UNIT_NET = f"WITH RECURSIVE {UNIT_WP}, {LAPL}, {NORMED} SELECT cond AS unit, round(avg(w),6) AS theta_wpli_mean, round(max(f),5) AS theta_fiedler FROM wp JOIN fn9 USING (cond) GROUP BY 1"
+
+
+@query("fe31_feature_rows", f"""SELECT unit, cond, raw AS lzc, z AS lzc_si, surr_mean AS lzc_surr_mean, exponent, offset_, delta AS rel_delta, theta AS rel_theta, alpha AS rel_alpha, beta AS rel_beta,
+ alpha_post, theta_front, alpha_periodic, -exponent AS exponent_neg, kuramoto_r AS theta_r, metastability AS theta_meta, theta_fiedler, theta_wpli_mean, ace, sce
+FROM (SELECT vec_id AS unit, label AS cond FROM embeddings) """ + " ".join(f"JOIN ({ORACLES[k]}) USING (unit)" for k in (
+    "fe8_spectrum_controlled", "fe10_aperiodic_fit", "fe11_relative_band_power", "fe12_log_band_power", "fe13_periodic_alpha", "fe16_kuramoto_order", "fe26_coalition_entropy", "fe27_synchrony_entropy"))
+       + f" JOIN ({UNIT_NET}) USING (unit)")
 def fe31(t):
-    """Complexity, spectral and synchrony features of a unit in one pass over its row."""
-    d = cx.multichannel_complexity(psd(t), NCH)
+    """All features of a unit. What one row holds comes from one pass; entropies and surrogates are joined by unit."""
     r = sp.relative_power(F.col("psd"), DF)
-    return d.select("unit", "cond", R6(F.col("lzc")).alias("lzc"), R6(r["alpha"]).alias("rel_alpha"), R6(sp.log_band(F.col("psd"), DF, *ALPHA)).alias("alpha_post"))
+    d = psd(t).withColumns({**{f"_{b}": r[b] for b in ("delta", "theta", "alpha", "beta")}, "alpha_post": sp.log_band(F.col("psd"), DF, *ALPHA), "theta_front": sp.log_band(F.col("psd"), DF, *THETA)})
+    d = sp.aperiodic_fit(d, F.col("psd"), DF)
+    row = d.select("unit", "cond", R6(F.col("exponent")).alias("exponent"), R6(F.col("offset")).alias("offset_"), *[R6(F.col(f"_{b}")).alias(f"rel_{b}") for b in ("delta", "theta", "alpha", "beta")],
+                   R6(F.col("alpha_post")).alias("alpha_post"), R6(F.col("theta_front")).alias("theta_front"),
+                   R6(F.col("alpha_post") - math.log(10) * (F.col("offset") - F.col("exponent"))).alias("alpha_periodic"), (-R6(F.col("exponent"))).alias("exponent_neg"))
+    edges = cut_lineage(sp.phase_lag_edges(packed_mc(t), ["unit"], NCH, 8.0, (1.0, 3.0)))
+    net = edges.groupBy("unit").agg(R6(F.avg("w")).alias("theta_wpli_mean")).join(
+        nw.fiedler(nw.matrices(edges, "unit", NCH), "unit", True).select("unit", F.round("fiedler", 5).alias("theta_fiedler")), "unit")
+    lz = fe8(t).select("unit", F.col("raw").alias("lzc"), F.col("z").alias("lzc_si"), F.col("surr_mean").alias("lzc_surr_mean"))
+    sync = fe16(t).select("unit", F.col("kuramoto_r").alias("theta_r"), F.col("metastability").alias("theta_meta"))
+    for part in (lz, sync, net, fe26(t), fe27(t)):
+        row = row.join(part, "unit")
+    return row
