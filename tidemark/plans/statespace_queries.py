@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
 from ..functions.draws import normal, sql_normal
+from ..functions.linear import with_inverse
 from ..functions.tails import chi2_sf
 from ..operators import statespace as ss
 from ..operators.quantiles import quantiles
@@ -262,6 +263,39 @@ def kf13(t):
     return d.groupBy("i", "j").agg(F.round(-(F.sum(F.col("w") * F.col("ll")) - F.when(F.col("i") == F.col("j"), 2 * F.max("f0") * F.max("w")).otherwise(0.0)), 1).alias("information"))
 
 
+def _inverse_sql():
+    j = lambda a, b: f"j{max(a, b)}{min(a, b)}"
+    det = f"({j(0, 0)}*({j(1, 1)}*{j(2, 2)}-{j(2, 1)}*{j(2, 1)})-{j(1, 0)}*({j(1, 0)}*{j(2, 2)}-{j(2, 1)}*{j(2, 0)})+{j(2, 0)}*({j(1, 0)}*{j(2, 1)}-{j(1, 1)}*{j(2, 0)}))"
+    minors = [f"({j(1, 1)}*{j(2, 2)}-{j(2, 1)}*{j(2, 1)})", f"({j(0, 0)}*{j(2, 2)}-{j(2, 0)}*{j(2, 0)})", f"({j(0, 0)}*{j(1, 1)}-{j(1, 0)}*{j(1, 0)})"]
+    sure = f"j00>0 AND {minors[2]}>0 AND {det}>0"
+    return " UNION ALL ".join(
+        f"SELECT scope, '{n}' AS parameter, sqrt(greatest({minors[i]}/{det},0)) AS se, {1.0 if n in kf.POSITIVE else abs({**kf.NOMINAL, **GRID[4]}[n])!r}::DOUBLE AS unit, {sure} AS definite FROM jm" for i, n in enumerate(HN))
+
+
+@query("kf13_standard_errors", f"""WITH RECURSIVE {OBS}, {sql_filter(HSETS)}, g AS (SELECT 'all' AS scope, pid, ll FROM sc UNION ALL SELECT concat('group ', ses%2), pid, ll FROM sc),
+tt AS (SELECT scope, pid, sum(ll) AS ll FROM g GROUP BY 1,2), w(pid,i,j,w) AS (VALUES {','.join(f'({k},{i},{j},{w!r}::DOUBLE)' for k, (i, j, w) in enumerate(PTS) if i >= 0)}), c AS (SELECT scope, ll AS f0 FROM tt WHERE pid=0),
+jj AS (SELECT scope, i, j, -(sum(w*ll)-CASE WHEN i=j THEN 2*max(f0)*max(w) ELSE 0 END) AS v FROM w JOIN tt USING (pid) JOIN c USING (scope) GROUP BY 1,2,3),
+jm AS (SELECT scope, {', '.join(f'max(v) FILTER (WHERE i={i} AND j={j}) AS j{i}{j}' for i in range(3) for j in range(i + 1))} FROM jj GROUP BY 1), r AS ({_inverse_sql()})
+SELECT scope, parameter, round(se,4) AS se, round(se/unit,4) AS rel_se, definite FROM r""")
+def kf13b(t):
+    """Standard errors from the observed information, for all sessions and by group."""
+    sc = ss.score(observations(t), ss.parameter_sets(HSETS))
+    scope = F.explode(F.array(F.lit("all"), F.concat(F.lit("group "), (F.col("ses") % 2).cast("string"))))
+    # Few rows from here on: scopes times parameter sets.
+    tot = cut_lineage(sc.select(scope.alias("scope"), "pid", "ll").groupBy("scope", "pid").agg(F.sum("ll").alias("ll")))
+    w = t.spark.createDataFrame([(k, i, j, float(x)) for k, (i, j, x) in enumerate(PTS) if i >= 0], "pid long, i int, j int, w double")
+    f0 = tot.where("pid = 0").select("scope", F.col("ll").alias("f0"))
+    d = tot.join(F.broadcast(w), "pid").join(f0, "scope")
+    twice = F.when(F.col("i") == F.col("j"), 2 * F.max("f0") * F.max("w")).otherwise(0.0)
+    cells = d.groupBy("scope", "i", "j").agg((-(F.sum(F.col("w") * F.col("ll")) - twice)).alias("v"))
+    n = len(HN)
+    mat = cells.groupBy("scope").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"j{i}_{j}") for i in range(n) for j in range(i + 1)])
+    inv = with_inverse(mat, lambda i, j: F.col(f"j{i}_{j}"), n)
+    unit = {**kf.NOMINAL, **GRID[4]}
+    rows = F.array(*[F.struct(F.lit(p).alias("parameter"), F.sqrt(F.greatest(F.col("inverse")[k][k], F.lit(0.0))).alias("se"), F.lit(1.0 if p in kf.POSITIVE else abs(unit[p])).alias("unit")) for k, p in enumerate(HN)])
+    return inv.select("scope", "definite", F.inline(rows)).select("scope", "parameter", F.round("se", 4).alias("se"), F.round(F.col("se") / F.col("unit"), 4).alias("rel_se"), "definite")
+
+
 @query("kf14_residual_whiteness")
 def kf14(t):
     """Ljung-Box p per session and channel and the innovation correlation."""
