@@ -28,6 +28,34 @@ def expected_edits(rows):
     return out
 
 
+def test_likeness_of_a_text_of_equal_words(spark):
+    """More equal windows than a 16-bit lane holds: the edit changes little and the likeness says so."""
+    rows = [(k, "word " * 100_000 + f"end {k}", None, None, None) for k in range(3)]
+    got = fingerprints.edits(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r["near_edited"] > 0.99 and r["near_next"] > 0.99 for r in got)
+
+
+def test_likeness_estimates_the_cosine_of_window_counts(spark):
+    import collections
+    import math
+    import random
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(3000))
+    rows = [(k, text() if k % 2 else "same start " * 400 + text(), None, None, None) for k in range(8)]
+    texts = {r[0]: r[1] for r in rows}
+
+    def windows(t):
+        w = t.split()
+        return collections.Counter(zip(w, w[1:], w[2:]))
+
+    for r in fingerprints.edits(spark.createDataFrame(rows, DOCS)).collect():
+        a, b = windows(texts[r["id"]]), windows(texts[(r["id"] - 1) % 8])
+        dot = lambda p, q: sum(n * q[k] for k, n in p.items())
+        assert abs(r["near_next"] - dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))) < 0.45
+
+
+
 def test_edits_equal_brute_force(spark, clashing):
     rows = [r for r in AWKWARD if r[0] is not None] + [(10**9, "far away\nfrom the rest", "en", "a", 20), (700, "another bucket", "en", "a", 14)]
     got = fingerprints.edits(spark.createDataFrame(rows, DOCS)).collect()
@@ -53,7 +81,7 @@ def test_paragraphs_add_up_in_any_order(spark):
     pairs = spark.createDataFrame([(got["a"]["identity"], got["b"]["identity"], got["ab"]["identity"], got["a"]["likeness"], got["b"]["likeness"], got["ab"]["likeness"])],
                                   "a array<long>, b array<long>, ab array<long>, c array<int>, d array<int>, cd array<int>")
     r = pairs.select(fingerprints.added("a", "b", 32).alias("sum"), fingerprints.removed("ab", "b", 32).alias("rest"),
-                     fingerprints.added("c", "d", 16).alias("sum16"), fingerprints.removed("cd", "d", 16).alias("rest16")).first()
+                     fingerprints.added("c", "d", 32).alias("sum16"), fingerprints.removed("cd", "d", 32).alias("rest16")).first()
     assert r["sum"] == got["ab"]["identity"] and r["rest"] == got["a"]["identity"]
     assert r["sum16"] == got["ab"]["likeness"] and r["rest16"] == got["a"]["likeness"]
     assert set(got["z"]["identity"]) == {0} and set(got["z"]["likeness"]) == {0}

@@ -245,7 +245,7 @@ def test_archives_round_trip(spark):
     warc.write_archives(pages, path, segment_chars=1000, chunk_chars=300)
     got = warc.read_archives(spark, path).collect()
     assert len(got) == len(rows) and all(r["status"] == "ok" for r in got)
-    page = lambda r: r["record_id"][len("<urn:page:"):].split("#")[0]
+    page = lambda r: r["record_id"][len("<urn:page:"):].split(":")[0]
     kinds = sorted((page(r), r["type"]) for r in got)
     assert kinds == sorted([("1", "revisit"), ("2", "revisit"), ("9", "response"), ("3", "revisit"), ("4", "response"), ("5", "response"), ("5", "response"), ("6", "response"), ("none", "response"), ("none", "revisit")])
     for r in got:
@@ -253,7 +253,36 @@ def test_archives_round_trip(spark):
             text = {p: h for p, _, h in rows}.get(int(page(r)) if page(r) != "none" else -1, "only") or ""
             assert bytes(r["payload"]) == text.encode()
             assert r["digest"] == "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
-    assert {r["refers_to"] for r in got if r["type"] == "revisit"} == {"<urn:page:9>", "<urn:page:4>"}
+    revisits = [r["refers_to"] for r in got if r["type"] == "revisit"]
+    assert set(revisits) <= {r["record_id"] for r in got if r["type"] == "response"} and {r.split(":")[2] for r in revisits} == {"9", "4"}
+    again = f"{path}-again"
+    warc.write_archives(pages.repartition(3), again, segment_chars=1000, chunk_chars=300)
+    ids = lambda found: {r["record_id"] for r in found if "#" not in r["record_id"]}
+    assert ids(warc.read_archives(spark, again).collect()) == ids(got) and len(ids(got)) == 8
+
+
+def test_archives_of_one_member_per_record(spark, tmp_path):
+    records = [warc._record("response", f"<r{k}>", warc.HTTP_HEAD + warc.chunked(f"text {k} " * 9000, 500), []).encode() + b"\r\n\r\n" for k in range(6)]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"<r{k}>": f"text {k} " * 9000 for k in range(6)}
+
+
+def test_damage_costs_only_its_own_record(spark, tmp_path):
+    one = lambda k: warc._record("response", f"<r{k}>", warc.HTTP_HEAD + warc.chunked("abc" * 50, 20), []).encode() + b"\r\n\r\n"
+    bad = [one(1).replace(b"WARC/1.1", b"WARK/1.1"), one(1).replace(b"Content-Length: ", b"Content-Length: 9"), one(1).replace(b"Content-Length", b"Content-Girth"), b"\xff\xfe junk"]
+    for k, damage in enumerate(bad):
+        folder = tmp_path / f"d{k}"
+        folder.mkdir()
+        (folder / "x.warc.gz").write_bytes(gzip.compress(one(0) + damage + one(2)))
+        got = warc.read_archives(spark, f"file://{folder}").collect()
+        assert sorted((r["record_id"] or "", r["status"]) for r in got) == [("", "damaged"), ("<r0>", "ok"), ("<r2>", "ok")]
+    parts = [bytearray(gzip.compress(one(k))) for k in range(3)]
+    parts[1][20:60] = b"\x00" * 40
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.warc.gz").write_bytes(b"".join(parts) + gzip.compress(one(3))[:-20])
+    got = warc.read_archives(spark, f"file://{tmp_path}/cut").collect()
+    assert {r["record_id"] for r in got if r["status"] == "ok"} >= {"<r0>", "<r2>"} and any(r["status"] == "damaged" for r in got)
 
 
 def _archive(tmp_path, records):

@@ -15,7 +15,7 @@ from ..session import stored
 from .common import text_of
 
 IDENTITY, IDENTITY_BITS = 8, 32
-LIKENESS, LIKENESS_BITS = 64, 16
+LIKENESS, LIKENESS_BITS = 64, 32   # a lane holds as many windows as a counter, so that its sign is right
 WHITE = "[\\x20\\x09-\\x0D]+"
 BUCKET_BITS = 8          # ids that differ only in these bits are neighbours in one bucket
 GROUP_BITS = 12          # buckets of one group
@@ -43,7 +43,7 @@ def lanes(pieces, *keys):
     high = [F.shiftrightunsigned(f"l{j}", 32) for j in range(LIKENESS // 2)]
     return counts.select(
         *keys, F.array(*(F.pmod(f"i{j}", F.lit(1 << IDENTITY_BITS)) for j in range(IDENTITY))).alias("identity"),
-        F.array(*(F.pmod(ones * 2 - F.col("n"), F.lit(1 << LIKENESS_BITS)).cast("int") for ones in low + high)).alias("likeness"))
+        F.array(*(F.pmod(ones * 2 - F.col("n"), F.lit(1 << LIKENESS_BITS)) for ones in low + high)).alias("likeness"))
 
 
 def added(a, b, bits):
