@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.fourier import randomise_phases, welch
-from tidemark.operators import clusters, complexity as cx, memory as mm, network as nw, retrieval as rt, spectral as sp
+from tidemark.operators import clusters, complexity as cx, memory as mm, network as nw, passes, retrieval as rt, spectral as sp
 
 
 def brute_phrases(s):
@@ -98,7 +98,7 @@ def test_attention_weights_are_exact_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(90, 4))
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
-    monkeypatch.setattr(rt, "BLOCK", 20)
+    monkeypatch.setattr(passes, "RESIDENT", 20)
     q, i = v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), v.select(F.col("id").alias("iid"), F.col("v").alias("iv"), F.col("v").alias("val"))
     got = np.array([r["out"] for r in rt.attention(q, i, 0.5).orderBy("qid").collect()])
     z = np.exp(0.5 * x @ x.T)
@@ -111,7 +111,8 @@ def test_novelty_neighbours_and_clusters_over_blocks(spark, monkeypatch):
     # A third of all rows are near copies of one vector.
     x = np.concatenate([base[[0]] + 0.01 * rng.normal(size=(40, 8)), base[1:].repeat(8, 0) + 0.5 * rng.normal(size=(40, 8)), rng.normal(size=(20, 8))])
     x = x[rng.permutation(len(x))]
-    monkeypatch.setattr(rt, "BLOCK", 16)
+    monkeypatch.setattr(passes, "RESIDENT", 16)
+    monkeypatch.setattr(passes, "WORK", 500)
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     c = u @ u.T
@@ -143,6 +144,32 @@ def test_clusters_need_no_channel_zero(spark):
     assert r["n_channels"] == 3 and r["p"] < 0.05
 
 
+def test_observed_clusters_equal_a_plain_search(spark):
+    """Irregular channel ids, several clusters of both signs, and the p-value as a count over all replicates."""
+    rng = np.random.default_rng(12)
+    chans, shift = [3, 10, 11, 40, 41, 42, 90], np.array([1.2, 1.1, 0, -1.3, -1.2, -1.1, 1.4])
+    edges = [(3, 10), (10, 11), (11, 40), (40, 41), (41, 42)]
+    x = rng.normal(size=(16, 7)) + shift
+    d = spark.createDataFrame([(0, s, c, float(x[s, k])) for s in range(16) for k, c in enumerate(chans)], "test int, subject long, ch int, diff double")
+    t = x.mean(0) / (x.std(0, ddof=1) / 4)
+    near = {c: {j for e in edges for i, j in (e, e[::-1]) if i == c} for c in chans}
+    want, seen = {}, set()
+    for k, c in enumerate(chans):
+        if abs(t[k]) > 2.1314495 and c not in seen:
+            group, todo = {c}, [c]
+            while todo:
+                for j in near[todo.pop()]:
+                    if j not in group and np.sign(t[chans.index(j)]) == np.sign(t[k]) and abs(t[chans.index(j)]) > 2.1314495:
+                        group.add(j)
+                        todo.append(j)
+            seen |= group
+            want[c] = (len(group), sum(t[chans.index(j)] for j in group))
+    got = {r["root"]: r for r in clusters.cluster_permutation(d, edges, 400, "u").collect()}
+    assert {k: r["n_channels"] for k, r in got.items()} == {k: v[0] for k, v in want.items()} and len(want) >= 3
+    for k, v in want.items():
+        assert got[k]["mass"] == pytest.approx(v[1]) and 1 / 401 <= got[k]["p"] < 0.2
+
+
 def test_documents_have_the_phrases_of_a_plain_parse(spark):
     from tidemark.plans import load_all
 

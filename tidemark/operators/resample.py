@@ -78,6 +78,15 @@ def bootstrap_mean(units, keys, ident, value, n_boot, seed, probs=(0.025, 0.975)
     return r.groupBy(*keys).agg(F.percentile("_m", F.lit(probs[0])).alias("lo"), F.percentile("_m", F.lit(probs[1])).alias("hi"))
 
 
+def flipped_sums(units, keys, ident, values, n_perm, seed):
+    """(keys, rep, values): per permutation the sum of each value under hashed signs of the units."""
+    keys = list(keys)
+    d = _blocks(units.select(*keys, ident, *values), ident, n_perm, 32, seed)
+    signs = F.array(*[F.struct((F.col("_block") * 32 + j + 1).alias("rep"), F.when(F.substring("_h", j + 1, 1) < "8", -1.0).otherwise(1.0).alias("sign")) for j in range(32)])
+    d = d.select(*keys, *values, F.inline(signs)).where(F.col("rep") <= int(n_perm))
+    return d.groupBy(*keys, F.col("rep").cast("long").alias("rep")).agg(*[F.sum(F.col(v) * F.col("sign")).alias(v) for v in values])
+
+
 def sign_flips(units, ident, values, n_perm, seed):
     """(rep, values): per permutation the mean of each value under hashed signs."""
     d = _blocks(units.select(ident, *values), ident, n_perm, 32, seed)

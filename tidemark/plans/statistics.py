@@ -12,7 +12,7 @@ from ..operators.quantiles import quantiles
 from ..operators.resample import bootstrap_mean, draws, resampled, sign_flips, sql_resampled, sql_sign
 from .registry import query
 from .relational import DSG, FEAT, FS, LAGGED, METRICS, PAIR, crb_table, feature_epochs, features, matched_designs, mle_table, order_pairs, with_previous
-from ..sources.tables import EV
+from ..sources.tables import EV, MC
 
 R6 = lambda c: F.round(c, 6)
 R4 = lambda c: F.round(c, 4)
@@ -433,11 +433,27 @@ def ss15(t):
     return s.agg(F.avg("m").alias("mean_diff"), F.lit(0).alias("_j")).join(b, "_j").select(R6(F.col("mean_diff")).alias("mean_diff"), R4(F.col("lo")).alias("lo"), R4(F.col("hi")).alias("hi"), (F.col("lo") > 0).alias("wins"))
 
 
-@query("ss4_cluster_permutation")
+N_FLIPS = 5_000
+# Critical t of 5 % at n-1 degrees of freedom, by bisection on Simpson sums of the density.
+SQL_T = """thr AS (SELECT test, hi AS thr FROM bis WHERE k=60)"""
+SQL_BIS = """bis(test,v,k,lo,hi) AS (SELECT test, (n-1)::DOUBLE, 0, 0.0::DOUBLE, 60.0::DOUBLE FROM nt UNION ALL
+ SELECT test, v, k+1, CASE WHEN p<0.475 THEN m ELSE lo END, CASE WHEN p<0.475 THEN hi ELSE m END FROM (SELECT *, (lo+hi)/2 AS m,
+  exp(lgamma((v+1)/2)-lgamma(v/2))/sqrt(v*pi())*(lo+hi)/2/400/3*list_sum(list_transform(range(0,401), lambda i: (CASE WHEN i=0 OR i=400 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*pow(1+pow((lo+hi)/2*i/400,2)/v,-(v+1)/2))) AS p
+  FROM bis WHERE k<60))"""
+
+
+@query("ss4_cluster_permutation", f"""WITH RECURSIVE {MC}, df AS (SELECT cond%2 AS test, unit AS subject, ch, sum(x)/8 AS diff FROM mc GROUP BY 1,2,3), nt AS (SELECT test, count(DISTINCT subject) AS n FROM df GROUP BY 1), {SQL_BIS}, {SQL_T},
+fl AS (SELECT test, rep, ch, sum(diff*{sql_sign('subject', 'ss4')}) AS s, count(*) AS n, sum(diff*diff) AS q FROM df, range(1,{N_FLIPS + 1}) r(rep) GROUP BY 1,2,3 UNION ALL SELECT test, 0, ch, sum(diff), count(*), sum(diff*diff) FROM df GROUP BY 1,3),
+tv AS (SELECT test, rep, ch, (s/n)/sqrt((q-s*s/n)/(n-1)/n) AS t FROM fl), lv AS (SELECT tv.*, sign(t)::INT AS sgn FROM tv JOIN thr USING (test) WHERE abs(t)>thr.thr),
+e AS (SELECT a.test, a.rep, a.sgn, a.ch AS i, b.ch AS j FROM lv a JOIN lv b ON a.test=b.test AND a.rep=b.rep AND a.sgn=b.sgn AND (a.ch-b.ch+8)%8 IN (1,7)),
+rc(test,rep,sgn,ch,root) AS (SELECT test,rep,sgn,ch,ch FROM lv UNION SELECT e.test,e.rep,e.sgn,e.j,rc.root FROM rc JOIN e ON e.test=rc.test AND e.rep=rc.rep AND e.sgn=rc.sgn AND e.i=rc.ch WHERE rc.root<e.j),
+lb AS (SELECT test,rep,sgn,ch,min(root) AS root FROM rc GROUP BY 1,2,3,4), ms AS (SELECT test,rep,sgn,root,sum(t) AS mass,count(*) AS n_channels FROM lb JOIN lv USING (test,rep,sgn,ch) GROUP BY 1,2,3,4),
+tp AS (SELECT test,rep,max(abs(mass)) AS mx FROM ms WHERE rep>0 GROUP BY 1,2)
+SELECT test, root::INT AS root, n_channels::INT AS n_channels, round(mass,6) AS mass, round((1+(SELECT count(*) FROM tp WHERE tp.test=ms.test AND mx>=abs(mass)))/{N_FLIPS + 1}.0::DOUBLE,6) AS p FROM ms WHERE rep=0""")
 def ss4(t):
     """Sign-flip cluster test over a ring of eight channels, one test per condition."""
     from ..operators.clusters import cluster_permutation
 
     d = t.multichannel().select((F.col("cond") % 2).alias("test"), F.col("unit").alias("subject"), "ch", (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / 8).alias("diff"))
     edges = [(c, (c + 1) % 8) for c in range(8)]
-    return cluster_permutation(d, edges, n_perm=100, seed="ss4").select("test", "root", "n_channels", R6(F.col("mass")).alias("mass"), R6(F.col("p")).alias("p"))
+    return cluster_permutation(d, edges, N_FLIPS, "ss4").select("test", "root", "n_channels", R6(F.col("mass")).alias("mass"), R6(F.col("p")).alias("p"))
