@@ -79,11 +79,11 @@ def test_paragraphs_add_up_in_any_order(spark):
     got = {r["k"]: r for r in fingerprints.lanes(d, "k").collect()}
     assert got["ab"][1:] == got["ba"][1:] != got["a"][1:]
     pairs = spark.createDataFrame([(got["a"]["identity"], got["b"]["identity"], got["ab"]["identity"], got["a"]["likeness"], got["b"]["likeness"], got["ab"]["likeness"])],
-                                  "a array<long>, b array<long>, ab array<long>, c array<int>, d array<int>, cd array<int>")
+                                  "a array<long>, b array<long>, ab array<long>, c array<long>, d array<long>, cd array<long>")
     r = pairs.select(fingerprints.added("a", "b", 32).alias("sum"), fingerprints.removed("ab", "b", 32).alias("rest"),
-                     fingerprints.added("c", "d", 32).alias("sum16"), fingerprints.removed("cd", "d", 32).alias("rest16")).first()
+                     fingerprints.added("c", "d", 32).alias("likeness_sum"), fingerprints.removed("cd", "d", 32).alias("likeness_rest")).first()
     assert r["sum"] == got["ab"]["identity"] and r["rest"] == got["a"]["identity"]
-    assert r["sum16"] == got["ab"]["likeness"] and r["rest16"] == got["a"]["likeness"]
+    assert r["likeness_sum"] == got["ab"]["likeness"] and r["likeness_rest"] == got["a"]["likeness"]
     assert set(got["z"]["identity"]) == {0} and set(got["z"]["likeness"]) == {0}
 
 
