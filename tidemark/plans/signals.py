@@ -175,8 +175,8 @@ def repeated(t):
     return e.where("i >= 0")
 
 
-PH = """, lg AS (SELECT *, lag(struct_pack(a:=a,b:=b)) OVER (PARTITION BY ses ORDER BY i) AS p FROM raw),
-pc AS (SELECT ses, i%4 AS phase, count(*) AS n FROM lg WHERE p IS NOT NULL AND (p.a<>a OR p.b<>b) GROUP BY 1,2),
+PH = """, lg AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lag(i) OVER w AS pi FROM raw WINDOW w AS (PARTITION BY ses ORDER BY i)),
+pc AS (SELECT ses, i%4 AS phase, count(*) AS n FROM lg WHERE pi IS NOT NULL AND (pa<>a OR pb<>b) GROUP BY 1,2),
 ph AS (SELECT ses, phase FROM (SELECT *, row_number() OVER (PARTITION BY ses ORDER BY n DESC, phase) r FROM pc) WHERE r=1)"""
 
 
