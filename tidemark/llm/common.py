@@ -39,6 +39,34 @@ def text_batches(df):
     return df
 
 
+#: Buckets of a `mark_near` filter; one holds 32,768 bits, so the filter never exceeds 8 MB, whatever the number of keys.
+BUCKETS = 2_048
+
+
+def mark_near(df, key, wanted):
+    """df with the boolean `__near`: false only where the long Column `key` is not among the non-null keys of `wanted`, a table of one long column.
+
+    The keys set bits of a bitmap of bounded size, which is broadcast. So rows that a following join would not meet are known
+    before they are shuffled. With many more keys than bits nearly every row is marked, and the join alone decides.
+    """
+    def place(k):
+        return F.xxhash64(k, F.lit(5))
+
+    def bucket(k):
+        return F.pmod(place(k), F.lit(BUCKETS))
+
+    def at(k):
+        return F.pmod(F.shiftright(place(k), 16), F.lit(32_768))
+
+    name = F.col(wanted.columns[0])
+    keys = wanted.where(name.isNotNull()).select(bucket(name).alias("__bucket"), at(name).alias("__at"))
+    bits = keys.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    both = df.withColumn("__place", bucket(key)).withColumn("__at", at(key)).join(F.broadcast(bits), F.col("__place") == F.col("__bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = F.getbit(byte, F.col("__at") % 8) == 1
+    return both.withColumn("__near", F.coalesce(near, F.lit(False))).drop("__place", "__at", "__bucket", "__bits")
+
+
 def shuffle_count(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

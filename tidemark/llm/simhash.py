@@ -18,7 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from ..session import cut_lineage, stored
-from .common import shuffle_count, text_batches
+from .common import mark_near, shuffle_count, text_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -229,8 +229,8 @@ def keep_one(docs, id_col="doc_id", text_col="text", radius=RADIUS):
 def keep_least(docs, rows, tag, id_col="doc_id"):
     """docs with one row of every root: that with the smallest id, nulls last; rows has (id, tag, root).
 
-    A row is known by its id and `tag`, a hash of all its columns. Only the rows to drop are looked up, so
-    the texts stay where they are as long as those rows are few enough to broadcast by their measured size.
+    A row is known by its id and `tag`, a hash of all its columns. Only the rows to drop are looked up; texts
+    stay where they are unless the bounded filter of those rows marks them.
     """
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
     # A table of its own, so that the join deals its rows anew and can split a large group.
@@ -239,7 +239,8 @@ def keep_least(docs, rows, tag, id_col="doc_id"):
     sets = marked.groupBy("id", "tag").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     out = stored(sets.where(~F.col("kept") | (F.col("n") > 1)))
     same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__tag") == F.col("tag"))
-    tagged = docs.withColumn("__id", docs[id_col]).withColumn("__tag", tag)
-    once = tagged.join(out, same, "left_anti")
+    tagged = mark_near(docs.withColumn("__id", docs[id_col]).withColumn("__tag", tag), F.col("__tag"), out.select("tag"))
+    rest, tagged = tagged.where(~F.col("__near")), tagged.where("__near")
+    once = rest.unionByName(tagged.join(out, same, "left_anti"))
     repeated = tagged.join(out.where("kept"), same, "left_semi").dropDuplicates(["__id", "__tag"])
     return once.unionByName(repeated).select(*docs.columns)
