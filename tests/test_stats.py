@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kalman as kf, tails
 from tidemark.operators import gates as gt, statespace as ss, stats as st
-from tidemark.operators.resample import draws
+from tidemark.operators.resample import resampled
 from tidemark.operators.whiteness import ljung_box
 from tidemark.session import CHUNK_ROWS_KEY, DEFAULT_CHUNK_ROWS
 
@@ -67,11 +67,49 @@ def test_sobol_of_an_additive_model(spark):
     assert r[0]["s1"] == pytest.approx(0.9, abs=0.06) and r[0]["st"] == pytest.approx(0.9, abs=0.06) and r[1]["st"] == pytest.approx(0.1, abs=0.03)
 
 
-def test_bootstrap_draws_repeat_and_cover(spark, both_ways):
+def test_bootstrap_weights_repeat_and_average_one(spark):
     u = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, v double")
-    a = draws(u, [], "id", ["v"], 50, "s").groupBy("rep").agg(F.count("v").alias("n"), F.sum("v").alias("s")).orderBy("rep").collect()
-    b = draws(u, [], "id", ["v"], 50, "s").groupBy("rep").agg(F.count("v").alias("n"), F.sum("v").alias("s")).orderBy("rep").collect()
-    assert a == b and {r["n"] for r in a} == {30} and len({r["s"] for r in a}) > 30
+    get = lambda: resampled(u, [], "id", {"s": F.col("v")}, 50, "s").orderBy("rep").collect()
+    a = get()
+    assert a == get() and [r["rep"] for r in a] == list(range(1, 51)) and len({r["s"] for r in a}) > 30
+    assert sum(r["w"] for r in a) / 1500 == pytest.approx(1, abs=0.1)
+
+
+def sobol_rows(n, far=0.0):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, n, 2))
+    f = lambda x: x[:, 0] * 3 + x[:, 1] + far
+    rows = []
+    for p in range(2):
+        ab = a.copy()
+        ab[:, p] = b[:, p]
+        rows += [(p, i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(f(a), f(b), f(ab)))]
+    return rows
+
+
+def test_sobol_intervals_hold_the_indices_and_shrink(spark):
+    schema = "param int, row int, y_a double, y_b double, y_ab double"
+    get = lambda n: {r["param"]: r for r in st.sobol_bootstrap(spark.createDataFrame(sobol_rows(n), schema), ["param"], "row", 200, "t").collect()}
+    small, large = get(200), get(3200)
+    for p, s1 in ((0, 0.9), (1, 0.1)):
+        assert large[p]["s1_lo"] < s1 < large[p]["s1_hi"] and large[p]["st_lo"] < s1 < large[p]["st_hi"]
+        assert large[p]["st_hi"] - large[p]["st_lo"] < 0.5 * (small[p]["st_hi"] - small[p]["st_lo"])
+
+
+def test_total_sobol_interval_keeps_its_digits_far_from_zero(spark):
+    schema = "param int, row int, y_a double, y_b double, y_ab double"
+    get = lambda far: {r["param"]: r["st_lo"] for r in st.sobol_bootstrap(spark.createDataFrame(sobol_rows(200, far), schema), ["param"], "row", 40, "t").collect()}
+    near, far = get(0.0), get(1e7)
+    assert far == {p: pytest.approx(v, rel=1e-6) for p, v in near.items()}
+
+
+def test_sobol_on_logarithms_leaves_out_outputs_below_zero(spark):
+    schema = "param int, row int, y_a double, y_b double, y_ab double"
+    rows = [(p, i, float(np.exp(a)), float(np.exp(b)), float(np.exp(c))) for p, i, a, b, c in sobol_rows(200)]
+    good = [(0, 1000, None, None, None)]
+    bad = [(0, 1000, -1.0, 0.0, -2.0)]
+    got = [{r["param"]: r for r in st.sobol_bootstrap(spark.createDataFrame(rows + x, schema), ["param"], "row", 40, "t", scale="log").collect()} for x in (good, bad)]
+    assert got[0] == got[1] and got[0][0]["st_lo"] > 0.7
 
 
 def test_ljung_box_matches_numpy(spark, both_ways):

@@ -1,28 +1,12 @@
-"""Resampling as relations: replicate x draw rows joined back to numbered units.
+"""Resampling as weights: a unit meets every replicate in its own row.
 
-The draw of replicate r at slot k is a hash of (seed, r, k), so a recomputed task draws
-the same units.  Units are aggregated rows (subjects, sessions, studies); the replicate
-side is what Spark spreads.
+The weight or sign of a unit in replicate r is cut from a hash of (seed, r, unit), so a recomputed task
+draws the same.  Units are aggregated rows (subjects, sessions, studies); the replicate side is what Spark spreads.
 """
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform
 from ..session import spread
-from .ordered import numbered
-
-
-def draws(units, keys, ident, values, n_boot, seed):
-    """units(keys, ident, values) -> (keys, rep, slot, values): n draws per replicate."""
-    keys = list(keys)
-    u = numbered(units.select(*keys, ident, *values), keys, [ident], "_idx")
-    n = u.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # One count per key (one row without keys).
-    slots = u.select(*keys, F.col("_idx").alias("slot"))
-    slots = slots.join(n, keys) if keys else slots.join(F.broadcast(n))
-    reps = slots.select(*keys, "slot", "_n", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)))).alias("rep"))
-    pick = (F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * F.col("_n")) + 1).cast("long")
-    return reps.select(*keys, "rep", "slot", pick.alias("_idx")).join(u.select(*keys, "_idx", *values), keys + ["_idx"]).drop("_idx")
 
 
 # 65536 times the Poisson(1) distribution function, as hexadecimal text.

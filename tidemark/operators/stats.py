@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.draws import normal
 from ..functions.exprs import dot
 from .resample import resampled, sql_resampled
 
@@ -135,3 +136,33 @@ def sobol(table, outputs, keys=("output", "param")):
     return f.withColumn("var_y", var).select(
         *keys, "n_rows", "var_y", F.when(var < 1e-30, 0.0).otherwise(F.col("_n1") / var).alias("s1"),
         F.when(var < 1e-30, 0.0).otherwise(F.col("_nt") / (2 * var)).alias("st"))
+
+
+def sobol_bootstrap(table, keys, ident, n_boot, seed, scale="raw", probs=(0.025, 0.975)):
+    """Percentile intervals of both indices, resampling the base rows `ident`.
+
+    table(keys, ident, y_a, y_b, y_ab). With scale "log" the logarithms are analysed, and outputs that are not
+    above zero are missing. Each mean is over the rows that hold its terms. Squares are summed about the key's mean.
+    """
+    names = ("y_a", "y_b", "y_ab")
+    y = table.select(*keys, ident, *[(F.when(F.col(c) > 0, F.log(c)) if scale == "log" else F.col(c)).alias(c) for c in names])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    middle = y.groupBy(*keys).agg(((zero(F.sum("y_a")) + zero(F.sum("y_b"))) / F.nullif(F.count("y_a") + F.count("y_b"), F.lit(0))).alias("_m"))
+    here = lambda c: c.isNotNull().cast("double")
+    a, b = F.col("y_a") - F.col("_m"), F.col("y_b") - F.col("_m")
+    first, total = F.col("y_b") * (F.col("y_ab") - F.col("y_a")), (F.col("y_a") - F.col("y_ab")) ** 2
+    r = resampled(y.join(middle, list(keys)), keys, ident, {
+        "n_v": here(a) + here(b), "s_v": zero(a) + zero(b), "q_v": zero(a * a) + zero(b * b),
+        "n_f": here(first), "s_f": zero(first), "n_t": here(total), "s_t": zero(total)}, n_boot, seed)
+    var = F.col("q_v") / F.col("n_v") - (F.col("s_v") / F.col("n_v")) ** 2
+    flat = F.col("var") < 1e-30
+    r = r.withColumn("var", var).select(*keys, F.when(flat, 0.0).otherwise(F.col("s_f") / F.col("n_f") / F.col("var")).alias("s1"),
+                                        F.when(flat, 0.0).otherwise(F.col("s_t") / F.col("n_t") / (2 * F.col("var"))).alias("st"))
+    return r.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("s1", "st") for n, q in zip(("lo", "hi"), probs)])
+
+
+def pooled_draws(studies, keys, ident, n_boot, seed):
+    """(keys, rep, pooled): inverse-variance pooled effects of effects drawn from N(d, v); studies has d and v."""
+    x = F.col("d") + F.sqrt("v") * normal(F.lit(seed), F.col("rep"), *[F.col(c) for c in ident])
+    reps = studies.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_boot)))))
+    return reps.groupBy(*keys, "rep").agg((F.sum(x / F.col("v")) / F.sum(1 / F.col("v"))).alias("pooled"))

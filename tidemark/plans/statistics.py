@@ -9,7 +9,7 @@ from ..operators import stats as st
 from ..operators.joins import tolerance_join
 from ..operators.ordered import running
 from ..operators.quantiles import quantiles
-from ..operators.resample import bootstrap_mean, draws, resampled, sign_flips, sql_resampled, sql_sign
+from ..operators.resample import bootstrap_mean, resampled, sign_flips, sql_poisson, sql_resampled, sql_sign
 from .registry import query
 from .relational import DSG, FEAT, FS, LAGGED, METRICS, PAIR, crb_table, feature_epochs, features, matched_designs, mle_table, order_pairs, with_previous
 from ..sources.tables import EV, MC
@@ -17,7 +17,7 @@ from ..sources.tables import EV, MC
 R6 = lambda c: F.round(c, 6)
 R4 = lambda c: F.round(c, 4)
 # The replicate counts of the studies.
-N_EFFECT, N_META, N_AXIS, N_SESSIONS = 10_000, 2_000, 10_000, 2_000
+N_EFFECT, N_META, N_AXIS, N_SESSIONS, N_SOBOL = 10_000, 2_000, 10_000, 2_000, 1_000
 
 # Tail areas by Simpson's rule over the density, independent of the Spark side.
 T_PDF = "exp(lgamma(({d}+1)/2.0)-lgamma({d}/2.0))/sqrt({d}*pi())*pow(1+({x})*({x})/{d},-({d}+1)/2.0)"
@@ -128,14 +128,19 @@ b AS (SELECT rep, sum((d+sqrt(v)*{sql_normal("'ss8'", 'rep', 'study', 'type')})/
 SELECT rep, round(pd,4) AS pooled FROM b""")
 def ss8(t):
     v = 1.0 / F.col("n") + F.col("d") ** 2 / (2.0 * F.col("n"))
-    s = studies(t).withColumn("v", v).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(N_META))))
-    x = F.col("d") + F.sqrt("v") * normal(F.lit("ss8"), F.col("rep"), F.col("study"), F.col("type"))
-    return s.groupBy("rep").agg(R4(F.sum(x / F.col("v")) / F.sum(1 / F.col("v"))).alias("pooled"))
+    return st.pooled_draws(studies(t).withColumn("v", v), [], ["study", "type"], N_META, "ss8").select("rep", R4(F.col("pooled")).alias("pooled"))
 
 
-@query("ss9_subset_meta", f"WITH {STUD}, {meta_sql(key='type')} SELECT t2.type, {META_SEL} FROM t2 JOIN re USING (type)")
+@query("ss9_subset_meta", f"""WITH {STUD}, {meta_sql(key='type')},
+bt AS (SELECT type, rep, sum((d+sqrt(v)*{sql_normal("'ss9'", 'rep', 'study', 'type')})/v)/sum(1/v) AS pd FROM v, range(1,{N_META + 1}) r(rep) GROUP BY 1,2),
+ci AS (SELECT type, round(quantile_cont(pd,0.025),4) AS boot_lo, round(quantile_cont(pd,0.975),4) AS boot_hi FROM bt GROUP BY 1)
+SELECT t2.type, {META_SEL}, boot_lo, boot_hi FROM t2 JOIN re USING (type) JOIN ci USING (type)""")
 def ss9(t):
-    return meta_out(st.random_effects(studies(t), ["type"])[0], ["type"])
+    """Meta-analysis of the studies of one type, with the percentile interval of a parametric bootstrap."""
+    s = studies(t)
+    pooled = st.pooled_draws(s.withColumn("v", 1.0 / F.col("n") + F.col("d") ** 2 / (2.0 * F.col("n"))), ["type"], ["study", "type"], N_META, "ss9")
+    ci = pooled.groupBy("type").agg(R4(F.percentile("pooled", F.lit(0.025))).alias("boot_lo"), R4(F.percentile("pooled", F.lit(0.975))).alias("boot_hi"))
+    return meta_out(st.random_effects(s, ["type"])[0], ["type"]).join(ci, "type")
 
 
 REML_SE = """est AS (SELECT type AS unit0, study AS unit, d AS y, sqrt(1.0/n+d*d/(2.0*n)) AS se FROM stu)"""
@@ -173,14 +178,18 @@ b{out} AS (SELECT key, lt FROM (SELECT *, row_number() OVER (PARTITION BY key OR
 UN = "u AS (SELECT study AS key, d AS y, 1.0/n+d*d/(2.0*n) AS v FROM stu WHERE sqrt(1.0/n+d*d/(2.0*n))<5)"
 
 
-@query("ss10_reml_meta", f"""WITH {STUD}, {UN}, {reml_sql()}
-SELECT key, count(*) AS n, round(max(lt),4) AS log_tau2, round(sum(y/(v+exp(lt)))/sum(1/(v+exp(lt))),6) AS mu, round(1/sqrt(sum(1/(v+exp(lt)))),6) AS se_mu,
- round(greatest(1-count(*)/sum(1/v)/greatest(exp(max(lt))+avg(v),1e-12),0.0),6) AS i2 FROM u JOIN b3 USING (key) GROUP BY 1 HAVING count(*)>=3""")
+@query("ss10_reml_meta", f"""WITH {STUD}, {UN}, {reml_sql()}, ex AS (SELECT study AS key, count(*) FILTER (WHERE NOT sqrt(1.0/n+d*d/(2.0*n))<5) AS n_excluded FROM stu GROUP BY 1)
+SELECT key, count(*) AS n, max(n_excluded) AS n_excluded, round(max(lt),4) AS log_tau2, max(lt)<=-15 OR max(lt)>=5 AS at_boundary, round(sum(y/(v+exp(lt)))/sum(1/(v+exp(lt))),6) AS mu, round(1/sqrt(sum(1/(v+exp(lt)))),6) AS se_mu,
+ round(greatest(1-count(*)/sum(1/v)/greatest(exp(max(lt))+avg(v),1e-12),0.0),6) AS i2 FROM u JOIN b3 USING (key) JOIN ex USING (key) GROUP BY 1 HAVING count(*)>=3""")
 def ss10(t):
+    """Units without a usable error are left out and counted; a variance at an end of its range is flagged."""
     v = 1.0 / F.col("n") + F.col("d") ** 2 / (2.0 * F.col("n"))
-    u = studies(t).select(F.col("study").alias("key"), F.col("d").alias("y"), v.alias("v")).where(F.sqrt("v") < 5)
-    r = reml(u).where("n >= 3")
-    return r.select("key", "n", R4(F.col("log_tau2")).alias("log_tau2"), *[R6(F.col(c)).alias(c) for c in ("mu", "se_mu", "i2")])
+    every = studies(t).select(F.col("study").alias("key"), F.col("d").alias("y"), v.alias("v"))
+    usable = F.coalesce(F.sqrt("v") < 5, F.lit(False))
+    left_out = every.groupBy("key").agg(F.count_if(~usable).alias("n_excluded"))
+    r = reml(every.where(usable)).where("n >= 3").join(left_out, "key")
+    ends = (F.col("log_tau2") <= -15) | (F.col("log_tau2") >= 5)
+    return r.select("key", "n", "n_excluded", R4(F.col("log_tau2")).alias("log_tau2"), ends.alias("at_boundary"), *[R6(F.col(c)).alias(c) for c in ("mu", "se_mu", "i2")])
 
 
 # ---------------------------------------------------------------- reference axis
@@ -205,9 +214,11 @@ def axis_row(t):
     repeated multiplication inside that row."""
     d = deltas(t)
     k = 4
-    m = d.agg(*[F.sum(F.col("d")[i] * F.col("d")[j]).alias(f"m{i}{j}") for i in range(k) for j in range(k)], *[F.avg(F.col("d")[i]).alias(f"mu{i}") for i in range(k)])
+    m = d.agg(*[F.sum(F.col("d")[i] * F.col("d")[j]).alias(f"m{i}{j}") for i in range(k) for j in range(k)], *[F.avg(F.col("d")[i]).alias(f"mu{i}") for i in range(k)],
+              *[F.avg(F.when(F.col("subject") % 2 == g, F.col("d")[i])).alias(f"g{g}{i}") for g in range(2) for i in range(k)])
     rows = F.array(*[F.array(*[F.col(f"m{i}{j}") for j in range(k)]) for i in range(k)])
-    m = m.select(rows.alias("mat"), F.array(*[F.col(f"mu{i}") for i in range(k)]).alias("mu"))
+    m = m.select(rows.alias("mat"), F.array(*[F.col(f"mu{i}") for i in range(k)]).alias("mu"), *[F.array(*[F.col(f"g{g}{i}") for i in range(k)]).alias(f"g{g}") for g in range(2)])
+    agreement = dot(F.col("g0"), F.col("g1")) / F.sqrt(dot(F.col("g0"), F.col("g0")) * dot(F.col("g1"), F.col("g1")))
     step = lambda u, _: F.transform(F.col("mat"), lambda r: dot(r, u))
     unit = lambda u: let(u, lambda w: let(F.sqrt(dot(w, w)), lambda n: F.transform(w, lambda x: x / n)))
     it = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.col("mu"), lambda u, s: unit(step(u, s)))
@@ -215,7 +226,7 @@ def axis_row(t):
     sign = F.when(dot(F.col("u0"), F.col("mu")) < 0, -1.0).otherwise(1.0)
     m = m.withColumn("u", F.transform("u0", lambda x: x * sign))
     trace = F.aggregate(F.transform("mat", lambda r, i: F.get(r, i)), F.lit(0.0), lambda a, b: a + b)
-    return m.select("u", dot(F.col("u"), F.col("mu")).alias("shift"), (dot(F.col("u"), F.transform("mat", lambda r: dot(r, F.col("u")))) / trace).alias("explained"))
+    return m.select("u", dot(F.col("u"), F.col("mu")).alias("shift"), (dot(F.col("u"), F.transform("mat", lambda r: dot(r, F.col("u")))) / trace).alias("explained"), agreement.alias("agreement"))
 
 
 AXIS_SQL = f"""WITH RECURSIVE {DELTA}, mm AS (SELECT i, j, sum(d[i]*d[j]) AS v FROM dl, range(1,5) a(i), range(1,5) b(j) GROUP BY 1,2), mt AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM mm GROUP BY 1)),
@@ -224,9 +235,10 @@ it(k,u) AS (SELECT 0, mu FROM mu UNION ALL SELECT k+1, list_transform(w, lambda
 ax AS (SELECT list_transform(u, lambda x: CASE WHEN list_dot_product(u,mu)<0 THEN -x ELSE x END) AS u, mu, m FROM it, mu, mt WHERE k=200)"""
 
 
-@query("ss11_reference_axis", f"{AXIS_SQL} SELECT round(u[1],6) AS u1, round(u[2],6) AS u2, round(u[3],6) AS u3, round(u[4],6) AS u4, round(list_dot_product(u,mu),6) AS shift, round(list_dot_product(u,list_transform(m, lambda r: list_dot_product(r,u)))/(m[1][1]+m[2][2]+m[3][3]+m[4][4]),6) AS explained FROM ax")
+@query("ss11_reference_axis", f"{AXIS_SQL}, gm AS (SELECT subject%2 AS g, [avg(d[1]),avg(d[2]),avg(d[3]),avg(d[4])] AS v FROM dl GROUP BY 1), ag AS (SELECT list_cosine_similarity(p.v,q.v) AS agreement FROM gm p JOIN gm q ON p.g=0 AND q.g=1) SELECT round(u[1],6) AS u1, round(u[2],6) AS u2, round(u[3],6) AS u3, round(u[4],6) AS u4, round(list_dot_product(u,mu),6) AS shift, round(list_dot_product(u,list_transform(m, lambda r: list_dot_product(r,u)))/(m[1][1]+m[2][2]+m[3][3]+m[4][4]),6) AS explained, round(agreement,6) AS agreement FROM ax, ag")
 def ss11(t):
-    return axis_row(t).select(*[R6(F.col("u")[k]).alias(f"u{k + 1}") for k in range(4)], R6(F.col("shift")).alias("shift"), R6(F.col("explained")).alias("explained"))
+    """The axis, and the cosine between the mean deltas of the two reference groups (even and odd subjects)."""
+    return axis_row(t).select(*[R6(F.col("u")[k]).alias(f"u{k + 1}") for k in range(4)], *[R6(F.col(c)).alias(c) for c in ("shift", "explained", "agreement")])
 
 
 @query("ss12_axis_projection", f"{AXIS_SQL}, p AS (SELECT subject, d, u, list_dot_product(d,u) AS al, list_dot_product(u,mu) AS sh FROM dl, ax) SELECT subject, round(al/sh,4) AS c, round(sqrt(list_sum(list_transform(range(1,5), lambda k: (d[k]-al*u[k])^2))),6) AS residual_norm FROM p")
@@ -321,10 +333,14 @@ def ss19(t):
 SOB = """se AS (SELECT l_linenumber AS param, l_orderkey AS row, ln(avg(l_extendedprice)) AS y_a, ln(avg(l_extendedprice*(1+l_tax))) AS y_b, ln(avg(l_extendedprice*(1-l_discount))) AS y_ab FROM lineitem GROUP BY 1,2)"""
 
 
-def evaluations(t):
+def outputs(t):
     p = F.col("l_extendedprice")
     return t.lineitem.groupBy(F.col("l_linenumber").alias("param"), F.col("l_orderkey").alias("row")).agg(
-        F.log(F.avg(p)).alias("y_a"), F.log(F.avg(p * (1 + F.col("l_tax")))).alias("y_b"), F.log(F.avg(p * (1 - F.col("l_discount")))).alias("y_ab")).withColumn("output", F.lit("y"))
+        F.avg(p).alias("y_a"), F.avg(p * (1 + F.col("l_tax"))).alias("y_b"), F.avg(p * (1 - F.col("l_discount"))).alias("y_ab"))
+
+
+def evaluations(t):
+    return outputs(t).select("param", "row", *[F.log(c).alias(c) for c in ("y_a", "y_b", "y_ab")], F.lit("y").alias("output"))
 
 
 @query("ss20_sobol_indices", f"""WITH {SOB}, v AS (SELECT param, var_pop(y) AS v FROM (SELECT param,y_a AS y FROM se UNION ALL SELECT param,y_b FROM se) GROUP BY 1)
@@ -333,15 +349,22 @@ def ss20(t):
     return st.sobol(evaluations(t), ["y"]).select("param", "n_rows", *[R6(F.col(c)).alias(c) for c in ("var_y", "s1", "st")])
 
 
-@query("ss20_sobol_bootstrap", f"""WITH {SOB}, e AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY row) AS idx, count(*) OVER (PARTITION BY param) AS n FROM se),
-b AS (SELECT param, rep, (floor({sql_uniform("'ss20'", 'rep', 'idx')}*n)+1)::BIGINT AS pick FROM e, range(1,21) r(rep)),
-j AS (SELECT b.param,b.rep,y_a,y_b,y_ab FROM b JOIN e ON e.param=b.param AND e.idx=b.pick), v AS (SELECT param,rep,var_pop(y) AS v FROM (SELECT param,rep,y_a AS y FROM j UNION ALL SELECT param,rep,y_b FROM j) GROUP BY 1,2),
-i AS (SELECT param,rep,avg((y_a-y_ab)^2)/(2*max(v)) AS st FROM j JOIN v USING (param,rep) GROUP BY 1,2)
-SELECT param, round(quantile_cont(st,0.025),4) AS st_lo, round(quantile_cont(st,0.975),4) AS st_hi FROM i GROUP BY 1""")
+def sql_sobol_bootstrap(n):
+    """Draws are cut from one digest per unit and block of eight replicates."""
+    weight = sql_poisson("substr(h,4*j+1,4)")
+    return f"""WITH {SOB.replace('ln(', '(')}, y AS (SELECT param, row, CASE WHEN y_a>0 THEN ln(y_a) END AS y_a, CASE WHEN y_b>0 THEN ln(y_b) END AS y_b, CASE WHEN y_ab>0 THEN ln(y_ab) END AS y_ab FROM se),
+m AS (SELECT param, avg(v) AS m FROM (SELECT param,y_a AS v FROM y UNION ALL SELECT param,y_b FROM y) GROUP BY 1),
+c AS (SELECT param, row, y_a-m AS a, y_b-m AS b, y_b*(y_ab-y_a) AS f, (y_a-y_ab)^2 AS t FROM y JOIN m USING (param)), h AS (SELECT *, md5(concat_ws('|','ss20',k,row)) AS h FROM c, range(0,{(n + 7) // 8}) q(k)),
+d AS (SELECT param, k*8+j+1 AS rep, {weight} AS w, a, b, f, t FROM h, range(0,8) z(j)),
+g AS (SELECT param, rep, sum(w*f) FILTER (WHERE f IS NOT NULL)/sum(w) FILTER (WHERE f IS NOT NULL) AS f, sum(w*t)/sum(w) FILTER (WHERE t IS NOT NULL) AS t, sum(w*((a IS NOT NULL)::INT+(b IS NOT NULL)::INT)) AS n, sum(w*(coalesce(a,0)+coalesce(b,0))) AS s, sum(w*(coalesce(a*a,0)+coalesce(b*b,0))) AS q FROM d WHERE rep<={n} AND w>0 GROUP BY 1,2),
+i AS (SELECT param, f/(q/n-(s/n)^2) AS s1, t/(2*(q/n-(s/n)^2)) AS st FROM g)
+SELECT param, round(quantile_cont(s1,0.025),4) AS s1_lo, round(quantile_cont(s1,0.975),4) AS s1_hi, round(quantile_cont(st,0.025),4) AS st_lo, round(quantile_cont(st,0.975),4) AS st_hi FROM i GROUP BY 1"""
+
+
+@query("ss20_sobol_bootstrap", sql_sobol_bootstrap(N_SOBOL))
 def ss20b(t):
-    b = draws(evaluations(t).drop("output"), ["param"], "row", ["y_a", "y_b", "y_ab"], 20, "ss20")
-    r = st.sobol(b, ["y"], ("param", "rep"))
-    return r.groupBy("param").agg(R4(F.percentile("st", F.lit(0.025))).alias("st_lo"), R4(F.percentile("st", F.lit(0.975))).alias("st_hi"))
+    b = st.sobol_bootstrap(outputs(t), ["param"], "row", N_SOBOL, "ss20", scale="log")
+    return b.select("param", *[R4(F.col(c)).alias(c) for c in ("s1_lo", "s1_hi", "st_lo", "st_hi")])
 
 
 @query("ss21_sample_design", f"""WITH b AS (SELECT o_orderkey AS row, {sql_uniform("'A'", "'1'", 'o_orderkey')} AS a1, {sql_uniform("'A'", "'2'", 'o_orderkey')} AS a2, {sql_uniform("'B'", "'1'", 'o_orderkey')} AS b1, {sql_uniform("'B'", "'2'", 'o_orderkey')} AS b2 FROM orders)
@@ -361,13 +384,16 @@ NCDF = "(0.5+(SELECT sum((CASE WHEN k=0 OR k=200 THEN 1 WHEN k%2=1 THEN 4 ELSE 2
 
 @query("ss22_normal_fit", f"""WITH x AS (SELECT c_nationkey AS g, c_acctbal AS v FROM customer), s AS (SELECT g, avg(v) AS m, stddev_pop(v) AS sd, count(*) AS n FROM x GROUP BY 1),
 r AS (SELECT x.g, (v-m)/sd AS z, row_number() OVER (PARTITION BY x.g ORDER BY v) AS k, n FROM x JOIN s USING (g)), c AS (SELECT g,k,n,{NCDF} AS f FROM r)
-SELECT g, max(n) AS n, round(max(greatest(k/n::DOUBLE-f, f-(k-1)/n::DOUBLE)),6) AS ks FROM c GROUP BY 1""")
+SELECT g, max(n) AS n, round(max(greatest(k/n::DOUBLE-f, f-(k-1)/n::DOUBLE)),6) AS ks, round((max(m)-(SELECT avg(v) FROM x))/((SELECT stddev_pop(v) FROM x)/sqrt(max(n))),6) AS mean_z FROM c JOIN s USING (g,n) GROUP BY 1""")
 def ss22(t):
+    """Distance from the normal distribution of the group's own moments, and z of its mean against that of all values."""
     x = t.customer.select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("v"))
     s = x.groupBy("g").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"), F.count(F.lit(1)).alias("n"))
     c = x.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
-    r = running(c, ["g"], ["v"], sums={"k": F.col("c")}).join(s, "g").withColumn("f", norm_cdf((F.col("v") - F.col("m")) / F.col("sd")))
-    return r.groupBy("g").agg(F.max("n").alias("n"), R6(F.max(F.greatest(F.col("k") / F.col("n") - F.col("f"), F.col("f") - (F.col("k") - F.col("c")) / F.col("n")))).alias("ks"))
+    every = x.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma"))
+    r = running(c, ["g"], ["v"], sums={"k": F.col("c")}).join(s.join(F.broadcast(every)), "g").withColumn("f", norm_cdf((F.col("v") - F.col("m")) / F.col("sd")))
+    return r.groupBy("g").agg(F.max("n").alias("n"), R6(F.max(F.greatest(F.col("k") / F.col("n") - F.col("f"), F.col("f") - (F.col("k") - F.col("c")) / F.col("n")))).alias("ks"),
+                              R6((F.max("m") - F.max("mu")) / (F.max("sigma") / F.sqrt(F.max("n")))).alias("mean_z"))
 
 
 RK = "(rank() OVER (PARTITION BY g ORDER BY {c})+(count(*) OVER (PARTITION BY g,{c})-1)/2.0)"
