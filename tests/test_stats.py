@@ -194,3 +194,28 @@ def test_simulated_sessions_have_the_stationary_law(spark, rows):
     s = kf.stationary(p)
     assert m["a"] == pytest.approx(s[0] + 0.0025, rel=0.15) and m["b"] == pytest.approx(s[2] + 0.0025, rel=0.15) and m["c"] == pytest.approx(s[1], abs=0.03)
     assert max(ll, key=ll.get) == 0
+
+
+def test_rating_statistics_match_numpy(spark, both_ways):
+    rng = np.random.default_rng(4)
+    rows = [(rep, ses, float(k), int(v)) for rep in range(3) for ses in range(7) for k, v in enumerate(rng.integers(-2, 3, 2 + ses * (rep + 1)))]
+    rows += [(1, 7, float(k), 1) for k in range(6)]                      # never varies: no correlation, an SD of zero
+    got = {}
+    d = spark.createDataFrame(rows, "rep int, ses long, t double, level int")
+    for r in ss.rating_statistics(d, F.col("ses") % 2 == 1, -3, 3).collect():
+        got[r["rep"], r["statistic"], r["level"]] = r["value"]
+    for rep in range(3):
+        x = {s: np.array([v for p, q, _, v in rows if (p, q) == (rep, s)]) for s in {q for p, q, _, _ in rows if p == rep}}
+        every = np.concatenate(list(x.values()))
+        for level in range(-3, 4):
+            assert got[rep, "level_share", level] == pytest.approx(np.mean(every == level))
+        ac = [np.corrcoef(v[:-1], v[1:])[0, 1] for v in x.values() if len(v) > 3 and np.std(v[:-1]) > 0 and np.std(v[1:]) > 0]
+        assert got[rep, "lag1_median", None] == pytest.approx(np.median(ac))
+        sd = [np.mean([np.std(v) for s, v in x.items() if s % 2 == g]) for g in (0, 1)]
+        assert got[rep, "sd_difference", None] == pytest.approx(sd[1] - sd[0])
+
+
+def test_predictive_bands_keep_the_data_out_of_the_band(spark):
+    d = spark.createDataFrame([(rep, "x", 100.0 if rep == 0 else float(rep)) for rep in range(42)], "rep int, statistic string, value double")
+    r = ss.predictive_bands(d, ["statistic"]).first()
+    assert (r["observed"], r["sim_mean"], r["lo"], r["hi"]) == (100.0, 21.0, 2.0, 40.0)

@@ -10,7 +10,8 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
 from ..session import chunk_rows, cut_lineage, spread
-from .ordered import numbered
+from .ordered import numbered, running
+from .quantiles import quantiles
 
 SESSION_ROWS_DIVISOR = 100  # a chunk of a session is this much smaller than a chunk of rows
 
@@ -68,7 +69,8 @@ def packed_scopes(obs):
 def score_scoped(chunks, several, grids):
     """score() of packed_scopes with one grid per scope: grids(scope, g)."""
     keys = ["scope", "ses"]
-    d = chunks.join(grids.withColumnRenamed("g", "grid"), "scope")
+    # Small rows would be joined in one or two tasks, but each is long work.
+    d = spread(chunks.join(grids.withColumnRenamed("g", "grid"), "scope"), *keys, "chunk")
     out = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid").alias("ll"))
     if several:
         out = out.unionByName(_chained(d, keys, True, True).select(*keys, "ll"))
@@ -198,3 +200,31 @@ def discretise(steps, sets, dt="dt"):
     c = F.col
     return d.withColumns({"q00": c("s00") - c("f00") ** 2 * c("s00"), "q01": c("s01") - c("f00") * (c("f10") * c("s00") + c("f11") * c("s01")),
                           "q11": c("s11") - (c("f10") ** 2 * c("s00") + 2 * c("f10") * c("f11") * c("s01") + c("f11") ** 2 * c("s11"))})
+
+
+def rating_statistics(levels, second, low, high):
+    """(rep, statistic, level, value) of levels(rep, ses, t, level), all of them for each rep.
+
+    The share of each level; the median over sessions of the lag-1 correlation (sessions of four ratings and more
+    that vary on both sides); the mean within-session SD of the group `second` minus that of the others.
+    """
+    per = levels.groupBy("rep", "level").agg(F.count(F.lit(1)).alias("c"))
+    totals = per.groupBy("rep").agg(F.sum("c").alias("n"))
+    asked = totals.select("rep", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level"))
+    shares = asked.join(per, ["rep", "level"], "left").select("rep", F.lit("level_share").alias("statistic"), "level", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("value"))
+    lagged = running(levels, ["rep", "ses"], ["t"], lags={"before": F.col("level")})
+    pair = F.col("before").isNotNull()
+    sds = [F.var_pop(F.when(pair, F.col(c))) for c in ("before", "level")]
+    s = lagged.groupBy("rep", "ses").agg(
+        F.stddev_pop("level").alias("sd"), F.when((F.count(F.lit(1)) > 3) & (sds[0] > 0) & (sds[1] > 0), F.covar_pop("before", "level") / F.sqrt(sds[0] * sds[1])).alias("ac"))
+    means = s.groupBy("rep").agg(*[F.avg(F.when(second if k else ~second, F.col("sd"))).alias(f"sd{k}") for k in (0, 1)])
+    none = F.lit(None).cast("int").alias("level")
+    lag = totals.select("rep").join(quantiles(s, ["rep"], "ac", {"value": 0.5}), "rep", "left").select("rep", F.lit("lag1_median").alias("statistic"), none, "value")
+    return shares.unionByName(lag).unionByName(means.select("rep", F.lit("sd_difference").alias("statistic"), none, (F.col("sd1") - F.col("sd0")).alias("value")))
+
+
+def predictive_bands(statistics, keys, probs=(0.025, 0.975)):
+    """(keys, observed, sim_mean, lo, hi): replicate 0 is the data, the others give the band."""
+    sim = F.when(F.col("rep") > 0, F.col("value"))
+    return statistics.groupBy(*keys).agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("observed"), F.avg(sim).alias("sim_mean"),
+                                         *[F.percentile(sim, F.lit(q)).alias(n) for n, q in zip(("lo", "hi"), probs)])

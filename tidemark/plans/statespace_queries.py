@@ -9,10 +9,10 @@ from ..functions import kalman as kf
 from ..functions.draws import normal, sql_normal
 from ..functions.linear import with_inverse
 from ..functions.tails import chi2_sf
-from ..operators import statespace as ss
+from ..operators import statespace as ss, stats as st
 from ..operators.quantiles import quantiles
 from ..operators.whiteness import ljung_box
-from ..operators.ordered import gaps, union_all
+from ..operators.ordered import gaps, numbered, union_all
 from ..operators.resample import bootstrap_mean
 from ..session import cut_lineage
 from ..sources.tables import EV
@@ -151,24 +151,37 @@ def kf7(t):
     return ss.best_by(scopes(scores(t)), ["scope"]).withColumn("ll", F.round("ll", 5))
 
 
-@query("kf7_zoomed_estimates")
-def kf7z(t):
-    """Coordinate-wise zoom: per pooled, group and subject scope a grid around its current best, two rounds."""
-    chunks, several = ss.packed_scopes(scopes(observations(t)))
+ZOOMED = ("k_inh", "k_d", "alpha", "beta", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
+
+
+def zoomed(obs, names=ZOOMED, widths=(0.5, 0.2)):
+    """(scope, theta, ll) of obs(scope, ses, ..): a grid around each scope's current best, one parameter after the other.
+
+    All scopes take a step in the same scoring pass; scopes may be groups, subjects or replicates.
+    """
+    chunks, several = ss.packed_scopes(obs)
     best = chunks.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES]))
-    names = ("k_inh", "k_d", "alpha", "beta", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
-    for width in (0.5, 0.2):
+    for width in widths:
         for n in names:
             i = kf.NAMES.index(n)
             axis = [math.exp(width * k) for k in (-1.0, -0.5, 0.0, 0.5, 1.0)]
             scaled = lambda f: F.transform("theta", lambda v, k: F.when(k == i, v * f).otherwise(v))  # noqa: E731, B023
-            sets = F.array(*[scaled(f) for f in axis])
-            g = best.select("scope", "theta").withColumn("g", sets)
             # The scope's grid travels with each of its sessions.
+            g = best.select("scope", "theta").withColumn("g", F.array(*[scaled(f) for f in axis]))
             s = ss.score_scoped(chunks, several, g.select("scope", "g"))
             win = s.groupBy("scope", "pid").agg(F.sum("ll").alias("ll")).groupBy("scope").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
             best = cut_lineage(g.join(win, "scope").select("scope", F.get("g", F.col("pid").cast("int")).alias("theta"), "ll"))
-    return best.select("scope", *[R6(F.col("theta")[kf.NAMES.index(n)]).alias(n) for n in names], R4(F.col("ll")).alias("ll"))
+    return best
+
+
+def zoomed_columns(names=ZOOMED):
+    return [*[R6(F.col("theta")[kf.NAMES.index(n)]).alias(n) for n in names], R4(F.col("ll")).alias("ll")]
+
+
+@query("kf7_zoomed_estimates")
+def kf7z(t):
+    """Coordinate-wise zoom per pooled, group and subject scope, two rounds."""
+    return zoomed(scopes(observations(t))).select("scope", *zoomed_columns())
 
 
 @query("kf8_group_rates", f"""WITH RECURSIVE {SC}, x AS (SELECT ses%2 AS grp, pid//3 AS k, pid%3 AS shared, sum(ll) AS ll FROM sc GROUP BY 1,2,3), m AS (SELECT grp,shared,arg_max(k,ll) AS k,max(ll) AS ll FROM x GROUP BY 1,2), s AS (SELECT shared, sum(ll) AS ll FROM m GROUP BY 1), b AS (SELECT arg_max(shared,ll) AS shared, max(ll) AS ll FROM s)
@@ -336,7 +349,7 @@ def kf15b(t):
     return d.select("start", *[R6(out[i]).alias(n) for i, n in enumerate(("k_inh", "k_d", "sigma_a", "sigma_phi"))])
 
 
-N_REP = 10
+N_REP = 200
 
 
 def simulated(t):
@@ -345,27 +358,23 @@ def simulated(t):
 
 @query("kf16_parametric_bootstrap")
 def kf16(t):
-    """Replicates on the real schedules, each scored on the grid and estimated."""
-    s = ss.score(simulated(t), ss.parameter_sets(GRID), keys=("rep", "ses"))
-    b = ss.best_by(s, ["rep"])
-    return b.select("rep", "pid", R4(F.col("ll")).alias("ll"))
+    """Replicates on the real schedules, each a scope of the zoom: the parameters of the observed information are
+    estimated, the others stay at the values that the replicates were made with."""
+    s = simulated(t).withColumn("scope", F.col("rep").cast("string")).drop("rep")
+    return zoomed(s, HN).select(F.col("scope").cast("int").alias("rep"), *zoomed_columns(HN))
 
 
 @query("kf17_predictive_check")
 def kf17(t):
-    """Level shares of simulated ordinal ratings (95 % bands) beside the observed ones."""
-    off = ratings_b(t).groupBy("ses").agg(F.avg("rating").alias("off"))
-    lv = lambda v: F.least(F.greatest(F.bround(v, 0), F.lit(-7.0)), F.lit(7.0)).cast("int")
-    sim = simulated(t).where("kind = 1").join(off, "ses").select("rep", lv(F.col("v0") * 4 + F.col("off")).alias("level"))
-    n = sim.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    c = sim.groupBy("rep", "level").agg(F.count(F.lit(1)).alias("c")).join(n, "rep").select("rep", "level", (F.col("c") / F.col("n")).alias("share"))
-    full = n.select("rep", F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("level")).join(c, ["rep", "level"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    band = full.groupBy("level").agg(F.percentile("share", F.lit(0.025)).alias("lo"), F.percentile("share", F.lit(0.975)).alias("hi"))
-    ob = ratings_b(t).groupBy(F.col("rating").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("c"))
-    tot = ob.agg(F.sum("c").alias("n"))
-    o = ob.join(F.broadcast(tot)).select("level", (F.col("c") / F.col("n")).alias("observed"))
-    d = band.join(o, "level", "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
-    return d.select("level", *[R6(F.col(x)).alias(x) for x in ("observed", "lo", "hi")], F.col("observed").between(F.col("lo"), F.col("hi")).alias("inside"))
+    """Simulated ordinal ratings (95 % bands of the replicates) beside the observed ones: shares of the levels,
+    median lag-1 autocorrelation of the sessions, and difference of the groups' mean within-session SD."""
+    real = ratings_b(t)
+    off = real.groupBy("ses").agg(F.avg("rating").alias("off"))
+    level = F.least(F.greatest(F.bround(F.col("v0") * 4 + F.col("off"), 0), F.lit(-7.0)), F.lit(7.0)).cast("int")
+    sim = simulated(t).where("kind = 1 and v0 is not null").join(off, "ses").select("rep", "ses", "t", level.alias("level"))
+    both = sim.unionByName(real.select(F.lit(0).alias("rep"), "ses", F.col("onset").cast("double").alias("t"), F.col("rating").cast("int").alias("level")))
+    c = ss.predictive_bands(ss.rating_statistics(both, F.col("ses") % 2 == 1, -7, 7), ["statistic", "level"])
+    return c.select("statistic", "level", *[R6(F.col(x)).alias(x) for x in ("observed", "sim_mean", "lo", "hi")], F.col("observed").between(F.col("lo"), F.col("hi")).alias("inside"))
 
 
 @query("kf18_stop_checks", f"""WITH {KEPT}, {LAGGED}, a AS (SELECT ses, CASE WHEN count(*) FILTER (WHERE y_a IS NOT NULL AND pa IS NOT NULL)>=10 THEN corr(pa,y_a) END AS ac FROM lg GROUP BY 1),
@@ -382,15 +391,68 @@ def kf18(t):
     return d.select(R6(F.col("median_ac")).alias("median_ac"), F.coalesce(F.col("median_ac") < 0.3, F.lit(False)).alias("k2"), R6(F.col("dropped")).alias("dropped"), (F.col("dropped") > 0.5).alias("k3"))
 
 
-@query("kf19_sensitivity_variants", f"""WITH RECURSIVE {OBS}, vo AS (SELECT ses*10+v AS ses, v, t, kind, CASE WHEN kind=0 AND v=1 THEN v1 ELSE v0 END AS v0, CASE WHEN v=2 THEN NULL ELSE v1 END AS v1, n FROM evn, range(0,4) q(v) WHERE v<>3 OR t<-1), {sql_filter(GRID[3:6], events='vo')},
-y AS (SELECT ses%10 AS v, pid, sum(ll) AS ll FROM sc GROUP BY 1,2), b AS (SELECT v, arg_max(pid,ll) AS pid, max(ll) AS ll FROM y GROUP BY 1) SELECT q.v AS variant, pid, round(ll,5) AS ll, pid IS NULL AS empty FROM range(0,4) q(v) LEFT JOIN b USING (v)""")
+VARIANTS = ("main", "feature_a_is_b", "feature_a_is_mean", "feature_b_is_a", "scaled_per_session", "missing_le_20pct", "first_20_probes", "other_artifact_rule")
+N_VARIANTS = len(VARIANTS)
+RATES, SIGNS = (0.05, 0.1, 0.2, 0.4, 0.8), tuple(itertools.product((1, -1), repeat=2))
+# Rates first, then the signs of alpha and beta, so that pid // 4 is the rate and pid % 4 the signs.
+SIGNED = [{**GRID[4], "k_inh": k, "alpha": a * GRID[4]["alpha"], "beta": b * GRID[4]["beta"]} for k in RATES for a, b in SIGNS]
+
+
+def variants(o):
+    """observations under every variant: (variant, ses, t, kind, v0, v1)."""
+    eeg = F.col("kind") == 0
+    gap = (F.col("v0").isNull() | F.col("v1").isNull()).cast("int")
+    s = o.where(eeg).groupBy("ses").agg(F.stddev_pop("v0").alias("sd0"), F.stddev_pop("v1").alias("sd1"), F.avg(gap).alias("missing"))
+    probes = numbered(o.where("kind = 1"), ["ses"], ["t"], "probe")
+    d = o.where(eeg).withColumn("probe", F.lit(None).cast("long")).unionByName(probes.select(*o.columns, F.col("probe").cast("long").alias("probe"))).join(s, "ses", "left")
+    d = d.withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_VARIANTS - 1).cast("long"))))
+    v, a, b = F.col("variant"), F.col("v0"), F.col("v1")
+    d = d.where(((v != 5) | F.coalesce(F.col("missing") <= 0.2, F.lit(False))) & ((v != 6) | F.coalesce(F.col("probe") <= 20, eeg)))
+    loud = (v == 7) & (F.abs(a) > 3)
+    first = F.when(~eeg, a).when(v == 1, b).when(v == 2, (a + b) / 2).when(v == 4, a / F.nullif(F.col("sd0"), F.lit(0.0))).when(~F.coalesce(loud, F.lit(False)), a)
+    second = F.when(~eeg, b).when(v == 3, a).when(v == 4, b / F.nullif(F.col("sd1"), F.lit(0.0))).when(~F.coalesce(loud, F.lit(False)), b)
+    return d.select("variant", "ses", "t", "kind", first.alias("v0"), second.alias("v1"))
+
+
+VARIANT_SQL = f"""{OBS}, sx AS (SELECT ses, stddev_pop(v0) AS sd0, stddev_pop(v1) AS sd1, avg((v0 IS NULL OR v1 IS NULL)::INT) AS miss FROM obs WHERE kind=0 GROUP BY 1),
+ov AS (SELECT obs.*, sd0, sd1, miss, row_number() OVER (PARTITION BY ses, kind ORDER BY t) AS probe FROM obs LEFT JOIN sx USING (ses)),
+vr AS (SELECT ses*10+v AS ses, v, t, kind, CASE WHEN kind=1 THEN v0 WHEN v=1 THEN v1 WHEN v=2 THEN (v0+v1)/2 WHEN v=4 THEN v0/nullif(sd0,0) WHEN v=7 AND abs(v0)>3 THEN NULL ELSE v0 END AS v0,
+ CASE WHEN kind=1 THEN v1 WHEN v=3 THEN v0 WHEN v=4 THEN v1/nullif(sd1,0) WHEN v=7 AND abs(v0)>3 THEN NULL ELSE v1 END AS v1 FROM ov, range(0,{N_VARIANTS}) q(v) WHERE (v<>5 OR miss<=0.2) AND (v<>6 OR kind=0 OR probe<=20)),
+vo AS (SELECT *, row_number() OVER (PARTITION BY ses ORDER BY t,kind) AS n FROM vr), {sql_filter(SIGNED, events='vo')},
+y AS (SELECT ses%10 AS v, pid, sum(ll) AS ll, count(*) AS n FROM sc GROUP BY 1,2), b AS (SELECT v, arg_min(pid, (-ll, pid)) AS pid, max(ll) AS ll, max(n) AS n FROM y GROUP BY 1),
+pf AS (SELECT pid//4 AS rate, max(ll) AS ll FROM y WHERE v=0 GROUP BY 1), m AS (SELECT pid FROM b WHERE v=0),
+vd AS (SELECT q.v AS variant, [{','.join(repr(n) for n in VARIANTS)}][q.v+1] AS name, coalesce(b.n,0) AS n_sessions, [{','.join(f'{k}::DOUBLE' for k in RATES)}][b.pid//4+1] AS k_inh,
+ (b.pid%4)//2=(m.pid%4)//2 AS alpha_sign_kept, b.pid%2=m.pid%2 AS beta_sign_kept, (SELECT max(ll) FROM pf)-pf.ll<=1.92 AS in_interval, round(b.ll,5) AS ll, b.pid IS NULL AS empty FROM range(0,{N_VARIANTS}) q(v) LEFT JOIN b ON b.v=q.v LEFT JOIN m ON true LEFT JOIN pf ON pf.rate=b.pid//4)"""
+
+
+@query("kf19_sensitivity_variants", f"WITH RECURSIVE {VARIANT_SQL} SELECT * FROM vd")
 def kf19(t):
-    """Feature and mask choices as one dimension of one job; an empty variant is kept."""
-    o = observations(t).withColumn("variant", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).where("variant <> 3 or t < -1")
-    o = o.withColumns({"v0": F.when((F.col("kind") == 0) & (F.col("variant") == 1), F.col("v1")).otherwise(F.col("v0")), "v1": F.when(F.col("variant") != 2, F.col("v1"))})
-    b = ss.best_by(ss.score(o, ss.parameter_sets(GRID[3:6]), keys=("variant", "ses")), ["variant"])
-    every = t.spark.range(0, 4).select(F.col("id").alias("variant"))
-    return every.join(F.broadcast(b), "variant", "left").select("variant", "pid", F.round("ll", 5).alias("ll"), F.col("pid").isNull().alias("empty"))
+    """Feature, mask and keep choices as one dimension of one job; per variant the rate, and whether the signs and
+    the main profile's 95 % interval of the rate hold. An empty variant is kept."""
+    s = ss.score(variants(observations(t)), ss.parameter_sets(SIGNED), keys=("variant", "ses"))
+    # Few rows from here on: variants times parameter sets.
+    y = cut_lineage(s.groupBy("variant", "pid").agg(F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n_sessions")))
+    b = y.groupBy("variant").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"), F.max("n_sessions").alias("n_sessions"))
+    rate = lambda pid: F.get(F.array(*[F.lit(k) for k in RATES]), F.floor(pid / 4).cast("int"))
+    curve = y.where("variant = 0").groupBy(F.lit(0).alias("one"), rate(F.col("pid")).alias("k")).agg(F.max("ll").alias("ll"))
+    ends = st.profile_interval(curve, ["one"], "k", "ll").select("lo", "hi")
+    main = b.where("variant = 0").select(F.col("pid").alias("main"))
+    every = t.spark.range(0, N_VARIANTS).select(F.col("id").alias("variant"))
+    d = every.join(F.broadcast(b), "variant", "left").join(F.broadcast(main), how="left").join(F.broadcast(ends), how="left").withColumn("k_inh", rate(F.col("pid")))
+    sign = lambda pid, w: F.floor(pid % 4 / w) % 2
+    within = (F.col("k_inh") >= F.coalesce("lo", F.lit(0.0))) & (F.col("k_inh") <= F.coalesce("hi", F.lit(float("inf"))))
+    return d.select("variant", F.get(F.array(*[F.lit(n) for n in VARIANTS]), F.col("variant").cast("int")).alias("name"), F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), "k_inh",
+                    (sign(F.col("pid"), 2) == sign(F.col("main"), 2)).alias("alpha_sign_kept"), (sign(F.col("pid"), 1) == sign(F.col("main"), 1)).alias("beta_sign_kept"),
+                    within.alias("in_interval"), F.round("ll", 5).alias("ll"), F.col("pid").isNull().alias("empty"))
+
+
+@query("kf19_sensitivity_rule", f"""WITH RECURSIVE {VARIANT_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE alpha_sign_kept) AS a, count(*) FILTER (WHERE beta_sign_kept) AS b, count(*) FILTER (WHERE in_interval) AS i FROM vd WHERE variant BETWEEN 1 AND 6 AND NOT empty)
+SELECT n AS n_variants, a AS alpha_sign_kept, b AS beta_sign_kept, i AS in_interval, n>0 AND least(a,b,i)>=0.8*n AS robust FROM c""")
+def kf19b(t):
+    """The rule over the variants fixed in advance: each verdict in four of five; the other artifact rule stays apart."""
+    v = kf19(t).where("variant between 1 and 6 and not empty")
+    c = v.agg(F.count(F.lit(1)).alias("n_variants"), *[F.count_if(F.col(x)).alias(x) for x in ("alpha_sign_kept", "beta_sign_kept", "in_interval")])
+    return c.withColumn("robust", (F.col("n_variants") > 0) & (F.least("alpha_sign_kept", "beta_sign_kept", "in_interval") >= 0.8 * F.col("n_variants")))
 
 
 @query("kf20_signal_to_noise", "WITH p AS (SELECT p_partkey, 0.05+p_size/100.0 AS k, 0.02+p_size/200.0 AS kd, p_retailprice/5000.0 AS sa, p_retailprice/9000.0 AS sp FROM part), s AS (SELECT *, sa^2/(2*k) AS s00, -0.081*(sa^2/(2*k))/(k+kd) AS s01 FROM p) SELECT p_partkey, round(sqrt(s00)/0.1,6) AS snr_a, round(sqrt((sp^2-2*0.081*s01)/(2*kd))/0.1,6) AS snr_phi FROM s")
