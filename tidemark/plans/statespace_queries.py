@@ -19,6 +19,7 @@ from ..sources.tables import EV
 from .decoding import KEPT, PB, keep_sessions
 from .registry import query
 from .relational import FS, feature_epochs, ratings_b, with_previous, LAGGED
+from .statistics import CHI_SQL
 
 R6 = lambda c: F.round(c, 6)
 R4 = lambda c: F.round(c, 4)
@@ -309,17 +310,52 @@ def kf13b(t):
     return inv.select("scope", "definite", F.inline(rows)).select("scope", "parameter", F.round("se", 4).alias("se"), F.round(F.col("se") / F.col("unit"), 4).alias("rel_se"), "definite")
 
 
-@query("kf14_residual_whiteness")
-def kf14(t):
-    """Ljung-Box p per session and channel and the innovation correlation."""
-    f = cut_lineage(filtered(t).where("kind = 0").select("ses", "n", "z_a", "z_p"))
-    lb = lambda c: ljung_box(f.where(F.col(c).isNotNull()), ["ses"], "n", c, 5).select("ses", R6(chi2_sf(F.col("q"), F.col("lags").cast("double"))).alias(f"p{c[1:]}"))
+def sql_ljung_box(src, value, out):
+    """Relation `out`(ses, lags, q) of the non-null `value` of src(ses, n, ..), at most five lags."""
+    return f"""o{out} AS (SELECT ses, row_number() OVER (PARTITION BY ses ORDER BY n) AS k, count(*) OVER (PARTITION BY ses) AS n, {value}-avg({value}) OVER (PARTITION BY ses) AS x FROM {src} WHERE {value} IS NOT NULL),
+m{out} AS (SELECT ses, max(n) AS n, least(5,max(n)//4) AS m, avg(x*x) AS c0 FROM o{out} GROUP BY 1),
+r{out} AS (SELECT m.ses, a.l, sum(p.x*q.x)/(max(m.n)*max(c0)) AS rk, max(m.n) AS n FROM m{out} m JOIN (SELECT l FROM range(1,6) z(l)) a ON a.l<=m.m JOIN o{out} p ON p.ses=m.ses JOIN o{out} q ON q.ses=m.ses AND q.k=p.k+a.l GROUP BY 1,2),
+s{out} AS (SELECT ses, max(n)*(max(n)+2)*sum(rk*rk/(n-l)) AS q FROM r{out} GROUP BY 1),
+{out} AS (SELECT m.ses, CASE WHEN m.m>=1 AND m.n>=10 THEN m.m END AS lags, CASE WHEN m.m>=1 AND m.n>=10 THEN CASE WHEN c0<=1e-15 THEN 0.0 ELSE q END END AS q FROM m{out} m LEFT JOIN s{out} USING (ses))"""
+
+
+RA, RP = GRID[4]["r_A"], GRID[4]["r_Phi"]
+# The state before each feature epoch, moved from the event before it; the second feature sees the first one's update.
+WHITE_SQL = f"""{ONE}, nx AS (SELECT e.ses,e.n,e.v0,e.v1,s.m0,s.m1,s.p00,s.p01,s.p11,e.t-s.t AS dt FROM evn e JOIN kfr s ON s.ses=e.ses AND s.n=e.n-1 WHERE e.kind=0),
+fx AS (SELECT nx.*, exp(-k_inh*dt) AS f00, exp(-k_d*dt) AS f11, -k_int*(exp(-k_inh*dt)-exp(-k_d*dt))/(k_d-k_inh) AS f10, s00,s01,s11 FROM nx, pr),
+gx AS (SELECT ses,n,v0,v1, f00*m0 AS m0, f10*m0+f11*m1 AS m1, f00*f00*(p00-s00)+s00 AS p00, f00*(f10*(p00-s00)+f11*(p01-s01))+s01 AS p01, f10*f10*(p00-s00)+2*f10*f11*(p01-s01)+f11*f11*(p11-s11)+s11 AS p11 FROM fx),
+inn AS (SELECT ses, n, (v0-m0)/sqrt(p00+{RA}*{RA}) AS z_a, (v1-m1-CASE WHEN v0 IS NULL THEN 0 ELSE p01/(p00+{RA}*{RA})*(v0-m0) END)/sqrt(p11-CASE WHEN v0 IS NULL THEN 0 ELSE p01*p01/(p00+{RA}*{RA}) END+{RP}*{RP}) AS z_p FROM gx),
+{sql_ljung_box('inn', 'z_a', 'la')}, {sql_ljung_box('inn', 'z_p', 'lp')},
+wc AS (SELECT ses, CASE WHEN count(*) FILTER (WHERE z_a IS NOT NULL AND z_p IS NOT NULL)>10 THEN corr(z_a,z_p) END AS ic FROM inn GROUP BY 1),
+wh AS (SELECT ses, ic, (SELECT CASE WHEN q IS NOT NULL THEN {CHI_SQL} END FROM la WHERE la.ses=wc.ses) AS p_a, (SELECT CASE WHEN q IS NOT NULL THEN {CHI_SQL} END FROM lp WHERE lp.ses=wc.ses) AS p_p FROM wc)"""
+
+
+def whiteness(t):
+    """(ses, innovation_corr, p_a, p_p): Ljung-Box p of each feature's innovations and their correlation."""
     from ..functions.exprs import pearson
 
-    c = f.groupBy("ses").agg(F.when(F.count_if(F.col("z_a").isNotNull() & F.col("z_p").isNotNull()) > 10, R6(pearson("z_a", "z_p"))).alias("innovation_corr"))
+    f = cut_lineage(filtered(t).where("kind = 0").select("ses", "n", "z_a", "z_p"))
+    lb = lambda c: ljung_box(f.where(F.col(c).isNotNull()), ["ses"], "n", c, 5).select("ses", chi2_sf(F.col("q"), F.col("lags").cast("double")).alias(f"p{c[1:]}"))
+    c = f.groupBy("ses").agg(F.when(F.count_if(F.col("z_a").isNotNull() & F.col("z_p").isNotNull()) > 10, pearson("z_a", "z_p")).alias("innovation_corr"))
     return c.join(lb("z_a"), "ses", "left").join(lb("z_p"), "ses", "left")
 
 
+@query("kf14_residual_whiteness", f"WITH RECURSIVE {WHITE_SQL} SELECT ses, round(ic,6) AS innovation_corr, round(p_a,6) AS p_a, round(p_p,6) AS p_p FROM wh")
+def kf14(t):
+    return whiteness(t).select("ses", *[R6(F.col(c)).alias(c) for c in ("innovation_corr", "p_a", "p_p")])
+
+
+@query("kf14_whiteness_medians", f"WITH RECURSIVE {WHITE_SQL} SELECT count(*) AS n_sessions, {', '.join(f'round(quantile_cont({c},0.5),6) AS {n}' for c, n in (('p_a', 'p_a_median'), ('p_p', 'p_p_median'), ('ic', 'innovation_corr_median')))}, count(*) FILTER (WHERE p_a<0.05) AS below_a, count(*) FILTER (WHERE p_p<0.05) AS below_p FROM wh")
+def kf14m(t):
+    """Medians over the sessions, and how many sessions fall below 5 %."""
+    w = cut_lineage(whiteness(t)).withColumn("_j", F.lit(0))
+    n = w.groupBy("_j").agg(F.count(F.lit(1)).alias("n_sessions"), F.count_if(F.col("p_a") < 0.05).alias("below_a"), F.count_if(F.col("p_p") < 0.05).alias("below_p"))
+    names = {"p_a": "p_a_median", "p_p": "p_p_median", "innovation_corr": "innovation_corr_median"}
+    for c, out in names.items():
+        n = n.join(quantiles(w, ["_j"], c, {out: 0.5}), "_j", "left")
+    return n.select("n_sessions", *[R6(F.col(c)).alias(c) for c in names.values()], "below_a", "below_p")
+
+
 KF15_SQL = f"""{EV}, {LAGGED}, m AS (SELECT ses, avg(y_a) AS ma, avg(y_p) AS mp FROM fs GROUP BY 1), c AS (SELECT y_a-ma AS xa, pa-ma AS qa, y_p-mp AS xp, pp-mp AS qp FROM lg JOIN m USING (ses)),
 r AS (SELECT least(greatest(sum(xa*qa)/sum(qa*qa) FILTER (WHERE xa IS NOT NULL),0.05),0.99) AS aa, least(greatest(sum(xp*qp)/sum(qp*qp) FILTER (WHERE xp IS NOT NULL),0.05),0.99) AS ap, avg(xa*xa) AS va, avg(xp*xp) AS vp FROM c),
 mo AS (SELECT -ln(aa)*6 AS k_inh, -ln(ap)*6 AS k_d, sqrt(greatest(2*(-ln(aa)*6)*va*0.7,1e-4)) AS sigma_a, sqrt(greatest(2*(-ln(ap)*6)*vp*0.7,1e-4)) AS sigma_phi FROM r)"""
