@@ -12,7 +12,7 @@ from ..functions.tails import chi2_sf
 from ..operators import statespace as ss, stats as st
 from ..operators.quantiles import quantiles
 from ..operators.whiteness import ljung_box
-from ..operators.ordered import gaps, numbered, union_all
+from ..operators.ordered import gaps, numbered, running, union_all
 from ..operators.resample import bootstrap_mean
 from ..session import cut_lineage
 from ..sources.tables import EV
@@ -356,33 +356,64 @@ def kf14m(t):
     return n.select("n_sessions", *[R6(F.col(c)).alias(c) for c in names.values()], "below_a", "below_p")
 
 
-KF15_SQL = f"""{EV}, {LAGGED}, m AS (SELECT ses, avg(y_a) AS ma, avg(y_p) AS mp FROM fs GROUP BY 1), c AS (SELECT y_a-ma AS xa, pa-ma AS qa, y_p-mp AS xp, pp-mp AS qp FROM lg JOIN m USING (ses)),
+# The parameters that are estimated, in the order of the nominal ones.
+STARTS = ("k_inh", "k_d", "sigma_A", "sigma_Phi", "alpha", "beta", "r_A", "r_Phi", "r_Q", "rho")
+START_NAMES = [n.lower() for n in STARTS]
+KF15_SQL = f"""{OBS}{LAGGED[len(FS):]}, m AS (SELECT ses, avg(y_a) AS ma, avg(y_p) AS mp FROM fs GROUP BY 1), c AS (SELECT y_a-ma AS xa, pa-ma AS qa, y_p-mp AS xp, pp-mp AS qp FROM lg JOIN m USING (ses)),
 r AS (SELECT least(greatest(sum(xa*qa)/sum(qa*qa) FILTER (WHERE xa IS NOT NULL),0.05),0.99) AS aa, least(greatest(sum(xp*qp)/sum(qp*qp) FILTER (WHERE xp IS NOT NULL),0.05),0.99) AS ap, avg(xa*xa) AS va, avg(xp*xp) AS vp FROM c),
-mo AS (SELECT -ln(aa)*6 AS k_inh, -ln(ap)*6 AS k_d, sqrt(greatest(2*(-ln(aa)*6)*va*0.7,1e-4)) AS sigma_a, sqrt(greatest(2*(-ln(ap)*6)*vp*0.7,1e-4)) AS sigma_phi FROM r)"""
+ep AS (SELECT ses, t, v0, v1 FROM obs WHERE kind=0), fi AS (SELECT ses, arg_min({{'a': v0, 'p': v1}}, t) AS y FROM ep GROUP BY 1),
+prb AS (SELECT q.ses, q.t, any_value(q.v0) AS r, arg_max({{'a': ep.v0, 'p': ep.v1}}, ep.t) FILTER (WHERE ep.t IS NOT NULL) AS y FROM obs q LEFT JOIN ep ON ep.ses=q.ses AND ep.t<q.t-1e-9 WHERE q.kind=1 AND q.v0 IS NOT NULL GROUP BY 1,2),
+px AS (SELECT r, coalesce(prb.y, fi.y).a AS a, coalesce(prb.y, fi.y).p AS p FROM prb JOIN fi USING (ses)),
+ps AS (SELECT count(*) AS n, sum(a*a) AS aa, sum(a*p) AS ap, sum(p*p) AS pp, sum(a*r) AS ar, sum(p*r) AS pr FROM px WHERE a IS NOT NULL AND p IS NOT NULL),
+pc AS (SELECT CASE WHEN n>5 AND aa*pp-ap*ap<>0 THEN (pr*aa-ar*ap)/(aa*pp-ap*ap) ELSE {kf.NOMINAL['alpha']}::DOUBLE END AS alpha, CASE WHEN n>5 AND aa*pp-ap*ap<>0 THEN -(ar*pp-pr*ap)/(aa*pp-ap*ap) ELSE {kf.NOMINAL['beta']}::DOUBLE END AS beta FROM ps),
+mo AS (SELECT -ln(aa)*6 AS k_inh, -ln(ap)*6 AS k_d, sqrt(greatest(2*(-ln(aa)*6)*va*0.7,1e-4)) AS sigma_a, sqrt(greatest(2*(-ln(ap)*6)*vp*0.7,1e-4)) AS sigma_phi, alpha, beta, {', '.join(f'{kf.NOMINAL[n]}::DOUBLE AS {n.lower()}' for n in STARTS[6:])} FROM r, pc)"""
 
 
-@query("kf15_starting_values", f"WITH {KF15_SQL} SELECT round(k_inh,6) AS k_inh, round(k_d,6) AS k_d, round(sigma_a,6) AS sigma_a, round(sigma_phi,6) AS sigma_phi FROM mo")
+def before_probes(o):
+    """(r, a, p): each rating with the features of the last epoch that ends before it, of the first epoch if none does."""
+    eeg = F.col("kind") == 0
+    both = F.struct(F.col("v0").alias("a"), F.col("v1").alias("p"))
+    # At equal times the rating comes first, so that it meets strictly earlier epochs.
+    d = running(o.withColumn("turn", -F.col("kind")), ["ses"], ["t", "turn"], lasts={"y": F.when(eeg, both)})
+    first = o.where(eeg).groupBy("ses").agg(F.min_by(both, "t").alias("y0"))
+    return d.where(~eeg & F.col("v0").isNotNull()).join(first, "ses").select(F.col("v0").alias("r"), F.coalesce("y", "y0").alias("y")).select("r", "y.a", "y.p")
+
+
+@query("kf15_starting_values", f"WITH {KF15_SQL} SELECT {', '.join(f'round({n},6) AS {n}' for n in START_NAMES)} FROM mo")
 def kf15(t):
+    """Rates and noises from lag ratios and variances, gains from the regression of the ratings, the rest nominal."""
     d = with_previous(t)
     m = d.groupBy("ses").agg(F.avg("y_a").alias("ma"), F.avg("y_p").alias("mp"))
     c = d.join(m, "ses").select((F.col("y_a") - F.col("ma")).alias("xa"), (F.col("pa") - F.col("ma")).alias("qa"), (F.col("y_p") - F.col("mp")).alias("xp"), (F.col("pp") - F.col("mp")).alias("qp"))
     ac = lambda s: F.least(F.greatest(F.sum(F.col(f"x{s}") * F.col(f"q{s}")) / F.sum(F.when(F.col(f"x{s}").isNotNull(), F.col(f"q{s}") ** 2)), F.lit(0.05)), F.lit(0.99))
-    r = c.agg(ac("a").alias("aa"), ac("p").alias("ap"), F.avg(F.col("xa") ** 2).alias("va"), F.avg(F.col("xp") ** 2).alias("vp"))
+    r = c.agg(ac("a").alias("aa"), ac("p").alias("ap"), F.avg(F.col("xa") ** 2).alias("va"), F.avg(F.col("xp") ** 2).alias("vp"), F.lit(0).alias("_j"))
+    x = {"s": F.lit(1), "a": F.col("a"), "p": F.col("p"), "r": F.col("r")}
+    g = before_probes(observations(t)).where("a is not null and p is not null").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in ("aa", "ap", "pp", "ar", "pr")], F.lit(0).alias("_j"))
+    det = F.col("saa") * F.col("spp") - F.col("sap") ** 2
+    usable = (F.col("n") > 5) & (det != 0)
+    gain = {"alpha": (F.col("spr") * F.col("saa") - F.col("sar") * F.col("sap")) / det, "beta": -(F.col("sar") * F.col("spp") - F.col("spr") * F.col("sap")) / det}
     k = {s: -F.log(f"a{s}") * 6 for s in "ap"}
     sg = {s: F.sqrt(F.greatest(2 * k[s] * F.col(f"v{s}") * 0.7, F.lit(1e-4))) for s in "ap"}
-    return r.select(R6(k["a"]).alias("k_inh"), R6(k["p"]).alias("k_d"), R6(sg["a"]).alias("sigma_a"), R6(sg["p"]).alias("sigma_phi"))
+    moments = {"k_inh": k["a"], "k_d": k["p"], "sigma_A": sg["a"], "sigma_Phi": sg["p"], **{n: F.when(usable, v).otherwise(kf.NOMINAL[n]) for n, v in gain.items()}}
+    return r.join(g, "_j").select(*[R6(moments.get(n, F.lit(kf.NOMINAL[n]))).alias(n.lower()) for n in STARTS])
 
 
-@query("kf15_jittered_starts", f"""WITH {KF15_SQL}, ms AS (SELECT [round(k_inh,6),round(k_d,6),round(sigma_a,6),round(sigma_phi,6)] AS mom FROM mo), o AS (SELECT s, i, CASE WHEN s%2=0 THEN [0.2,0.034,0.1,0.05][i+1]::DOUBLE ELSE mom[i+1] END * CASE WHEN s<2 THEN 1.0 ELSE exp(0.3*{sql_normal("'kf15'", 's', 'i')}) END AS v FROM ms, range(0,6) a(s), range(0,4) b(i))
-SELECT s::INT AS start, round(max(v) FILTER (WHERE i=0),6) AS k_inh, round(max(v) FILTER (WHERE i=1),6) AS k_d, round(max(v) FILTER (WHERE i=2),6) AS sigma_a, round(max(v) FILTER (WHERE i=3),6) AS sigma_phi FROM o GROUP BY 1""")
+@query("kf15_jittered_starts", f"""WITH {KF15_SQL}, ms AS (SELECT [{','.join(f'round({n},6)' for n in START_NAMES)}] AS mom FROM mo),
+o AS (SELECT s, i, CASE WHEN s%2=0 THEN [{','.join(repr(kf.NOMINAL[n]) for n in STARTS)}][i+1]::DOUBLE ELSE mom[i+1] END AS v, CASE WHEN s<2 THEN 0.0 ELSE {sql_normal("'kf15'", 's', 'i')} END AS z, CASE WHEN s<2 THEN 0.0 ELSE {sql_normal("'kf15+'", 's', 'i')} END AS z2 FROM ms, range(0,6) a(s), range(0,{len(STARTS)}) b(i)),
+w AS (SELECT s, i, CASE WHEN i IN ({','.join(str(i) for i, n in enumerate(STARTS) if n in kf.POSITIVE)}) THEN v*exp(0.3*z) ELSE v+0.3*abs(v)*z+0.001*z2 END AS v FROM o)
+SELECT s::INT AS start, {', '.join(f'round(max(v) FILTER (WHERE i={i}),6) AS {n}' for i, n in enumerate(START_NAMES))} FROM w GROUP BY 1""")
 def kf15b(t):
-    """Alternating jittered copies of the nominal and the moment start."""
-    mom = kf15(t).select(F.array("k_inh", "k_d", "sigma_a", "sigma_phi").alias("mom"))
+    """Alternating copies of the nominal and the moment start, jittered on the log scale where a parameter is positive."""
+    mom = kf15(t).select(F.array(*START_NAMES).alias("mom"))
     d = mom.select("mom", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("start"))
-    nom = F.array(*[F.lit(kf.NOMINAL[n]) for n in ("k_inh", "k_d", "sigma_A", "sigma_Phi")])
+    nom = F.array(*[F.lit(float(kf.NOMINAL[n])) for n in STARTS])
     src = F.when(F.col("start") % 2 == 0, nom).otherwise(F.col("mom"))
-    out = F.transform(src, lambda v, i: F.when(F.col("start") < 2, v).otherwise(v * F.exp(0.3 * normal(F.lit("kf15"), F.col("start"), i))))
-    return d.select("start", *[R6(out[i]).alias(n) for i, n in enumerate(("k_inh", "k_d", "sigma_a", "sigma_phi"))])
+
+    def moved(i, n):
+        v, z, z2 = F.get("src", F.lit(i)), *[normal(F.lit(s), F.col("start"), F.lit(i)) for s in ("kf15", "kf15+")]
+        return F.when(F.col("start") < 2, v).otherwise(v * F.exp(0.3 * z) if n in kf.POSITIVE else v + 0.3 * F.abs(v) * z + 0.001 * z2)
+    return d.withColumn("src", src).select("start", *[R6(moved(i, n)).alias(n.lower()) for i, n in enumerate(STARTS)])
 
 
 N_REP = 200
