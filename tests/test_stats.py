@@ -219,3 +219,12 @@ def test_predictive_bands_keep_the_data_out_of_the_band(spark):
     d = spark.createDataFrame([(rep, "x", 100.0 if rep == 0 else float(rep)) for rep in range(42)], "rep int, statistic string, value double")
     r = ss.predictive_bands(d, ["statistic"]).first()
     assert (r["observed"], r["sim_mean"], r["lo"], r["hi"]) == (100.0, 21.0, 2.0, 40.0)
+
+
+def test_effect_interval_keeps_its_digits_far_from_zero(spark):
+    x = np.random.default_rng(8).normal(size=60)
+    get = lambda far, keys: st.effect_bootstrap(spark.createDataFrame([("k", i, float(far + v)) for i, v in enumerate(x)], "key string, id long, diff double"), keys, "id", 400, "e").first()
+    near, far = get(0.0, []), get(1e8, ["key"])
+    spread_lo, spread_hi = 1e8 / far["hi"], 1e8 / far["lo"]
+    assert near["lo"] < x.mean() / x.std(ddof=1) < near["hi"]
+    assert 0.7 * x.std() < spread_lo < x.std() < spread_hi < 1.3 * x.std()

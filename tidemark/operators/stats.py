@@ -50,11 +50,19 @@ def paired_effect(pairs, keys=()):
 
 
 def effect_bootstrap(pairs, keys, ident, n_boot, seed):
-    """Percentile interval of d_z over reweighted units (0 where a replicate has no spread)."""
-    r = resampled(pairs, keys, ident, {"s": F.col("diff"), "ss": F.col("diff") ** 2}, n_boot, seed)
-    m = F.col("s") / F.col("w")
-    var = F.try_divide(F.greatest(F.col("ss") - F.col("w") * m * m, F.lit(0.0)), F.col("w") - 1)
-    r = r.withColumn("dz", F.when(var > 0, m / F.sqrt(var)).otherwise(0.0))
+    """Percentile interval of d_z over reweighted units (0 where a replicate has no spread).
+
+    Squares are summed about the key's mean, so a mean that is large against the spread costs no digits.
+    """
+    keys = list(keys)
+    middle = pairs.groupBy(*keys).agg(F.avg("diff").alias("_mid"))
+    # Without keys the means are one row.
+    d = pairs.join(middle, keys) if keys else pairs.join(F.broadcast(middle))
+    away = F.col("diff") - F.col("_mid")
+    r = resampled(d, keys, ident, {"s": away, "ss": away ** 2, "mid": F.col("_mid")}, n_boot, seed)
+    off = F.col("s") / F.col("w")
+    var = F.try_divide(F.greatest(F.col("ss") - F.col("s") * off, F.lit(0.0)), F.col("w") - 1)
+    r = r.withColumn("dz", F.when(var > 0, (F.col("mid") / F.col("w") + off) / F.sqrt(var)).otherwise(0.0))
     # The replicate count is a parameter, so the built-in percentile is bounded here.
     return r.groupBy(*keys).agg(F.percentile("dz", F.lit(0.025)).alias("lo"), F.percentile("dz", F.lit(0.975)).alias("hi"))
 
@@ -62,8 +70,10 @@ def effect_bootstrap(pairs, keys, ident, n_boot, seed):
 def sql_effects(units, ident, n_boot, seed, keys=()):
     """The replicates of effect_bootstrap as a DuckDB subquery."""
     k = "".join(f"{x}," for x in keys)
-    r = sql_resampled(units, ident, {"s": "diff", "ss": "diff*diff"}, n_boot, seed, keys)
-    return f"(SELECT {k}rep, CASE WHEN v>0 THEN s/w/sqrt(v) ELSE 0.0 END AS dz FROM (SELECT *, CASE WHEN w>1 THEN greatest(ss-s*s/w,0.0)/(w-1) END AS v FROM {r}))"
+    over = f"avg(diff) OVER ({'PARTITION BY ' + ','.join(keys) if keys else ''})"
+    centred = f"(SELECT *, {over} AS mid, diff-{over} AS away FROM {units}) un"
+    r = sql_resampled(centred, ident, {"s": "away", "ss": "away*away", "mid": "mid"}, n_boot, seed, keys)
+    return f"(SELECT {k}rep, CASE WHEN v>0 THEN (mid/w+s/w)/sqrt(v) ELSE 0.0 END AS dz FROM (SELECT *, CASE WHEN w>1 THEN greatest(ss-s*s/w,0.0)/(w-1) END AS v FROM {r}))"
 
 
 def equivalence(pairs, keys=(), bound=0.2):
