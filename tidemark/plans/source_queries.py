@@ -158,6 +158,28 @@ def sc15(t):
     return a.select("grp", F.inline(F.array(*[F.struct(F.lit(c).alias("col"), R6(F.col(f"mean_{c}")).alias("mean"), R6(F.col(f"sd_{c}")).alias("sd"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi")) for c in cols])))
 
 
+@query("sc15_head_rows", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem ORDER BY ALL LIMIT 5")
+def sc15h(t):
+    """The first rows in key order; keys repeat, so the other columns settle ties."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").limit(5)
+
+
+@query("sc16_run_index", """WITH r AS (SELECT concat('{"clerk":"',o_orderstatus,'","prio":"',o_orderpriority,'"}') AS inputs, max(o_orderdate)::DATE AS made, count(*) AS n FROM orders GROUP BY 1),
+k AS (SELECT substr(sha1(inputs),1,10) AS run_key, 'orders' AS kind, inputs, made FROM r) SELECT *, row_number() OVER (ORDER BY made DESC, run_key) AS place FROM k""")
+def sc16i(t):
+    """Results of two overlapping batches, each indexed once, listed from the newest on."""
+    path, index = fs.scratch(t.spark) + "/runs", fs.scratch(t.spark) + "/index"
+    inputs = F.struct(F.col("o_orderstatus").alias("clerk"), F.col("o_orderpriority").alias("prio"))
+    r = t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").cast("date").alias("made"))
+    r = r.select(fs.run_key(inputs).alias("run_key"), F.lit("orders").alias("kind"), F.to_json(inputs).alias("inputs"), "made", "n")
+    entry = ["kind", "inputs", "made"]
+    r.limit(0).write.parquet(path)
+    r.limit(0).select("run_key", *entry).write.parquet(index)
+    for batch in (r.where("n % 2 = 0"), r, r):
+        fs.append_indexed(batch, path, index, t.spark, "run_key", entry)
+    return fs.newest_first(t.spark.read.parquet(index), "made", "run_key").select("run_key", *entry, F.col("place").cast("long").alias("place"))
+
+
 @query("sc16_result_store", """SELECT substr(sha1(concat('{"clerk":"',o_orderstatus,'","prio":"',o_orderpriority,'"}')),1,10) AS run_key, count(*) AS n FROM orders GROUP BY o_orderstatus,o_orderpriority""")
 def sc16(t):
     path = fs.scratch(t.spark) + "/runs"

@@ -96,6 +96,27 @@ def append_new(df, path, spark, keys):
     return new
 
 
+def append_indexed(results, path, index, spark, key, entry):
+    """Write-once store with an index: append_new, and one index row (key, entry columns) per unit added.
+
+    The index is append-only; what was added before keeps its row.
+    """
+    done = spark.read.parquet(index).select(key).distinct()
+    added = results.join(done, key, "left_anti")
+    # The store first: an index row never names a unit that was not written. A rerun after a loss
+    # in between finds the unit in the store and writes its index row only.
+    append_new(added, path, spark, [key])
+    append_manifest(added.select(key, *entry), index)
+
+
+def newest_first(index, made, key):
+    """Index rows with their place from the newest on, equal times by key."""
+    from ..operators.ordered import numbered
+
+    age = F.datediff(F.lit("9999-12-31").cast("date"), F.col(made))
+    return numbered(index.withColumn("_age", age), [], ["_age", key], "place").drop("_age")
+
+
 def recompute_list(expected, results, key):
     """Units without a result, with an old format, or with another log method."""
     r = expected.join(results, key, "left")
