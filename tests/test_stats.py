@@ -228,3 +228,28 @@ def test_effect_interval_keeps_its_digits_far_from_zero(spark):
     spread_lo, spread_hi = 1e8 / far["hi"], 1e8 / far["lo"]
     assert near["lo"] < x.mean() / x.std(ddof=1) < near["hi"]
     assert 0.7 * x.std() < spread_lo < x.std() < spread_hi < 1.3 * x.std()
+
+
+def test_resampled_sums_equal_a_loop_over_units_without_a_row_per_draw(spark, capsys):
+    from hashlib import md5
+
+    from tidemark.operators.resample import POISSON
+
+    rows = [(i % 20, str(i), None if i % 7 == 0 else float(i)) for i in range(60)] + [(0, "1", 5.0), (1, None, 2.0), (30, "2", None)]
+    u = spark.createDataFrame(rows, "k int, id string, v double")
+    r = resampled(u, ["k"], "id", {"s": F.col("v")}, 20, "z")
+    r.explain()
+    assert "Generate" not in capsys.readouterr().out
+    want = {}
+    for k, i, v in rows:
+        for rep in range(1, 21):
+            at = 4 * ((rep - 1) % 8)
+            digits = md5("|".join(["z", str((rep - 1) // 8)] + ([] if i is None else [i])).encode()).hexdigest()[at:at + 4]
+            w = sum(digits >= p for p in POISSON)
+            if w:
+                n, s = want.get((k, rep), (0, None))
+                want[k, rep] = (n + w, s if v is None else (s or 0.0) + w * v)
+    assert {(x["k"], x["rep"]): (x["w"], x["s"]) for x in r.collect()} == want
+    odd = spark.createDataFrame([(str(i), float("inf") if i == 3 else 1.0) for i in range(5)], "id string, v double")
+    got = resampled(odd, [], "id", {"s": F.col("v")}, 40, "z").collect()
+    assert 0 < sum(math.isinf(x["s"]) for x in got) < len(got) and not any(math.isnan(x["s"]) for x in got)
