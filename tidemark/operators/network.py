@@ -6,9 +6,16 @@ what grows is the number of units.
 
 from pyspark.sql import Window, functions as F
 
+from ..session import cut_lineage
+
 
 def strongest(edges, key, density):
-    """The strongest share of edges per unit, ties at the cut kept."""
+    """The strongest share of edges per unit, ties at the cut kept.
+
+    Edges are stored first: weights that are summed again for the cut, or by each reader, can differ
+    in their last digits and lose the edge at the cut.
+    """
+    edges = cut_lineage(edges)
     n = Window.partitionBy(key)
     w = n.orderBy(F.desc("w"))
     k = F.greatest(F.lit(1), F.bround(F.lit(float(density)) * F.count(F.lit(1)).over(n), 0).cast("int"))
