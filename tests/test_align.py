@@ -72,3 +72,15 @@ def test_parts_spread_one_session(spark):
     assert m.first().parts == 5
     per = al._met(m.where("i < 2"), t, ["ses"], "j", True).groupBy("part").count().collect()
     assert len(per) == 5 and max(r["count"] for r in per) < 10_000
+
+
+def test_many_small_sessions_are_not_joined_in_one_task(spark):
+    rows = [(s, i, float(i + s % 3)) for s in range(40) for i in range(6)]
+    marks = spark.createDataFrame(rows, "ses int, i long, o double")
+    logs = spark.createDataFrame(rows, "ses int, j long, t double")
+    marks, logs = al.sized(["ses"], marks, logs)
+    cand = al._candidates(["ses"], marks, logs, 0.05)
+    met = al._met(marks, logs, ["ses"], "j", False)
+    for d in (marks, logs, met):
+        assert d.groupBy(F.spark_partition_id()).count().count() == 4
+    assert met.count() == 40 * 36 and cand.count() == sum(abs(i - j) <= al.BAND for i in range(6) for j in range(6)) * 40

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread as spread_out
 from .ordered import any_above, numbered, running
 from .quantiles import median
 
@@ -28,18 +28,22 @@ def _candidates(keys, marks, logs, tol):
 
 
 def sized(keys, marks, logs):
-    """marks and logs with `n`, the marks of their key, and `parts`, in how many parts a large key is joined; stored."""
+    """marks and logs with `n`, the marks of their key, and `parts`, in how many parts a large key is joined; stored.
+
+    Both lie in the session's full number of partitions by key: their rows are small, but all that a key's marks and log rows make
+    together is not, and partitions merged by their bytes would make it in one task.
+    """
     n = marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    return cut_lineage(marks.join(n, keys)), cut_lineage(logs.join(n, keys))
+    return tuple(cut_lineage(spread_out(d.join(n, keys), *keys)) for d in (marks, logs))
 
 
 def _met(left, right, keys, ident, spread):
     """left joined with right on keys; where keys are large, right's parts each meet a copy of left's rows."""
     if not spread:
-        return left.drop("n", "parts").join(right.drop("n", "parts"), keys)
+        return spread_out(left.drop("n", "parts"), *keys).join(spread_out(right.drop("n", "parts"), *keys), keys)
     copies = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
     dealt = right.withColumn("part", F.pmod(F.xxhash64(ident), F.col("parts")).cast("int")).drop("n", "parts")
-    return copies.join(dealt, keys + ["part"])
+    return spread_out(copies, *keys, "part").join(spread_out(dealt, *keys, "part"), keys + ["part"])
 
 
 def offset_votes(keys, marks, logs, cand, spread, tol):
