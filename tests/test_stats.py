@@ -253,3 +253,23 @@ def test_resampled_sums_equal_a_loop_over_units_without_a_row_per_draw(spark, ca
     odd = spark.createDataFrame([(str(i), float("inf") if i == 3 else 1.0) for i in range(5)], "id string, v double")
     got = resampled(odd, [], "id", {"s": F.col("v")}, 40, "z").collect()
     assert 0 < sum(math.isinf(x["s"]) for x in got) < len(got) and not any(math.isnan(x["s"]) for x in got)
+
+
+def test_replicates_do_not_depend_on_the_chunks_of_a_session(spark):
+    obs = [(s, k / 6, 0, None if k % 11 == 0 else 1.0, 1.0) for s in range(3) for k in range(60)] + [(s, k / 2 + 0.05, 1, 1.0, None) for s in range(3) for k in range(12)]
+    d = spark.createDataFrame(obs, "ses int, t double, kind int, v0 double, v1 double")
+    got = []
+    try:
+        for rows in (DEFAULT_CHUNK_ROWS, 2000):
+            spark.conf.set(CHUNK_ROWS_KEY, str(rows))
+            sim = ss.replicates(d, kf.NOMINAL, 27, "sim").collect()
+            got.append({(r["rep"], r["ses"], r["t"], r["kind"]): (r["v0"], r["v1"]) for r in sim})
+    finally:
+        spark.conf.set(CHUNK_ROWS_KEY, str(DEFAULT_CHUNK_ROWS))
+    assert len(got[0]) == 27 * len(obs) and got[0].keys() == got[1].keys()
+    for key, (v0, v1) in got[0].items():
+        w0, w1 = got[1][key]
+        assert (v0 is None) == (w0 is None) == (key[3] == 0 and round(key[2] * 6) % 11 == 0) and (v1 is None) == (w1 is None) == (key[3] == 1)
+        assert v0 is None or w0 == pytest.approx(v0, abs=1e-9)
+        assert v1 is None or w1 == pytest.approx(v1, abs=1e-9)
+    assert len({v for v, _ in got[0].values()}) > 0.8 * len(got[0])

@@ -17,6 +17,7 @@ NOMINAL = {"k_inh": 0.20, "k_int": 0.081, "k_d": 0.034, "sigma_A": 0.10, "sigma_
 POSITIVE = ("k_inh", "k_d", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
 _VEC = ArrayType(DoubleType())
 LANES = 100_000
+CELLS = 1_000_000  # events that are simulated together
 
 
 def stationary(p):
@@ -133,7 +134,8 @@ def _batches(t, grids):
 def _inputs(at, cols, grids):
     size = max(len(cols[0].iloc[k]) for k in at)
     t, kind, v0, v1 = [_pad(c.iloc[at], size) for c in cols]
-    g = np.stack([np.stack([np.asarray(r, float) for r in grids.iloc[k]]) for k in at])
+    every = grids.to_numpy()
+    g = np.concatenate([r for k in at for r in every[k]]).astype(float).reshape(len(at), -1, len(NAMES))
     return t, kind, v0, v1, {n: g[:, :, i] for i, n in enumerate(NAMES)}
 
 
@@ -218,41 +220,59 @@ def path(t, kind, v0, v1, grid, t_prev, start, use_eeg=True, use_rating=True):
     return run(t, kind, v0, v1, grid, t_prev, start)
 
 
-_SIM = StructType([StructField("x0", _VEC), StructField("x1", _VEC)])
+_SIM = StructType([StructField(c, _VEC) for c in ("x0", "x1", "n0", "n1")])
 
 
-def simulate(t, e0, e1, grid, t_prev):
-    """Latent path on given times from standard-normal draws (one parameter set).
+def _normals(key, first, n):
+    """Four standard normals for each of n events from number `first` on: a counter-based stream, so chunks do not change it."""
+    u = np.random.Generator(np.random.Philox(key=int(key) % (1 << 64), counter=int(first))).random((n, 4))
+    r, at = np.sqrt(-2.0 * np.log1p(-u[:, (0, 2)])), 2 * np.pi * u[:, (1, 3)]
+    return np.concatenate([r * np.cos(at), r * np.sin(at)], axis=1)
+
+
+def simulate(t, key, first, grid, t_prev):
+    """Latent path on given times (one parameter set) and two standard-normal draws for the noise of every event.
 
     A first chunk starts from the stationary law; a later one starts from zero at
-    t_prev, and the earlier chunks' contribution is added afterwards.
+    t_prev, and the earlier chunks' contribution is added afterwards. All draws follow from `key` and
+    the event's number in the session, `first` for the chunk's first event.
     """
     @F.pandas_udf(_SIM)
-    def run(t: pd.Series, e0: pd.Series, e1: pd.Series, grid: pd.Series, t_prev: pd.Series) -> pd.DataFrame:
-        size = max(len(v) for v in t)
-        tt, a, b = [_pad(c, size) for c in (t, e0, e1)]
-        g = np.stack([np.asarray(r[0], float) for r in grid])
-        p = {n: g[:, i] for i, n in enumerate(NAMES)}
-        s = stationary(p)
-        prev, first = t_prev.to_numpy(float), np.isnan(t_prev.to_numpy(float))
-
-        def noise(c, u, v):
-            l00 = np.sqrt(np.maximum(c[0], 1e-15))
-            l10 = c[1] / l00
-            return l00 * u, l10 * u + np.sqrt(np.maximum(c[2] - l10 * l10, 0.0)) * v
-        x0, x1 = np.zeros(len(t)), np.zeros(len(t))
-        xs = []
-        for k in range(size):
-            dt = np.nan_to_num(tt[:, k] - (prev if k == 0 else tt[:, k - 1]))
-            f00, f10, f11 = transition(p, dt)
-            q = (s[0] - f00 * f00 * s[0], s[1] - f00 * (f10 * s[0] + f11 * s[1]), s[2] - (f10 * f10 * s[0] + 2 * f10 * f11 * s[1] + f11 * f11 * s[2]))
-            n0, n1 = noise(q, np.nan_to_num(a[:, k]), np.nan_to_num(b[:, k]))
-            moved = dt > 0
-            x0, x1 = np.where(moved, f00 * x0 + n0, x0), np.where(moved, f10 * x0 + f11 * x1 + n1, x1)
-            if k == 0:
-                z0, z1 = noise(s, a[:, 0], b[:, 0])
-                x0, x1 = np.where(first, z0, x0), np.where(first, z1, x1)
-            xs.append((x0, x1))
-        return pd.DataFrame({"x0": [np.array([x[0][r] for x in xs])[:len(t.iloc[r])] for r in range(len(t))],
-                             "x1": [np.array([x[1][r] for x in xs])[:len(t.iloc[r])] for r in range(len(t))]})
-    return run(t, e0, e1, grid, t_prev)
+    def run(t: pd.Series, key: pd.Series, first: pd.Series, grid: pd.Series, t_prev: pd.Series) -> pd.DataFrame:
+        out = {f.name: [None] * len(t) for f in _SIM}
+        order = np.argsort([len(v) for v in t], kind="stable")
+        cells = np.cumsum([len(t.iloc[k]) for k in order]) // CELLS
+        for at in np.split(order, np.flatnonzero(np.diff(cells)) + 1):
+            size = max(len(t.iloc[k]) for k in at)
+            tt = _pad(t.iloc[at], size)
+            z = np.zeros((len(at), size, 4))
+            for q, k in enumerate(at):
+                z[q, :len(t.iloc[k])] = _normals(key.iloc[k], first.iloc[k], len(t.iloc[k]))
+            g = np.stack([np.asarray(grid.iloc[k][0], float) for k in at])
+            p = {n: g[:, i] for i, n in enumerate(NAMES)}
+            s = stationary(p)
+            prev = t_prev.iloc[at].to_numpy(float)
+
+            def noise(c, u, v):
+                l00 = np.sqrt(np.maximum(c[0], 1e-15))
+                l10 = c[1] / l00
+                return l00 * u, l10 * u + np.sqrt(np.maximum(c[2] - l10 * l10, 0.0)) * v
+            x0, x1 = np.zeros(len(at)), np.zeros(len(at))
+            xs = np.empty((2, len(at), size))
+            for k in range(size):
+                dt = np.nan_to_num(tt[:, k] - (prev if k == 0 else tt[:, k - 1]))
+                f00, f10, f11 = transition(p, dt)
+                q = (s[0] - f00 * f00 * s[0], s[1] - f00 * (f10 * s[0] + f11 * s[1]), s[2] - (f10 * f10 * s[0] + 2 * f10 * f11 * s[1] + f11 * f11 * s[2]))
+                n0, n1 = noise(q, z[:, k, 0], z[:, k, 1])
+                moved = dt > 0
+                x0, x1 = np.where(moved, f00 * x0 + n0, x0), np.where(moved, f10 * x0 + f11 * x1 + n1, x1)
+                if k == 0:
+                    z0, z1 = noise(s, z[:, 0, 0], z[:, 0, 1])
+                    x0, x1 = np.where(np.isnan(prev), z0, x0), np.where(np.isnan(prev), z1, x1)
+                xs[0, :, k], xs[1, :, k] = x0, x1
+            for q, k in enumerate(at):
+                n = len(t.iloc[k])
+                for name, v in zip(out, (xs[0, q, :n], xs[1, q, :n], z[q, :n, 2], z[q, :n, 3])):
+                    out[name][k] = v
+        return pd.DataFrame(out)
+    return run(t, key, first, grid, t_prev)

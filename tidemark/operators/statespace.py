@@ -66,11 +66,17 @@ def packed_scopes(obs):
     return chunks, not chunks.where("n_chunks > 1").isEmpty()
 
 
-def score_scoped(chunks, several, grids):
-    """score() of packed_scopes with one grid per scope: grids(scope, g)."""
-    keys = ["scope", "ses"]
+FEW_SCOPES = 1_000  # grids of so many scopes travel to all tasks
+
+
+def score_scoped(chunks, several, grids, few=False):
+    """score() of packed_scopes with one grid per scope: grids(scope, g).
+
+    Grids of a few scopes go to the chunks, which stay where they are.
+    """
+    keys, grids = ["scope", "ses"], grids.withColumnRenamed("g", "grid")
     # Small rows would be joined in one or two tasks, but each is long work.
-    d = spread(chunks.join(grids.withColumnRenamed("g", "grid"), "scope"), *keys, "chunk")
+    d = chunks.join(F.broadcast(grids), "scope") if few else spread(chunks.join(grids, "scope"), *keys, "chunk")
     out = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid").alias("ll"))
     if several:
         out = out.unionByName(_chained(d, keys, True, True).select(*keys, "ll"))
@@ -138,28 +144,41 @@ def filtered(obs, params, keys=("ses",), use_eeg=True, use_rating=True):
     return e.withColumns({"v0": null("v0"), "v1": null("v1"), "kind": F.col("kind").cast("int"), "n": (F.col("n") + 1).cast("long")})
 
 
-def replicates(obs, params, n_rep, seed, keys=("ses",)):
-    """Simulated copies of every session on its real schedule, missing kept missing."""
-    from ..functions.draws import normal
-
-    obs = cut_lineage(obs)
-    d = spread(packed(obs, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(int(n_rep))))), *keys, "chunk", "rep")
-    idx = F.sequence(F.lit(0), F.size("t") - 1)
-    key = [F.col(k) for k in keys]
-    # Draws belong to a time, not to an event, so a rating at an epoch's end shares its state.
-    tag = lambda i, c: normal(F.lit(seed), F.col("rep"), *key, F.round(F.get("t", i) * 6000).cast("long"), c)
-    obs_noise = lambda c: F.transform(idx, lambda i: normal(F.lit(seed), F.col("rep"), *key, i, c))
-    d = d.withColumns({"grid": parameter_sets([params]), "_e0": F.transform(idx, lambda i: tag(i, "x0")), "_e1": F.transform(idx, lambda i: tag(i, "x1")), "_n0": obs_noise("n0"), "_n1": obs_noise("n1")})
-    d = d.withColumn("_x", kf.simulate("t", "_e0", "_e1", "grid", "t_prev"))
-    if _has_long(obs, keys):
+REP_BLOCK = 25  # replicates that a task makes of one chunk
+
+
+def replicate_chunks(obs, params, n_rep, seed, keys=("ses",)):
+    """(chunks, whether any session has several): simulated copies of every session on its real schedule, missing
+    kept missing, as `packed` gives them, with `rep`.
+
+    Only the real chunks are shuffled and stored; a reader makes the copies of each where they are read.
+    """
+    keys, obs, n_rep = list(keys), cut_lineage(obs), int(n_rep)
+    blocks = packed(obs, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_rep - 1) // REP_BLOCK))))
+    d = cut_lineage(spread(blocks, *keys, "chunk", "_block"))
+    rep = F.explode(F.sequence(F.col("_block") * REP_BLOCK + 1, F.least(F.col("_block") * REP_BLOCK + REP_BLOCK, F.lit(n_rep))))
+    size = max(2, chunk_rows(obs.sparkSession) // SESSION_ROWS_DIVISOR)
+    d = d.withColumn("rep", rep).drop("_block").withColumns({"grid": parameter_sets([params]), "_key": F.xxhash64(F.lit(seed), "rep", *keys), "_first": F.col("chunk") * size})
+    d = d.withColumn("_x", kf.simulate("t", "_key", "_first", "grid", "t_prev"))
+    several = _has_long(obs, keys)
+    if several:
         d = _carry_paths(d, keys, params)
     q = {**kf.NOMINAL, **params}
-    e = d.select(*keys, "rep", F.inline(F.arrays_zip(F.col("t"), F.col("kind"), F.col("v0").alias("o0"), F.col("v1").alias("o1"), F.col("_x.x0").alias("x0"), F.col("_x.x1").alias("x1"), F.col("_n0").alias("n0"), F.col("_n1").alias("n1"))))
-    eeg = F.col("kind") == 0
-    seen = lambda c: ~F.isnan(c)
-    v0 = F.when(seen("o0"), F.when(eeg, F.col("x0") + q["r_A"] * F.col("n0")).otherwise(q["alpha"] * F.col("x1") - q["beta"] * F.col("x0") + q["r_Q"] * F.col("n0")))
-    v1 = F.when(seen("o1") & eeg, F.col("x1") + q["r_Phi"] * F.col("n1"))
-    return e.select(*keys, "rep", "t", F.col("kind").cast("int").alias("kind"), v0.alias("v0"), v1.alias("v1"))
+    e = F.arrays_zip(F.col("kind"), F.col("v0").alias("o0"), F.col("v1").alias("o1"), F.col("_x.x0").alias("x0"), F.col("_x.x1").alias("x1"), F.col("_x.n0").alias("n0"), F.col("_x.n1").alias("n1"))
+    nan = F.lit(float("nan"))
+    rating = lambda r: q["alpha"] * r["x1"] - q["beta"] * r["x0"] + q["r_Q"] * r["n0"]
+    v0 = F.transform("_e", lambda r: F.when(F.isnan(r["o0"]), nan).when(r["kind"] == 0, r["x0"] + q["r_A"] * r["n0"]).otherwise(rating(r)))
+    v1 = F.transform("_e", lambda r: F.when(F.isnan(r["o1"]) | (r["kind"] != 0), nan).otherwise(r["x1"] + q["r_Phi"] * r["n1"]))
+    d = d.withColumn("_e", e).select(*keys, "rep", "chunk", "t", "kind", v0.alias("v0"), v1.alias("v1"), "t_prev", "n_chunks")
+    return d, several
+
+
+def replicates(obs, params, n_rep, seed, keys=("ses",)):
+    """The events of replicate_chunks: (keys, rep, t, kind, v0, v1)."""
+    d, _ = replicate_chunks(obs, params, n_rep, seed, keys)
+    e = d.select(*keys, "rep", F.inline(F.arrays_zip("t", "kind", "v0", "v1")))
+    seen = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return e.select(*keys, "rep", "t", F.col("kind").cast("int").alias("kind"), seen("v0"), seen("v1"))
 
 
 def _carry_paths(d, keys, params):
@@ -185,7 +204,7 @@ def _carry_paths(d, keys, params):
     f10 = lambda g: -kap * (F.exp(-k * g) - F.exp(-kd * g)) / (kd - k) if abs(kd - k) > 1e-9 else -kap * g * F.exp(-k * g)
     x0 = F.zip_with("_x.x0", "t", lambda x, t: x + F.exp(-k * gone(t)) * F.col("c0"))
     x1 = F.zip_with("_x.x1", "t", lambda x, t: x + f10(gone(t)) * F.col("c0") + F.exp(-kd * gone(t)) * F.col("c1"))
-    return c.withColumn("_x", F.struct(x0.alias("x0"), x1.alias("x1"))).drop("c0", "c1")
+    return c.withColumn("_x", F.struct(x0.alias("x0"), x1.alias("x1"), F.col("_x.n0").alias("n0"), F.col("_x.n1").alias("n1"))).drop("c0", "c1")
 
 
 def discretise(steps, sets, dt="dt"):
@@ -217,6 +236,7 @@ def rating_statistics(levels, second, low, high):
     sds = [F.var_pop(F.when(pair, F.col(c))) for c in ("before", "level")]
     s = lagged.groupBy("rep", "ses").agg(
         F.stddev_pop("level").alias("sd"), F.when((F.count(F.lit(1)) > 3) & (sds[0] > 0) & (sds[1] > 0), F.covar_pop("before", "level") / F.sqrt(sds[0] * sds[1])).alias("ac"))
+    s = cut_lineage(s)
     means = s.groupBy("rep").agg(*[F.avg(F.when(second if k else ~second, F.col("sd"))).alias(f"sd{k}") for k in (0, 1)])
     none = F.lit(None).cast("int").alias("level")
     lag = totals.select("rep").join(quantiles(s, ["rep"], "ac", {"value": 0.5}), "rep", "left").select("rep", F.lit("lag1_median").alias("statistic"), none, "value")

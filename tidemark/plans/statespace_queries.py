@@ -155,13 +155,13 @@ def kf7(t):
 ZOOMED = ("k_inh", "k_d", "alpha", "beta", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
 
 
-def zoomed(obs, names=ZOOMED, widths=(0.5, 0.2)):
-    """(scope, theta, ll) of obs(scope, ses, ..): a grid around each scope's current best, one parameter after the other.
+def zoomed(chunks, several, names=ZOOMED, widths=(0.5, 0.2)):
+    """(scope, theta, ll) of packed_scopes: a grid around each scope's current best, one parameter after the other.
 
     All scopes take a step in the same scoring pass; scopes may be groups, subjects or replicates.
     """
-    chunks, several = ss.packed_scopes(obs)
-    best = chunks.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES]))
+    best = cut_lineage(chunks.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES])))
+    few = best.count() <= ss.FEW_SCOPES
     for width in widths:
         for n in names:
             i = kf.NAMES.index(n)
@@ -169,7 +169,7 @@ def zoomed(obs, names=ZOOMED, widths=(0.5, 0.2)):
             scaled = lambda f: F.transform("theta", lambda v, k: F.when(k == i, v * f).otherwise(v))  # noqa: E731, B023
             # The scope's grid travels with each of its sessions.
             g = best.select("scope", "theta").withColumn("g", F.array(*[scaled(f) for f in axis]))
-            s = ss.score_scoped(chunks, several, g.select("scope", "g"))
+            s = ss.score_scoped(chunks, several, g.select("scope", "g"), few)
             win = s.groupBy("scope", "pid").agg(F.sum("ll").alias("ll")).groupBy("scope").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
             best = cut_lineage(g.join(win, "scope").select("scope", F.get("g", F.col("pid").cast("int")).alias("theta"), "ll"))
     return best
@@ -182,7 +182,7 @@ def zoomed_columns(names=ZOOMED):
 @query("kf7_zoomed_estimates")
 def kf7z(t):
     """Coordinate-wise zoom per pooled, group and subject scope, two rounds."""
-    return zoomed(scopes(observations(t))).select("scope", *zoomed_columns())
+    return zoomed(*ss.packed_scopes(scopes(observations(t)))).select("scope", *zoomed_columns())
 
 
 @query("kf8_group_rates", f"""WITH RECURSIVE {SC}, x AS (SELECT ses%2 AS grp, pid//3 AS k, pid%3 AS shared, sum(ll) AS ll FROM sc GROUP BY 1,2,3), m AS (SELECT grp,shared,arg_max(k,ll) AS k,max(ll) AS ll FROM x GROUP BY 1,2), s AS (SELECT shared, sum(ll) AS ll FROM m GROUP BY 1), b AS (SELECT arg_max(shared,ll) AS shared, max(ll) AS ll FROM s)
@@ -419,16 +419,13 @@ def kf15b(t):
 N_REP = 200
 
 
-def simulated(t):
-    return ss.replicates(observations(t), GRID[4], N_REP, "kf16")
-
-
 @query("kf16_parametric_bootstrap")
 def kf16(t):
     """Replicates on the real schedules, each a scope of the zoom: the parameters of the observed information are
     estimated, the others stay at the values that the replicates were made with."""
-    s = simulated(t).withColumn("scope", F.col("rep").cast("string")).drop("rep")
-    return zoomed(s, HN).select(F.col("scope").cast("int").alias("rep"), *zoomed_columns(HN))
+    chunks, several = ss.replicate_chunks(observations(t), GRID[4], N_REP, "kf16")
+    chunks = chunks.withColumn("scope", F.col("rep").cast("string")).drop("rep")
+    return zoomed(chunks, several, HN).select(F.col("scope").cast("int").alias("rep"), *zoomed_columns(HN))
 
 
 @query("kf17_predictive_check")
@@ -438,8 +435,8 @@ def kf17(t):
     real = ratings_b(t)
     off = real.groupBy("ses").agg(F.avg("rating").alias("off"))
     level = F.least(F.greatest(F.bround(F.col("v0") * 4 + F.col("off"), 0), F.lit(-7.0)), F.lit(7.0)).cast("int")
-    sim = simulated(t).where("kind = 1 and v0 is not null").join(off, "ses").select("rep", "ses", "t", level.alias("level"))
-    both = sim.unionByName(real.select(F.lit(0).alias("rep"), "ses", F.col("onset").cast("double").alias("t"), F.col("rating").cast("int").alias("level")))
+    sim = ss.replicates(observations(t), GRID[4], N_REP, "kf16").where("kind = 1 and v0 is not null").join(off, "ses").select("rep", "ses", "t", level.alias("level"))
+    both = cut_lineage(sim.unionByName(real.select(F.lit(0).alias("rep"), "ses", F.col("onset").cast("double").alias("t"), F.col("rating").cast("int").alias("level"))))
     c = ss.predictive_bands(ss.rating_statistics(both, F.col("ses") % 2 == 1, -7, 7), ["statistic", "level"])
     return c.select("statistic", "level", *[R6(F.col(x)).alias(x) for x in ("observed", "sim_mean", "lo", "hi")], F.col("observed").between(F.col("lo"), F.col("hi")).alias("inside"))
 
