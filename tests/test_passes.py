@@ -1,6 +1,7 @@
 """Streams past resident pieces give what plain products give, however small the pieces are."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,18 @@ def test_empty_sides(spark, items):
     q, i = items.select(F.col("id").alias("qid"), F.col("v").alias("qv")), none.select(F.col("id").alias("iid"), F.col("v").alias("iv"))
     assert mm.nearest(q, i, 2).count() == 0
     assert mm.novelty(items.limit(1)).first().novelty == 1.0
+
+
+def test_top_looks_only_at_rows_that_a_batch_can_change(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, v = rng.integers(-2, 3, (50, 4)).astype(float), rng.integers(-2, 3, (900, 4)).astype(float)
+    sorted_rows, plain = [], np.argsort
+    monkeypatch.setattr(passes.np, "argsort", lambda a, **k: sorted_rows.append(len(a)) or plain(a, **k))
+    top = passes.Top(np.arange(50), q, 3, None)
+    for a in range(0, 900, 100):
+        top.take(pd.DataFrame({"id": np.arange(a, a + 100), "v": list(v[a:a + 100])}))
+    got = top.result()
+    c = np.round(passes.unit(q) @ passes.unit(v).T, 12)
+    want = plain(-c, axis=1, kind="stable")[:, :3]
+    assert got["iid"].to_numpy().reshape(50, 3).tolist() == want.tolist()
+    assert sum(sorted_rows) < 50 * 9

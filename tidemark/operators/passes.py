@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 RESIDENT = 65_536          # rows that a slot holds
 WORK = 1 << 24             # products of rows that are worth a task of their own
 BUCKET = 4_096             # rows of one hash bucket that a slot holds
-BATCH = 2_048              # rows multiplied at once
+BATCH = 2_048              # rows multiplied at once, fewer where many are resident:
+CELLS = 1 << 21            # products of rows that a task holds at once
 
 
 def matrix(series):
@@ -139,8 +140,9 @@ def streamed(rows, kernel, schema):
                     if not held:          # nothing resident here meets these rows
                         continue
                     state, held = opened(), []
-                for c in range(a, b, BATCH):
-                    out = state.take(df.iloc[c:min(b, c + BATCH)])
+                step = max(16, min(BATCH, CELLS // len(state.ids)))
+                for c in range(a, b, step):
+                    out = state.take(df.iloc[c:min(b, c + step)])
                     if out is not None:
                         yield out
         if state is not None:
@@ -197,12 +199,25 @@ class Top:
         kinds = f[self.key].to_numpy() if self.key else np.zeros(len(f), dtype=int)
         for k in pd.unique(kinds):
             here = kinds == k
-            score, name = c[:, here], np.broadcast_to(iid[here], (len(self.ids), here.sum()))
+            score, name = c[:, here], iid[here]
+            rows = np.arange(len(self.ids))
             if k in self.found:
-                score, name = np.hstack([self.found[k][0], score]), np.hstack([self.found[k][1], name])
-            # Rows come by rising id, so that a stable order keeps the smaller id first.
+                best, known = self.found[k]
+                if best.shape[1] == self.n:
+                    # Rows come by rising id, so that a later one needs a larger cosine.
+                    last = np.where(np.isnan(best[:, -1:]), -np.inf, best[:, -1:])
+                    rows = np.flatnonzero((score > last).any(axis=1))
+                score = np.hstack([best[rows], score[rows]])
+                name = np.hstack([known[rows], np.broadcast_to(name, (len(rows), len(name)))])
+            else:
+                name = np.broadcast_to(name, score.shape)
+            # A stable order keeps the smaller id first.
             at = np.argsort(-score, axis=1, kind="stable")[:, :self.n]
-            self.found[k] = np.take_along_axis(score, at, 1), np.take_along_axis(name, at, 1)
+            found = np.take_along_axis(score, at, 1), np.take_along_axis(name, at, 1)
+            if len(rows) == len(self.ids):
+                self.found[k] = found
+            else:
+                best[rows], known[rows] = found
 
     def result(self):
         out = []
