@@ -130,3 +130,11 @@ def test_top_looks_only_at_rows_that_a_batch_can_change(monkeypatch):
     want = plain(-c, axis=1, kind="stable")[:, :3]
     assert got["iid"].to_numpy().reshape(50, 3).tolist() == want.tolist()
     assert sum(sorted_rows) < 50 * 9
+
+
+def test_write_threshold_scores_its_vectors_once(spark):
+    import __spark_entry__ as entry_module
+
+    df = entry_module.queries()["mm3_write_threshold"](spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in df._jdf.queryExecution().toString()
+    assert df.count() == 1

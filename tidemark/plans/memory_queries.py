@@ -6,6 +6,7 @@ from ..functions.draws import sql_uniform, uniform
 from ..operators import memory as mm, passes, stats as st
 from ..operators.ordered import numbered, running
 from ..operators.quantiles import quantiles
+from ..session import cut_lineage
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -41,7 +42,8 @@ def mm2(t):
 
 @query("mm3_write_threshold", f"WITH {DEC} SELECT round(theta,6) AS theta, round(avg((score>theta)::INT),6) AS write_rate FROM sc, th GROUP BY theta")
 def mm3(t):
-    d = mm.write_decision(scored(t), 0.7)
+    # Read by the count, the quantile and the rate: stored, so that all vectors meet once.
+    d = cut_lineage(mm.write_decision(scored(t), 0.7).select("score"))
     q = quantiles(d, [], "score", {"theta": 0.8})
     return d.join(F.broadcast(q)).groupBy("theta").agg(R6(F.avg((F.col("score") > F.col("theta")).cast("int"))).alias("write_rate")).select(R6(F.col("theta")).alias("theta"), "write_rate")
 
