@@ -48,6 +48,13 @@ def test_attention(items, pieces):
     assert np.allclose([r.peak_weight for r in got], 1 / w.sum(axis=1))
 
 
+def test_attention_sends_a_key_that_is_its_value_once(items, pieces):
+    q = items.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    i = items.select(F.col("id").alias("iid"), F.col("v").alias("iv"))
+    got, want = (rt.attention(q, x, 0.3).orderBy("qid").collect() for x in (i, i.withColumn("val", F.col("iv"))))
+    assert got == want
+
+
 def test_nearest_with_keys_and_ties(items, pieces):
     q = items.where("id % 2 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     i = items.select(F.col("id").alias("iid"), F.col("v").alias("iv"), (F.col("id") % 4 == 0).alias("kind"))

@@ -160,10 +160,11 @@ class Softmax:
         self.s, self.v = np.zeros(len(ids)), None
 
     def take(self, f):
-        z = self.q @ matrix(f["v"]).T * self.scale
+        x = matrix(f["v"])
+        z = self.q @ x.T * self.scale
         m = np.maximum(self.m, z.max(axis=1))
         w, old = np.exp(z - m[:, None]), np.exp(self.m - m)
-        v = w @ matrix(f["val"])
+        v = w @ (matrix(f["val"]) if "val" in f else x)
         self.v = v if self.v is None else self.v * old[:, None] + v
         self.s, self.m = self.s * old + w.sum(axis=1), m
 

@@ -20,7 +20,7 @@ def signs(t):
 
 
 def sides(d, col):
-    return d.select(F.col("id").alias("qid"), F.col(col).alias("qv")), d.select(F.col("id").alias("iid"), F.col(col).alias("iv"), F.col(col).alias("val"))
+    return d.select(F.col("id").alias("qid"), F.col(col).alias("qv")), d.select(F.col("id").alias("iid"), F.col(col).alias("iv"))
 
 
 @query("vr1_softmax_by_key", "WITH s AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_partkey, l_quantity*l_discount AS s FROM lineitem), m AS (SELECT k, max(s) AS m FROM s GROUP BY 1), e AS (SELECT s.*, exp(s-m) AS e FROM s JOIN m USING (k)), t AS (SELECT k, sum(e) AS t FROM e GROUP BY 1) SELECT k, l_orderkey, l_linenumber, l_partkey, round(e/t,6) AS weight FROM e JOIN t USING (k)")
@@ -34,7 +34,8 @@ ATT = "sc AS (SELECT q.id AS qid, i.id AS iid, {scale}*list_dot_product(q.{c},i.
 
 @query("vr2_softmax_attention", f"WITH {EM}, {ATT.format(scale='(1/8.0::DOUBLE)', c='v', src='em')}, o AS (SELECT qid, k, sum(e*val[k]) AS x FROM w, range(1,65) r(k) GROUP BY 1,2) SELECT qid, (k-1)::INT AS dim, round(x/t,6) AS out FROM o JOIN tw USING (qid)")
 def vr2(t):
-    q, i = sides(vectors(t), "v")
+    # As stored: floats are half as large on the way, and become doubles where they are multiplied.
+    q, i = sides(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "v")
     a = rt.attention(q, i, 1 / 8.0)
     return a.select("qid", F.posexplode("out").alias("dim", "out")).withColumn("out", R6(F.col("out")))
 
