@@ -145,3 +145,26 @@ def test_write_threshold_scores_its_vectors_once(spark):
     df = entry_module.queries()["mm3_write_threshold"](spark, "/root/testdata/sf0.001")
     assert "MapInPandas" not in df._jdf.queryExecution().toString()
     assert df.count() == 1
+
+
+def test_recall_is_attention_and_settled_queries_stay(spark):
+    rng = np.random.default_rng(5)
+    x = np.sign(rng.normal(size=(300, 64)))
+    x[1], x[3] = x[0], x[2]
+    x[3, :2] *= -1                           # 0 and 1 are copies, 2 and 3 lie close together
+    q = x.copy()
+    for k in range(len(q)):
+        q[k, rng.choice(np.arange(2, 64), 6, replace=False)] *= -1
+    q[2, 0] *= -1                            # as near to 2 as to 3
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "iid long, iv array<double>")
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "qid long, qv array<double>")
+    got = {r["qid"]: r for r in rt.recall(queries, items, 8.0).collect()}
+    plain = {r["qid"]: r["out"] for r in rt.attention(queries, items, 8.0).collect()}
+    assert all(np.allclose(got[k]["out"], plain[k], rtol=0, atol=1e-12) for k in plain)
+    assert got[2]["tied"] and not got[0]["settled"] and not got[3]["settled"]
+    settled = [k for k in got if got[k]["settled"]]
+    assert len(settled) > 250 and all(got[k]["out"] == x[k].tolist() for k in settled)
+    again = rt.recall(spark.createDataFrame([(k, got[k]["out"]) for k in settled], "qid long, qv array<double>"), items, 8.0)
+    assert all(r["out"] == x[r["qid"]].tolist() for r in again.collect())
+    end = {r["qid"]: r["state"] for r in rt.retrieve_iterated(queries, items).collect()}
+    assert len(end) == 300 and all(end[k] == x[k].tolist() for k in settled)

@@ -172,6 +172,57 @@ class Softmax:
         return pd.DataFrame({"qid": self.ids, "m": self.m, "s": self.s, "v": list(self.v)})
 
 
+NEGLIGIBLE = 64.0          # a weight of exp(-64) beside 1: a sum of doubles cannot show 1e11 of them
+
+
+class Recall:
+    """Softmax for sharp scores, of which all but a few of a row are negligible beside its largest.
+
+    Only the others are exponentiated and added. A partial also holds what tells whether the result would attend to itself:
+    the second largest score, its own score and its distance from the query (both times the scale), and the largest entry met.
+    """
+
+    def __init__(self, ids, q, scale):
+        self.ids, self.q, self.scale = ids, q, scale
+        self.whole, self.single = bool((q == np.rint(q)).all()), q.astype(np.float32)
+        self.m, self.second = np.full(len(ids), -np.inf), np.full(len(ids), -np.inf)
+        self.s, self.v, self.bound = np.zeros(len(ids)), np.zeros(q.shape), 0.0
+
+    def take(self, f):
+        x = matrix(f["v"])
+        self.bound = max(self.bound, float(np.abs(x).max()))
+        # Products of small whole numbers are exact in single precision.
+        small = self.whole and (x == np.rint(x)).all() and np.abs(self.q).max() * self.bound * x.shape[1] < 1 << 24
+        z = self.single @ x.T.astype(np.float32) if small else self.q @ x.T
+        top = z.max(axis=1).astype(float) * self.scale
+        m = np.maximum(self.m, top)
+        self.second = np.maximum(self.second, np.minimum(self.m, top))
+        near = np.flatnonzero(top > m - NEGLIGIBLE)
+        if not len(near):
+            return
+        old = np.exp(self.m[near] - m[near])
+        self.s[near] *= old
+        self.v[near] *= old[:, None]
+        self.m = m
+        z = z[near]
+        at, j = np.nonzero(z > ((m[near] - NEGLIGIBLE) / self.scale)[:, None].astype(z.dtype))
+        i = near[at]
+        score = z[at, j].astype(float) * self.scale
+        order = np.lexsort((-score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        again = first[np.diff(np.r_[first, len(i)]) > 1]
+        self.second[i[again]] = np.maximum(self.second[i[again]], score[again + 1])
+        w = np.exp(score - m[i])
+        self.s[i[first]] += np.add.reduceat(w, first)
+        self.v[i[first]] += np.add.reduceat(w[:, None] * x[j], first)
+
+    def result(self):
+        x = self.v / self.s[:, None]
+        return pd.DataFrame({"qid": self.ids, "m": self.m, "s": self.s, "v": list(self.v), "second": self.second, "own": self.scale * (x * x).sum(axis=1),
+                             "off": self.scale * np.abs(x - self.q).sum(axis=1), "bound": self.bound})
+
+
 class Earlier:
     """Largest cosine of every resident row to a row with a smaller id."""
 

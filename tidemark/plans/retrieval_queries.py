@@ -86,7 +86,7 @@ def _attend(src, n):
 @query("vr4_iterated_retrieval", f"WITH {SG}, a0 AS (SELECT id, list_transform(range(0,64), lambda i: CASE WHEN list_contains(hit,i) THEN -x[i+1] ELSE x[i+1] END) AS q FROM (SELECT id, x, list_slice(list_transform(list_sort(list_transform(range(0,64), lambda i: concat(md5(concat_ws('|','vr4',id,i)),'#',i))), lambda s: split_part(s,'#',2)::INT),1,6) AS hit FROM sg)), {_attend('a0', 1)}, {_attend('a1', 2)}, {_attend('a2', 3)} SELECT a3.id AS qid, len(list_filter(range(1,65), lambda k: (CASE WHEN q[k]<0 THEN -1.0 ELSE 1.0 END)<>x[k]))::INT AS n_wrong FROM a3 JOIN sg ON sg.id=a3.id")
 def vr4(t):
     """Corrupted patterns completed by three attention steps; errors per pattern."""
-    s = signs(t)
+    s = signs(t).withColumn("x", F.col("x").cast("array<tinyint>"))
     bad = s.select(F.col("id").alias("qid"), rt.corrupt(F.col("x"), 6, F.lit("vr4"), F.col("id").cast("string")).alias("qv"))
     r = rt.retrieve_iterated(bad, sides(s, "x")[1])
     j = r.join(s.select(F.col("id").alias("qid"), "x"), "qid")
