@@ -273,3 +273,22 @@ def test_replicates_do_not_depend_on_the_chunks_of_a_session(spark):
         assert v0 is None or w0 == pytest.approx(v0, abs=1e-9)
         assert v1 is None or w1 == pytest.approx(v1, abs=1e-9)
     assert len({v for v, _ in got[0].values()}) > 0.8 * len(got[0])
+
+
+@pytest.mark.parametrize("sets", [1, 5])
+def test_evidence_is_the_filters_log_likelihood(sets):
+    rng = np.random.default_rng(3)
+    n, size = 40, 12
+    t, kind = np.sort(rng.uniform(0, 9, (n, size)), axis=1), (rng.random((n, size)) < 0.3).astype(float)
+    t[5, 3] = t[5, 2]                                  # two events at one time
+    v0, v1 = rng.normal(size=(2, n, size))
+    v0[rng.random(v0.shape) < 0.2], v1[(rng.random(v1.shape) < 0.2) | (kind == 1)] = np.nan, np.nan
+    for k, length in enumerate(np.sort(rng.integers(1, size + 1, n))):
+        for a in (t, kind, v0, v1):
+            a[k, length:] = np.nan
+    each = {c: v * np.exp(0.1 * rng.normal(size=(n, sets))) for c, v in kf.NOMINAL.items()}
+    shared = {c: v[:1] for c, v in each.items()}
+    for p in (each, shared, {**each, "rho": np.full((n, sets), 0.2)}):
+        for use in ({}, {"use_eeg": False}, {"use_rating": False}):
+            want = kf.run_batch(t, kind, v0, v1, {c: np.broadcast_to(v, (n, sets)) for c, v in p.items()}, **use)[0].ll
+            assert np.allclose(kf.evidence(t, kind, v0, v1, p, **use), want, rtol=1e-12, atol=1e-12)

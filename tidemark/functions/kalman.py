@@ -16,7 +16,7 @@ NOMINAL = {"k_inh": 0.20, "k_int": 0.081, "k_d": 0.034, "sigma_A": 0.10, "sigma_
            "alpha": 2.34, "beta": 1.87, "r_A": 0.10, "r_Phi": 0.10, "r_Q": 0.30, "rho": 0.0}
 POSITIVE = ("k_inh", "k_d", "sigma_A", "sigma_Phi", "r_A", "r_Phi", "r_Q")
 _VEC = ArrayType(DoubleType())
-LANES = 100_000
+LANES = 16_000  # sessions x sets filtered together: their state stays in a core's cache
 CELLS = 1_000_000  # events that are simulated together
 
 
@@ -123,33 +123,124 @@ def run_batch(t, kind, v0, v1, params, t_prev=None, start=None, track=False, use
     return st, rows
 
 
-def _batches(t, grids):
+def evidence(t, kind, v0, v1, params, use_eeg=True, use_rating=True):
+    """Log-likelihoods alone, as run_batch gives them, of padded sessions sorted by length.
+
+    Finished sessions leave the work, and a channel's update only touches the sessions that show it. params maps names to (sessions, sets)
+    or (1, sets) arrays.
+    """
+    n, size = t.shape
+    gone = np.isnan(t).sum(axis=1)
+    k, kap, kd = params["k_inh"], params["k_int"], params["k_d"]
+    gap = kd - k
+    if np.any(params["rho"] != 0) or np.any(np.abs(gap) < 1e-9) or np.any(np.diff(gone) > 0) or np.isnan(t[np.arange(size) < size - gone[:, None]]).any():
+        return run_batch(t, kind, v0, v1, {c: np.broadcast_to(v, (n, v.shape[1])) for c, v in params.items()}, use_eeg=use_eeg, use_rating=use_rating)[0].ll
+    # Sets by sessions: what differs by session alone is then added along the long axis.
+    params = {c: np.ascontiguousarray(v.T) for c, v in params.items()}
+    k, kap, kd = params["k_inh"], params["k_int"], params["k_d"]
+    shape, s, lead = (len(k), n), stationary(params), -kap / (kd - k)
+
+    def of(v, r):
+        return v if v.shape[1] == 1 else v[:, r] if isinstance(r, slice) else v.take(r, axis=1)
+
+    x = [np.zeros(shape), np.zeros(shape), *(np.broadcast_to(v, shape).copy() for v in s)]
+    ll, r2 = np.zeros(shape), [params[c] ** 2 for c in ("r_A", "r_Phi", "r_Q")]
+    alpha, beta = params["alpha"], params["beta"]
+
+    def update(r, y, channel):
+        m0, m1, p00, p01, p11 = (v[:, r] if isinstance(r, slice) else v.take(r, axis=1) for v in x)
+        y = y[r]
+        if channel == 0:
+            g0, g1, e, v = p00, p01, y - m0, p00 + of(r2[0], r)
+        elif channel == 1:
+            g0, g1, e, v = p01, p11, y - m1, p11 + of(r2[1], r)
+        else:
+            a, b = of(alpha, r), of(beta, r)
+            g0, g1, e = a * p01 - b * p00, a * p11 - b * p01, y - (a * m1 - b * m0)
+            v = a * g1 - b * g0 + of(r2[2], r)
+        k0, k1 = g0 / v, g1 / v
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = -0.5 * (np.log(2 * np.pi * v) + e * e / v)
+        ll[:, r] += d if (v > 0).all() else np.where(v > 0, d, -np.inf)
+        for at, c in zip(x, (m0 + k0 * e, m1 + k1 * e, p00 - k0 * g0, p01 - k0 * g1, p11 - k1 * g1)):
+            at[:, r] = c
+
+    first = np.searchsorted(-gone, -(size - 1 - np.arange(size)), side="left")  # of the sessions with an event e
+    t, kind, v0, v1 = (np.ascontiguousarray(v.T) for v in (t, kind, v0, v1))
+    for e in range(size):
+        r = slice(int(first[e]), n)
+        if e:
+            dt = t[e, r] - t[e - 1, r]
+            if np.any(dt > 0):
+                f00, f11 = np.exp(-of(k, r) * dt), np.exp(-of(kd, r) * dt)
+                f10 = of(lead, r) * (f00 - f11)
+                m0, m1 = x[0][:, r], x[1][:, r]
+                d00, d01, d11 = (v[:, r] - of(c, r) for v, c in zip(x[2:], s))
+                u = f10 * d00 + f11 * d01
+                m1 *= f11
+                m1 += f10 * m0
+                m0 *= f00
+                x[4][:, r] = f10 * (u + f11 * d01) + f11 * f11 * d11 + of(s[2], r)
+                x[3][:, r] = f00 * u + of(s[1], r)
+                x[2][:, r] = f00 * f00 * d00 + of(s[0], r)
+        seen, eeg = ~np.isnan(v0[e, r]), kind[e, r] == 0
+        for channel, on, y, shown in ((0, use_eeg, v0, seen & eeg), (1, use_eeg, v1, ~np.isnan(v1[e, r]) & eeg), (2, use_rating, v0, seen & (kind[e, r] == 1))):
+            if on and shown.any():
+                update(r if shown.all() else np.flatnonzero(shown) + r.start, y[e], channel)
+    return ll.T
+
+
+def _batches(t, width):
     """Row slices whose lanes (rows x sets) stay bounded, sorted by length."""
     order = np.argsort([len(v) for v in t], kind="stable")
-    width = max(len(grids.iloc[0]), 1)
-    step = max(1, LANES // width)
+    step = max(1, LANES // max(width, 1))
     return [order[a:a + step] for a in range(0, len(order), step)]
 
 
-def _inputs(at, cols, grids):
+def _padded(at, cols):
     size = max(len(cols[0].iloc[k]) for k in at)
-    t, kind, v0, v1 = [_pad(c.iloc[at], size) for c in cols]
+    return [_pad(c.iloc[at], size) for c in cols]
+
+
+def _inputs(at, cols, grids):
     every = grids.to_numpy()
     g = np.concatenate([r for k in at for r in every[k]]).astype(float).reshape(len(at), -1, len(NAMES))
-    return t, kind, v0, v1, {n: g[:, :, i] for i, n in enumerate(NAMES)}
+    return *_padded(at, cols), {n: g[:, :, i] for i, n in enumerate(NAMES)}
+
+
+def _width(grids):
+    return len(grids.iloc[0]) if len(grids) else 1
+
+
+def loglik(t, kind, v0, v1, sets, use_eeg=True, use_rating=True):
+    """array<double>: log-likelihood of one packed session under each of `sets` (dicts), the same for all sessions."""
+    g = np.array([[float(r[n]) for n in NAMES] for r in sets])
+    params = {n: g[None, :, i] for i, n in enumerate(NAMES)}
+
+    @F.pandas_udf(_VEC)
+    def run(t: pd.Series, kind: pd.Series, v0: pd.Series, v1: pd.Series) -> pd.Series:
+        out = [None] * len(t)
+        for at in _batches(t, len(g)):
+            for k, r in zip(at, evidence(*_padded(at, (t, kind, v0, v1)), params, use_eeg, use_rating)):
+                out[k] = r
+        return pd.Series(out)
+    return run(t, kind, v0, v1)
+
 
+def loglik_scaled(t, kind, v0, v1, theta, name, factors):
+    """array<double>: log-likelihood of one packed session under its set `theta` with one parameter times each of `factors`."""
+    at_name, f = NAMES.index(name), np.asarray(factors, float)
 
-def loglik(t, kind, v0, v1, grid, use_eeg=True, use_rating=True):
-    """array<double>: log-likelihood of one packed session under each set of `grid`."""
     @F.pandas_udf(_VEC)
-    def run(t: pd.Series, kind: pd.Series, v0: pd.Series, v1: pd.Series, grid: pd.Series) -> pd.Series:
+    def run(t: pd.Series, kind: pd.Series, v0: pd.Series, v1: pd.Series, theta: pd.Series) -> pd.Series:
         out = [None] * len(t)
-        for at in _batches(t, grid):
-            st, _ = run_batch(*_inputs(at, (t, kind, v0, v1), grid), use_eeg=use_eeg, use_rating=use_rating)
-            for k, r in zip(at, st.ll):
+        for at in _batches(t, len(f)):
+            g = np.stack(theta.iloc[at].to_list()).astype(float)
+            params = {n: g[:, i, None] * (f if i == at_name else np.ones(len(f))) for i, n in enumerate(NAMES)}
+            for k, r in zip(at, evidence(*_padded(at, (t, kind, v0, v1)), params)):
                 out[k] = r
         return pd.Series(out)
-    return run(t, kind, v0, v1, grid)
+    return run(t, kind, v0, v1, theta)
 
 
 _ELEMENT = StructType([StructField(c, _VEC) for c in ("ll", "m", "p", "a", "eta", "j")])
@@ -160,7 +251,7 @@ def element(t, kind, v0, v1, grid, t_prev, use_eeg=True, use_rating=True):
     @F.pandas_udf(_ELEMENT)
     def run(t: pd.Series, kind: pd.Series, v0: pd.Series, v1: pd.Series, grid: pd.Series, t_prev: pd.Series) -> pd.DataFrame:
         out = {c: [None] * len(t) for c in ("ll", "m", "p", "a", "eta", "j")}
-        for at in _batches(t, grid):
+        for at in _batches(t, _width(grid)):
             st, _ = run_batch(*_inputs(at, (t, kind, v0, v1), grid), t_prev=t_prev.iloc[at].to_numpy(float), start=(0.0,) * 5, track=True, use_eeg=use_eeg, use_rating=use_rating)
             parts = {"ll": [st.ll], "m": [st.m0, st.m1], "p": [st.p00, st.p01, st.p11], "a": st.a, "eta": st.eta, "j": st.j}
             for c, v in parts.items():
@@ -203,7 +294,7 @@ def path(t, kind, v0, v1, grid, t_prev, start, use_eeg=True, use_rating=True):
     @F.pandas_udf(_PATH)
     def run(t: pd.Series, kind: pd.Series, v0: pd.Series, v1: pd.Series, grid: pd.Series, t_prev: pd.Series, start: pd.Series) -> pd.DataFrame:
         out = {f.name: [None] * len(t) for f in _PATH}
-        for at in _batches(t, grid):
+        for at in _batches(t, _width(grid)):
             cols = _inputs(at, (t, kind, v0, v1), grid)
             begin = np.stack([np.broadcast_to(x, (len(at), 1)) for x in (0.0, 0.0, *stationary(cols[4]))])
             given = np.array([start.iloc[k] is not None for k in at])

@@ -17,8 +17,12 @@ SESSION_ROWS_DIVISOR = 100  # a chunk of a session is this much smaller than a c
 
 
 def parameter_sets(rows):
-    """Array literal of parameter sets (dicts over the nominal values)."""
-    return F.array(*[F.array(*[F.lit(float({**kf.NOMINAL, **r}[n])) for n in kf.NAMES]) for r in rows])
+    """Whole parameter sets of dicts over the nominal values."""
+    return [{**kf.NOMINAL, **r} for r in rows]
+
+
+def _literal(sets):
+    return F.array(*[F.array(*[F.lit(float(r[n])) for n in kf.NAMES]) for r in sets])
 
 
 def event_order(obs):
@@ -43,20 +47,19 @@ def packed(obs, keys=("ses",)):
     return spread(out.join(slim, [*keys, "chunk"]), *keys, "chunk")
 
 
-def score(obs, grid, keys=("ses",), use_eeg=True, use_rating=True):
+def score(obs, sets, keys=("ses",), use_eeg=True, use_rating=True):
     """(keys, pid, ll): one row per session and parameter set.
 
-    grid: array<array<double>> column, the same for all sessions or joined per scope.
+    sets: parameter_sets, the same for all sessions.
     A session of one chunk is filtered directly.  A longer one is reduced chunk by chunk
     in parallel to its effect on an unknown start state; only those few summaries per
     session are chained in order.
     """
     keys, obs = list(keys), cut_lineage(obs)  # read by the size checks and by the scoring
-    d = packed(obs, keys).withColumn("grid", grid)
-    short = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid", use_eeg, use_rating).alias("ll"))
-    out = short
+    d = packed(obs, keys)
+    out = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", sets, use_eeg, use_rating).alias("ll"))
     if _has_long(obs, keys):
-        out = short.unionByName(_chained(d, keys, use_eeg, use_rating).select(*keys, "ll"))
+        out = out.unionByName(_chained(d.withColumn("grid", _literal(sets)), keys, use_eeg, use_rating).select(*keys, "ll"))
     return out.select(*keys, F.posexplode("ll").alias("pid", "ll")).groupBy(*keys, F.col("pid").cast("long").alias("pid")).agg(F.sum("ll").alias("ll"))
 
 
@@ -66,21 +69,24 @@ def packed_scopes(obs):
     return chunks, not chunks.where("n_chunks > 1").isEmpty()
 
 
-FEW_SCOPES = 1_000  # grids of so many scopes travel to all tasks
+FEW_SCOPES = 250_000  # parameter sets of so many scopes travel to all tasks, about 200 bytes each
 
 
-def score_scoped(chunks, several, grids, few=False):
-    """score() of packed_scopes with one grid per scope: grids(scope, g).
+def score_scaled(chunks, several, thetas, name, factors, few=False):
+    """(scope, ll array<double>) per session of packed_scopes: thetas(scope, theta), with one parameter times each of `factors`.
 
-    Grids of a few scopes go to the chunks, which stay where they are.
+    The sets of a few scopes go to the chunks, which stay where they are.
     """
-    keys, grids = ["scope", "ses"], grids.withColumnRenamed("g", "grid")
+    keys = ["scope", "ses"]
     # Small rows would be joined in one or two tasks, but each is long work.
-    d = chunks.join(F.broadcast(grids), "scope") if few else spread(chunks.join(grids, "scope"), *keys, "chunk")
-    out = d.where("n_chunks = 1").select(*keys, kf.loglik("t", "kind", "v0", "v1", "grid").alias("ll"))
+    d = chunks.join(F.broadcast(thetas), "scope") if few else spread(chunks.join(thetas, "scope"), *keys, "chunk")
+    out = d.where("n_chunks = 1").select("scope", kf.loglik_scaled("t", "kind", "v0", "v1", "theta", name, factors).alias("ll"))
     if several:
-        out = out.unionByName(_chained(d, keys, True, True).select(*keys, "ll"))
-    return out.select(*keys, F.posexplode("ll").alias("pid", "ll"))
+        i = kf.NAMES.index(name)
+        scaled = lambda f: F.transform("theta", lambda v, k: F.when(k == i, v * f).otherwise(v))
+        grid = F.array(*[scaled(f) for f in factors])
+        out = out.unionByName(_chained(d.withColumn("grid", grid), keys, True, True).select("scope", "ll"))
+    return out
 
 
 def _has_long(obs, keys):
@@ -131,7 +137,7 @@ def filtered(obs, params, keys=("ses",), use_eeg=True, use_rating=True):
     chained summaries of the earlier ones give.
     """
     keys, obs = list(keys), cut_lineage(obs)
-    d = packed(obs, keys).withColumn("grid", parameter_sets([params]))
+    d = packed(obs, keys).withColumn("grid", _literal(parameter_sets([params])))
     if _has_long(obs, keys):
         d = d.join(_chained(d, keys, use_eeg, use_rating).where("chunk > 0").select(*keys, "chunk", "start"), keys + ["chunk"], "left")
     else:
@@ -158,7 +164,7 @@ def replicate_chunks(obs, params, n_rep, seed, keys=("ses",)):
     d = cut_lineage(spread(blocks, *keys, "chunk", "_block"))
     rep = F.explode(F.sequence(F.col("_block") * REP_BLOCK + 1, F.least(F.col("_block") * REP_BLOCK + REP_BLOCK, F.lit(n_rep))))
     size = max(2, chunk_rows(obs.sparkSession) // SESSION_ROWS_DIVISOR)
-    d = d.withColumn("rep", rep).drop("_block").withColumns({"grid": parameter_sets([params]), "_key": F.xxhash64(F.lit(seed), "rep", *keys), "_first": F.col("chunk") * size})
+    d = d.withColumn("rep", rep).drop("_block").withColumns({"grid": _literal(parameter_sets([params])), "_key": F.xxhash64(F.lit(seed), "rep", *keys), "_first": F.col("chunk") * size})
     d = d.withColumn("_x", kf.simulate("t", "_key", "_first", "grid", "t_prev"))
     several = _has_long(obs, keys)
     if several:

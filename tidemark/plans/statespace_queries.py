@@ -160,18 +160,21 @@ def zoomed(chunks, several, names=ZOOMED, widths=(0.5, 0.2)):
 
     All scopes take a step in the same scoring pass; scopes may be groups, subjects or replicates.
     """
-    best = cut_lineage(chunks.select("scope").distinct().withColumn("theta", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES])))
-    few = best.count() <= ss.FEW_SCOPES
+    best = cut_lineage(chunks.select("scope").distinct().select("scope", F.array(*[F.lit(float({**kf.NOMINAL, **GRID[4]}[n])) for n in kf.NAMES]).alias("theta"), F.lit(None).cast("double").alias("ll")))
+    few, known = best.count() <= ss.FEW_SCOPES, False
     for width in widths:
         for n in names:
             i = kf.NAMES.index(n)
+            # The middle of the grid is the best so far, whose value the step before has left.
             axis = [math.exp(width * k) for k in (-1.0, -0.5, 0.0, 0.5, 1.0)]
-            scaled = lambda f: F.transform("theta", lambda v, k: F.when(k == i, v * f).otherwise(v))  # noqa: E731, B023
-            # The scope's grid travels with each of its sessions.
-            g = best.select("scope", "theta").withColumn("g", F.array(*[scaled(f) for f in axis]))
-            s = ss.score_scoped(chunks, several, g.select("scope", "g"), few)
-            win = s.groupBy("scope", "pid").agg(F.sum("ll").alias("ll")).groupBy("scope").agg(F.max_by("pid", F.struct("ll", -F.col("pid"))).alias("pid"), F.max("ll").alias("ll"))
-            best = cut_lineage(g.join(win, "scope").select("scope", F.get("g", F.col("pid").cast("int")).alias("theta"), "ll"))
+            tried = [f for f in axis if f != 1.0 or not known]
+            s = ss.score_scaled(chunks, several, best.select("scope", "theta"), n, tried, few)
+            sums = s.groupBy("scope").agg(*[F.sum(F.get("ll", F.lit(k))).alias(f"l{k}") for k in range(len(tried))])
+            at = {f: F.col(f"l{k}") for k, f in enumerate(tried)}
+            win = F.array_max(F.array(*[F.struct(at.get(f, F.col("ll")).alias("ll"), F.lit(-k).alias("k"), F.lit(f).alias("f")) for k, f in enumerate(axis)]))
+            moved = F.transform("theta", lambda v, k: F.when(k == i, v * F.col("win.f")).otherwise(v))  # noqa: B023
+            best = cut_lineage(best.join(sums, "scope").withColumn("win", win).select("scope", moved.alias("theta"), F.col("win.ll").alias("ll")))
+            known = True
     return best
 
 
