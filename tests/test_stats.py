@@ -292,3 +292,10 @@ def test_evidence_is_the_filters_log_likelihood(sets):
         for use in ({}, {"use_eeg": False}, {"use_rating": False}):
             want = kf.run_batch(t, kind, v0, v1, {c: np.broadcast_to(v, (n, sets)) for c, v in p.items()}, **use)[0].ll
             assert np.allclose(kf.evidence(t, kind, v0, v1, p, **use), want, rtol=1e-12, atol=1e-12)
+
+
+def test_shared_sets_do_not_travel_with_the_sessions(spark):
+    obs = spark.createDataFrame([(s, float(k), 0, 0.1 * k, 0.2) for s in range(4) for k in range(5)], "ses long, t double, kind int, v0 double, v1 double")
+    scored = ss.score(obs, ss.parameter_sets([{"k_inh": 0.123456}, {"k_inh": 0.3}]))
+    assert scored.count() == 8
+    assert "0.123456" not in scored._jdf.queryExecution().executedPlan().toString()
