@@ -168,3 +168,18 @@ def test_recall_is_attention_and_settled_queries_stay(spark):
     assert all(r["out"] == x[r["qid"]].tolist() for r in again.collect())
     end = {r["qid"]: r["state"] for r in rt.retrieve_iterated(queries, items).collect()}
     assert len(end) == 300 and all(end[k] == x[k].tolist() for k in settled)
+
+
+@pytest.mark.parametrize("scale", [0.02, 0.05, 30.0])
+def test_attention_of_few_dimensions(spark, scale, monkeypatch):
+    rng = np.random.default_rng(11)
+    q, k, v = rng.normal(size=(3, 120, 3))
+    queries = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(q)], "qid long, qv array<double>")
+    items = spark.createDataFrame([(n, r.tolist(), u.tolist()) for n, (r, u) in enumerate(zip(k, v))], "iid long, iv array<double>, val array<double>")
+    z = scale * q @ k.T
+    w = np.exp(z - z.max(axis=1, keepdims=True))
+    met = []
+    monkeypatch.setattr(rt, "_met", lambda *a, kept=rt._met: met.append(1) or kept(*a))
+    got = {r["qid"]: r["out"] for r in rt.attention_low(queries, items, scale).collect()}
+    assert np.allclose([got[n] for n in range(120)], w @ v / w.sum(axis=1, keepdims=True), rtol=0, atol=1e-13)
+    assert bool(met) == (scale == 30.0)      # only large scores need every pair

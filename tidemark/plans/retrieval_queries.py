@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import normal, sql_normal
 from ..operators import retrieval as rt
+from ..session import cut_lineage
 from .registry import query
 
 R6 = lambda c: F.round(c, 6)
@@ -66,10 +67,11 @@ def vr3b(t):
     at = lambda name, h, outs, ins: F.array(*[F.transform(F.sequence(F.lit(0), F.lit(ins - 1)), lambda i: normal(F.lit(name), *h, F.lit(o), i)) for o in range(outs)])
     names = [(n, h) for h in range(2) for n in ("WQ", "WK", "WV")]
     w = t.spark.range(1).select(*[at(n, [F.lit(h)], 3, 64).alias(f"{n}{h}") for n, h in names], at("WO", [], 6, 6).alias("WO"))
-    p = d.join(F.broadcast(w)).select("id", *[rt.project(F.col("v"), F.col(f"{n}{h}")).alias(f"{n}{h}") for n, h in names])
+    # Read several times per head: a few numbers per row, stored.
+    p = cut_lineage(d.join(F.broadcast(w)).select("id", *[rt.project(F.col("v"), F.col(f"{n}{h}")).alias(f"{n}{h}") for n, h in names]))
     heads = None
     for h in range(2):
-        a = rt.attention(p.select(F.col("id").alias("qid"), F.col(f"WQ{h}").alias("qv")), p.select(F.col("id").alias("iid"), F.col(f"WK{h}").alias("iv"), F.col(f"WV{h}").alias("val")), 0.01)
+        a = rt.attention_low(p.select(F.col("id").alias("qid"), F.col(f"WQ{h}").alias("qv")), p.select(F.col("id").alias("iid"), F.col(f"WK{h}").alias("iv"), F.col(f"WV{h}").alias("val")), 0.01)
         a = a.select("qid", F.col("out").alias(f"o{h}"))
         heads = a if heads is None else heads.join(a, "qid")
     out = heads.join(F.broadcast(w.select("WO"))).select(F.col("qid").alias("id"), F.posexplode(rt.project(F.concat("o0", "o1"), F.col("WO"))).alias("dim", "value"))
