@@ -183,3 +183,18 @@ def test_attention_of_few_dimensions(spark, scale, monkeypatch):
     got = {r["qid"]: r["out"] for r in rt.attention_low(queries, items, scale).collect()}
     assert np.allclose([got[n] for n in range(120)], w @ v / w.sum(axis=1, keepdims=True), rtol=0, atol=1e-13)
     assert bool(met) == (scale == 30.0)      # only large scores need every pair
+
+
+def test_forest_decides_at_the_limit_in_double_precision():
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=(60, 64))
+    x = passes.unit(q[::2] + 0.3 * rng.normal(size=(30, 64)))
+    exact = (x[:, None, :] * passes.unit(q)[None]).sum(axis=2)
+    single = (x.astype(np.float32) @ passes.unit(q).astype(np.float32).T).astype(float)
+    for limit in (np.sort(exact.ravel())[-40] - 1e-15, np.sort(exact.ravel())[-40] + 1e-15):
+        f = passes.Forest(np.arange(60), q, limit)
+        out = f.take(pd.DataFrame({"id": np.arange(100, 130), "v": list(x)}))
+        assert f.single.dtype == np.float32 and (single != exact).any()
+        linked = {j: set(np.flatnonzero(exact[j] > limit)) for j in range(30)}
+        assert set(out["j"]) == {100 + j for j in linked if linked[j]}
+        assert all(i in linked[j - 100] for i, j in zip(out["i"], out["j"]))

@@ -205,7 +205,7 @@ class Recall:
         self.v[near] *= old[:, None]
         self.m = m
         z = z[near]
-        at, j = np.nonzero(z > ((m[near] - NEGLIGIBLE) / self.scale)[:, None].astype(z.dtype))
+        at, j = np.divmod(np.flatnonzero(z > ((m[near] - NEGLIGIBLE) / self.scale)[:, None].astype(z.dtype)), z.shape[1])
         i = near[at]
         score = z[at, j].astype(float) * self.scale
         order = np.lexsort((-score, i))
@@ -286,6 +286,7 @@ class Forest:
 
     def __init__(self, ids, q, limit):
         self.ids, self.q, self.limit, self.up = ids, unit(q), limit, np.arange(len(ids))
+        self.single = self.q.astype(np.float32)
 
     def root(self, k):
         while self.up[k] != k:
@@ -294,22 +295,31 @@ class Forest:
         return k
 
     def take(self, f):
-        name = f["id"].to_numpy()
-        hit = self.q @ unit(matrix(f["v"])).T > self.limit
-        edges = []
-        for j in np.flatnonzero(hit.any(axis=0)):
-            near = np.flatnonzero(hit[:, j])
-            near = near[self.ids[near] != name[j]]
-            first = None
-            for k in near:
+        name, x = f["id"].to_numpy(), unit(matrix(f["v"]))
+        # Single precision errs by less than `doubt` on unit vectors; what lies that close to the limit is multiplied in double precision.
+        doubt = 2.0 ** -23 * (x.shape[1] + 4)
+        c = x.astype(np.float32) @ self.single.T
+        j, i = np.divmod(np.flatnonzero(c > np.float32(self.limit - doubt)), c.shape[1])
+        kept = (self.ids[i] != name[j]) & (c[j, i] > self.limit + doubt)
+        close = np.flatnonzero((self.ids[i] != name[j]) & ~kept)
+        kept[close] = (x[j[close]] * self.q[i[close]]).sum(axis=1) > self.limit
+        i, j = i[kept], j[kept]
+        if not len(i):
+            return None
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        at = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+        ends = np.r_[at[1:], len(i)]
+        edges = list(zip(self.ids[i[at]], name[j[at]]))
+        # Only rows that meet several trees join any.
+        roots = self.up[i]
+        for a, b in [(at[k], ends[k]) for k in np.flatnonzero(np.minimum.reduceat(roots, at) != np.maximum.reduceat(roots, at))]:
+            first = self.root(i[a])
+            for k in i[a + 1:b]:
                 r = self.root(k)
-                if first is None:
-                    first = r
-                elif r != first:
+                if r != first:
                     self.up[r] = first
-                else:
-                    continue
-                edges.append((self.ids[k], name[j]))
+                    edges.append((self.ids[k], name[j[a]]))
         return pd.DataFrame(edges, columns=["i", "j"], dtype="int64")
 
     def result(self):
