@@ -13,7 +13,7 @@ _VEC = ArrayType(DoubleType())
 _COMPLEX = StructType([StructField("re", _VEC), StructField("im", _VEC)])
 
 
-def _by_length(series, fn):
+def by_length(series, fn):
     """Apply fn to the stacked rows of each length, keeping row order."""
     out = [None] * len(series)
     groups = {}
@@ -50,7 +50,7 @@ def welch(x, fs, nperseg, step):
             p = np.abs(np.fft.rfft((parts - parts.mean(-1, keepdims=True)) * w, axis=-1)) ** 2 / (fs * (w ** 2).sum())
             p[..., 1:p.shape[-1] - (seg % 2 == 0)] *= 2
             return p.mean(axis=1)
-        return pd.Series(_by_length(s, psd))
+        return pd.Series(by_length(s, psd))
     return run(x)
 
 
@@ -61,7 +61,7 @@ def envelope(x, n_ch):
         def env(m, _):
             c = m.reshape(len(m), n_ch, -1)
             return np.abs(_analytic(c - c.mean(-1, keepdims=True), 1.0, None)).reshape(len(m), -1)
-        return pd.Series(_by_length(s, env))
+        return pd.Series(by_length(s, env))
     return run(x)
 
 
@@ -72,7 +72,7 @@ def analytic(x, n_ch, fs, band=None):
         def z(m, _):
             c = m.reshape(len(m), n_ch, -1)
             return _analytic(c - c.mean(-1, keepdims=True), fs, band).reshape(len(m), -1)
-        rows = _by_length(s, z)
+        rows = by_length(s, z)
         return pd.DataFrame({"re": [None if r is None else r.real for r in rows], "im": [None if r is None else r.imag for r in rows]})
     return run(x)
 
@@ -93,5 +93,5 @@ def randomise_phases(x, phases, n_ch):
             if n % 2 == 0:
                 ph[..., -1] = 0.0
             return np.fft.irfft(np.fft.rfft(c, axis=-1) * np.exp(1j * ph), n=n, axis=-1).reshape(len(m), -1)
-        return pd.Series(_by_length(s, surr))
+        return pd.Series(by_length(s, surr))
     return run(x, phases)

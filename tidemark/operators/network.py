@@ -4,9 +4,13 @@ A unit's graph has one node per channel, so its matrix is bounded and may sit in
 what grows is the number of units.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window, functions as F
+from pyspark.sql.types import DoubleType
 
-from ..session import cut_lineage
+from ..functions.fourier import by_length
+from ..session import cut_lineage, spread
 
 
 def strongest(edges, key, density):
@@ -32,38 +36,35 @@ def matrices(edges, key, n_ch, fill=0.0):
     return m.select(key, F.transform(idx, lambda i: F.transform(idx, lambda j: F.coalesce(F.when(i == j, F.lit(fill)).otherwise(at(i, j)), F.lit(fill)))).alias("m"))
 
 
-SQUARINGS = 40
+def _second_smallest(a, normalised):
+    """Second-smallest Laplacian eigenvalue, at least 0, of each symmetric weight matrix; see fiedler."""
+    n = a.shape[-1]
+    one = np.eye(n)
+    a = a * (1 - one)
+    d = a.sum(axis=-1)
+    if normalised:
+        inv = np.divide(1.0, np.sqrt(d), out=np.zeros_like(d), where=d > 0)
+        whole = d.sum(axis=-1, keepdims=True)
+        c, u = np.full(len(a), 2.0), np.sqrt(np.divide(d, whole, out=np.zeros_like(d), where=whole > 0))
+        lap = one * (d > 0)[:, None] - a * inv[:, :, None] * inv[:, None]
+    else:
+        c, u = 2.0 * d.max(axis=-1), np.full(d.shape, 1 / np.sqrt(n))
+        lap = one * d[:, None] - a
+    top = np.linalg.eigvalsh(c[:, None, None] * (one - u[:, :, None] * u[:, None]) - lap)[:, -1]
+    return np.where(c > 0, np.maximum(c - top, 0.0), 0.0)
 
 
 def fiedler(mats, key, normalised=False):
     """(key, fiedler): second-smallest Laplacian eigenvalue of each unit's matrix `m`, at least 0.
 
     With c above all eigenvalues and u the unit null vector, B = c I - L - c u u' has c minus the
-    wanted value as its largest eigenvalue.  B is squared and scaled by its trace until only that
-    eigenspace is left, and its Rayleigh quotient is read off.
+    wanted value as its largest eigenvalue.
     """
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
-    trace = lambda m: total(F.transform(m, lambda r, i: F.get(r, i)))
-    square = lambda m: F.transform(m, lambda r: F.transform(m, lambda c: dot(r, c)))
-    scaled = lambda m: F.transform(F.array(trace(m)), lambda t: F.transform(m, lambda r: F.transform(r, lambda x: x / t)))[0]
-    bare = F.transform("m", lambda r, i: F.transform(r, lambda x, j: F.when(i == j, 0.0).otherwise(x)))
-    d = mats.select(key, bare.alias("_a")).select(key, "_a", F.transform("_a", total).alias("_d"))
-    if normalised:
-        inv = F.transform("_d", lambda x: F.when(x > 0, 1.0 / F.sqrt(x)).otherwise(0.0))
-        d = d.select(key, "_d", "_a", inv.alias("_inv")).select(
-            key, F.lit(2.0).alias("_c"), F.transform("_d", lambda x: F.sqrt(x / total(F.col("_d")))).alias("_u"),
-            F.transform("_a", lambda r, i: F.transform(r, lambda x, j: F.when(i == j, F.when(F.get("_d", i) > 0, 1.0).otherwise(0.0)).otherwise(-x * F.get("_inv", i) * F.get("_inv", j)))).alias("_l"))
-    else:
-        d = d.select(key, (2.0 * F.array_max("_d")).alias("_c"), F.transform("_d", lambda _: 1.0 / F.sqrt(F.size("_d").cast("double"))).alias("_u"),
-                     F.transform("_a", lambda r, i: F.transform(r, lambda x, j: F.when(i == j, F.get("_d", i)).otherwise(-x))).alias("_l"))
-    b = F.transform("_l", lambda r, i: F.transform(r, lambda x, j: F.when(i == j, F.col("_c")).otherwise(0.0) - x - F.col("_c") * F.get("_u", i) * F.get("_u", j)))
-    d = d.select(key, "_c", b.alias("_b"))
-    # Each step is a column of its own, so that no step is written out inside another.
-    power = F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), F.col("_b"), lambda m, _: scaled(square(m)))
-    d = d.select(key, "_c", "_b", power.alias("_p"))
-    top = total(F.zip_with("_b", "_p", dot)) / trace(F.col("_p"))
-    return d.select(key, F.when(F.col("_c") > 0, F.greatest(F.col("_c") - top, F.lit(0.0))).otherwise(0.0).alias("fiedler"))
+    @F.pandas_udf(DoubleType())
+    def run(m: pd.Series) -> pd.Series:
+        return pd.Series(by_length(m, lambda rows, _: _second_smallest(rows.reshape(len(rows), int(rows.shape[1] ** 0.5), -1), normalised)), dtype="float64")
+    # Rows small in bytes but long in work; Spark also fails to take a Python function out of the aggregate of `matrices`.
+    return spread(mats.select(key, F.flatten("m").alias("m")), key).select(key, run("m").alias("fiedler"))
 
 
 def clustering(edges, key, n_ch):

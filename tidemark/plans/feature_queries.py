@@ -142,7 +142,8 @@ ctl AS (SELECT unit, max(v) FILTER (WHERE sr=0) AS raw, avg(v) FILTER (WHERE sr>
 def spectrum_controlled(t):
     """(unit, raw, surr_mean, surr_sd, z, diff) of the multichannel complexity against surrogates of equal spectrum."""
     def value(d):
-        return cx.with_bits(d, NCH).select("unit", cx.normalised(cx.bit_string(cx.interleave(F.col("bits")))).alias("v"))
+        q = d.select("unit", cx.interleaved_phrases(envelope(F.col("x"), NCH), NCH).alias("q"))
+        return q.select("unit", cx.normalised(F.col("q.s"), F.col("q.phrases")).alias("v"))
     return cx.controlled(value(packed_mc(t)), value(cx.surrogates(packed_mc(t), "unit", NCH, NT, N_SURR, "fe7")), "unit", "v")
 
 
