@@ -40,7 +40,8 @@ def _second_smallest(a, normalised):
     """Second-smallest Laplacian eigenvalue, at least 0, of each symmetric weight matrix; see fiedler."""
     n = a.shape[-1]
     one = np.eye(n)
-    a = a * (1 - one)
+    known = np.isfinite(a).all(axis=(1, 2))
+    a = np.where(known[:, None, None], a, 0.0) * (1 - one)
     d = a.sum(axis=-1)
     if normalised:
         inv = np.divide(1.0, np.sqrt(d), out=np.zeros_like(d), where=d > 0)
@@ -51,7 +52,7 @@ def _second_smallest(a, normalised):
         c, u = 2.0 * d.max(axis=-1), np.full(d.shape, 1 / np.sqrt(n))
         lap = one * d[:, None] - a
     top = np.linalg.eigvalsh(c[:, None, None] * (one - u[:, :, None] * u[:, None]) - lap)[:, -1]
-    return np.where(c > 0, np.maximum(c - top, 0.0), 0.0)
+    return np.where(known, np.where(c > 0, np.maximum(c - top, 0.0), 0.0), np.nan)
 
 
 def fiedler(mats, key, normalised=False):
@@ -64,7 +65,7 @@ def fiedler(mats, key, normalised=False):
     def run(m: pd.Series) -> pd.Series:
         return pd.Series(by_length(m, lambda rows, _: _second_smallest(rows.reshape(len(rows), int(rows.shape[1] ** 0.5), -1), normalised)), dtype="float64")
     # Rows small in bytes but long in work; Spark also fails to take a Python function out of the aggregate of `matrices`.
-    return spread(mats.select(key, F.flatten("m").alias("m")), key).select(key, run("m").alias("fiedler"))
+    return spread(mats.select(key, F.flatten("m").alias("m")), key).select(key, F.coalesce(run("m"), F.lit(float("nan"))).alias("fiedler"))
 
 
 def clustering(edges, key, n_ch):
