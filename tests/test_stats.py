@@ -299,3 +299,57 @@ def test_shared_sets_do_not_travel_with_the_sessions(spark):
     scored = ss.score(obs, ss.parameter_sets([{"k_inh": 0.123456}, {"k_inh": 0.3}]))
     assert scored.count() == 8
     assert "0.123456" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slopes_are_differences_of_the_log_likelihood():
+    rng = np.random.default_rng(5)
+    n, size, copies = 5, 11, 3
+    t, kind = np.sort(rng.uniform(0, 9, (n, size)), axis=1), (rng.random((n, size)) < 0.3).astype(float)
+    t[3, 4] = t[3, 3]
+    seen = [rng.random((n, size)) > 0.2, (rng.random((n, size)) > 0.2) & (kind == 0)]
+    for k, length in enumerate((11, 8, 11, 11, 1)):
+        t[k, length:], kind[k, length:], seen[0][k, length:], seen[1][k, length:] = np.nan, np.nan, False, False
+    y = rng.normal(size=(2, size, n, copies))
+    p = {c: v * np.exp(0.1 * rng.normal(size=copies)) for c, v in kf.NOMINAL.items()}
+    p["k_d"][1:] = p["k_inh"][1:] + [3e-5, 0.0]       # nearly and exactly equal rates
+
+    def plain(p, r):
+        shown = [np.where(s, v[:, :, r].T, np.nan) for s, v in zip(seen, y)]
+        return kf.run_batch(t, kind, *shown, {c: np.broadcast_to(v[r], (n, 1)) for c, v in p.items()})[0].ll[:, 0]
+    ll, g = kf.slopes(t, kind, seen, y, p)
+    for r in range(copies):
+        assert np.allclose(ll[:, r], plain(p, r), rtol=1e-10)
+        for name, slope in zip(kf.SLOPES, g):
+            far = [plain({**p, name: p[name] + h}, r) for h in (1e-5, -1e-5)]
+            assert np.allclose(slope[:, r], (far[0] - far[1]) / 2e-5, rtol=1e-6, atol=2e-3)
+    one = {c: v[:1] for c, v in p.items()}
+    same = kf.slopes(t, kind, seen, y, {c: np.repeat(v, copies) for c, v in one.items()})
+    shared = kf.slopes(t, kind, seen, y, one)
+    assert np.allclose(shared[0], same[0]) and np.allclose(shared[1], same[1])
+
+
+def test_every_replicate_gets_its_own_estimates_of_all_free_parameters(spark, monkeypatch):
+    """The estimates of the copies that `replicates` draws: their slopes vanish there, however the sessions are cut."""
+    rng = np.random.default_rng(6)
+    obs = []
+    for ses in range(12):
+        obs += [(ses, k / 6, 0, *[None if rng.random() < 0.1 else 1.0 for _ in range(2)]) for k in range(40)]
+        obs += [(ses, k / 2 + 0.05, 1, 1.0, None) for k in range(14)]
+    d = spark.createDataFrame(obs, "ses int, t double, kind int, v0 double, v1 double")
+    p = {**kf.NOMINAL, "k_inh": 1.0, "k_d": 0.6, "k_int": 0.5, "sigma_A": 0.6, "sigma_Phi": 0.5, "alpha": 0.8, "beta": 0.5, "r_A": 0.3, "r_Phi": 0.3, "r_Q": 0.3}
+    got = []
+    for rows, cells in ((DEFAULT_CHUNK_ROWS, kf.CELLS), (DEFAULT_CHUNK_ROWS, 300), (2000, kf.CELLS)):
+        spark.conf.set(CHUNK_ROWS_KEY, str(rows))
+        monkeypatch.setattr(kf, "CELLS", cells)
+        try:
+            got.append(np.array(ss.replicate_estimates(d, p, 3, "sim")))
+        finally:
+            spark.conf.set(CHUNK_ROWS_KEY, str(DEFAULT_CHUNK_ROWS))
+    assert np.allclose(got[0], got[1], rtol=1e-6) and np.allclose(got[0], got[2], rtol=5e-3)
+    assert got[0].shape == (3, 2 + len(kf.SLOPES)) and all(len(set(c)) == 3 for c in got[0].T)
+    sim = ss.replicates(d, p, 3, "sim").cache()
+    for rep, *theta, ll in got[0]:
+        best = {**p, **dict(zip(kf.SLOPES, theta))}
+        near = [{**best, n: best[n] * f} for n in kf.SLOPES for f in (0.98, 1.02)]
+        s = {r["pid"]: r["ll"] for r in ss.best_by_all(ss.score(sim.where(F.col("rep") == int(rep)).drop("rep"), ss.parameter_sets([best, p, *near]))).collect()}
+        assert s[0] == pytest.approx(ll, abs=1e-6) and s[0] > s[1] + 1 and max(s, key=s.get) == 0

@@ -367,3 +367,206 @@ def simulate(t, key, first, grid, t_prev):
                     out[name][k] = v
         return pd.DataFrame(out)
     return run(t, key, first, grid, t_prev)
+
+
+def _turns(k, kd, dt):
+    """The transition over `dt`, its lower left cell for k_int = 1, and the slopes of that cell in k and kd; equal rates are no special case."""
+    f00, f11, gap = np.exp(-k * dt), np.exp(-kd * dt), kd - k
+    near = np.abs(gap) < 1e-4
+    over = 1.0 / np.where(near, 1.0, gap)
+    unit = (f11 - f00) * over
+    by_k, by_kd = (unit + dt * f00) * over, -(unit + dt * f11) * over
+    if near.any():
+        x = gap * dt
+        phi, bend = 1 - x / 2 + x * x / 6 - x ** 3 / 24, -0.5 + x / 3 - x * x / 8
+        unit = np.where(near, -dt * f00 * phi, unit)
+        by_k, by_kd = np.where(near, dt * dt * f00 * (phi + bend), by_k), np.where(near, -dt * dt * f00 * bend, by_kd)
+    return f00, unit, f11, by_k, by_kd
+
+
+SLOPES = ("k_inh", "k_int", "k_d", "sigma_A", "sigma_Phi", "alpha", "beta", "r_A", "r_Phi", "r_Q")
+
+
+def slopes(t, kind, seen, y, params):
+    """(log-likelihoods, their slopes in SLOPES) of copies of padded sessions, each copy under a set of its own or all under one, without rho.
+
+    t, kind: (sessions, events); seen: two such masks; y: two arrays (events, sessions, copies); params: name -> (copies,) or (1,).
+    One pass filters, one goes back over what it has left, so that all slopes together cost about as much as the filter.
+    """
+    n, size = t.shape
+    k, kap, kd = params["k_inh"], params["k_int"], params["k_d"]
+    alpha, beta, s = params["alpha"], params["beta"], stationary(params)
+    r2 = [params[c] ** 2 for c in ("r_A", "r_Phi", "r_Q")]
+    shape = (n, y[0].shape[2])
+    x = [np.zeros(shape), np.zeros(shape), *(np.broadcast_to(v, (n, len(k))).copy() for v in s)]
+    ll, tape = np.zeros(shape), []
+    dts = np.nan_to_num(np.diff(t, axis=1, prepend=t[:, :1]))
+    shown = (seen[0] & (kind == 0), seen[1] & (kind == 0), seen[0] & (kind == 1))
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for e in range(size):
+            if (dts[:, e] > 0).any():
+                dt = dts[:, e, None]
+                f00, unit, f11, by_k, by_kd = _turns(k, kd, dt)
+                f10 = kap * unit
+                m0, m1, d00, d01, d11 = x[0], x[1], x[2] - s[0], x[3] - s[1], x[4] - s[2]
+                u, w = f10 * d00 + f11 * d01, f10 * d01 + f11 * d11
+                tape.append((None, dt, f00, f10, f11, unit, by_k, by_kd, m0, m1, d00, d01, d11, u, w))
+                x = [f00 * m0, f10 * m0 + f11 * m1, f00 * f00 * d00 + s[0], f00 * u + s[1], f10 * u + f11 * w + s[2]]
+            for channel in range(3):
+                r = np.flatnonzero(shown[channel][:, e])
+                if not len(r):
+                    continue
+                whole = len(r) == n
+                m0, m1, p00, p01, p11 = x if whole else (v[r] for v in x)
+                obs = y[channel % 2][e]
+                obs = obs if whole else obs[r]
+                if channel == 0:
+                    g0, g1, miss, v = p00, p01, obs - m0, p00 + r2[0]
+                elif channel == 1:
+                    g0, g1, miss, v = p01, p11, obs - m1, p11 + r2[1]
+                else:
+                    g0, g1, miss = alpha * p01 - beta * p00, alpha * p11 - beta * p01, obs - (alpha * m1 - beta * m0)
+                    v = alpha * g1 - beta * g0 + r2[2]
+                iv = 1.0 / v
+                k0, k1 = g0 * iv, g1 * iv
+                gain = np.where(v > 0, -0.5 * (np.log(2 * np.pi * v) + miss * miss * iv), -np.inf)
+                tape.append((channel, None if whole else r, k0, k1, iv, miss, *((g0, g1, m0, m1, p00, p01, p11) if channel == 2 else ())))
+                after = (m0 + k0 * miss, m1 + k1 * miss, p00 - k0 * g0, p01 - k0 * g1, p11 - k1 * g1)
+                if whole:
+                    ll += gain
+                    x = list(after)
+                else:
+                    ll[r] += gain
+                    for at, c in zip(x, after):
+                        at[r] = c
+        b = {c: np.zeros(shape) for c in ("k", "kap", "kd", "s0", "s1", "s2", "alpha", "beta", 0, 1, 2)}
+        z = [np.zeros(shape) for _ in range(5)]
+        while tape:
+            channel, *held = tape.pop()
+            if channel is None:
+                dt, f00, f10, f11, unit, by_k, by_kd, m0, m1, d00, d01, d11, u, w = held
+                a0, a1, a00, a01, a11 = z
+                ub, wb = f10 * a11 + f00 * a01, f11 * a11
+                h10 = a1 * m0 + a11 * u + ub * d00 + wb * d01
+                b["kap"] += unit * h10
+                h10 *= kap
+                b["k"] += by_k * h10 - dt * f00 * (a0 * m0 + a01 * u + 2 * f00 * d00 * a00)
+                b["kd"] += by_kd * h10 - dt * f11 * (a1 * m1 + a11 * w + ub * d01 + wb * d11)
+                z = [f00 * a0 + f10 * a1, f11 * a1, f00 * f00 * a00 + f10 * ub, f11 * ub + f10 * wb, f11 * wb]
+                b["s0"] += a00 - z[2]
+                b["s1"] += a01 - z[3]
+                b["s2"] += a11 - z[4]
+                continue
+            r, k0, k1, iv, miss, *rest = held
+            a0, a1, a00, a01, a11 = z if r is None else (v[r] for v in z)
+            ev = miss * iv
+            lean = a0 * k0 + a1 * k1
+            missed = lean - ev
+            h0, h1 = a0 * ev - 2 * a00 * k0 - a01 * k1, a1 * ev - a01 * k0 - 2 * a11 * k1
+            vb = (a00 * k0 + a01 * k1) * k0 + a11 * k1 * k1 - ev * lean + 0.5 * (ev * ev - iv)
+            if channel == 0:
+                before = (a0 - missed, a1, a00 + h0 + vb, a01 + h1, a11)
+            elif channel == 1:
+                before = (a0, a1 - missed, a00, a01 + h0, a11 + h1 + vb)
+            else:
+                g0, g1, m0, m1, p00, p01, p11 = rest
+                h0, h1 = h0 - beta * vb, h1 + alpha * vb
+                before = (a0 + beta * missed, a1 - alpha * missed, a00 - beta * h0, a01 + alpha * h0 - beta * h1, a11 + alpha * h1)
+                by_alpha, by_beta = g1 * vb - missed * m1 + p01 * h0 + p11 * h1, missed * m0 - g0 * vb - p00 * h0 - p01 * h1
+            at = slice(None) if r is None else r
+            b[channel][at] += vb
+            if channel == 2:
+                b["alpha"][at] += by_alpha
+                b["beta"][at] += by_beta
+            if r is None:
+                z = list(before)
+            else:
+                for into, c in zip(z, before):
+                    into[r] = c
+        # The stationary start, and through it the parameters that only act there and in the step noise.
+        s2 = b["s2"] + z[4]
+        s1 = b["s1"] + z[3] - s2 * kap / kd
+        s0 = b["s0"] + z[2] - s1 * kap / (k + kd)
+        moved = s1 * s[1] / (k + kd)
+        out = {"k_inh": b["k"] - s0 * s[0] / k - moved, "k_int": b["kap"] - s1 * s[0] / (k + kd) - s2 * s[1] / kd, "k_d": b["kd"] - moved - s2 * s[2] / kd, "sigma_A": 2 * s0 * s[0] / params["sigma_A"],
+               "sigma_Phi": s2 * params["sigma_Phi"] / kd, "alpha": b["alpha"], "beta": b["beta"],
+               **{c: 2 * params[c] * b[i] for i, c in enumerate(("r_A", "r_Phi", "r_Q"))}}
+    return ll, [out[c] for c in SLOPES]
+
+
+def copied(t, kind, lengths, keys, params):
+    """The observations that `simulate` draws for copies of whole padded sessions: two arrays (events, sessions, copies).
+
+    keys: the streams of the copies, (sessions, copies); params: one set.
+    """
+    n, size = t.shape
+    u = np.full((*keys.shape, size, 4), 0.5)
+    stream = np.random.Philox(key=0)
+    state, draw = stream.state, np.random.Generator(stream)
+    for i, (length, row) in enumerate(zip(lengths, keys.astype(np.int64).view(np.uint64))):
+        for j, key in enumerate(row):
+            state["state"]["key"][0] = key
+            stream.state = state
+            draw.random(out=u[i, j, :length])
+    u = np.ascontiguousarray(u.transpose(3, 2, 0, 1))
+    r = np.sqrt(-2.0 * np.log1p(-u[::2]))
+    at = 2 * np.pi * u[1::2]
+    (z0, z1), (n0, n1) = r * np.cos(at), r * np.sin(at)
+    s = stationary(params)
+    dt = np.nan_to_num(np.diff(t, axis=1, prepend=t[:, :1]))
+    f00, f10, f11 = (f[:, :, None] for f in transition(params, dt))
+    moved = (dt > 0)[:, :, None]
+
+    def root(c):
+        l00 = np.sqrt(np.maximum(c[0], 1e-15))
+        l10 = c[1] / l00
+        return l00, l10, np.sqrt(np.maximum(c[2] - l10 * l10, 0.0))
+
+    q = root((s[0] - f00 * f00 * s[0], s[1] - f00 * (f10 * s[0] + f11 * s[1]), s[2] - (f10 * f10 * s[0] + 2 * f10 * f11 * s[1] + f11 * f11 * s[2])))
+    l = root(s)  # noqa: E741
+    x0, x1 = l[0] * z0[0], l[1] * z0[0] + l[2] * z1[0]
+    y = [np.empty((size, *keys.shape)) for _ in range(2)]
+    for e in range(size):
+        if e and moved[:, e].any():
+            w0, w1 = q[0][:, e] * z0[e], q[1][:, e] * z0[e] + q[2][:, e] * z1[e]
+            x0, x1 = np.where(moved[:, e], f00[:, e] * x0 + w0, x0), np.where(moved[:, e], f10[:, e] * x0 + f11[:, e] * x1 + w1, x1)
+        np.add(x0, params["r_A"] * n0[e], out=y[0][e])
+        asked = np.flatnonzero(kind[:, e] == 1)
+        if len(asked):
+            y[0][e, asked] = params["alpha"] * x1[asked] - params["beta"] * x0[asked] + params["r_Q"] * n0[e, asked]
+        np.add(x1, params["r_Phi"] * n1[e], out=y[1][e])
+    return y
+
+
+def copy_slopes(frames, truth, sets, information):
+    """Sums over packed whole sessions with the `keys` of their copies: (log-likelihoods, slopes (copies, SLOPES), information or None).
+
+    The copies are drawn under `truth` and scored each under its own of `sets` (copies, NAMES). Slopes are on the log scale where a parameter is positive;
+    the information is the sum of the outer products of the slopes over sessions and copies.
+    """
+    sets = np.asarray(sets, float)
+    shared = (sets == sets[0]).all()
+    scale = np.stack([sets[:, NAMES.index(c)] if c in POSITIVE else np.ones(len(sets)) for c in SLOPES])
+    ll, g = np.zeros(len(sets)), np.zeros((len(SLOPES), len(sets)))
+    outer = np.zeros((len(SLOPES), len(SLOPES))) if information else None
+    for df in frames:
+        lengths = df["t"].map(len).to_numpy()
+        order = np.argsort(lengths, kind="stable")
+        while len(order):
+            # The longest that are left, as many as fit; of one that does not fit, a part of its copies at a time.
+            size = int(lengths[order[-1]])
+            at, order = order[-max(1, CELLS // 3 // (size * len(sets))):], order[:-max(1, CELLS // 3 // (size * len(sets)))]
+            t, kind, v0, v1 = (_pad(df[c].iloc[at], size) for c in ("t", "kind", "v0", "v1"))
+            keys, seen = np.stack(df["keys"].iloc[at].to_list()), (~np.isnan(v0), ~np.isnan(v1))
+            step = max(1, CELLS // 3 // (size * len(at)))
+            for a in range(0, len(sets), step):
+                mine = sets[a:a + step]
+                p = {c: mine[:1, i] if shared else mine[:, i] for i, c in enumerate(NAMES)}
+                value, slope = slopes(t, kind, seen, copied(t, kind, lengths[at], keys[:, a:a + step], truth), p)
+                slope = np.stack(slope) * scale[:, None, a:a + step]
+                ll[a:a + step] += value.sum(axis=0)
+                g[:, a:a + step] += slope.sum(axis=1)
+                if information:
+                    flat = slope.reshape(len(SLOPES), -1)
+                    outer += flat @ flat.T
+    return ll, g.T, outer

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from ..functions import kalman as kf
+from ..functions.ascent import ascend
 from ..session import chunk_rows, cut_lineage, spread
 from .ordered import numbered, running
 from .quantiles import quantiles
@@ -159,14 +160,19 @@ def replicate_chunks(obs, params, n_rep, seed, keys=("ses",)):
 
     Only the real chunks are shuffled and stored; a reader makes the copies of each where they are read.
     """
-    keys, obs, n_rep = list(keys), cut_lineage(obs), int(n_rep)
-    blocks = packed(obs, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_rep - 1) // REP_BLOCK))))
+    keys, obs = list(keys), cut_lineage(obs)
+    several = _has_long(obs, keys)
+    return _copies(packed(obs, keys), several, params, int(n_rep), seed, keys), several
+
+
+def _copies(chunks, several, params, n_rep, seed, keys):
+    """`replicate_chunks` of packed chunks."""
+    blocks = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_rep - 1) // REP_BLOCK))))
     d = cut_lineage(spread(blocks, *keys, "chunk", "_block"))
     rep = F.explode(F.sequence(F.col("_block") * REP_BLOCK + 1, F.least(F.col("_block") * REP_BLOCK + REP_BLOCK, F.lit(n_rep))))
-    size = max(2, chunk_rows(obs.sparkSession) // SESSION_ROWS_DIVISOR)
+    size = max(2, chunk_rows(chunks.sparkSession) // SESSION_ROWS_DIVISOR)
     d = d.withColumn("rep", rep).drop("_block").withColumns({"grid": _literal(parameter_sets([params])), "_key": F.xxhash64(F.lit(seed), "rep", *keys), "_first": F.col("chunk") * size})
     d = d.withColumn("_x", kf.simulate("t", "_key", "_first", "grid", "t_prev"))
-    several = _has_long(obs, keys)
     if several:
         d = _carry_paths(d, keys, params)
     q = {**kf.NOMINAL, **params}
@@ -175,8 +181,100 @@ def replicate_chunks(obs, params, n_rep, seed, keys=("ses",)):
     rating = lambda r: q["alpha"] * r["x1"] - q["beta"] * r["x0"] + q["r_Q"] * r["n0"]
     v0 = F.transform("_e", lambda r: F.when(F.isnan(r["o0"]), nan).when(r["kind"] == 0, r["x0"] + q["r_A"] * r["n0"]).otherwise(rating(r)))
     v1 = F.transform("_e", lambda r: F.when(F.isnan(r["o1"]) | (r["kind"] != 0), nan).otherwise(r["x1"] + q["r_Phi"] * r["n1"]))
-    d = d.withColumn("_e", e).select(*keys, "rep", "chunk", "t", "kind", v0.alias("v0"), v1.alias("v1"), "t_prev", "n_chunks")
-    return d, several
+    return d.withColumn("_e", e).select(*keys, "rep", "chunk", "t", "kind", v0.alias("v0"), v1.alias("v1"), "t_prev", "n_chunks")
+
+
+class _ReplicateScores:
+    """Log-likelihoods of replicates and their slopes, summed over the sessions: one job a call, with one row per replicate and number as its result.
+
+    A session of one chunk is copied, filtered and followed back inside one task; copies are no rows. The slopes of longer ones are differences of
+    their chained chunks' scores.
+    """
+
+    def __init__(self, obs, params, n_rep, seed, keys):
+        self.problems, self.truth, self.seed, self.keys = int(n_rep), {**kf.NOMINAL, **params}, seed, list(keys)
+        if self.truth["rho"] != 0:
+            raise ValueError("slopes are for observation noises without correlation")
+        obs = cut_lineage(obs)
+        chunks = cut_lineage(packed(obs, self.keys))
+        self.whole = chunks.where("n_chunks = 1")
+        self.copies = _copies(chunks.where("n_chunks > 1"), True, params, self.problems, seed, self.keys) if _has_long(obs, self.keys) else None
+        self.calls = 0
+
+    def sets(self, points):
+        """Whole parameter sets of points on the scale of the slopes."""
+        out = np.tile([float(self.truth[n]) for n in kf.NAMES], (len(points), 1))
+        for i, n in enumerate(kf.SLOPES):
+            out[:, kf.NAMES.index(n)] = np.exp(points[:, i]) if n in kf.POSITIVE else points[:, i]
+        return out
+
+    def point(self, params):
+        return [np.log(params[n]) if n in kf.POSITIVE else params[n] for n in kf.SLOPES]
+
+    def __call__(self, points, which):
+        which, points, wide = np.asarray(which), np.asarray(points, float), len(kf.SLOPES)
+        information, self.calls = self.calls == 0, self.calls + 1
+        parts = [self._whole(which, self.sets(points), information)]
+        if self.copies is not None:
+            parts.append(self._long(which, points, information))
+        sums = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        got = {(r["rep"], r["at"]): r["v"] for r in sums.groupBy("rep", "at").agg(F.sum("v").alias("v")).collect()}
+        cells = np.array([[got.get((int(i) + 1, k), 0.0) for k in range(wide + 1)] for i in which])
+        matrix = np.array([got.get((0, k), 0.0) for k in range(wide * wide)]).reshape(wide, wide) / self.problems if information else None
+        return cells[:, 0], cells[:, 1:], matrix
+
+    def _whole(self, which, sets, information):
+        truth = self.truth
+        reps = F.array(*[F.lit(int(i) + 1) for i in which])
+        stream = F.transform(reps, lambda rep: F.xxhash64(F.lit(self.seed), rep, *[F.col(k) for k in self.keys]))
+        named = which.astype(np.int32) + 1
+
+        def run(frames):
+            yield _long_form(named, *kf.copy_slopes(frames, truth, sets, information))
+        return self.whole.select("t", "kind", "v0", "v1", stream.alias("keys")).mapInPandas(run, "rep int, at int, v double")
+
+    def _long(self, which, points, information):
+        wide = len(kf.SLOPES)
+        h = 1e-4 * np.maximum(1.0, np.abs(points))
+        moved = [points] + [points + s * h * (np.arange(wide) == i) for i in range(wide) for s in (1, -1)]
+        grids = np.stack([self.sets(p) for p in moved], axis=1)
+        rows = [(int(i) + 1, g.tolist(), s.tolist()) for i, g, s in zip(which, grids, h)]
+        spark, by = self.copies.sparkSession, self.keys + ["rep"]
+        asked = spark.createDataFrame(rows, "rep int, grid array<array<double>>, h array<double>")
+        scored = _chained(self.copies.join(F.broadcast(asked.select("rep", "grid")), "rep"), by, True, True)
+        sums = scored.select(*by, F.posexplode("ll").alias("at", "ll")).groupBy(*by, "at").agg(F.sum("ll").alias("ll"))
+        each = sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ll"))), lambda e: e["ll"]).alias("ll"))
+
+        def run(frames):
+            named, ll, g, matrix = [], [], [], np.zeros((wide, wide))
+            for df in frames:
+                for rep, v, s in zip(df["rep"], df["ll"], df["h"]):
+                    slope = (v[1::2] - v[2::2]) / (2 * s)
+                    named.append(rep)
+                    ll.append(v[0])
+                    g.append(slope)
+                    matrix += np.outer(slope, slope)
+            if named:
+                yield _long_form(np.array(named, dtype=np.int32), np.array(ll), np.array(g), matrix if information else None)
+        return each.join(F.broadcast(asked.select("rep", "h")), "rep").select("rep", "ll", "h").mapInPandas(run, "rep int, at int, v double")
+
+
+def _long_form(rep, ll, g, information):
+    """Rows (rep, at, v): the log-likelihood at 0, the slopes behind it; the information as the cells of replicate 0."""
+    cells = np.column_stack([ll, g])
+    out = [(np.repeat(rep, cells.shape[1]), np.tile(np.arange(cells.shape[1]), len(rep)), cells.ravel())]
+    if information is not None:
+        out.append((np.zeros(information.size), np.arange(information.size), information.ravel()))
+    rep, at, v = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"rep": rep.astype(np.int32), "at": at.astype(np.int32), "v": v})
+
+
+def replicate_estimates(obs, params, n_rep, seed, keys=("ses",)):
+    """Rows (rep, *SLOPES, ll): the maximum-likelihood estimates of every replicate of `replicates`, found from the parameters it was made with."""
+    score = _ReplicateScores(obs, params, n_rep, seed, keys)
+    points, ll = ascend(score, score.point(score.truth))
+    sets = score.sets(points)
+    return [(i + 1, *(float(s[kf.NAMES.index(n)]) for n in kf.SLOPES), float(v)) for i, (s, v) in enumerate(zip(sets, ll))]
 
 
 def replicates(obs, params, n_rep, seed, keys=("ses",)):

@@ -424,11 +424,10 @@ N_REP = 200
 
 @query("kf16_parametric_bootstrap")
 def kf16(t):
-    """Replicates on the real schedules, each a scope of the zoom: the parameters of the observed information are
-    estimated, the others stay at the values that the replicates were made with."""
-    chunks, several = ss.replicate_chunks(observations(t), GRID[4], N_REP, "kf16")
-    chunks = chunks.withColumn("scope", F.col("rep").cast("string")).drop("rep")
-    return zoomed(chunks, several, HN).select(F.col("scope").cast("int").alias("rep"), *zoomed_columns(HN))
+    """Replicates on the real schedules, and the maximum-likelihood estimates of all free parameters for each of them."""
+    rows = ss.replicate_estimates(observations(t), GRID[4], N_REP, "kf16")
+    d = t.spark.createDataFrame(rows, ", ".join(["rep int", *(f"{n} double" for n in kf.SLOPES), "ll double"]))
+    return d.select("rep", *[R6(F.col(n)).alias(n) for n in kf.SLOPES], R4(F.col("ll")).alias("ll"))
 
 
 @query("kf17_predictive_check")
