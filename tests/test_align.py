@@ -84,3 +84,46 @@ def test_many_small_sessions_are_not_joined_in_one_task(spark):
     for d in (marks, logs, met):
         assert d.groupBy(F.spark_partition_id()).count().count() == 4
     assert met.count() == 40 * 36 and cand.count() == sum(abs(i - j) <= al.BAND for i in range(6) for j in range(6)) * 40
+
+
+def rivals(n):
+    """Sessions of 1,000 marks whose log has two clocks, one of which explains six marks more."""
+    for ses in range(n):
+        rng = np.random.default_rng(ses)
+        o = np.cumsum(12 + rng.exponential(10.0, 1000))
+        yield ses, o, np.sort(o - np.where(rng.permutation(1000) < 497 + 6 * (ses % 2), 10.9, 10.0))
+
+
+@pytest.mark.parametrize("parts", [4096, 64])
+def test_every_mark_of_a_long_session_votes(spark, monkeypatch, parts):
+    monkeypatch.setattr(al, "PART_ROWS", parts)
+    monkeypatch.setattr(al, "BLOCK", 256, raising=False)
+    data = list(rivals(8))
+    got = al.offset_scores(["ses"], *al.sized(["ses"], *frames(spark, data)), 0.05).collect()
+    for ses, o, t in data:
+        mine = [r for r in got if r.ses == ses]
+        best = max(mine, key=lambda r: (r.n, -r.i, -r.j))
+        assert best.n == (np.abs((o - best.c)[:, None] - t[None, :]) < 0.05).any(axis=1).sum() >= 503
+        assert best.c == pytest.approx((10.0, 10.9)[ses % 2], abs=1e-6)
+
+
+@pytest.mark.parametrize("parts", [4096, 12])
+def test_sessions_and_files_of_a_group_are_scored_in_pairs(spark, monkeypatch, parts):
+    monkeypatch.setattr(al, "PART_ROWS", parts)
+    data, tol = list(sessions("related", 9)) + [(9, np.array([1.0, 2.0]), np.array([]))], 0.05
+    marks, logs = frames(spark, data)
+    grp = F.floor(F.col("ses") / 3).cast("long").alias("grp")
+    got = al.pair_scores(marks.select("*", grp), logs.select(grp, F.col("ses").alias("file"), "j", "t"), tol).collect()
+    want = {(s, f): plain(o, t, tol) for s, o, _ in data for f, _, t in data if s // 3 == f // 3 and len(t)}
+    assert {(r.ses, r.file): r.score for r in got} == {k: scores[best] for k, (scores, best) in want.items()}
+    assert all(r.grp == r.ses // 3 for r in got) and len(got) == len(want)
+
+
+def test_a_match_at_the_very_limit_counts_as_in_sql(spark):
+    """(o - c) - t is rounded to the limit or below it; only what stays below counts."""
+    rng = np.random.default_rng(0)
+    o = np.round(np.cumsum(rng.integers(1, 40, 120)) * 0.01, 2)
+    t = np.round(o[rng.random(120) < 0.7] + 0.05 * rng.integers(-1, 2), 2)
+    i, j, c, n = al.best_candidate(np.arange(120), o, np.arange(len(t)), t, 0.05)
+    scores, best = plain(o, np.sort(t), 0.05) if (np.diff(t) >= 0).all() else plain(o, t, 0.05)
+    assert (i, j) == best and n == scores[best] and c == o[i] - t[j]
