@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import align as al, decode as dec, intervals as iv
 from ..operators.ordered import gaps, previous_mean, running
 from ..operators.quantiles import quantiles
+from ..session import cut_lineage
 from ..sources.tables import EPOCH_H, EV, LATE_H, NO_RESPONSE_H, PAD_H
 from .registry import query
 
@@ -190,12 +191,9 @@ SELECT grp AS sub, l AS ses, r AS log_file, score FROM r1 UNION ALL SELECT grp,l
 def ev6(t):
     mk, logs = behaviour_log(t)
     sub = lambda c: F.floor(F.col(c) / 3).cast("long")
-    files = logs.select(F.col("ses").alias("file"), "j", (F.col("t") - (F.col("ses") % 3) * 0.01).alias("t"))
-    pairs = mk.select("ses", sub("ses").alias("grp")).distinct().join(files.select("file", sub("file").alias("grp")).distinct(), "grp")
-    m2 = mk.join(pairs.select("ses", "file"), "ses")
-    l2 = files.join(pairs.select("ses", "file"), "file")
-    best = al.offset_scores(["ses", "file"], *al.sized(["ses", "file"], m2, l2), TOL).groupBy("ses", "file").agg(F.max("n").alias("score"))
-    won = al.assign_greedy(best.select(sub("ses").alias("grp"), F.col("ses").alias("left"), F.col("file").alias("right"), "score"))
+    files = logs.select(sub("ses").alias("grp"), F.col("ses").alias("file"), "j", (F.col("t") - (F.col("ses") % 3) * 0.01).alias("t"))
+    best = al.pair_scores(cut_lineage(mk.withColumn("grp", sub("ses"))), cut_lineage(files), TOL)
+    won = al.assign_greedy(best.select("grp", F.col("ses").alias("left"), F.col("file").alias("right"), "score"))
     return won.select(F.col("grp").alias("sub"), F.col("left").alias("ses"), F.col("right").alias("log_file"), "score")
 
 
